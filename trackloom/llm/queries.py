@@ -11,12 +11,19 @@ from pyspark.sql import functions as F
 from trackloom.llm.decontamination import find_phrases
 from trackloom.llm.jaccard import near_duplicates
 from trackloom.llm.packing import pack
+from trackloom.llm.urls import Rule, judge_urls
+from trackloom.llm.warc import archive_and_read
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = archive_and_read(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = find_phrases(docs, _table(spark, sf_dir, "benchmark"), keep_text=False)
@@ -32,6 +39,23 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
+#: Decide before the globs do; the longest that fits counts.
+URL_RULES = [
+    Rule("block", "com", "/en/"),
+    Rule("allow", "example.com", "/en/7"),
+    Rule("allow", "net", "/de/"),
+    Rule("block", "example.net", "/de/8"),
+    Rule("block", "org", "/es/"),
+]
+#: Hosts and paths of spam, shops for pills, gambling and adult sites.
+URL_GLOBS = ["*spam*", "*spam*/**", "*cheap-pills*", "*cheap-pills*/**", "*casino*", "*casino*/**", "*porn*", "*porn*/**", "**/wp-login.php*", "**/casino/**", "**/viagra**"]
+
+
+def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = judge_urls(_table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES, URL_GLOBS)
+    return found.select("page_id", "host", "path", "rule", "verdict")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
@@ -40,6 +64,14 @@ _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRST
 _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _SPACED = r"[^\x20\x09-\x0D]+"
 
+_OP1 = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+g AS (SELECT payload_digest, max(page_id) AS first FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, p.payload_digest, CASE WHEN page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p LEFT JOIN g ON p.payload_digest = g.payload_digest
+"""
+
 _OP2 = f"""
 WITH d AS (SELECT doc_id, {_WORDS.format(_ALNUM)} AS w FROM documents),
 b AS (SELECT item_id, {_WORDS.format(_ALNUM)} AS w FROM benchmark),
@@ -67,6 +99,25 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(reached) AS component_id FROM r GROUP BY doc_id) c USING (doc_id)
 """
 
+_OP9 = r"""
+WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS raw, rest FROM u),
+p AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h),
+r AS (SELECT page_id, host, path, CASE
+    WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/7') THEN 'example.com/en/7'
+    WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/de/8') THEN 'example.net/de/8'
+    WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/en/') THEN 'com/en/'
+    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/de/') THEN 'net/de/'
+    WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/es/') THEN 'org/es/' END AS rule FROM p)
+SELECT page_id, host, path, rule, CASE
+    WHEN rule IN ('example.com/en/7', 'net/de/') THEN 'allow'
+    WHEN rule IS NOT NULL THEN 'block'
+    WHEN regexp_matches(host, 'spam|cheap-pills|casino|porn') AND (path = '' OR starts_with(path, '/')) THEN 'block'
+    WHEN regexp_matches(path, '/wp-login\.php[^/]*$|/casino/|/viagra') THEN 'block'
+    ELSE 'allow' END AS verdict
+FROM r
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": _OP2, "op6_jaccard": _OP6}
+    return {"op1_warc": _OP1, "op2_decontamination": _OP2, "op6_jaccard": _OP6, "op9_urls": _OP9}
