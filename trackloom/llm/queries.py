@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from trackloom.llm.decontamination import find_phrases
 from trackloom.llm.jaccard import near_duplicates
 from trackloom.llm.packing import pack
+from trackloom.llm.quality import held_out, score_quality, train_quality
 from trackloom.llm.urls import Rule, judge_urls
 from trackloom.llm.warc import archive_and_read
 
@@ -56,6 +57,13 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    ranking = train_quality(docs, _table(spark, sf_dir, "labels"))
+    found = score_quality(docs, ranking, keep_text=False)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
