@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackloom.llm.decontamination import find_phrases
+from trackloom.llm.embeddings import near_duplicate_vectors
 from trackloom.llm.jaccard import near_duplicates
 from trackloom.llm.packing import pack
 from trackloom.llm.quality import held_out, score_quality, train_quality
@@ -31,6 +32,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -96,6 +101,19 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hi
 FROM d LEFT JOIN k USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
+_OP4 = """
+WITH RECURSIVE v AS (
+    SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+      WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+r(vec_id, reached) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.vec_id, l.b FROM r JOIN l ON l.a = r.reached)
+SELECT c.vec_id, coalesce(n.n_links, 0) AS n_links, c.component_id, c.vec_id = c.component_id AS kept
+FROM (SELECT vec_id, min(reached) AS component_id FROM r GROUP BY vec_id) c
+LEFT JOIN (SELECT a, count(*) AS n_links FROM l GROUP BY a) n ON n.a = c.vec_id
+"""
+
 _OP6 = f"""
 WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format(_SPACED)} AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, hash(array_to_string(w[i : i + 4], ' ')) AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i FROM d WHERE len(w) > 0)),
@@ -128,4 +146,4 @@ FROM r
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": _OP1, "op2_decontamination": _OP2, "op6_jaccard": _OP6, "op9_urls": _OP9}
+    return {"op1_warc": _OP1, "op2_decontamination": _OP2, "op4_embeddings": _OP4, "op6_jaccard": _OP6, "op9_urls": _OP9}
