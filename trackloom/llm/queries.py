@@ -12,6 +12,7 @@ from trackloom.llm.decontamination import find_phrases
 from trackloom.llm.embeddings import near_duplicate_vectors
 from trackloom.llm.jaccard import near_duplicates
 from trackloom.llm.packing import pack
+from trackloom.llm.pii import find_personal_data, train_field
 from trackloom.llm.quality import held_out, score_quality, train_quality
 from trackloom.llm.urls import Rule, judge_urls
 from trackloom.llm.warc import archive_and_read
@@ -40,6 +41,12 @@ def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find_personal_data(docs, train_field(docs), keep_text=False)
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
