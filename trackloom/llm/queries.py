@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from trackloom.llm.decontamination import find_phrases
 from trackloom.llm.embeddings import near_duplicate_vectors
+from trackloom.llm.html import extract_main_text
 from trackloom.llm.jaccard import near_duplicates
 from trackloom.llm.packing import pack
 from trackloom.llm.pii import find_personal_data, train_field
 from trackloom.llm.quality import held_out, score_quality, train_quality
+from trackloom.llm.token_counts import count_tokens
 from trackloom.llm.urls import Rule, judge_urls
 from trackloom.llm.warc import archive_and_read
 
@@ -33,10 +35,20 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extract_main_text(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", "n_chars", "host", "container")
+
+
 def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
