@@ -1,9 +1,70 @@
-"""From raw documents to packed training sequences."""
-STAGES = []
+"""From raw documents to packed training sequences, one operator a stage."""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from trackloom.llm.decontamination import find_phrases
+from trackloom.llm.jaccard import near_duplicates
+from trackloom.llm.packing import pack
+from trackloom.llm.pii import find_personal_data, train_field
+from trackloom.llm.quality import score_quality, train_quality
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the pairwise ranking does not reject."""
+    ranking = train_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score_quality(docs, ranking).where("predicted = 1").select(docs.columns)
+
+
+def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, that with the smallest doc_id.
+
+    Rows without a doc_id cannot be told apart and all stay, and so do texts without words.
+    """
+    found = near_duplicates(docs.select("doc_id", "text"))
+    others = found.where("doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.join(others, "doc_id", "left_anti")
+    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if repeated.limit(1).count() == 0:
+        return kept.select(docs.columns)
+    again = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(repeated, "doc_id", "left_anti").unionByName(again).select(docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no more than a trace of a benchmark item."""
+    found = find_phrases(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.where("not contaminated").select(docs.columns)
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data replaced by its kind; n_chars follows the text."""
+    found = find_personal_data(docs, train_field(docs))
+    text = F.col("masked")
+    return found.withColumn("n_chars", F.when(text.eqNullSafe(F.col("text")), F.col("n_chars")).otherwise(F.char_length(text).cast("long"))).withColumn("text", text).select(docs.columns)
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents' ids, each with its place in a sequence of 4096."""
+    return pack(docs.select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality", quality),
+    ("near_duplicates", deduplicate),
+    ("decontamination", decontaminate),
+    ("personal_data", redact),
+    ("packing", sequences),
+]
+
+#: The ranking, the field and the packing have no SQL; the tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
