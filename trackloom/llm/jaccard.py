@@ -14,7 +14,7 @@ from trackloom.llm._graph import components
 from trackloom.llm._storage import settle
 from trackloom.llm._text import NON_SPACE, Words, row_blocks, shingle_sets
 
-_SLOTS, _CHUNK = 1 << 20, 1 << 14
+_SLOTS, _CHUNK = 1 << 23, 1 << 17
 _BITS = 1 << 24
 
 
@@ -25,25 +25,62 @@ def _sets(column: pa.Array, size: int):
             yield row + i, own, int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True) if len(own) else 0
 
 
+def signature(own: np.ndarray) -> np.ndarray:
+    """Parities of the set's members by slot, about two slots a member: a bitmap that adds up to a smaller one's when folded."""
+    slots = 64
+    while slots < 2 * len(own):
+        slots *= 2
+    odd = np.bincount((own >> np.uint64(20)) & np.uint64(slots - 1), minlength=slots) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.uint64)
+
+
+def _may_link(sizes: np.ndarray, signatures: list[np.ndarray], num: int, den: int) -> np.ndarray:
+    """Members with a partner whose size and signature allow a link.
+
+    Parities differ in no more slots than the sets differ in members, and linked sets differ in at
+    most (a + b) * (den - num) / (den + num) members, so nothing linked is lost.
+    """
+    order = np.argsort(sizes, kind="stable")
+    found = np.zeros(len(sizes), dtype=bool)
+    by_width: dict[int, np.ndarray] = {}
+
+    def folded(width: int) -> np.ndarray:
+        if width not in by_width:
+            rows = [s.reshape(-1, width) if len(s) >= width else None for s in signatures]
+            by_width[width] = np.stack([np.bitwise_xor.reduce(r, axis=0) if r is not None else np.zeros(width, dtype=np.uint64) for r in rows])
+        return by_width[width]
+
+    for k, i in enumerate(order):  # i is the smaller one
+        rest = order[k + 1 :]
+        rest = rest[den * sizes[i] >= num * sizes[rest]]
+        if len(rest):
+            table = folded(len(signatures[i]))
+            apart = np.bitwise_count(table[rest] ^ table[i]).sum(axis=1, dtype=np.int64)
+            near = rest[(den + num) * apart <= (den - num) * (sizes[i] + sizes[rest])]
+            found[near] = True
+            found[i] |= len(near) > 0
+    return found
+
+
 def _describe(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles and set digest of each row; and, once a task, how often each slot of shingles occurs."""
+    """doc_id, n_shingles, set digest and signature of each row; and, once a task, how often each slot of shingles occurs."""
 
     def run(batches):
         counts = np.zeros(_SLOTS, dtype=np.uint32)
         for batch in batches:
-            n, digest = np.zeros(batch.num_rows, dtype=np.int64), np.zeros(batch.num_rows, dtype=np.int64)
+            n, digest, sketch = np.zeros(batch.num_rows, dtype=np.int64), np.zeros(batch.num_rows, dtype=np.int64), [b""] * batch.num_rows
             for row, own, name in _sets(batch.column("text"), size):
-                n[row], digest[row] = len(own), name
+                n[row], digest[row], sketch[row] = len(own), name, signature(own).tobytes()
                 np.add.at(counts, own & np.uint64(_SLOTS - 1), 1)
             nothing = pa.nulls(batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(digest), nothing.cast(pa.int32()), nothing.cast(pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(digest), pa.array(sketch, pa.binary()), nothing.cast(pa.int32()), nothing.cast(pa.binary())], names)
         used = [k for k in range(_SLOTS // _CHUNK) if counts[k * _CHUNK : (k + 1) * _CHUNK].any()]
         packed = [zlib.compress(counts[k * _CHUNK : (k + 1) * _CHUNK].tobytes(), 1) for k in used]
         nothing = pa.nulls(len(used))
-        yield pa.RecordBatch.from_arrays([*[nothing.cast(pa.int64())] * 3, pa.array(used, pa.int32()), pa.array(packed, pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([*[nothing.cast(pa.int64())] * 3, nothing.cast(pa.binary()), pa.array(used, pa.int32()), pa.array(packed, pa.binary())], names)
 
-    names = ["doc_id", "n", "sid", "chunk", "counts"]
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, sid long, chunk int, counts binary")
+    names = ["doc_id", "n", "sid", "sketch", "chunk", "counts"]
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, sid long, sketch binary, chunk int, counts binary")
 
 
 def _tiers(described: DataFrame) -> np.ndarray:
@@ -53,14 +90,23 @@ def _tiers(described: DataFrame) -> np.ndarray:
         total = np.zeros(_CHUNK, dtype=np.int64)
         for packed in table.column("counts"):
             total += np.frombuffer(zlib.decompress(packed.as_py()), dtype=np.uint32)
-        return pa.table({"chunk": table.column("chunk").slice(0, 1), "total": pa.array([total.tobytes()], pa.binary())})
+        return pa.table({"chunk": table.column("chunk").slice(0, 1), "total": pa.array([total.tobytes()], pa.binary()), "sum": pa.array([int(total.sum())])})
 
-    rows = described.where("chunk is not null").select("chunk", "counts").groupBy("chunk").applyInArrow(add, "chunk int, total binary").collect()
-    counts = np.zeros(_SLOTS, dtype=np.int64)
-    for chunk, total in rows:
-        counts[chunk * _CHUNK : (chunk + 1) * _CHUNK] = np.frombuffer(total, dtype=np.int64)
-    usual = 4 * counts.mean() + 16
-    return np.where(counts > usual, np.log2(np.maximum(counts / usual, 1)).astype(np.int8) + 1, 0).astype(np.int8)
+    totals = settle(described.where("chunk is not null").select("chunk", "counts").groupBy("chunk").applyInArrow(add, "chunk int, total binary, sum long"), "slots")
+    mean = (totals.agg(F.sum("sum")).first()[0] or 0) / _SLOTS
+    usual = mean + 4 * np.sqrt(mean) + 1
+
+    def grade(batches):
+        for batch in batches:
+            for chunk, total in zip(batch.column("chunk"), batch.column("total"), strict=True):
+                counts = np.frombuffer(total.as_py(), dtype=np.int64)
+                tier = np.where(counts > usual, 2 * np.log2(np.maximum(counts / usual, 1)) + 1, 0).astype(np.int8)
+                yield pa.RecordBatch.from_arrays([pa.array([chunk.as_py()], pa.int32()), pa.array([tier.tobytes()], pa.binary())], ["chunk", "tier"])
+
+    tiers = np.zeros(_SLOTS, dtype=np.int8)
+    for chunk, tier in totals.mapInArrow(grade, "chunk int, tier binary").collect():  # _SLOTS bytes
+        tiers[chunk * _CHUNK : (chunk + 1) * _CHUNK] = np.frombuffer(tier, dtype=np.int8)
+    return tiers
 
 
 def _prefix(own: np.ndarray, tiers: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -71,26 +117,27 @@ def _prefix(own: np.ndarray, tiers: np.ndarray, num: int, den: int) -> np.ndarra
 
 
 def _regions(docs: DataFrame, size: int, num: int, den: int, tiers, ranges: int) -> DataFrame:
-    """(pivot, sid): the members of each pivot's region.
+    """(pivot, sid, n): the members of each pivot's region, with the sizes of their sets.
 
     The shingles of a set's prefix are its nearest points. All sets that hold a point go to the
-    region of one of them, the pivot with the least digest, so any linked pair meets in a region.
+    region of one of them, the pivot with the least digest, so any linked pair meets in a region;
+    holders of a point whose sizes alone rule a link out go to different regions.
     Postings travel as columns of numbers, one row for a range of points.
     """
 
     def post(batches):
         table, seen = tiers.value, set()
-        points, names, held = [], [], 0
+        points, names, sizes, held = [], [], [], 0
 
         def flush():
-            p, s = np.concatenate(points), np.concatenate(names)
+            p, s, n = np.concatenate(points), np.concatenate(names), np.concatenate(sizes)
             part = (p & np.uint64(ranges - 1)).astype(np.int64)
             order = np.argsort(part, kind="stable")
-            p, s, part = p[order], s[order], part[order]
+            p, s, n, part = p[order], s[order], n[order], part[order]
             cuts = np.searchsorted(part, np.arange(ranges + 1))
             used = [k for k in range(ranges) if cuts[k + 1] > cuts[k]]
             slices = [slice(cuts[k], cuts[k + 1]) for k in used]
-            return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([p[x].tobytes() for x in slices], pa.binary()), pa.array([s[x].tobytes() for x in slices], pa.binary())], ["range", "points", "sids"])
+            return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *[pa.array([c[x].tobytes() for x in slices], pa.binary()) for c in (p, s, n)]], ["range", "points", "sids", "sizes"])
 
         for batch in batches:
             for _, own, name in _sets(batch.column("text"), size):
@@ -102,29 +149,30 @@ def _regions(docs: DataFrame, size: int, num: int, den: int, tiers, ranges: int)
                 first = _prefix(own, table, num, den)
                 points.append(first)
                 names.append(np.full(len(first), name, dtype=np.int64))
+                sizes.append(np.full(len(first), len(own), dtype=np.int32))
                 held += len(first)
-                if held >= 4_000_000:
+                if held >= 1_000_000:
                     yield flush()
-                    points, names, held = [], [], 0
+                    points, names, sizes, held = [], [], [], 0
         if points:
             yield flush()
 
     def meet(table: pa.Table) -> pa.Table:
-        points = np.frombuffer(b"".join(x.as_py() for x in table.column("points")), dtype=np.uint64)
-        sids = np.frombuffer(b"".join(x.as_py() for x in table.column("sids")), dtype=np.int64)
-        order = np.lexsort((sids, points))
-        points, sids = points[order], sids[order]
+        points, sids, sizes = (np.frombuffer(b"".join(x.as_py() for x in table.column(c)), dtype=d) for c, d in (("points", np.uint64), ("sids", np.int64), ("sizes", np.int32)))
+        order = np.lexsort((sids, sizes, points))
+        points, sids, sizes = points[order], sids[order], sizes[order].astype(np.int64)
         fresh = np.ones(len(points), dtype=bool)
         fresh[1:] = (points[1:] != points[:-1]) | (sids[1:] != sids[:-1])
-        points, sids = points[fresh], sids[fresh]
-        starts = np.flatnonzero(np.concatenate([[True], points[1:] != points[:-1]]))
-        sizes = np.diff(np.concatenate([starts, [len(points)]]))
-        pivots, shared = np.repeat(sids[starts], sizes), np.repeat(sizes > 1, sizes)
-        pairs = np.unique(np.stack([pivots[shared], sids[shared]], axis=1), axis=0)
-        return pa.table({"pivot": pa.array(pairs[:, 0]), "sid": pa.array(pairs[:, 1])})
+        points, sids, sizes = points[fresh], sids[fresh], sizes[fresh]
+        # no set links with one so much larger: a gap in size divides the holders of a point
+        starts = np.flatnonzero(np.concatenate([[True], (points[1:] != points[:-1]) | (den * sizes[:-1] < num * sizes[1:])]))
+        held = np.diff(np.concatenate([starts, [len(points)]]))
+        pivots, shared = np.repeat(np.minimum.reduceat(sids, starts), held), np.repeat(held > 1, held)
+        rows = np.unique(np.stack([pivots[shared], sids[shared], sizes[shared]], axis=1), axis=0)
+        return pa.table({"pivot": pa.array(rows[:, 0]), "sid": pa.array(rows[:, 1]), "n": pa.array(rows[:, 2])})
 
-    posted = docs.select("text").mapInArrow(post, "range int, points binary, sids binary")
-    return posted.groupBy("range").applyInArrow(meet, "pivot long, sid long").distinct()
+    posted = docs.select("text").mapInArrow(post, "range int, points binary, sids binary, sizes binary")
+    return posted.groupBy("range").applyInArrow(meet, "pivot long, sid long, n long").distinct()
 
 
 def _needed_sets(docs: DataFrame, size: int, regions: DataFrame) -> DataFrame:
@@ -245,14 +293,34 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     tiers = spark.sparkContext.broadcast(_tiers(described))
     ranges = 1 << max(10, (total // 5_000_000).bit_length())
     regions = settle(_regions(docs, size, num, den, tiers, ranges), "regions")
-    sets = settle(_needed_sets(docs, size, regions), "sets")
-    edges = components(_links(regions, sets, num, den, block))
+    regions = settle(_sifted(regions, described, num, den, block), "regions")
+    edges = components(_links(regions, docs, size, num, den, block))
     return _classes(described.where("chunk is null").select("doc_id", "n", "sid"), edges)
 
 
-def _links(regions: DataFrame, sets: DataFrame, num: int, den: int, block: int) -> DataFrame:
-    parts = regions.groupBy("pivot").agg(F.ceil(F.count("*") / block).cast("long").alias("parts"))
-    members = regions.join(parts, "pivot")
+def _parts(block: int) -> F.Column:
+    """Parts of a region, so that none has many more than ``block`` members or a million shingles."""
+    return F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / 1_000_000)).cast("long")
+
+
+def _sifted(regions: DataFrame, described: DataFrame, num: int, den: int, block: int) -> DataFrame:
+    """Regions without the members that can link with no other of theirs; large ones stay as they are."""
+    counts = regions.groupBy("pivot").agg(_parts(block).alias("parts"))
+    members = regions.join(counts, "pivot")
+    sketches = described.where("n > 0").groupBy("sid").agg(F.first("sketch").alias("sketch"))
+
+    def sift(table: pa.Table) -> pa.Table:
+        signatures = [np.frombuffer(x.as_py(), dtype=np.uint64) for x in table.column("sketch")]
+        return table.filter(pa.array(_may_link(table.column("n").to_numpy(), signatures, num, den))).select(["pivot", "sid", "n"])
+
+    small = members.where("parts = 1").join(sketches, "sid").groupBy("pivot").applyInArrow(sift, "pivot long, sid long, n long")
+    return small.union(members.where("parts > 1").select("pivot", "sid", "n"))
+
+
+def _links(regions: DataFrame, docs: DataFrame, size: int, num: int, den: int, block: int) -> DataFrame:
+    sets = _needed_sets(docs, size, regions)
+    parts = regions.groupBy("pivot").agg(_parts(block).alias("parts"))
+    members = regions.join(parts, "pivot").drop("n")
     own = members.where("sid <> pivot").withColumn("part", F.pmod(F.xxhash64("sid", "pivot"), F.col("parts")))
     pivots = members.where("sid = pivot").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     dealt = own.unionByName(pivots).join(sets, "sid")
@@ -261,7 +329,7 @@ def _links(regions: DataFrame, sets: DataFrame, num: int, den: int, block: int)
         sids = table.column("sid").to_pylist()
         pivot = table.column("pivot")[0].as_py()
         own = [np.frombuffer(x.as_py(), dtype=np.uint64) for x in table.column("tokens")]
-        far = _distances(own[sids.index(pivot)], own)
+        far = _distances(own[sids.index(pivot)], own) if pivot in sids else None
         limit = 1 - num / den + 1e-9
         links = [(i, j) for i, j in join_region(own, num, den, far)]
         out = [(sids[i], sids[j], None, None) for i, j in links]
@@ -272,10 +340,11 @@ def _links(regions: DataFrame, sets: DataFrame, num: int, den: int, block: int)
 
     found = settle(dealt.groupBy("pivot", "part").applyInArrow(within, "a long, b long, far double, near boolean"), "links")
     links = found.where("far is null").select("a", "b")
-    return links.union(_across(found.where("far is not null").select(F.col("a").alias("pivot"), F.col("b").alias("sid"), "far", "near"), sets, num, den, block))
+    members = found.where("far is not null").select(F.col("a").alias("pivot"), F.col("b").alias("sid"), "far", "near")
+    return links.union(_across(members, docs, size, num, den, block)) if members.where("not near").limit(1).count() else links
 
 
-def _across(members: DataFrame, sets: DataFrame, num: int, den: int, block: int) -> DataFrame:
+def _across(members: DataFrame, docs: DataFrame, size: int, num: int, den: int, block: int) -> DataFrame:
     """Links between parts of a large region.
 
     Members within the threshold of the pivot are connected by it already. What is left are those
@@ -293,6 +362,8 @@ def _across(members: DataFrame, sets: DataFrame, num: int, den: int, block: int)
     placed = placed.withColumn("theirs", F.explode(F.sequence(F.lit(0).cast("long"), F.col("other_blocks") - 1)))
     mine, other = F.struct("shell", "own"), F.struct(F.col("other").alias("shell"), F.col("theirs").alias("own"))
     keyed = placed.select("pivot", "sid", "far", F.least(mine, other).alias("low"), F.greatest(mine, other).alias("high")).distinct()
+    keyed = settle(keyed, "blocks")
+    sets = _needed_sets(docs, size, keyed)
 
     def within(table: pa.Table) -> pa.Table:
         sids = table.column("sid").to_pylist()
