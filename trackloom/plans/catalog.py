@@ -5,24 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from trackloom.plans import aggregate_queries, choice_queries, geometry_queries, join_queries, quality_queries, raster_queries, scalar_queries, source_queries, stream_queries, window_queries  # noqa: F401
+from trackloom.plans.registry import ORACLES, QUERIES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running-speed summary per runner, fastest first."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    speed = F.col("value") / 50
-    running = events.select(F.col("user_id").alias("run_id"), speed.alias("speed"), "event_type").where(~F.col("event_type").isin("signup", "error") & (F.col("speed") >= 0.5))
-    return running.groupBy("run_id").agg(F.count("*").alias("n"), F.round(F.avg("speed"), 4).alias("mean"), F.round(F.stddev_pop("speed"), 4).alias("std")).orderBy(F.desc("mean"), "run_id")
+    return QUERIES["agg_08_running_speed"](spark, sf_dir).orderBy("mean", "run_id", ascending=[False, True])
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"flagship": flagship}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
-        "flagship": """
-            SELECT user_id AS run_id, count(*) AS n, round(avg(value / 50), 4) AS mean, round(stddev_pop(value / 50), 4) AS std
-            FROM events WHERE event_type NOT IN ('signup', 'error') AND value / 50 >= 0.5 GROUP BY user_id"""
-    }
+    return dict(ORACLES)
