@@ -122,17 +122,17 @@ def agg_12_availability(samples: DataFrame) -> DataFrame:
     return A.availability(days, O.gaps(days, "run_id", "d"), "run_id").select("run_id", r6("availability").alias("availability"))
 
 
-_FIT = ", g AS (SELECT od, count(*) AS n, var_pop(length_m) AS vx, var_pop(cost_equiv_m) AS vy, covar_pop(length_m, cost_equiv_m) AS c, avg(length_m) AS mx, avg(cost_equiv_m) AS my FROM candidates GROUP BY od)"
+_FIT = ", g AS (SELECT od, count(*) AS n, var_pop(length_m) AS vx, var_pop(sqrt(cost_equiv_m)) AS vy, covar_pop(length_m, sqrt(cost_equiv_m)) AS c, avg(length_m) AS mx, avg(sqrt(cost_equiv_m)) AS my FROM candidates GROUP BY od)"
 
 
 @query("candidates", _FIT + f" SELECT od, n, CASE WHEN n >= 3 AND vx > 1e-12 THEN {q4('c / vx')} END AS slope, CASE WHEN n >= 3 AND vx > 1e-12 THEN {q4('my - c / vx * mx')} END AS intercept, CASE WHEN n >= 3 AND vx > 1e-12 THEN CASE WHEN vy <= 1e-12 THEN 1.0 ELSE {q4('least(greatest(c * c / (vx * vy), 0), 1)')} END END AS r2 FROM g")
 def agg_13_linear_fit(candidates: DataFrame) -> DataFrame:
-    return A.linear_fit(candidates, ["od"], "length_m", "cost_equiv_m").select("od", "n", *[r4(c).alias(c) for c in ("slope", "intercept", "r2")])
+    return A.linear_fit(candidates.withColumn("root", F.sqrt("cost_equiv_m")), ["od"], "length_m", "root").select("od", "n", *[r4(c).alias(c) for c in ("slope", "intercept", "r2")])
 
 
 @query("candidates", _FIT + f" SELECT od, n, CASE WHEN n >= 2 THEN CASE WHEN vx <= 1e-12 THEN 0.0 ELSE {q4('c / vx')} END END AS slope, CASE WHEN n >= 2 THEN {q4('my - CASE WHEN vx <= 1e-12 THEN 0 ELSE c / vx END * mx')} END AS intercept, CASE WHEN n >= 2 THEN CASE WHEN vy <= 1e-12 OR vx <= 1e-12 THEN 0.0 ELSE {q4('least(greatest(c * c / (vx * vy), 0), 1)')} END END AS r2 FROM g")
 def agg_14_chart_fit(candidates: DataFrame) -> DataFrame:
-    return A.linear_fit(candidates, ["od"], "length_m", "cost_equiv_m", for_chart=True).select("od", "n", *[r4(c).alias(c) for c in ("slope", "intercept", "r2")])
+    return A.linear_fit(candidates.withColumn("root", F.sqrt("cost_equiv_m")), ["od"], "length_m", "root", for_chart=True).select("od", "n", *[r4(c).alias(c) for c in ("slope", "intercept", "r2")])
 
 
 @query("samples", f", m AS (SELECT run_id, avg(speed) AS v, count(*) / 60.0 AS cadence FROM samples GROUP BY run_id) SELECT {q6('regr_slope(v, cadence)')} AS slope, {q6('regr_r2(v, cadence)')} AS r2 FROM m")
