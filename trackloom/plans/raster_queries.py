@@ -1 +1,158 @@
-"""Queries."""
+"""Queries of the raster jobs."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from trackloom.operators import predicates as P
+from trackloom.operators import rasters as R
+from trackloom.plans.registry import q4, q6, query, r4, r6
+
+_NEIGHBOURS = """
+, n AS (SELECT c.*, w.value AS w, e.value AS e, s.value AS s, n.value AS n FROM cells c LEFT JOIN cells w ON w.cx = c.cx - 1 AND w.cy = c.cy LEFT JOIN cells e ON e.cx = c.cx + 1 AND e.cy = c.cy
+LEFT JOIN cells s ON s.cx = c.cx AND s.cy = c.cy - 1 LEFT JOIN cells n ON n.cx = c.cx AND n.cy = c.cy + 1),
+g AS (SELECT cy, cx, blocked, coalesce((e - w) / 2, e - value, value - w, 0) AS gx, coalesce((n - s) / 2, n - value, value - s, 0) AS gy FROM n)"""
+
+
+@query("cells", "SELECT cy, cx FROM cells WHERE cx // 16 BETWEEN 1 AND 2 AND cy // 16 BETWEEN 2 AND 5")
+def src_17_chunks_in_box(cells: DataFrame) -> DataFrame:
+    return R.chunks_in_box(cells, 16, 20, 40, 47, 90).select("cy", "cx")
+
+
+@query("cells", f"""
+, l1 AS (SELECT cx // 2 AS cx, cy // 2 AS cy, sum(value) / 4 AS value FROM cells GROUP BY ALL), l2 AS (SELECT cx // 2 AS cx, cy // 2 AS cy, sum(value) / 4 AS value FROM l1 GROUP BY ALL)
+SELECT 1 AS level, CAST(cx AS BIGINT) AS cx, cy, {q6('value')} AS value FROM l1 UNION ALL SELECT 2, cx, cy, {q6('value')} FROM l2""")
+def agg_27_pyramid(cells: DataFrame) -> DataFrame:
+    return R.pyramid(cells, 2).where("level > 0").select("level", F.col("cx").cast("long").alias("cx"), "cy", r6("value").alias("value"))
+
+
+@query("cells", f"""
+, b AS (SELECT k, cx >> k AS nx, cy >> k AS ny, avg(value) AS mean, max(value) AS top FROM cells, (SELECT unnest([0, 1, 2, 3]) AS k) GROUP BY ALL), ok AS (SELECT * FROM b WHERE k = 0 OR top - mean <= 0.12)
+SELECT 16 - o.k AS depth, CAST(o.nx AS BIGINT) AS nx, o.ny, {q6('o.top')} AS top FROM ok o WHERE NOT EXISTS (SELECT 1 FROM ok u WHERE u.k > o.k AND (o.nx >> (u.k - o.k)) = u.nx AND (o.ny >> (u.k - o.k)) = u.ny)""")
+def agg_28_quadtree(cells: DataFrame) -> DataFrame:
+    return R.quadtree(cells, 3, 0.12).select("depth", F.col("nx").cast("long").alias("nx"), "ny", r6("top").alias("top"))
+
+
+@query("cells", """
+, b AS (SELECT k, cx >> k AS nx, cy >> k AS ny, avg(value) AS mean, max(value) AS top FROM cells, (SELECT unnest([0, 1, 2, 3]) AS k) GROUP BY ALL), ok AS (SELECT * FROM b WHERE k = 0 OR top - mean <= 0.12)
+SELECT CAST(cx AS BIGINT) AS cx, cy, CAST(16 - max(k) AS INTEGER) AS depth FROM cells JOIN ok ON (cx >> k) = nx AND (cy >> k) = ny GROUP BY cx, cy""")
+def jon_23_covering_node(cells: DataFrame) -> DataFrame:
+    return R.covering_node(cells.select("cx", "cy"), R.quadtree(cells, 3, 0.12), 3).select(F.col("cx").cast("long").alias("cx"), "cy", "depth")
+
+
+@query("cells", f"SELECT {q6('min(value) FILTER (NOT blocked)')} AS low, {q6('max(value) FILTER (NOT blocked)')} AS high, {q6('avg(value) FILTER (NOT blocked)')} AS mean FROM cells")
+def agg_29_cost_bounds(cells: DataFrame) -> DataFrame:
+    cost = cells.withColumn("cost", F.when(F.col("blocked"), math.inf).otherwise(F.col("value")))
+    return R.cost_bounds(cost, "cost").select(r6("low").alias("low"), r6("high").alias("high"), r6("mean").alias("mean"))
+
+
+@query(("track", "cells"), f", p AS (SELECT * FROM track WHERE path_id % 20 = 0), v AS (SELECT path_id, seq, count(c.value) AS n, var_pop(c.value) AS v FROM p LEFT JOIN cells c ON NOT c.blocked AND abs(c.cx - CAST(floor(x) AS BIGINT)) <= 3 AND abs(c.cy - CAST(floor(y) AS BIGINT)) <= 3 GROUP BY path_id, seq) SELECT path_id, seq, CASE WHEN n >= 4 THEN {q6('v')} END AS variance FROM v")
+def agg_33_local_variance(track: DataFrame, cells: DataFrame) -> DataFrame:
+    got = R.local_variance(track.where("path_id % 20 = 0"), cells, ["path_id", "seq"])
+    return got.select("path_id", "seq", r6(F.when(F.col("variance") < math.inf, F.col("variance"))).alias("variance"))
+
+
+@query("cells")
+def agg_37_fingerprint(cells: DataFrame) -> DataFrame:
+    return R.layer_fingerprint(cells, 16)
+
+
+@query("cells", f"SELECT c.cy, CAST(c.cx AS BIGINT) AS cx, {q6('max(o.value)')} AS value FROM cells c JOIN cells o ON pow(o.cx - c.cx, 2) + pow(o.cy - c.cy, 2) <= 4 AND o.cx BETWEEN c.cx - 2 AND c.cx + 2 AND o.cy BETWEEN c.cy - 2 AND c.cy + 2 GROUP BY c.cy, c.cx")
+def grp_14_dilate(cells: DataFrame) -> DataFrame:
+    return R.dilated(cells, 2).select("cy", F.col("cx").cast("long").alias("cx"), r6("value").alias("value"))
+
+
+@query("cells")
+def grp_15_inpaint(cells: DataFrame) -> DataFrame:
+    holes = cells.where("cy < 64").select("cx", "cy", F.when(~F.col("blocked"), F.col("value")).alias("value"))
+    return R.inpainted(holes).select("cx", "cy", r6("value").alias("value"))
+
+
+@query(("track", "cells"), f"""
+, p AS (SELECT path_id, seq, x - 0.5 AS u, y - 0.5 AS v FROM track), k AS (SELECT *, CAST(floor(u) AS BIGINT) AS i, CAST(floor(v) AS BIGINT) AS j FROM p)
+SELECT path_id, seq, {q6('(1 - (u - i)) * (1 - (v - j)) * a.value + (u - i) * (1 - (v - j)) * b.value + (1 - (u - i)) * (v - j) * c.value + (u - i) * (v - j) * d.value')} AS value
+FROM k LEFT JOIN cells a ON a.cx = i AND a.cy = j LEFT JOIN cells b ON b.cx = i + 1 AND b.cy = j LEFT JOIN cells c ON c.cx = i AND c.cy = j + 1 LEFT JOIN cells d ON d.cx = i + 1 AND d.cy = j + 1""")
+def grp_16_bilinear(track: DataFrame, cells: DataFrame) -> DataFrame:
+    return R.bilinear(track, cells, ["path_id", "seq"]).select("path_id", "seq", r6("value").alias("value"))
+
+
+@query("cells", _NEIGHBOURS + f" SELECT cy, CAST(cx AS BIGINT) AS cx, {q6('gx')} AS gx, {q6('gy')} AS gy, {q6('sqrt(gx * gx + gy * gy)')} AS slope FROM g")
+def grp_17_gradient(cells: DataFrame) -> DataFrame:
+    return R.gradients(cells).select("cy", F.col("cx").cast("long").alias("cx"), r6("gx").alias("gx"), r6("gy").alias("gy"), r6("slope").alias("slope"))
+
+
+@query("cells", f"SELECT c.cy, CAST(c.cx AS BIGINT) AS cx, {q6('min(sqrt(pow(b.cx - c.cx, 2) + pow(b.cy - c.cy, 2)))')} AS distance FROM cells c JOIN cells b ON b.blocked AND b.cx BETWEEN c.cx - 12 AND c.cx + 12 AND b.cy BETWEEN c.cy - 12 AND c.cy + 12 AND pow(b.cx - c.cx, 2) + pow(b.cy - c.cy, 2) <= 144 GROUP BY c.cy, c.cx")
+def grp_18_distance_field(cells: DataFrame) -> DataFrame:
+    return R.distance_field(cells, reach=12).where("distance is not null").select("cy", F.col("cx").cast("long").alias("cx"), r6("distance").alias("distance"))
+
+
+@query("cells", _NEIGHBOURS + f" SELECT cy, CAST(cx AS BIGINT) AS cx, CASE WHEN NOT blocked AND sqrt(gx * gx + gy * gy) > 1e-9 THEN (CAST(round(atan2(gy, gx) / {2 * math.pi!r} * 16) AS BIGINT) + 16) % 16 END AS sector FROM g")
+def grp_19_sectors(cells: DataFrame) -> DataFrame:
+    return R.gradient_sectors(cells).select("cy", F.col("cx").cast("long").alias("cx"), "sector")
+
+
+@query("cells", f"SELECT cy, cx, {q6('greatest((1 + 0.7 * value + 0.2 * (cx % 5)) * 1.5, 0.8, 0.001)')} AS cost FROM cells WHERE NOT blocked")
+def grp_20_cost_field(cells: DataFrame) -> DataFrame:
+    features = cells.withColumn("crowding", (F.col("cx") % 5).cast("double"))
+    got = R.cost_field(features, {"value": 0.7, "crowding": 0.2}, 1.0, 1.5, F.lit(0.8))
+    return got.where(F.col("cost") < math.inf).select("cy", "cx", r6("cost").alias("cost"))
+
+
+@query("cells", f", w AS (SELECT * FROM (VALUES (0, 0, 0.5), (0, 1, 0.2), (1, 0, 0.1), (1, 1, 0.9)) w(mode, dim, weight)) SELECT cy, mode, {q6('1 + sum(value * weight)')} AS cost FROM cells JOIN w ON cx % 2 = dim GROUP BY cy, mode")
+def grp_21_cost_batch(cells: DataFrame) -> DataFrame:
+    weights = cells.sparkSession.createDataFrame([(0, 0, 0.5), (0, 1, 0.2), (1, 0, 0.1), (1, 1, 0.9)], "mode int, dim int, weight double")
+    return R.cost_fields(cells.withColumn("dim", F.col("cx") % 2), weights, ["cy"], 1.0).select("cy", "mode", r6("cost").alias("cost"))
+
+
+@query("cells", f"SELECT cy, cx, {q6(f'CASE WHEN cx % 3 > 0 THEN 1 + 0.4 * (1 + 100 / 255.0 * (1 - cos(cx * 4 / 256.0 * {2 * math.pi!r} - atan2(1.0, 2.0)))) ELSE 1 END')} AS cost FROM cells")
+def grp_22_heading_cost(cells: DataFrame) -> DataFrame:
+    packed = F.when(F.col("cx") % 3 > 0, F.col("cx") * 4 * 256 + 100).otherwise(0)
+    return cells.select("cy", "cx", r6(R.heading_cost(F.lit(1.0), packed, F.lit(2.0), F.lit(1.0), 0.4)).alias("cost"))
+
+
+@query(("track", "cells"))
+def grp_23_segment_cost(track: DataFrame, cells: DataFrame) -> DataFrame:
+    legs = track.where("x < 63 and y < 95").select("path_id", "seq", F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + 0.8).alias("x1"), (F.col("y") + 0.3).alias("y1"))
+    return R.segment_costs(legs, cells.withColumn("value", F.abs("value")), ["path_id", "seq"]).select("path_id", "seq", r6("cost").alias("cost"))
+
+
+@query("polys", """
+, c AS (SELECT region_id, triangle, x0, y0, side, unnest(range(CAST(x0 AS BIGINT), CAST(x0 + side AS BIGINT))) AS cx FROM polys), d AS (SELECT *, unnest(range(CAST(y0 AS BIGINT), CAST(y0 + side AS BIGINT))) AS cy FROM c)
+SELECT region_id, count(*) AS cells FROM d WHERE (triangle = 0) OR (cx - x0) + (cy - y0) < side - 0.5 GROUP BY region_id""")
+def grp_11_filled_cells(polys: DataFrame) -> DataFrame:
+    """Cells whose centre lies inside; those that only an edge enters are left to the tests."""
+    corners = polys.select("region_id", F.posexplode(P.poly_ring()).alias("seq", "c")).select("region_id", "seq", "c.x", "c.y")
+    got = R.filled_cells(corners, "region_id").join(polys, "region_id")
+    u, v = F.col("cx") - F.col("x0"), F.col("cy") - F.col("y0")
+    inside = u.between(0, F.col("side") - 1) & v.between(0, F.col("side") - 1) & ((F.col("triangle") == 0) | (u + v < F.col("side") - 0.5))
+    return got.where(inside).groupBy("region_id").agg(F.count("*").alias("cells"))
+
+
+@query("polys", f"""
+, s AS (SELECT CAST(x0 AS BIGINT) // 10 AS cx, CAST(y0 AS BIGINT) // 10 AS cy, region_id % 4 AS pass, region_id AS rank, p_loss AS value, CASE WHEN triangle = 1 THEN 'set' ELSE 'max' END AS rule FROM polys),
+r AS (SELECT cx, cy, max((pass, rank)) AS o, arg_max(value, (pass, rank)) AS v FROM s WHERE rule = 'set' GROUP BY cx, cy),
+m AS (SELECT s.cx, s.cy, max(s.value) FILTER (s.rule = 'max' AND (r.o IS NULL OR (s.pass, s.rank) > r.o)) AS m, any_value(r.v) AS v FROM s LEFT JOIN r USING (cx, cy) GROUP BY s.cx, s.cy)
+SELECT cx, cy, {q6('coalesce(greatest(v, m), v, m)')} AS value FROM m""")
+def grp_12_painted(polys: DataFrame) -> DataFrame:
+    strokes = polys.select(F.floor(F.col("x0") / 10).alias("cx"), F.floor(F.col("y0") / 10).alias("cy"), (F.col("region_id") % 4).alias("pass"), F.col("region_id").alias("rank"), F.col("p_loss").alias("value"), F.when(F.col("triangle") == 1, "set").otherwise("max").alias("rule"))
+    return R.painted(strokes).select("cx", "cy", r6("value").alias("value"))
+
+
+@query("track", f"""
+, w AS (SELECT path_id * 1000 + seq AS seq, x AS x0, y AS y0, x + 3 AS x1, y + 1.5 AS y1, 1.2 AS half, seq % 9 AS surface, z / 10 AS traffic FROM track WHERE seq % 11 = 0),
+c AS (SELECT *, unnest(range(CAST(floor(x0 - half) AS BIGINT), CAST(floor(x1 + half) AS BIGINT) + 1)) AS cx FROM w), d AS (SELECT *, unnest(range(CAST(floor(y0 - half) AS BIGINT), CAST(floor(y1 + half) AS BIGINT) + 1)) AS cy FROM c),
+t AS (SELECT *, least(greatest(((cx + 0.5 - x0) * 3 + (cy + 0.5 - y0) * 1.5) / 11.25, 0), 1) AS t FROM d),
+n AS (SELECT * FROM t WHERE sqrt(pow(cx + 0.5 - x0 - t * (x1 - x0), 2) + pow(cy + 0.5 - y0 - t * (y1 - y0), 2)) <= half)
+SELECT cx, cy, arg_max(surface, (traffic, seq)) AS surface, {q6('max(traffic)')} AS traffic FROM n GROUP BY cx, cy""")
+def grp_13_painted_ways(track: DataFrame) -> DataFrame:
+    ways = track.where("seq % 11 = 0").select((F.col("path_id") * 1000 + F.col("seq")).alias("seq"), F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + 3).alias("x1"), (F.col("y") + 1.5).alias("y1"), F.lit(1.2).alias("half"), (F.col("seq") % 9).alias("surface"), (F.col("z") / 10).alias("traffic"), F.lit(0.0).alias("crowding"), F.lit(0.0).alias("lighting"))
+    return R.painted_ways(ways).select("cx", "cy", "surface", r6("traffic").alias("traffic"))
+
+
+@query(("cells", "polys"), f", b AS (SELECT CAST(x0 AS BIGINT) AS cx, CAST(y0 AS BIGINT) AS cy, max(p_loss) AS h FROM polys GROUP BY ALL) SELECT cy, CAST(cx AS BIGINT) AS cx, {q6('value + coalesce(h, 0)')} AS value FROM cells LEFT JOIN b USING (cx, cy)")
+def grp_28_raised(cells: DataFrame, polys: DataFrame) -> DataFrame:
+    buildings = polys.select(F.col("x0").cast("long").alias("cx"), F.col("y0").cast("long").alias("cy"), F.col("p_loss").alias("height"))
+    return R.raised(cells.withColumn("cx", F.col("cx").cast("long")), buildings).select("cy", "cx", r6("value").alias("value"))
