@@ -1 +1 @@
-
+"""Readers, sinks, schemas and views."""
