@@ -70,11 +70,12 @@ def agg_39_heading(signal: DataFrame) -> DataFrame:
 
 
 @query("samples", f"""
-, t AS (SELECT run_id, time_s, speed FROM samples WHERE event_id % 2 = 0), q AS (SELECT run_id, time_s, event_id, speed FROM samples WHERE event_id % 3 = 0),
+, t AS (SELECT run_id, time_s, ln(1 + speed) AS speed FROM samples WHERE event_id % 2 = 0), q AS (SELECT run_id, time_s, event_id, ln(1 + speed) AS speed FROM samples WHERE event_id % 3 = 0),
 f AS (SELECT q.event_id, arg_min(t.speed, t.time_s) AS s FROM q JOIN t ON t.run_id = q.run_id AND t.time_s >= q.time_s GROUP BY q.event_id), z AS (SELECT run_id, arg_max(speed, time_s) AS s FROM t GROUP BY run_id),
 e AS (SELECT q.run_id, q.speed - coalesce(f.s, z.s) AS e FROM q LEFT JOIN f USING (event_id) LEFT JOIN z USING (run_id))
 SELECT run_id, {q4('avg(e)')} AS bias, {q4('sqrt(avg(e * e))')} AS rms FROM e GROUP BY run_id""")
 def agg_40_barometer_error(samples: DataFrame) -> DataFrame:
+    samples = samples.withColumn("speed", F.log1p("speed"))
     truth = samples.where("event_id % 2 = 0").select("run_id", "time_s", F.col("speed").alias("true"))
     got = L.barometer_error(samples.where("event_id % 3 = 0").select("run_id", "time_s", "speed"), truth, "run_id", "time_s", "speed", "true")
     return got.select("run_id", r4("bias").alias("bias"), r4("rms").alias("rms"))
