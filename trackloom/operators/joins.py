@@ -124,9 +124,9 @@ def at_arc(vertices: DataFrame, targets: DataFrame, path: str = "path_id") -> Da
 
 
 def projected(points: DataFrame, vertices: DataFrame, keys: list[str], path: str = "path_id") -> DataFrame:
-    """JON-14: arc of the path's vertex nearest each point, and that distance; the earliest on ties."""
+    """JON-14: arc of the path's vertex nearest each point, and that distance; the earliest of those equal to a nanometre."""
     v = vertices.select(path, "seq", F.col("arc").alias("_arc"), F.col("x").alias("_vx"), F.col("y").alias("_vy"))
-    met = points.join(v, path).withColumn("distance", F.hypot(F.col("x") - F.col("_vx"), F.col("y") - F.col("_vy")))
+    met = points.join(v, path).withColumn("distance", F.round(F.hypot(F.col("x") - F.col("_vx"), F.col("y") - F.col("_vy")), 9))
     return met.groupBy(*keys).agg(F.min(F.struct("distance", "seq", F.col("_arc").alias("arc"))).alias("_m")).select(*keys, "_m.distance", "_m.arc")
 
 

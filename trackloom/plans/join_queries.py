@@ -102,7 +102,7 @@ def jon_13_position_at_arc(track: DataFrame) -> DataFrame:
     return J.at_arc(O.arc_lengths(track), targets).select("path_id", "k", r6("x").alias("x"))
 
 
-@query("track", _ARC + f", m AS (SELECT q.path_id, q.k, min((sqrt(pow(v.x - q.k * 10, 2) + pow(v.y - q.k * 10, 2)), v.seq, v.arc)) AS m FROM v JOIN (SELECT DISTINCT path_id, unnest(range(0, 10)) AS k FROM track) q USING (path_id) GROUP BY q.path_id, q.k) SELECT path_id, k, {q6('m[1]')} AS distance, {q4('m[3]')} AS arc FROM m")
+@query("track", _ARC + f", m AS (SELECT q.path_id, q.k, min((round(sqrt(pow(v.x - q.k * 10, 2) + pow(v.y - q.k * 10, 2)), 9), v.seq, v.arc)) AS m FROM v JOIN (SELECT DISTINCT path_id, unnest(range(0, 10)) AS k FROM track) q USING (path_id) GROUP BY q.path_id, q.k) SELECT path_id, k, {q6('m[1]')} AS distance, {q4('m[3]')} AS arc FROM m")
 def jon_14_project_to_path(track: DataFrame) -> DataFrame:
     points = track.select("path_id").distinct().withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(9).cast("long")))).withColumns({"x": F.col("k") * 10.0, "y": F.col("k") * 10.0})
     return J.projected(points, O.arc_lengths(track), ["path_id", "k"]).select("path_id", "k", r6("distance").alias("distance"), r4("arc").alias("arc"))
