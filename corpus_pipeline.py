@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackloom.llm.decontamination import find_phrases
@@ -13,10 +13,20 @@ from trackloom.llm.pii import find_personal_data, train_field
 from trackloom.llm.quality import score_quality, train_quality
 
 
+def _wrapped(docs: DataFrame) -> DataFrame:
+    """doc_id and text beside all columns as one, so that no column of an operator replaces one of the documents."""
+    return docs.select("doc_id", "text", F.struct(*[c for c in docs.columns if c != "text"], F.lit(0).alias("_")).alias("_document"))
+
+
+def _unwrapped(found: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
+    """The documents' columns again, some of them changed."""
+    return found.select(*[(changed[c] if c in changed else F.col("text") if c == "text" else F.col(f"_document.`{c}`")).alias(c) for c in columns])
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the pairwise ranking does not reject."""
     ranking = train_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score_quality(docs, ranking).where("predicted = 1").select(docs.columns)
+    return _unwrapped(score_quality(_wrapped(docs), ranking).where("predicted = 1"), docs.columns)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,15 +46,17 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no more than a trace of a benchmark item."""
-    found = find_phrases(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.where("not contaminated").select(docs.columns)
+    found = find_phrases(_wrapped(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _unwrapped(found.where("not contaminated"), docs.columns)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data replaced by its kind; n_chars follows the text."""
-    found = find_personal_data(docs, train_field(docs))
-    text = F.col("masked")
-    return found.withColumn("n_chars", F.when(text.eqNullSafe(F.col("text")), F.col("n_chars")).otherwise(F.char_length(text).cast("long"))).withColumn("text", text).select(docs.columns)
+    """Documents with personal data replaced by its kind; n_chars follows a text that changes."""
+    found = find_personal_data(_wrapped(docs), train_field(docs))
+    changed = {"text": F.col("masked")}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(F.col("masked").eqNullSafe(F.col("text")), F.col("_document.n_chars")).otherwise(F.char_length("masked").cast(docs.schema["n_chars"].dataType))
+    return _unwrapped(found, docs.columns, **changed)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -122,7 +122,7 @@ def test_phrases_by_brute_force(spark, shard, chars):
 def test_article_without_its_surroundings():
     html = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style></head><body><header>top</header><nav><p>menu</p></nav>
     <div class="cookie notice">we use</div><main><div class="post-12"><h1>A &amp; B&nbsp;C</h1><p>one<br>two <b>three</b><p>four
-    <script>var x = "</p>";</script> five<ul><li>six<li>seven</ul><div class="ads">buy</div><form>f<input></form><section id="comments"><p>nice</p></section></div></main>
+    <script>var x = "</p>";</script> five<ul><li>six<li>seven</ul><div class="ads">buy</div><form>f<input></form><section id="comments"><p>nice</p></section><article class="comment c-1"><p>me too</p></article></div></main>
     <aside>side</aside><footer>foot</footer><!-- gone --></body></html>"""
     assert text_below(parse(html), None) == "A & B C\n\none two three\n\nfour five\n\nsix\n\nseven"
     assert text_below(parse("<p>a &lt;b&gt; &#233;<div>c"), None) == "a <b> é\n\nc"

@@ -51,8 +51,12 @@ def test_stages_take_effect(spark, tmp_path):
 def test_stages_of_odd_documents(spark):
     rows = [(None, None, None, None, None), (1, "", "en", "s", 0), (2, "plain words go here and there", "en", "s", 29), (2, "plain words go here and there", "en", "s", 29)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    for _, stage in corpus_pipeline.STAGES[1:4]:
+    docs = docs.withColumns({c: F.lit("mine") for c in ("score", "predicted", "spans", "items", "n_words", "component_id", "masked", "found", "row")})
+    columns = docs.columns
+    for _, stage in corpus_pipeline.STAGES[:4]:
         docs = stage(spark, docs, SF)
+        assert docs.columns == columns
+    assert all(r.score == r.spans == r.masked == r.row == "mine" for r in docs.collect())
     assert sorted(r.doc_id or 0 for r in docs.collect()) == [0, 1, 2]
     assert corpus_pipeline.STAGES[4][1](spark, docs, SF).agg(F.count_distinct("sequence_id")).first()[0] == 1
     empty = docs.limit(0)

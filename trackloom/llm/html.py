@@ -25,9 +25,11 @@ _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _DROPPED = frozenset("head nav header footer aside form menu dialog button select option input label object svg math canvas audio video map search".split()) | _RAW
 #: Words in a class, id or role that mark what surrounds an article.
 _AROUND = re.compile(
-    r"(?i)(?:^|[^a-z])(?:nav|navbar|navigation|menu|breadcrumbs?|header|masthead|footer|sidebar|side|aside|banner|ads?|adverts?|advertisement|sponsor(?:ed)?|promo|cookies?|consent|gdpr|notice|"
-    r"popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommend(?:ed|ations)?|widget|pagination|pager|toolbar|comments?|replies|respond|disqus|complementary|contentinfo|hidden)(?:$|[^a-z])"
+    r"(?i)(?:^|[^a-z])(?:(?:top|main|sub|side)?nav(?:bar|list|igation)?|(?:side|top|main)?menu|breadcrumbs?|header|masthead|footer|side-?bar|side|aside|banner|ads?|advert(?:s|isements?|ising)?|sponsor(?:ed)?|promo(?:tion)?|cookies?|consent|gdpr|notices?|alert|"
+    r"popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommend(?:ed|ations)?|widget|pagination|pager|toolbar|comment(?:s|list|section|thread)?|discussion|replies|reply|respond|disqus|complementary|contentinfo|hidden)(?:$|[^a-z])"
 )
+#: The same for article elements, which threads of comments use too.
+_NO_ARTICLE = re.compile(r"(?i)(?:^|[^a-z])(?:comments?|reply|replies|teaser|related|promo|advert|ad)(?:$|[^a-z])")
 _CLOSES_P = _BLOCKS - {"body", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "option", "optgroup", "legend"}
 _SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _STOPS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
@@ -54,7 +56,8 @@ def _named(tag: str, attributes: str) -> tuple[str, bool]:
     classes = sorted({re.sub(r"\d+", "N", c) for c in values.get("class", "").split()})
     names = " ".join((values.get("class", ""), values.get("id", ""), values.get("role", "")))
     hidden = "hidden" in values or re.search(r"display\s*:\s*none", values.get("style", "")) is not None
-    return ".".join([tag, *classes]), hidden or (tag not in ("body", "html", "article", "main") and _AROUND.search(names) is not None)
+    marks = _NO_ARTICLE if tag in ("article", "main") else _AROUND
+    return ".".join([tag, *classes]), hidden or (tag not in ("body", "html") and marks.search(names) is not None)
 
 
 def parse(html: str | None) -> list[tuple[_Node, str, bool]]:
