@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import tempfile
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -79,19 +80,23 @@ def dilated(cells: DataFrame, radius: int) -> DataFrame:
 def inpainted(cells: DataFrame, rounds: int = 64) -> DataFrame:
     """GRP-15: cells without a value take the mean of their valid neighbours, ring by ring until nothing changes; what is never reached becomes 0.
 
-    Each round touches only the cells that are still empty; every eighth is checkpointed where the session has a folder for it.
+    Each round touches only the cells that are still empty, and is checkpointed, since the next one
+    uses its rows twice.
     """
+    context = cells.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(cells.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="trackloom-"))
     around = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if dx or dy])
     known, empty = cells.where("value is not null").select("cx", "cy", "value"), cells.where("value is null").select("cx", "cy")
-    checkpoints = cells.sparkSession.conf.get("spark.checkpoint.dir", None)
-    for k in range(rounds):
-        spread = empty.select("cx", "cy", F.explode(around).alias("_o")).select(F.col("cx").alias("_x"), F.col("cy").alias("_y"), (F.col("cx") + F.col("_o.dx")).alias("cx"), (F.col("cy") + F.col("_o.dy")).alias("cy"))
-        filled = spread.join(known, ["cx", "cy"]).groupBy(F.col("_x").alias("cx"), F.col("_y").alias("cy")).agg(F.avg("value").alias("value"))
-        if checkpoints and k % 8 == 7:
-            filled = filled.checkpoint()
-        if filled.limit(1).count() == 0:
+    front = known
+    for _ in range(rounds):
+        reached = front.select("cx", "cy", F.explode(around).alias("_o")).select((F.col("cx") + F.col("_o.dx")).alias("cx"), (F.col("cy") + F.col("_o.dy")).alias("cy")).distinct()
+        ring = empty.join(reached, ["cx", "cy"], "left_semi")
+        spread = ring.select("cx", "cy", F.explode(around).alias("_o")).select(F.col("cx").alias("_x"), F.col("cy").alias("_y"), (F.col("cx") + F.col("_o.dx")).alias("cx"), (F.col("cy") + F.col("_o.dy")).alias("cy"))
+        front = spread.join(known, ["cx", "cy"]).groupBy(F.col("_x").alias("cx"), F.col("_y").alias("cy")).agg(F.avg("value").alias("value")).checkpoint()
+        if front.limit(1).count() == 0:
             break
-        known, empty = known.unionByName(filled), empty.join(filled, ["cx", "cy"], "left_anti")
+        known, empty = known.unionByName(front), empty.join(front, ["cx", "cy"], "left_anti").checkpoint()
     return known.unionByName(empty.withColumn("value", F.lit(0.0)))
 
 
