@@ -38,8 +38,8 @@ def r4(x) -> Column:
 
 
 def q6(x: str) -> str:
-    return f"(round({x}, 6) + 0.0)"
+    return f"(CAST(round({x}, 6) AS DOUBLE) + 0.0)"
 
 
 def q4(x: str) -> str:
-    return f"(round({x}, 4) + 0.0)"
+    return f"(CAST(round({x}, 4) AS DOUBLE) + 0.0)"
