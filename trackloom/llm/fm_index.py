@@ -71,14 +71,16 @@ class FMIndex:
     def search(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Suffix ranges [low, high) of each row of ``patterns``, all searched backwards at once."""
         low, high = np.zeros(len(patterns), dtype=np.int64), np.full(len(patterns), self.n, dtype=np.int64)
-        live = np.arange(len(patterns))
+        inside = (patterns < len(self.before)).all(axis=1)  # a symbol above the text's alphabet occurs nowhere
+        high[~inside] = 0
+        live = np.flatnonzero(inside)
         for j in range(patterns.shape[1] - 1, -1, -1):
+            if not len(live):
+                break
             symbols = patterns[live, j]
             both = self._step(np.concatenate([symbols, symbols]), np.concatenate([low[live], high[live]]))
             low[live], high[live] = np.split(both, 2)
             live = live[low[live] < high[live]]
-            if not len(live):
-                break
         return low, np.maximum(low, high)
 
     def locate(self, rows: np.ndarray) -> np.ndarray:
