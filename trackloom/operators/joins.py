@@ -97,6 +97,22 @@ def nearest_node(points: DataFrame, nodes: DataFrame, keys: list[str], reach: fl
     return met.groupBy(*keys).agg(F.min(F.struct("distance", "node")).alias("_m")).select(*keys, "_m.*")
 
 
+def counted_within(asked: DataFrame, library: DataFrame, keys: list[str], group: str, value: str, tolerance: int) -> DataFrame:
+    """JON-15: asked rows (keys) with ``hits``: rows of the library with the same group whose whole-number ``value`` is within ``tolerance``; rows without any are left out.
+
+    Counts up to both ends of the tolerance are read off one running count, so no pair is formed.
+    A bucket holds the library's rows of itself and both neighbours.
+    """
+    size = tolerance + 1
+    bucket = F.floor(F.col(value) / size)
+    near = library.select(group, F.col(value).alias("_v"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("_b"), F.lit(1).alias("_n"))
+    ends = F.array(F.struct((F.col(value) + tolerance).alias("v"), F.lit(1).alias("s")), F.struct((F.col(value) - tolerance - 1).alias("v"), F.lit(-1).alias("s")))
+    probes = asked.select(group, bucket.alias("_b"), F.struct(*keys).alias("_k"), F.explode(ends).alias("_e")).select(group, "_b", "_k", F.col("_e.v").alias("_v"), F.col("_e.s").alias("_s"), F.lit(0).alias("_n"))
+    w = W.partitionBy(group, "_b").orderBy("_v").rangeBetween(W.unboundedPreceding, W.currentRow)
+    rows = near.unionByName(probes, allowMissingColumns=True).withColumn("_c", F.sum("_n").over(w)).where("_s is not null")
+    return rows.groupBy("_k").agg(F.sum(F.col("_c") * F.col("_s")).alias("hits")).where("hits > 0").select("_k.*", "hits")
+
+
 def touching_boxes(boxes: DataFrame, key: str, size: float, slack: float = 1e-6) -> DataFrame:
     """JON-12: (a, b), a < b, of boxes that touch or overlap; each pair once, in the bucket of its overlap's lower corner."""
     spread = boxes.withColumn("_bx", F.explode(_buckets(F.col("x_lo") - slack, F.col("x_hi") + slack, size))).withColumn("_by", F.explode(_buckets(F.col("y_lo") - slack, F.col("y_hi") + slack, size)))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.operators import choice as C
+from trackloom.plans import whole_queries
 from trackloom.plans.registry import q6, query, r6
 
 _ROUTES = ", r AS (SELECT path_id % 20 AS od, path_id AS route, seq, floor(x / 25) * 25 AS x, floor(y / 25) * 25 AS y FROM track WHERE seq < 30)"
@@ -47,7 +48,7 @@ def grp_26_overlap(track: DataFrame) -> DataFrame:
 
 @query("track")
 def grp_27_distinct_routes(track: DataFrame) -> DataFrame:
-    routes = _routes(track)
+    routes = whole_queries.routes(track)
     return C.distinct_routes(routes, C.overlaps(routes, "od", "route"), "od", "route", 0.05, 5)
 
 

@@ -1,0 +1,118 @@
+"""Queries over every row of their views, beside those whose oracle SQL covers a subset.
+
+They have no oracle: DuckDB would compare all pairs. The operators are those of the queries named
+like them, and the tests hold them against plain Python.
+"""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from trackloom.operators import choice as C
+from trackloom.operators import geometry as G
+from trackloom.operators import joins as J
+from trackloom.operators import links as L
+from trackloom.operators import rasters as R
+from trackloom.operators import signal as S
+from trackloom.plans.registry import query, r4, r6
+
+_POINT = ["path_id", "seq"]
+
+
+def _keyed(track: DataFrame) -> DataFrame:
+    return track.select(F.struct(*_POINT).alias("k"), "x", "y")
+
+
+def routes(track: DataFrame) -> DataFrame:
+    """All paths as routes on a 25-unit grid; twenty paths a group, so that groups grow in number with the data."""
+    return track.select(F.floor(F.col("path_id") / 20).alias("od"), F.col("path_id").alias("route"), "seq", (F.floor(F.col("x") / 25) * 25.0).alias("x"), (F.floor(F.col("y") / 25) * 25.0).alias("y"))
+
+
+@query(("track", "cells"))
+def jon_07_feasibility_whole(track: DataFrame, cells: DataFrame) -> DataFrame:
+    return L.feasibility(track, cells, _POINT, 70, 200, 1.0).select(*_POINT, "reason")
+
+
+@query(("track", "cells"))
+def jon_08_clearance_whole(track: DataFrame, cells: DataFrame) -> DataFrame:
+    return J.distance_to_blocked(track, cells, _POINT, 1.0, 3.0).select(*_POINT, r6("clearance").alias("clearance"))
+
+
+@query(("track", "cells"))
+def jon_09_nearest_free_whole(track: DataFrame, cells: DataFrame) -> DataFrame:
+    return J.nearest_free(track, cells, _POINT, 1.0, 3.0).select(*_POINT, r6("distance").alias("distance"), "cy", "cx")
+
+
+@query("track")
+def jon_10_nearest_node_whole(track: DataFrame) -> DataFrame:
+    """Every seventh point is a node, all others ask."""
+    nodes = track.where("seq % 7 = 0").select(F.struct(*_POINT).alias("node"), F.col("x").alias("nx"), F.col("y").alias("ny"))
+    met = J.nearest_node(track.where("seq % 7 <> 0"), nodes, _POINT, 4.0)
+    return met.select(*_POINT, r6("distance").alias("distance"), F.col("node.path_id").alias("node_path"), F.col("node.seq").alias("node_seq"))
+
+
+@query("track")
+def jon_11_radius_pairs_whole(track: DataFrame) -> DataFrame:
+    pairs = J.pairs_within(_keyed(track), "k", 1.5)
+    return pairs.select(*[F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in "ab" for c in _POINT], r6("distance").alias("distance"))
+
+
+@query("track")
+def agg_34_edges_whole(track: DataFrame) -> DataFrame:
+    return J.pairs_within(_keyed(track), "k", 1.5).agg(F.count("*").alias("edges"), r6(F.avg("distance")).alias("mean_length"))
+
+
+@query("candidates")
+def jon_15_library_lookup_whole(candidates: DataFrame) -> DataFrame:
+    """Even groups ask, odd ones are the library; costs in hundred-thousandths, so that the tolerance is exact."""
+    rows = candidates.select("od", "idx", F.floor(F.col("length_m") / 50).alias("k"), F.round(F.col("cost_equiv_m") * 100_000).cast("long").alias("c"))
+    library = rows.where("od % 2 <> 0").groupBy("od", "k").agg(F.min("c").alias("c"))
+    return J.counted_within(rows.where("od % 2 = 0"), library, ["od", "idx"], "k", "c", 50_000)
+
+
+@query("cells")
+def agg_24_layer_statistics_whole(cells: DataFrame) -> DataFrame:
+    stats = (F.min("value"), F.max("value"), F.avg("value"), F.avg(F.col("blocked").cast("int")), F.count("value") / F.count("*"))
+    return cells.groupBy((F.col("cy") % 16).alias("layer")).agg(*[r4(c).alias(n) for c, n in zip(stats, ("low", "high", "mean", "forbidden", "coverage"), strict=True)])
+
+
+@query(("track", "cells"))
+def agg_33_local_variance_whole(track: DataFrame, cells: DataFrame) -> DataFrame:
+    got = R.local_variance(track, cells, _POINT)
+    return got.select(*_POINT, r6(F.when(F.col("variance") < math.inf, F.col("variance"))).alias("variance"))
+
+
+@query("track")
+def grp_13_painted_ways_whole(track: DataFrame) -> DataFrame:
+    ways = track.select(F.struct(*_POINT).alias("seq"), F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + 3).alias("x1"), (F.col("y") + 1.5).alias("y1"), F.lit(1.2).alias("half"), (F.col("seq") % 9).alias("surface"), (F.col("z") / 10).alias("traffic"), F.lit(0.0).alias("crowding"), F.lit(0.0).alias("lighting"))
+    return R.painted_ways(ways).select("cx", "cy", "surface", r6("traffic").alias("traffic"))
+
+
+@query("signal")
+def grp_01_spectrum_whole(signal: DataFrame) -> DataFrame:
+    return S.spectrum(signal, "series", "idx", "value", 100.0).select("series", "bin", r4("frequency_hz").alias("frequency_hz"), r4("magnitude").alias("magnitude"))
+
+
+@query("track")
+def sca_33_edge_keys_whole(track: DataFrame) -> DataFrame:
+    return C.keyed_segments(routes(track), "od", "route").groupBy("od", "route").agg(F.count_distinct("key").alias("keys"), r6(F.sum("length")).alias("length"))
+
+
+@query("track")
+def grp_24_path_size_whole(track: DataFrame) -> DataFrame:
+    return C.path_sizes(routes(track), "od", "route").select("od", "route", r6("path_size").alias("path_size"))
+
+
+@query("track")
+def grp_26_overlap_whole(track: DataFrame) -> DataFrame:
+    return C.overlaps(routes(track), "od", "route").select("od", "a", "b", r6("overlap").alias("overlap"))
+
+
+@query("track")
+def set_05_concatenate_whole(track: DataFrame) -> DataFrame:
+    points = track.select(*_POINT, "x", "y")
+    rest = points.where("seq >= 9").withColumn("seq", F.col("seq") - 9)
+    return G.concatenated(points.where("seq < 10"), rest).groupBy("path_id").agg(F.count("*").alias("n"))
