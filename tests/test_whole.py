@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trackloom.operators import joins as J
+from trackloom.operators import rasters as R
 from trackloom.plans import catalog
 from trackloom.sources.fixtures import load
 
@@ -41,3 +42,20 @@ def test_library_hits_by_counting(spark):
 def test_distinct_routes_see_every_path(spark):
     paths = load(spark, SF, "track").select(F.floor(F.col("path_id") / 20).alias("od")).distinct()
     assert catalog.queries()["grp_27_distinct_routes"](spark, SF).select("od").distinct().count() == paths.count()
+
+
+def test_inpaint_fills_holes_wider_than_any_limit(spark):
+    n = 70  # rings from one side
+    cells = spark.createDataFrame([(x, 0, 4.0 if x == 0 else None) for x in range(n + 1)], "cx long, cy long, value double").coalesce(1)
+    assert {r.value for r in R.inpainted(cells).collect()} == {4.0}
+    with pytest.raises(ValueError):
+        R.inpainted(cells, most_rounds=2)
+
+
+def test_distance_field_is_exact_at_any_distance(spark):
+    random = np.random.default_rng(4)
+    shut = {(int(x), int(y)) for x, y in zip(random.integers(0, 20, 9), random.integers(0, 20, 9), strict=True)} | {(180, 3)}
+    cells = spark.createDataFrame([(x, y, (x, y) in shut) for x in range(200) for y in range(25)], "cx long, cy long, blocked boolean")
+    for r in R.distance_field(cells).collect():
+        assert r.distance == pytest.approx(min(math.hypot(r.cx - x, r.cy - y) for x, y in shut))
+    assert R.distance_field(cells.withColumn("blocked", F.lit(False))).where("distance is not null").count() == 0

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import math
 import tempfile
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -77,27 +79,32 @@ def dilated(cells: DataFrame, radius: int) -> DataFrame:
     return grown.join(cells.select("cx", "cy"), ["cx", "cy"], "left_semi")
 
 
-def inpainted(cells: DataFrame, rounds: int = 64) -> DataFrame:
+def inpainted(cells: DataFrame, most_rounds: int | None = None) -> DataFrame:
     """GRP-15: cells without a value take the mean of their valid neighbours, ring by ring until nothing changes; what is never reached becomes 0.
 
-    Each round touches only the cells that are still empty, and is checkpointed, since the next one
-    uses its rows twice.
+    The valid neighbours of a ring are the ring before it, so a round touches that ring and the
+    cells that are still empty only. Each is checkpointed, since the next one uses its rows twice.
+    ``most_rounds`` is a limit for safety: an error is raised where it does not suffice.
     """
     context = cells.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(cells.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="trackloom-"))
     around = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if dx or dy])
     known, empty = cells.where("value is not null").select("cx", "cy", "value"), cells.where("value is null").select("cx", "cy")
-    front = known
-    for _ in range(rounds):
-        reached = front.select("cx", "cy", F.explode(around).alias("_o")).select((F.col("cx") + F.col("_o.dx")).alias("cx"), (F.col("cy") + F.col("_o.dy")).alias("cy")).distinct()
-        ring = empty.join(reached, ["cx", "cy"], "left_semi")
-        spread = ring.select("cx", "cy", F.explode(around).alias("_o")).select(F.col("cx").alias("_x"), F.col("cy").alias("_y"), (F.col("cx") + F.col("_o.dx")).alias("cx"), (F.col("cy") + F.col("_o.dy")).alias("cy"))
-        front = spread.join(known, ["cx", "cy"]).groupBy(F.col("_x").alias("cx"), F.col("_y").alias("cy")).agg(F.avg("value").alias("value")).checkpoint()
+    front, done, rings = known, 0, []
+    while True:
+        spread = front.select("cx", "cy", "value", F.explode(around).alias("_o")).select((F.col("cx") + F.col("_o.dx")).alias("cx"), (F.col("cy") + F.col("_o.dy")).alias("cy"), "value")
+        front = spread.join(empty, ["cx", "cy"], "left_semi").groupBy("cx", "cy").agg(F.avg("value").alias("value")).checkpoint()
         if front.limit(1).count() == 0:
             break
-        known, empty = known.unionByName(front), empty.join(front, ["cx", "cy"], "left_anti").checkpoint()
-    return known.unionByName(empty.withColumn("value", F.lit(0.0)))
+        if done == most_rounds:
+            raise ValueError(f"{most_rounds} rounds do not fill the raster")
+        done += 1
+        empty = empty.join(front, ["cx", "cy"], "left_anti").checkpoint()
+        rings.append(front)
+        if len(rings) == 32:  # keeps the plan short on wide holes
+            rings = [functools.reduce(DataFrame.unionByName, rings).coalesce(context.defaultParallelism).checkpoint()]
+    return functools.reduce(DataFrame.unionByName, [known, *rings, empty.withColumn("value", F.lit(0.0))])
 
 
 def bilinear(points: DataFrame, cells: DataFrame, keys: list[str], resolution: float = 1.0) -> DataFrame:
@@ -124,19 +131,53 @@ def gradients(cells: DataFrame, resolution: float = 1.0) -> DataFrame:
     return rows.withColumn("slope", F.hypot("gx", "gy"))
 
 
-def distance_field(cells: DataFrame, resolution: float = 1.0, reach: int = 64) -> DataFrame:
-    """GRP-18: distance to the nearest blocked cell's centre, exact up to ``reach`` cells, null beyond.
+def _envelope(xs: list[float], squares: list[float], at: list[float]) -> list[float]:
+    """For each of ``at`` the least of (x - at)^2 + square, both lists sorted: the lower envelope of the parabolas."""
+    hull, starts = [], []
+    for i, (x, s) in enumerate(zip(xs, squares, strict=True)):
+        start = -math.inf
+        while hull:
+            k = hull[-1]
+            start = (s + x * x - squares[k] - xs[k] * xs[k]) / (2 * (x - xs[k]))
+            if start > starts[-1]:
+                break
+            hull.pop()
+            starts.pop()
+            start = -math.inf
+        hull.append(i)
+        starts.append(start)
+    out, j = [], 0
+    for x in at:
+        while j + 1 < len(hull) and starts[j + 1] < x:
+            j += 1
+        out.append((x - xs[hull[j]]) ** 2 + squares[hull[j]])
+    return out
+
 
-    First along columns, by windows; then along rows each cell hears from those within ``reach``,
-    and keeps the least sum of squares.
+def distance_field(cells: DataFrame, resolution: float = 1.0, reach: int | None = None, band: int = 16) -> DataFrame:
+    """GRP-18: exact distance to the nearest blocked cell's centre on a raster without gaps; null without blocked cells, and beyond ``reach`` cells if that is given.
+
+    First along columns, by windows; then along rows by the lower envelope of the columns'
+    parabolas. A Python worker sees ``band`` rows of the raster at a time.
     """
     w = W.partitionBy("cx").orderBy("cy")
     y = F.when(F.col("blocked"), F.col("cy"))
     up = F.col("cy") - F.last(y, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))
     down = F.first(y, ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing)) - F.col("cy")
     column = cells.select("cx", "cy", F.least(up, down).cast("double").alias("_d"))
-    heard = column.where(F.col("_d") <= reach).select("cy", F.explode(F.transform(F.sequence(F.lit(-reach), F.lit(reach)), lambda k: F.struct((F.col("cx") + k).alias("cx"), (k * k + F.col("_d") * F.col("_d")).alias("s")))).alias("_p"))
-    best = heard.groupBy(F.col("_p.cx").alias("cx"), "cy").agg(F.min("_p.s").alias("_s")).where(F.col("_s") <= reach * reach)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["cy", "cx", "_d"]).drop_duplicates(["cy", "cx"])
+        squares = []
+        for _, row in rows.groupby("cy", sort=False):
+            near = row[row["_d"].notna()]
+            squares += _envelope(near["cx"].astype(float).tolist(), (near["_d"] ** 2).tolist(), row["cx"].astype(float).tolist()) if len(near) else [None] * len(row)
+        return pd.DataFrame({"cx": rows["cx"], "cy": rows["cy"], "_s": pd.array(squares, "Float64")})
+
+    kinds = ", ".join(f"{c} {cells.schema[c].dataType.simpleString()}" for c in ("cx", "cy"))
+    best = column.groupBy(F.floor(F.col("cy") / band).alias("_band")).applyInPandas(run, f"{kinds}, _s double")
+    if reach is not None:
+        best = best.where(F.col("_s") <= reach * reach)
     return cells.join(best, ["cx", "cy"], "left").withColumn("distance", F.sqrt("_s") * resolution).drop("_s")
 
 

@@ -67,7 +67,7 @@ def grp_14_dilate(cells: DataFrame) -> DataFrame:
 
 @query("cells")
 def grp_15_inpaint(cells: DataFrame) -> DataFrame:
-    holes = cells.where("cy < 64").select("cx", "cy", F.when(~F.col("blocked"), F.col("value")).alias("value"))
+    holes = cells.select("cx", "cy", F.when(~F.col("blocked"), F.col("value")).alias("value"))
     return R.inpainted(holes).select("cx", "cy", r6("value").alias("value"))
 
 

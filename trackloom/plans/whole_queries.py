@@ -91,6 +91,11 @@ def grp_13_painted_ways_whole(track: DataFrame) -> DataFrame:
     return R.painted_ways(ways).select("cx", "cy", "surface", r6("traffic").alias("traffic"))
 
 
+@query("cells")
+def grp_18_distance_field_whole(cells: DataFrame) -> DataFrame:
+    return R.distance_field(cells).select("cy", F.col("cx").cast("long").alias("cx"), r6("distance").alias("distance"))
+
+
 @query("signal")
 def grp_01_spectrum_whole(signal: DataFrame) -> DataFrame:
     return S.spectrum(signal, "series", "idx", "value", 100.0).select("series", "bin", r4("frequency_hz").alias("frequency_hz"), r4("magnitude").alias("magnitude"))
