@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from trackloom.operators import joins as J
 from trackloom.operators import rasters as R
+from trackloom.operators import signal as SG
 from trackloom.plans import catalog
 from trackloom.sources.fixtures import load
 
@@ -59,3 +60,18 @@ def test_distance_field_is_exact_at_any_distance(spark):
     for r in R.distance_field(cells).collect():
         assert r.distance == pytest.approx(min(math.hypot(r.cx - x, r.cy - y) for x, y in shut))
     assert R.distance_field(cells.withColumn("blocked", F.lit(False))).where("distance is not null").count() == 0
+
+
+def test_spectrum_of_a_long_series_is_one_transform(spark):
+    random = np.random.default_rng(5)
+    series = {1: random.normal(size=1000), 2: random.normal(size=7), 3: random.normal(size=128), 4: random.normal(size=1), 5: random.normal(size=65)}
+    df = spark.createDataFrame([(s, i * (3 if s == 5 else 1), float(v)) for s, x in series.items() for i, v in enumerate(x)], "s long, i long, v double")
+    got = {(r.s, r.bin): (r.frequency_hz, r.magnitude) for r in SG.spectrum(df, "s", "i", "v", 10.0, segment_rows=64).collect()}
+    want = {}
+    for s, x in series.items():
+        n, size = len(x), 1 << (len(x) - 1).bit_length()
+        if n > 1:
+            window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)
+            want |= {(s, k): (k * 10.0 / size, m) for k, m in enumerate(np.abs(np.fft.rfft(x * window, size)) * 2 / window.sum())}
+    assert got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)

@@ -12,28 +12,49 @@ from pyspark.sql import functions as F
 
 
 def spectrum(df: DataFrame, series: str, idx: str, value: str, rate: float, segment_rows: int = 65_536) -> DataFrame:
-    """GRP-01: (series, segment, bin, frequency_hz, magnitude), one-sided.
+    """GRP-01: (series, bin, frequency_hz, magnitude), one-sided, of each whole series.
 
     A periodic Hann window over the real rows, zeros up to the next power of two, scaled by 2 over
-    the window's sum. A series is cut into segments of ``segment_rows``, so that no group grows
-    with a recording. Segments under two rows give nothing.
+    the window's sum. A transform of more than ``segment_rows`` (a power of two) is made in two
+    steps: every R-th row from each start is transformed alone, then the R results at equal bins
+    with one another, so that no group grows with a recording. Series under two rows give nothing.
     """
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(idx)
-        x = rows[value].to_numpy(dtype=float)
-        n = len(x)
-        if n < 2:
-            return pd.DataFrame({series: [], "segment": [], "bin": [], "frequency_hz": [], "magnitude": []})
-        window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)
-        size = 1 << (n - 1).bit_length()
-        magnitude = np.abs(np.fft.rfft(x * window, size)) * 2 / window.sum()
-        bins = np.arange(len(magnitude))
-        return pd.DataFrame({series: rows[series].iloc[0], "segment": rows["segment"].iloc[0], "bin": bins, "frequency_hz": bins * rate / size, "magnitude": magnitude})
-
-    cut = df.select(series, idx, F.col(value).cast("double").alias(value), F.floor(F.col(idx) / segment_rows).alias("segment"))
+    if segment_rows & (segment_rows - 1):
+        raise ValueError("segment_rows must be a power of two")
     kind = df.schema[series].dataType.simpleString()
-    return cut.groupBy(series, "segment").applyInPandas(run, f"{series} {kind}, segment long, bin long, frequency_hz double, magnitude double")
+    rows = df.select(F.col(series).alias("_s"), F.col(idx).alias("_i"), F.col(value).cast("double").alias("_v"), F.floor(F.col(idx) / segment_rows).alias("_b"))
+    w = W.partitionBy("_s").orderBy(F.asc_nulls_last("_b"))
+    counts = rows.groupBy("_s", "_b").agg(F.count("*").alias("_c"))
+    counts = counts.select(F.col("_s").alias("_t"), F.col("_b").alias("_d"), (F.sum("_c").over(w.rowsBetween(W.unboundedPreceding, 0)) - F.col("_c")).alias("_o"), F.sum("_c").over(W.partitionBy("_s")).alias("_n"))
+    rows = rows.join(counts, F.col("_s").eqNullSafe(F.col("_t")) & F.col("_b").eqNullSafe(F.col("_d"))).where("_n >= 2")
+    place = F.col("_o") + F.row_number().over(W.partitionBy("_s", "_b").orderBy(F.asc_nulls_last("_i"))) - 1
+    size = F.pow(F.lit(2.0), F.ceil(F.log2(F.col("_n").cast("double")) - 1e-9)).cast("long")
+    rows = rows.select("_s", "_v", "_n", place.alias("_p"), size.alias("_size")).withColumn("_parts", F.greatest(F.lit(1).cast("long"), (F.col("_size") / segment_rows).cast("long")))
+
+    def first(part: pd.DataFrame) -> pd.DataFrame:
+        n, size, parts = (int(part[c].iloc[0]) for c in ("_n", "_size", "_parts"))
+        place = part["_p"].to_numpy()
+        start = int(place[0]) % parts
+        x = np.zeros(size // parts)
+        x[place // parts] = part["_v"].to_numpy(dtype=float) * (0.5 - 0.5 * np.cos(2 * np.pi * place / n))
+        y = np.fft.fft(x) * np.exp(-2j * np.pi * (start * np.arange(len(x)) % size) / size)
+        width = max(1, len(x) // parts)
+        at = range(0, len(x), width)
+        return pd.DataFrame({"_s": part["_s"].iloc[0], "_n": n, "_size": size, "_at": list(at), "_start": start, "_re": [y.real[k : k + width] for k in at], "_im": [y.imag[k : k + width] for k in at]})
+
+    def second(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("_start")
+        n, size, at = (int(part[c].iloc[0]) for c in ("_n", "_size", "_at"))
+        parts = max(1, size // segment_rows)
+        y = np.zeros((parts, len(part["_re"].iloc[0])), dtype=complex)
+        y[part["_start"].to_numpy()] = np.stack(part["_re"].to_list()) + 1j * np.stack(part["_im"].to_list())
+        bins = (at + np.arange(y.shape[1])[None, :] + size // parts * np.arange(parts)[:, None]).ravel()
+        magnitude = np.abs(np.fft.fft(y, axis=0)).ravel() * 4 / n  # the window's sum is n / 2
+        kept = bins <= size // 2
+        return pd.DataFrame({series: part["_s"].iloc[0], "bin": bins[kept], "frequency_hz": bins[kept] * rate / size, "magnitude": magnitude[kept]})
+
+    halves = rows.groupBy("_s", (F.col("_p") % F.col("_parts")).alias("_r")).applyInPandas(first, f"_s {kind}, _n long, _size long, _at long, _start long, _re array<double>, _im array<double>")
+    return halves.groupBy("_s", "_at").applyInPandas(second, f"{series} {kind}, bin long, frequency_hz double, magnitude double")
 
 
 def dft_bins(df: DataFrame, series: str, idx: str, value: str, rate: float, bins: int) -> DataFrame:
@@ -62,21 +83,21 @@ def periodogram(df: DataFrame, series: str, idx: str, value: str, rate: float, m
 
 def gait_signature(spec: DataFrame, series: str, low: float = 1.4, high: float = 3.6) -> DataFrame:
     """GRP-02: cadence_hz and amplitude of the strongest line in the band by a parabola through three bins, and the ratios at twice and three times it."""
-    w = W.partitionBy(series, "segment").orderBy("bin")
+    w = W.partitionBy(series).orderBy("bin")
     rows = spec.withColumn("_b", F.lag("magnitude").over(w)).withColumn("_a", F.lead("magnitude").over(w)).withColumn("_step", F.lead("frequency_hz").over(w) - F.col("frequency_hz"))
     rows = rows.where("_b is not null and _a is not null")
     curve = F.col("_b") - 2 * F.col("magnitude") + F.col("_a")
     shift = F.when(F.abs(curve) > 1e-12, F.least(F.greatest(0.5 * (F.col("_b") - F.col("_a")) / curve, F.lit(-0.5)), F.lit(0.5))).otherwise(0.0)
     rows = rows.withColumn("line_hz", F.col("frequency_hz") + shift * F.col("_step")).withColumn("line", F.col("magnitude") - 0.25 * (F.col("_b") - F.col("_a")) * shift)
-    base = rows.where(F.col("frequency_hz").between(low, high)).groupBy(series, "segment").agg(F.max_by(F.struct("line_hz", "line"), F.struct("magnitude", -F.col("bin"))).alias("_p"))
-    base = base.select(series, "segment", F.col("_p.line_hz").alias("cadence_hz"), F.col("_p.line").alias("amplitude")).where("amplitude > 0")
-    near = rows.join(base, [series, "segment"])
+    base = rows.where(F.col("frequency_hz").between(low, high)).groupBy(series).agg(F.max_by(F.struct("line_hz", "line"), F.struct("magnitude", -F.col("bin"))).alias("_p"))
+    base = base.select(series, F.col("_p.line_hz").alias("cadence_hz"), F.col("_p.line").alias("amplitude")).where("amplitude > 0")
+    near = rows.join(base, series)
 
     def harmonic(k: int):
         inside = F.abs(F.col("frequency_hz") - k * F.col("cadence_hz")) <= 0.1 * k * F.col("cadence_hz")
         return F.coalesce(F.max(F.when(inside, F.col("line"))) / F.first("amplitude"), F.lit(0.0)).alias(f"ratio_{k}")
 
-    return near.groupBy(series, "segment", "cadence_hz", "amplitude").agg(harmonic(2), harmonic(3))
+    return near.groupBy(series, "cadence_hz", "amplitude").agg(harmonic(2), harmonic(3))
 
 
 def observables(gait: DataFrame, keys: list[str]) -> DataFrame:
@@ -91,9 +112,9 @@ def spectrum_summary(spec: DataFrame, series: str, step_hz: float | None = None,
     if step_hz:
         inside = F.col("frequency_hz").between(0.8 * step_hz, 1.2 * step_hz)
         out += [F.max(F.when(inside, F.col("magnitude"))).alias("step_magnitude"), F.min_by("magnitude", F.struct(F.abs(F.col("frequency_hz") - 2 * step_hz), "bin")).alias("second_magnitude")]
-    return spec.groupBy(series, "segment").agg(*out)
+    return spec.groupBy(series).agg(*out)
 
 
 def magnitude_at(spec: DataFrame, series: str, frequency: float) -> DataFrame:
     """SRT-05: magnitude at the bin nearest a frequency."""
-    return spec.groupBy(series, "segment").agg(F.min_by("magnitude", F.struct(F.abs(F.col("frequency_hz") - frequency), "bin")).alias("magnitude"))
+    return spec.groupBy(series).agg(F.min_by("magnitude", F.struct(F.abs(F.col("frequency_hz") - frequency), "bin")).alias("magnitude"))
