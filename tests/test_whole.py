@@ -75,3 +75,10 @@ def test_spectrum_of_a_long_series_is_one_transform(spark):
             want |= {(s, k): (k * 10.0 / size, m) for k, m in enumerate(np.abs(np.fft.rfft(x * window, size)) * 2 / window.sum())}
     assert got.keys() == want.keys()
     assert all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+
+
+def test_long_segments_pay_for_every_cell(spark):
+    cells = spark.createDataFrame([(x, 0, 100.0 if x == 37 else 1.0, False) for x in range(101)], "cx long, cy long, value double, blocked boolean")
+    legs = spark.createDataFrame([(1, 0.5, 0.5, 100.5, 0.5), (2, 5.5, 0.5, 5.5, 0.5)], "k long, x0 double, y0 double, x1 double, y1 double")
+    cost = {r.k: r.cost for r in R.segment_costs(legs, cells, ["k"]).collect()}
+    assert cost == {1: pytest.approx(199.0), 2: 0.0}

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from trackloom.operators import predicates as P
 from trackloom.operators import rasters as R
+from trackloom.operators.geometry import segments
 from trackloom.plans.registry import q4, q6, query, r4, r6
 
 _NEIGHBOURS = """
@@ -115,7 +116,7 @@ def grp_22_heading_cost(cells: DataFrame) -> DataFrame:
 
 @query(("track", "cells"))
 def grp_23_segment_cost(track: DataFrame, cells: DataFrame) -> DataFrame:
-    legs = track.where("x < 63 and y < 95").select("path_id", "seq", F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + 0.8).alias("x1"), (F.col("y") + 0.3).alias("y1"))
+    legs = segments(track).select("path_id", "seq", "x0", "y0", "x1", "y1")
     return R.segment_costs(legs, cells.withColumn("value", F.abs("value")), ["path_id", "seq"]).select("path_id", "seq", r6("cost").alias("cost"))
 
 
