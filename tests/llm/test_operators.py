@@ -128,6 +128,25 @@ def test_article_without_its_surroundings():
     assert text_below(parse(None), None) == text_below(parse("<script>never closed"), None) == ""
 
 
+@pytest.mark.parametrize("name", ["content has-sidebar", "no-sidebar", "with-sidebar", "ads-enabled", "sidebar", "post comments-open"])
+def test_names_do_not_drop_the_article(name):
+    kept = "<p>" + "words of the article, and more. " * 9 + "<math><mi>x</mi></math></p>"
+    for tag in ("div", "article", "main"):
+        page = f"<html><body><div class='menu'><p>menu</p></div><{tag} class='{name}'>{kept}</{tag}><div class='sidebar'>side</div></body></html>"
+        text = text_below(parse(page), None)
+        assert text.startswith("words of the article") and text.endswith("x") and "menu" not in text and "side" not in text
+
+
+def test_a_long_thread_does_not_outweigh_a_short_article():
+    page = "<body><article><p>Short.</p></article><div class='comments'>" + "<p>A long answer.</p>" * 9 + "</div></body>"
+    assert text_below(parse(page), None) == "Short."
+
+
+def test_end_tags_close_deep_elements():
+    page = "<body><span>" + "<b>" * 20 + "a" + "</span><p>b</p></body>"
+    assert text_below(parse(page), None) == "a\n\nb"
+
+
 def test_hosts_elect_a_container(spark):
     def page(i, body):
         return (i, "http://h.example/x", f"<html><body><div class='teaser'>{'t ' * 30}</div><div class='story n{i}'>{body}</div></body></html>")

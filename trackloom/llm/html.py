@@ -22,7 +22,7 @@ _BLOCKS = frozenset(
 )
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements whose content is never the article's.
-_DROPPED = frozenset("head nav header footer aside form menu dialog button select option input label object svg math canvas audio video map search".split()) | _RAW
+_DROPPED = frozenset("head nav header footer aside form menu dialog button select option input label object svg canvas audio video map search".split()) | _RAW
 #: Words in a class, id or role that mark what surrounds an article.
 _AROUND = re.compile(
     r"(?i)(?:^|[^a-z])(?:(?:top|main|sub|side)?nav(?:bar|list|igation)?|(?:side|top|main)?menu|breadcrumbs?|header|masthead|footer|side-?bar|side|aside|banner|ads?|advert(?:s|isements?|ising)?|sponsor(?:ed)?|promo(?:tion)?|cookies?|consent|gdpr|notices?|alert|"
@@ -30,6 +30,8 @@ _AROUND = re.compile(
 )
 #: The same for article elements, which threads of comments use too.
 _NO_ARTICLE = re.compile(r"(?i)(?:^|[^a-z])(?:comments?|reply|replies|teaser|related|promo|advert|ad)(?:$|[^a-z])")
+#: Parts of a class name that tell a state or a layout: such a name says what the element has, not what it is.
+_STATE = re.compile(r"(?i)^(?:has|have|no|not|with|without|is|hide|show|ad-free)[-_]|[-_](?:open|opened|closed|enabled|disabled|active|inactive|on|off|visible|free|layout|left|right|none)$")
 _CLOSES_P = _BLOCKS - {"body", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "option", "optgroup", "legend"}
 _SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _STOPS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
@@ -39,25 +41,25 @@ _SPACE = re.compile(r"[ \t\n\r\f\v\xa0]+")
 
 
 class _Node:
-    __slots__ = ("tag", "path", "around", "parent", "own", "linked", "blocks", "stops")
+    __slots__ = ("tag", "path", "around", "named", "parent", "own", "linked", "blocks", "stops")
 
-    def __init__(self, tag: str, path: str, around: bool, parent):
-        self.tag, self.path, self.around, self.parent = tag, path, around, parent
+    def __init__(self, tag: str, path: str, around: bool, parent, named: bool = False):
+        self.tag, self.path, self.around, self.named, self.parent = tag, path, around, named, parent
         self.own = self.linked = self.blocks = self.stops = 0
 
 
-def _named(tag: str, attributes: str) -> tuple[str, bool]:
-    """Generalised name of an element, `tag.class`, digits as N; and whether its names mark what surrounds an article."""
+def _named(tag: str, attributes: str) -> tuple[str, bool, bool]:
+    """Generalised name of an element, `tag.class`, digits as N; whether it is hidden, and whether its names mark what surrounds an article."""
     if not attributes:
-        return tag, False
+        return tag, False, False
     values = {}
     for m in _ATTRIBUTE.finditer(attributes):
         values.setdefault(m[1].lower(), unescape(m[2] or m[3] or m[4] or ""))
     classes = sorted({re.sub(r"\d+", "N", c) for c in values.get("class", "").split()})
-    names = " ".join((values.get("class", ""), values.get("id", ""), values.get("role", "")))
+    names = " ".join(n for n in " ".join((values.get("class", ""), values.get("id", ""), values.get("role", ""))).split() if not _STATE.search(n))
     hidden = "hidden" in values or re.search(r"display\s*:\s*none", values.get("style", "")) is not None
     marks = _NO_ARTICLE if tag in ("article", "main") else _AROUND
-    return ".".join([tag, *classes]), hidden or (tag not in ("body", "html") and marks.search(names) is not None)
+    return ".".join([tag, *classes]), hidden, tag not in ("body", "html") and marks.search(names) is not None
 
 
 def parse(html: str | None) -> list[tuple[_Node, str, bool]]:
@@ -78,14 +80,11 @@ def parse(html: str | None) -> list[tuple[_Node, str, bool]]:
                 node = stack[-1]
                 while node.parent is not None and node.tag not in _BLOCKS:
                     node = node.parent
-                around, up = False, node
-                while up is not None and not around:
-                    around, up = up.around, up.parent
                 node.own += len(text)
                 node.linked += min(linked, len(text))
                 node.blocks += 1
                 node.stops += sum(text.count(c) for c in ".!?;,")
-                blocks.append((node, text, around))
+                blocks.append((node, text))
             parts, linked = [], 0
 
     def close(k: int) -> None:
@@ -109,7 +108,7 @@ def parse(html: str | None) -> list[tuple[_Node, str, bool]]:
             continue
         tag = m[2].lower()
         if m[1]:
-            if tag in _BLOCKS or tag in _DROPPED or any(n.tag == tag for n in stack[-12:]):
+            if tag in _BLOCKS or tag in _DROPPED or any(n.tag == tag for n in stack):
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k].tag == tag:
                         close(k)
@@ -151,17 +150,52 @@ def parse(html: str | None) -> list[tuple[_Node, str, bool]]:
             flush()
         if tag == "body":
             close(next((k for k, n in enumerate(stack) if n.tag == "head"), len(stack)))
-        name, around = _named(tag, m[3]) if tag != "a" else (tag, False)
+        name, hidden, marked = _named(tag, m[3]) if tag != "a" else (tag, False, False)
         parent = stack[-1]
         path = parent.path if tag == "a" else f"{parent.path}/{name}"
         inside = parent
         while inside is not None and inside.tag not in ("article", "main"):
             inside = inside.parent
         dropped = tag in _DROPPED and not (tag == "header" and inside is not None)
-        stack.append(_Node(tag, path, dropped or around, parent))
+        stack.append(_Node(tag, path, dropped or hidden, parent, marked))
         links += tag == "a"
     flush()
-    return blocks
+    return _judged(blocks)
+
+
+def _judged(blocks: list[tuple[_Node, str]]) -> list[tuple[_Node, str, bool]]:
+    """Blocks with whether they lie in dropped content: below a dropped element, or one whose names mark it.
+
+    Names do not drop a container that holds most of the page's plain text, which is what is
+    neither in dropped elements nor in links. Where an article or main element whose names mark
+    nothing has text, that container must hold one: a long thread does not outweigh a short article.
+    """
+    plain: dict[int, int] = {}
+    articles: set[int] = set()
+    total = 0
+    seen = {id(n): n for n, _ in blocks}
+    for node in seen.values():
+        chain = []
+        up = node
+        while up is not None:
+            chain.append(up)
+            up = up.parent
+        if not any(n.around for n in chain):
+            amount = node.own - node.linked
+            total += amount
+            for n in chain:
+                plain[id(n)] = plain.get(id(n), 0) + amount
+            for k, n in enumerate(chain):
+                if n.tag in ("article", "main") and amount > 0 and not any(x.named for x in chain[: k + 1]):
+                    articles.update(map(id, chain[k:]))
+    out = []
+    for node, text in blocks:
+        around, up = False, node
+        while up is not None and not around:
+            most = 2 * plain.get(id(up), 0) > total and (not articles or id(up) in articles)
+            around, up = up.around or (up.named and not most), up.parent
+        out.append((node, text, around))
+    return out
 
 
 def scores(blocks) -> dict[str, float]:
