@@ -467,3 +467,20 @@ def test_quality_edges(spark):
     got = score_quality(docs, train_quality(docs, none)).collect()
     assert len(got) == 5 and all(r.score == 0.5 and r.predicted == 1 for r in got)
     assert score_quality(docs.limit(0), train_quality(docs, none)).count() == 0
+
+
+def test_centre_distances_without_a_cube_of_differences():
+    import tracemalloc
+
+    from trackloom.llm import embeddings
+
+    centre = np.random.default_rng(1).normal(size=(500, 64))
+    centre /= np.linalg.norm(centre, axis=1)[:, None]
+    centre[1] = centre[0]
+    tracemalloc.start()
+    apart = embeddings._apart(centre)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 500 * 500 * 8 * 6
+    exact = np.stack([np.linalg.norm(centre - c, axis=1) for c in centre])
+    assert (apart >= exact).all() and np.abs(apart - exact).max() < 1e-5

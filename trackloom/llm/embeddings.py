@@ -50,6 +50,12 @@ def _described(vectors: DataFrame) -> DataFrame:
     return asked.mapInArrow(run, "vec_id long, cid long, label long, dim int, unit binary")
 
 
+def _apart(centre: np.ndarray) -> np.ndarray:
+    """Distances of unit centres from one another, never too small: 2 - 2 cos is out by some 1e-15 a component."""
+    square = np.clip(2 - 2 * (centre @ centre.T), 0, None)
+    return np.sqrt(square + 1e-12)
+
+
 def _placed(classes: DataFrame, centres: dict[int, np.ndarray], angle: float) -> DataFrame:
     """A row for each cell a vector belongs to: its home, and as a guest those in reach.
 
@@ -58,7 +64,7 @@ def _placed(classes: DataFrame, centres: dict[int, np.ndarray], angle: float) ->
     plane between its home and another cell is therefore a guest there, and every linked pair
     meets in the home of one of them.
     """
-    shared = classes.sparkSession.sparkContext.broadcast(centres)
+    shared = classes.sparkSession.sparkContext.broadcast({dim: (centre, _apart(centre)) for dim, centre in centres.items()})
     reach = math.sin(angle / 2) + 1e-9
 
     def run(batches):
@@ -68,8 +74,7 @@ def _placed(classes: DataFrame, centres: dict[int, np.ndarray], angle: float) ->
             for dim in np.unique(dims):
                 rows = np.flatnonzero(dims == dim)
                 unit = np.stack([np.frombuffer(table.column("unit")[int(i)].as_py()) for i in rows])
-                centre = shared.value[int(dim)]
-                apart = np.linalg.norm(centre[:, None, :] - centre[None, :, :], axis=2)
+                centre, apart = shared.value[int(dim)]
                 for at in range(0, len(rows), 2048):
                     near = unit[at : at + 2048] @ centre.T
                     home = near.argmax(axis=1)
