@@ -219,25 +219,52 @@ def test_memo_equals_the_tokenizers():
     assert list(plain.encode(ODD[3], add_special_tokens=False).ids) == list(WordTokens(WORDS).encode([ODD[3]])[0])
 
 
-def test_token_counts_across_blocks_and_files(spark, tmp_path, monkeypatch):
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_token_counts_across_blocks_and_files(spark, tmp_path, monkeypatch, shuffled):
     rows = [(i, t) for i, t in enumerate(ODD * 3)] + [(None, "no id"), (1, "again")]
-    documents(spark, rows).withColumn("n_tokens", F.lit(1)).repartition(3).write.parquet(str(tmp_path / "d"))
-    docs = spark.read.parquet(str(tmp_path / "d"))
-    monkeypatch.setattr(token_counts, "_DOCS_PER_FILE", 5)
+    docs = documents(spark, rows).withColumn("n_tokens", F.lit(1)).repartition(3)
+    if not shuffled:
+        docs.write.parquet(str(tmp_path / "d"))
+        docs = spark.read.parquet(str(tmp_path / "d"))
+    monkeypatch.setattr(token_counts, "_FILE_BYTES", 300)
     scan = token_counts.scan_token_files
     monkeypatch.setattr(token_counts, "scan_token_files", lambda s, p, e: scan(s, p, e, block_ids=7))
     model = PieceTokens(PIECES)
     got = token_counts.count_tokens(docs, PIECES).collect()
-    want = sorted((i or -1, len(model.encode([t or ""])[0])) for i, t in rows)
-    assert sorted((r.doc_id or -1, r.n_tokens) for r in got) == want
+    want = sorted((-1 if i is None else i, len(model.encode([t or ""])[0])) for i, t in rows)
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens) for r in got) == want
     for stream in {r.stream for r in got}:
         at = 0
-        for r in sorted((r for r in got if r.stream == stream), key=lambda r: r.ordinal):
-            assert r.start == at
+        for k, r in enumerate(sorted((r for r in got if r.stream == stream), key=lambda r: r.ordinal)):
+            assert r.start == at and r.ordinal == k
             at += r.n_tokens + 1
     assert token_counts.count_tokens(docs.where("doc_id > 900"), PIECES).count() == 0
 
 
+def test_files_keep_their_order_whatever_the_job_is_called(spark, tmp_path):
+    for k in range(3):  # a job id that looks like a file's number
+        ids = np.array([5] * (2 * k + 1) + [2] + [5] * (2 * k + 2) + [2], dtype="<u2").tobytes()
+        listed = np.array([2 * k + 1, 2 * k + 2], dtype="<i8").tobytes() + b"\1\1"
+        for number, data in ((2 * k, ids), (2 * k + 1, listed + b"\2\0")):
+            (tmp_path / f"part-00004-1d5ae000-c417-4c00-8c12-c0ffee-c{number:03d}.txt").write_bytes(data)
+    got = sorted((r.ordinal, r.doc_id, r.n_tokens, r.start) for r in token_counts.scan_token_files(spark, str(tmp_path)).collect())
+    assert got == [(k, k + 1, k + 1, sum(range(k + 1)) + k) for k in range(6)]
+
+
+def test_lists_that_do_not_fit_their_files_fail(spark, tmp_path):
+    (tmp_path / "part-00000-x-c000.txt").write_bytes(np.array([5, 2, 5, 2], dtype="<u2").tobytes())
+    (tmp_path / "part-00000-x-c001.txt").write_bytes(np.array([1], dtype="<i8").tobytes() + b"\1\2\0")
+    with pytest.raises(Exception, match="differ"):
+        token_counts.scan_token_files(spark, str(tmp_path)).collect()
+
+
+def test_a_very_long_text_is_counted_whole(spark):
+    long = "some words of it " * 1_500_000
+    got = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(documents(spark, [(1, long.strip()), (2, "some words")]), PIECES).collect()}
+    model = PieceTokens(PIECES)
+    assert got == {1: len(model.encode(["some words of it"])[0]) * 1_500_000, 2: len(model.encode(["some words"])[0])}
+
+
 def test_first_fit_decreasing_is_that(spark):
     rnd = random.Random(2)
     sizes = np.array([rnd.randint(1, 100) for _ in range(500)])

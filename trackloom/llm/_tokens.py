@@ -22,38 +22,40 @@ _SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 class MemoTokens:
     """``encode(texts)`` word by word. ``table`` and ``fold`` say what a word is and whether A-Z count as a-z;
-    ``whole(bytes)`` says which texts must be encoded as they are. The memo is dropped when ``limit`` words are held.
+    ``whole(bytes)`` says which texts must be encoded as they are. The memo is a few sorted arrays; it is dropped
+    when they hold more than ``limit`` bytes.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], table: np.ndarray, fold: bool, whole, limit: int = 1_000_000):
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], table: np.ndarray, fold: bool, whole, limit: int = 24 << 20):
         self.encode, self.table, self.fold, self.whole, self.limit = encode, table, fold, whole, limit
         self._forget()
 
     def _forget(self) -> None:
-        self.slots: dict[int, int] = {}
-        self.at = np.zeros(1 << 16, dtype=np.int64)
-        self.size = np.zeros(1 << 16, dtype=np.int64)
-        self.pool = np.zeros(1 << 18, dtype=np.uint32)
+        self.keys = np.zeros(0, dtype=np.uint64)
+        self.at, self.size = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int32)
+        self.pool = np.zeros(1 << 16, dtype=np.uint32)
         self.filled = 0
 
-    def _learn(self, keys: list[int], words: list[str]) -> None:
+    def _held(self) -> int:
+        return 16 * len(self.keys) + 4 * self.filled
+
+    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
+        """Add ``keys``, which are sorted and new."""
         ids = self._ids(words)
-        sizes = np.array([len(x) for x in ids], dtype=np.int64)
-        first, total = len(self.slots), int(sizes.sum())
-        while first + len(keys) > len(self.at):
-            self.at, self.size = np.resize(self.at, 2 * len(self.at)), np.resize(self.size, 2 * len(self.size))
+        sizes = np.fromiter(map(len, ids), dtype=np.int32, count=len(ids))
+        total = int(sizes.sum())
         while self.filled + total > len(self.pool):
-            self.pool = np.resize(self.pool, 2 * len(self.pool))
-        self.pool[self.filled : self.filled + total] = [i for x in ids for i in x]
-        self.size[first : first + len(keys)] = sizes
-        self.at[first : first + len(keys)] = self.filled + np.cumsum(sizes) - sizes
+            self.pool = np.concatenate([self.pool, np.zeros(max(total, len(self.pool) // 2), dtype=np.uint32)])
+        self.pool[self.filled : self.filled + total] = np.fromiter((i for x in ids for i in x), dtype=np.uint32, count=total)
+        place = np.searchsorted(self.keys, keys)
+        self.at = np.insert(self.at, place, self.filled + np.cumsum(sizes) - sizes)
+        self.size, self.keys = np.insert(self.size, place, sizes), np.insert(self.keys, place, keys)
         self.filled += total
-        self.slots.update(zip(keys, range(first, first + len(keys)), strict=True))
 
     def _ids(self, words: list[str]) -> list[list[int]]:
         return self.encode(words)
 
-    def blocks(self, column: pa.Array, target: int = 1 << 21) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    def blocks(self, column: pa.Array, target: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(first row, ids, offsets): row i of the block has ``ids[offsets[i]:offsets[i+1]]``."""
         for row, data, offsets in row_blocks(column, target):
             ids, ends = self._block(data, offsets)
@@ -72,17 +74,16 @@ class MemoTokens:
         if not len(words.hashes):
             return np.zeros(0, dtype=np.uint32), np.zeros(len(offsets), dtype=np.int64)
         keys, sample, inverse = np.unique(words.hashes, return_index=True, return_inverse=True)
-        names = keys.tolist()
-        if len(self.slots) > self.limit:
+        if self._held() > self.limit:
             self._forget()
-        get = self.slots.get
-        slots = [get(k, -1) for k in names]
-        if fresh := [i for i, s in enumerate(slots) if s < 0]:
-            spans = zip(words.starts[sample[fresh]].tolist(), words.ends[sample[fresh]].tolist(), strict=True)
+        known = np.zeros(len(keys), dtype=bool)
+        if len(self.keys):
+            known = self.keys[np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)] == keys
+        if not known.all():
+            first = sample[~known]
             raw = data.tobytes()
-            self._learn([names[i] for i in fresh], [raw[a:b].decode() for a, b in spans])
-            slots = [self.slots[k] for k in names]
-        slot = np.array(slots, dtype=np.int64)[inverse]
+            self._learn(keys[~known], [raw[a:b].decode() for a, b in zip(words.starts[first].tolist(), words.ends[first].tolist(), strict=True)])
+        slot = np.searchsorted(self.keys, keys)[inverse]
         sizes = self.size[slot]
         ends = np.concatenate([[0], np.cumsum(sizes)])
         ids = self.pool[np.repeat(self.at[slot] - ends[:-1], sizes) + np.arange(ends[-1])]
@@ -104,6 +105,7 @@ class WordTokens(MemoTokens):
         tokenizer = Tokenizer.from_file(path)
         super().__init__(lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)], NON_SPACE, True, lambda raw, a, b: raw.find(b"<|", a, b) >= 0)
         self.parts: dict[str, list[int]] = {}
+        self.letters_held = 0
         vocabulary = tokenizer.get_vocab()
         self.word_end = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.word_end[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
@@ -115,14 +117,15 @@ class WordTokens(MemoTokens):
         return [x.tolist() for x in found] if len(found) == len(words) else self.encode(words)
 
     def _ids(self, words: list[str]) -> list[list[int]]:
-        if len(self.parts) > self.limit // 4:
-            self.parts = {}
+        if self.letters_held > self.limit // 64:
+            self.parts, self.letters_held = {}, 0
         cut = []
         for w in words:
             head = w.rstrip(_SIGNS)
             cut.append((head.lower(), w[len(head) :]) if head.isascii() and head.isalpha() or head.isalpha() and head.islower() else (w, ""))
         parts = self.parts
         fresh = [p for p in {p for pair in cut for p in pair} if p not in parts]
+        self.letters_held += sum(map(len, fresh))
         for kind, encode in ((True, self._letters), (False, self.encode)):
             same = [p for p in fresh if p.isalpha() == kind]
             for at in range(0, len(same), 1_000):
