@@ -21,7 +21,7 @@ from trackloom.llm._tokens import PieceTokens, WordTokens
 from trackloom.llm.decontamination import find_phrases, remove_spans
 from trackloom.llm.embeddings import near_duplicate_vectors
 from trackloom.llm.fm_index import FMIndex
-from trackloom.llm.html import extract_main_text, parse, text_below
+from trackloom.llm.html import extract_main_text, parse, scores, text_below
 from trackloom.llm.jaccard import _may_link, join_region, near_duplicates, signature
 from trackloom.llm.packing import TournamentTree, first_fit_decreasing, pack
 from trackloom.llm.pii import SegmentField, _likelihood, all_spans, base_spans, candidates, find_personal_data, fit_field, luhn, mask, train_field
@@ -142,6 +142,62 @@ def test_a_long_thread_does_not_outweigh_a_short_article():
     assert text_below(parse(page), None) == "Short."
 
 
+@pytest.mark.parametrize("attributes", ["class='content no-sidebar'", "class='main-side-content'", "id='top-nav-article'"])
+def test_names_are_evidence_only(attributes):
+    page = f"<body><nav>menu</nav><div {attributes}><h1>Title</h1><p>The text of it, as long as it is.</p></div><div class='sidebar'>side</div></body>"
+    assert text_below(parse(page), None) == "Title\n\nThe text of it, as long as it is."
+
+
+def test_a_form_around_the_article_is_no_form():
+    page = "<body><form><div><h1>Title</h1><p>All of the page lies in one form.</p><select><option>a</select><input></div></form><form><p>Send</p></form></body>"
+    assert text_below(parse(page), None) == "Title\n\nAll of the page lies in one form."
+    assert text_below(parse("<body><p>Short.</p><form>Name, street and town, and whatever else one likes to ask for</form></body>"), None) == "Short."
+
+
+def test_white_space_of_all_kinds():
+    assert text_below(parse("<p>a\u2003\u2003b\u2028c &#x3000; d&nbsp;</p>"), None) == "a b c d"
+
+
+def test_deep_elements_take_linear_time():
+    import time
+
+    def took(n):
+        page = "<div class='x'><p>" * n + "word"
+        began = time.process_time()
+        parsed = parse(page)
+        found = scores(parsed)
+        assert text_below(parsed, min(found, key=lambda p: (-found[p], p))) == "word"
+        return time.process_time() - began
+
+    took(500)
+    assert took(10_000) < 1
+    wide = parse("<body>" + "<b>" * 20_000 + "x" + "<p>y" * 2000)
+    assert text_below(wide, None).startswith("x\n\ny")
+
+
+def plain_main_text(html):
+    """Blocks of pages that nest nothing but div, p and headings and mark what is around by nav, header, footer and aside."""
+    import html as reference
+
+    kept = re.sub(r"(?s)<(nav|header|footer|aside|script|style|head)\b.*?</\1>", "", html)
+    return [" ".join(reference.unescape(re.sub("<[^>]*>", " ", b)).split()) for b in re.split(r"</?(?:div|p|h[1-6]|body|html)\b[^>]*>", kept)]
+
+
+def test_pages_without_article_elements(spark):
+    rnd = random.Random(4)
+
+    def words(n):
+        return " ".join(rnd.choice(["alpha", "b&amp;c", "d\u2003e", "f,", "g."]) for _ in range(n))
+
+    rows = []
+    for i in range(40):
+        body = "".join(f"<p>{words(rnd.randint(3, 40))}</p>" for _ in range(rnd.randint(1, 6)))
+        rows.append((i, f"http://h{i % 3}.example/{i}", f"<html><head><title>t</title></head><body><header>{words(5)}</header><nav>{words(9)}</nav><div class='story s{i}'><h1>{words(4)}</h1>{body}</div><aside>{words(8)}</aside><footer>{words(3)}</footer></body></html>"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for r in extract_main_text(pages).collect():
+        assert r.text == "\n\n".join(b for b in plain_main_text(r.html) if b)
+
+
 def test_end_tags_close_deep_elements():
     page = "<body><span>" + "<b>" * 20 + "a" + "</span><p>b</p></body>"
     assert text_below(parse(page), None) == "a\n\nb"

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections import Counter
 from html import unescape
 
 import pyarrow as pa
@@ -22,7 +24,7 @@ _BLOCKS = frozenset(
 )
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements whose content is never the article's.
-_DROPPED = frozenset("head nav header footer aside form menu dialog button select option input label object svg canvas audio video map search".split()) | _RAW
+_DROPPED = frozenset("head nav header footer aside menu dialog button select option input label object svg canvas audio video map search".split()) | _RAW
 #: Words in a class, id or role that mark what surrounds an article.
 _AROUND = re.compile(
     r"(?i)(?:^|[^a-z])(?:(?:top|main|sub|side)?nav(?:bar|list|igation)?|(?:side|top|main)?menu|breadcrumbs?|header|masthead|footer|side-?bar|side|aside|banner|ads?|advert(?:s|isements?|ising)?|sponsor(?:ed)?|promo(?:tion)?|cookies?|consent|gdpr|notices?|alert|"
@@ -37,21 +39,39 @@ _SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td
 _STOPS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 _TAG = re.compile(r"<(?:!--(?:>|->|.*?(?:--!?>|\Z))|(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|[!?/][^>]*(?:>|\Z))", re.DOTALL)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_SPACE = re.compile(r"[ \t\n\r\f\v\xa0]+")
+_SPACE = re.compile(r"\s+")
+#: Parts of a path that are written out; of longer ones the beginning is a digest, so that paths stay short.
+_PARTS = 32
 
 
 class _Node:
-    __slots__ = ("tag", "path", "around", "named", "parent", "own", "linked", "blocks", "stops")
+    """An element. Nodes are listed in the order of their beginnings, so parents come before their children."""
 
-    def __init__(self, tag: str, path: str, around: bool, parent, named: bool = False):
-        self.tag, self.path, self.around, self.named, self.parent = tag, path, around, named, parent
-        self.own = self.linked = self.blocks = self.stops = 0
+    __slots__ = ("tag", "parts", "lead", "around", "named", "parent", "own", "linked", "stops", "_path")
+
+    def __init__(self, tag: str, parts: tuple[str, ...], lead: str, around: bool, parent, named: bool = False):
+        self.tag, self.parts, self.lead, self.around, self.named, self.parent = tag, parts, lead, around, named, parent
+        self.own = self.linked = self.stops = 0
+        self._path = None
+
+    def below(self, name: str) -> tuple[tuple[str, ...], str]:
+        """Parts and lead of a child's path."""
+        if len(self.parts) < 2 * _PARTS:
+            return (*self.parts, name), self.lead
+        told = "/".join((self.lead, *self.parts[:_PARTS]))
+        return (*self.parts[_PARTS:], name), hashlib.blake2b(told.encode("utf-8", "replace"), digest_size=8).hexdigest()
+
+    @property
+    def path(self) -> str:
+        if self._path is None:
+            self._path = "/".join((self.lead, *self.parts))
+        return self._path
 
 
 def _named(tag: str, attributes: str) -> tuple[str, bool, bool]:
     """Generalised name of an element, `tag.class`, digits as N; whether it is hidden, and whether its names mark what surrounds an article."""
     if not attributes:
-        return tag, False, False
+        return tag, False, tag == "form"
     values = {}
     for m in _ATTRIBUTE.finditer(attributes):
         values.setdefault(m[1].lower(), unescape(m[2] or m[3] or m[4] or ""))
@@ -59,40 +79,94 @@ def _named(tag: str, attributes: str) -> tuple[str, bool, bool]:
     names = " ".join(n for n in " ".join((values.get("class", ""), values.get("id", ""), values.get("role", ""))).split() if not _STATE.search(n))
     hidden = "hidden" in values or re.search(r"display\s*:\s*none", values.get("style", "")) is not None
     marks = _NO_ARTICLE if tag in ("article", "main") else _AROUND
-    return ".".join([tag, *classes]), hidden, tag not in ("body", "html") and marks.search(names) is not None
-
-
-def parse(html: str | None) -> list[tuple[_Node, str, bool]]:
-    """The page's blocks of text in order: innermost block element, text with single spaces, whether it lies in dropped content.
-
-    Unclosed paragraphs, list items and cells end where HTML ends them; a stray end tag is ignored;
-    comments, declarations and the content of scripts, styles and the like are no text.
+    return ".".join([tag, *classes]), hidden, tag == "form" or tag not in ("body", "html") and marks.search(names) is not None
+
+
+class Page:
+    """A page's nodes, and its blocks of text in order: innermost block element, text with single spaces, whether it lies in dropped content."""
+
+    def __init__(self, nodes: list[_Node], blocks: list[tuple[int, str]]):
+        self.nodes = nodes
+        dropped = self._judged()
+        self.blocks = [(k, text, dropped[k]) for k, text in blocks]
+
+    def _judged(self) -> list[bool]:
+        """For each node whether it lies in dropped content: below a dropped element, or one whose names mark it.
+
+        Names, or being a form, do not drop a container that holds most of the page's plain text, which
+        is what is neither in dropped elements nor in links. Where an article or main element whose names
+        mark nothing has text, that container must hold one: a long thread does not outweigh a short
+        article. A form must hold a paragraph or a heading besides.
+        """
+        nodes, n = self.nodes, len(self.nodes)
+        around, plain = [x.around for x in nodes], [0] * n
+        unmarked, holds, worded = [False] * n, [False] * n, [False] * n
+        for k, x in enumerate(nodes):
+            around[k] = around[k] or x.parent is not None and around[x.parent]
+            if not around[k]:
+                plain[k] = x.own - x.linked
+                unmarked[k] = plain[k] > 0
+                worded[k] = x.own > 0 and (x.tag == "p" or x.tag in _HEADINGS)
+        for k in range(n - 1, 0, -1):
+            x, up = nodes[k], nodes[k].parent
+            unmarked[k] = unmarked[k] and not x.named
+            holds[k] = holds[k] or unmarked[k] and x.tag in ("article", "main")
+            plain[up] += plain[k]
+            for flags in (unmarked, holds, worded):
+                flags[up] = flags[up] or flags[k]
+        dropped = [False] * n
+        for k, x in enumerate(nodes):
+            most = 2 * plain[k] > plain[0] and (holds[k] or not holds[0]) and (x.tag != "form" or worded[k])
+            dropped[k] = x.around or x.named and not most or x.parent is not None and dropped[x.parent]
+        return dropped
+
+    def within(self, path: str) -> list[bool]:
+        """For each node whether it is a container of ``path`` or lies in one."""
+        inside = [False] * len(self.nodes)
+        last = path.rsplit("/", 1)[-1]
+        for k, x in enumerate(self.nodes):
+            inside[k] = x.parent is not None and inside[x.parent] or x.tag != "a" and bool(x.parts) and x.parts[-1] == last and x.path == path
+        return inside
+
+
+def parse(html: str | None) -> Page:
+    """Unclosed paragraphs, list items and cells end where HTML ends them; a stray end tag is ignored;
+    comments, declarations and the content of scripts, styles and the like are no text. Time is linear
+    in the page's length, however deep its elements lie in one another.
     """
     html = html or ""
-    root = _Node("#", "", False, None)
-    stack, blocks, parts = [root], [], []
+    nodes = [_Node("#", (), "", False, None)]
+    stack, blocks, parts = [0], [], []
+    open_tags: Counter[str] = Counter()
+    block_above = [0]  # for each place in the stack the innermost block element's node
     links = linked = 0
 
     def flush() -> None:
         nonlocal parts, linked
         if parts:
-            if text := _SPACE.sub(" ", unescape("".join(parts))).strip(" "):
-                node = stack[-1]
-                while node.parent is not None and node.tag not in _BLOCKS:
-                    node = node.parent
+            if text := _SPACE.sub(" ", unescape("".join(parts))).strip():
+                k = block_above[-1]
+                node = nodes[k]
                 node.own += len(text)
                 node.linked += min(linked, len(text))
-                node.blocks += 1
                 node.stops += sum(text.count(c) for c in ".!?;,")
-                blocks.append((node, text))
+                blocks.append((k, text))
             parts, linked = [], 0
 
     def close(k: int) -> None:
         nonlocal links
-        if any(n.tag in _BLOCKS for n in stack[k:]):
+        if any(nodes[n].tag in _BLOCKS for n in stack[k:]):
             flush()
-        links -= sum(n.tag == "a" for n in stack[k:])
-        del stack[k:]
+        for n in stack[k:]:
+            open_tags[nodes[n].tag] -= 1
+            links -= nodes[n].tag == "a"
+        del stack[k:], block_above[k:]
+
+    def enter(node: _Node) -> None:
+        nodes.append(node)
+        stack.append(len(nodes) - 1)
+        block_above.append(len(nodes) - 1 if node.tag in _BLOCKS else block_above[-1])
+        open_tags[node.tag] += 1
 
     at, size = 0, len(html)
     while at < size:
@@ -108,31 +182,32 @@ def parse(html: str | None) -> list[tuple[_Node, str, bool]]:
             continue
         tag = m[2].lower()
         if m[1]:
-            if tag in _BLOCKS or tag in _DROPPED or any(n.tag == tag for n in stack):
+            if open_tags[tag] > 0:
                 for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == tag:
+                    own = nodes[stack[k]].tag
+                    if own == tag:
                         close(k)
                         break
-                    if stack[k].tag in ("td", "th", "table") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html", "div", "article", "section", "main"):
+                    if own in ("td", "th", "table") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html", "div", "article", "section", "main"):
                         break
             continue
         if tag == "br":
             parts.append("\n")
             continue
         if tag in _BLOCKS:
-            if tag in _CLOSES_P:
+            if tag in _CLOSES_P and open_tags["p"] > 0:
                 for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == "p":
+                    if nodes[stack[k]].tag == "p":
                         close(k)
                         break
-                    if stack[k].tag in _BLOCKS:
+                    if nodes[stack[k]].tag in _BLOCKS:
                         break
-            if tag in _SAME:
+            if tag in _SAME and any(open_tags[x] > 0 for x in _SAME[tag]):
                 for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag in _SAME[tag]:
+                    if nodes[stack[k]].tag in _SAME[tag]:
                         close(k)
                         break
-                    if stack[k].tag in _STOPS[tag]:
+                    if nodes[stack[k]].tag in _STOPS[tag]:
                         break
             flush()
         if tag in _VOID:
@@ -141,102 +216,69 @@ def parse(html: str | None) -> list[tuple[_Node, str, bool]]:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.IGNORECASE).search(html, at)
             at = end.end() if end else size
             continue
-        if tag in ("html", "body") and any(n.tag == tag for n in stack):
+        if tag in ("html", "body") and open_tags[tag] > 0:
             continue
-        if tag not in _BLOCKS and tag not in _DROPPED and tag != "a":
-            stack.append(_Node(tag, stack[-1].path, False, stack[-1]))
+        up = stack[-1]
+        if tag not in _BLOCKS and tag not in _DROPPED:
+            enter(_Node(tag, nodes[up].parts, nodes[up].lead, False, up))
+            links += tag == "a"
             continue
         if tag in _DROPPED:
             flush()
-        if tag == "body":
-            close(next((k for k, n in enumerate(stack) if n.tag == "head"), len(stack)))
-        name, hidden, marked = _named(tag, m[3]) if tag != "a" else (tag, False, False)
-        parent = stack[-1]
-        path = parent.path if tag == "a" else f"{parent.path}/{name}"
-        inside = parent
-        while inside is not None and inside.tag not in ("article", "main"):
-            inside = inside.parent
-        dropped = tag in _DROPPED and not (tag == "header" and inside is not None)
-        stack.append(_Node(tag, path, dropped or hidden, parent, marked))
-        links += tag == "a"
+        if tag == "body" and open_tags["head"] > 0:
+            close(next(k for k, n in enumerate(stack) if nodes[n].tag == "head"))
+            up = stack[-1]
+        name, hidden, marked = _named(tag, m[3])
+        dropped = tag in _DROPPED and not (tag == "header" and open_tags["article"] + open_tags["main"] > 0)
+        enter(_Node(tag, *nodes[up].below(name), dropped or hidden, up, marked))
     flush()
-    return _judged(blocks)
+    return Page(nodes, blocks)
 
 
-def _judged(blocks: list[tuple[_Node, str]]) -> list[tuple[_Node, str, bool]]:
-    """Blocks with whether they lie in dropped content: below a dropped element, or one whose names mark it.
+def scores(page: Page) -> dict[str, float]:
+    """A score for each container path of a page: text, less links, more for sentences and several blocks.
 
-    Names do not drop a container that holds most of the page's plain text, which is what is
-    neither in dropped elements nor in links. Where an article or main element whose names mark
-    nothing has text, that container must hold one: a long thread does not outweigh a short article.
+    One pass from the last node to the first hands each container's text on to the one around it, with
+    less weight at each step, so of containers within one another the innermost that holds all wins.
     """
-    plain: dict[int, int] = {}
-    articles: set[int] = set()
-    total = 0
-    seen = {id(n): n for n, _ in blocks}
-    for node in seen.values():
-        chain = []
-        up = node
-        while up is not None:
-            chain.append(up)
-            up = up.parent
-        if not any(n.around for n in chain):
-            amount = node.own - node.linked
-            total += amount
-            for n in chain:
-                plain[id(n)] = plain.get(id(n), 0) + amount
-            for k, n in enumerate(chain):
-                if n.tag in ("article", "main") and amount > 0 and not any(x.named for x in chain[: k + 1]):
-                    articles.update(map(id, chain[k:]))
-    out = []
-    for node, text in blocks:
-        around, up = False, node
-        while up is not None and not around:
-            most = 2 * plain.get(id(up), 0) > total and (not articles or id(up) in articles)
-            around, up = up.around or (up.named and not most), up.parent
-        out.append((node, text, around))
-    return out
-
-
-def scores(blocks) -> dict[str, float]:
-    """A score for each container path of a page: text, less links, more for sentences and several blocks."""
-    found: dict[int, list] = {}
-    for node, text, around in blocks:
-        if around:
-            continue
-        plain = len(text)
-        up, weight = node, 1.0
-        if node.tag in ("p", "li", "blockquote", "pre", "td", "dd", *_HEADINGS):
-            up = node.parent
-        while up is not None and up.parent is not None and up.tag not in ("html",):
-            if up.tag in _BLOCKS:
-                entry = found.setdefault(id(up), [up, 0.0, 0])
-                entry[1] += plain * weight
-                entry[2] += 1
-                weight *= 0.7  # of containers within one another the innermost that holds all wins
-            up = up.parent
-    linked: dict[int, float] = {}
-    for node in {id(n): n for n, _, a in blocks if not a}.values():
-        up = node
-        while up is not None:
-            linked[id(up)] = linked.get(id(up), 0) + node.linked
-            up = up.parent
+    nodes, n = page.nodes, len(page.nodes)
+    amount, count, linked = [0.0] * n, [0] * n, [0] * n
+    for k, text, around in page.blocks:
+        if not around:
+            own = nodes[k]
+            k = own.parent if own.tag in ("p", "li", "blockquote", "pre", "td", "dd", *_HEADINGS) else k
+            amount[k] += len(text)
+            count[k] += 1
+    kept = {k for k, _, around in page.blocks if not around}
+    for k in kept:
+        linked[k] += nodes[k].linked
     out: dict[str, float] = {}
-    for node, amount, count in found.values():
-        bonus = {"article": 1.5, "main": 1.3}.get(node.tag, 1.0)
-        out[node.path] = out.get(node.path, 0.0) + max(0.0, amount - 2 * linked.get(id(node), 0)) * bonus * (1 + min(count, 10) / 20)
+    for k in range(n - 1, 0, -1):
+        node = nodes[k]
+        block = node.tag in _BLOCKS
+        linked[node.parent] += linked[k]
+        if node.tag != "html":
+            amount[node.parent] += amount[k] * (0.7 if block else 1)
+            count[node.parent] += count[k]
+        if block and count[k] and node.tag != "html":
+            bonus = {"article": 1.5, "main": 1.3}.get(node.tag, 1.0)
+            score = max(0.0, amount[k] - 2 * linked[k]) * bonus * (1 + min(count[k], 10) / 20)
+            if score > 1e-6:  # far above its text a container has no weight left
+                out[node.path] = out.get(node.path, 0.0) + score
     return out
 
 
-def text_below(blocks, path: str | None) -> str:
+def text_below(page: Page, path: str | None) -> str:
     """The text of the blocks in containers of ``path``, or of all blocks if no container has it; parts dropped by their kind stay out."""
-    if path is not None and not any(_within(node, path) for node, _, around in blocks if not around):
-        path = None
-    return "\n\n".join(text for node, text, around in blocks if not around and (path is None or _within(node, path)))
+    inside = page.within(path) if path is not None else []
+    if path is None or not any(inside[k] for k, _, around in page.blocks if not around):
+        inside = [True] * len(page.nodes)
+    return "\n\n".join(text for k, text, around in page.blocks if not around and inside[k])
 
 
-def _within(node: _Node, path: str) -> bool:
-    return node.path == path or node.path.startswith(path + "/")
+def has_container(page: Page, path: str) -> bool:
+    inside = page.within(path)
+    return any(inside[k] for k, _, around in page.blocks if not around)
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
@@ -245,9 +287,9 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     Each page names the container whose text scores best, as a path of tags and classes with
     digits generalised, and the host's pages vote with their scores, at most one vote's worth
     each. The path with most votes is the host's; a page that has no such container uses its own
-    best. Character references are decoded, white space within a block becomes one space, blocks
-    are joined by an empty line; nothing else is dropped or cut. Null and empty html gives an
-    empty text; pages without a host vote together; ties go to the path that sorts first;
+    best. Character references are decoded, white space (as Unicode has it) within a block becomes
+    one space, blocks are joined by an empty line; nothing else is dropped or cut. Null and empty html
+    gives an empty text; pages without a host vote together; ties go to the path that sorts first;
     repeated rows are each extracted; other columns stay, those named like a new one are replaced.
 
     Votes are summed before the shuffle, so a host with a third of all pages is a few rows. The
@@ -264,11 +306,9 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
             for name, page in zip(batch.column("host").to_pylist(), batch.column("html"), strict=True):
                 found = scores(parse(page.as_py()))
                 total = sum(found.values())
-                for path, score in found.items():
-                    if score > 0:
-                        hosts.append(name)
-                        paths.append(path)
-                        votes.append(score / total)
+                hosts += [name] * len(found)
+                paths += list(found)
+                votes += [score / total for score in found.values()]
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(votes, pa.float64())], ["host", "path", "vote"])
 
     votes = pages.select(host.alias("host"), "html").mapInArrow(ballot, "host string, path string, vote double").groupBy("host", "path").agg(F.sum("vote").alias("votes"))
@@ -280,13 +320,13 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             used, texts = [], []
-            for page, path in zip(batch.column("row").field("html"), batch.column("elected").to_pylist(), strict=True):
-                blocks = parse(page.as_py())
-                if path is None or not any(_within(node, path) for node, _, around in blocks if not around):
-                    found = scores(blocks)
+            for raw, path in zip(batch.column("row").field("html"), batch.column("elected").to_pylist(), strict=True):
+                page = parse(raw.as_py())
+                if path is None or not has_container(page, path):
+                    found = scores(page)
                     path = min(found, key=lambda p: (-found[p], p)) if found else None
                 used.append(path)
-                texts.append(text_below(blocks, path))
+                texts.append(text_below(page, path))
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("host"), pa.array(used, pa.string()), pa.array(texts, pa.string())], schema.names)
 
     return asked.mapInArrow(run, schema).select("row.*", "host", "container", "text", F.char_length("text").cast("long").alias("n_chars"))
