@@ -79,6 +79,21 @@ def test_fm_index_finds_all(text, pattern):
     assert sorted(index.locate(np.arange(low[0], high[0])).tolist()) == want
 
 
+def test_fm_index_keeps_sampled_positions_only():
+    text = np.concatenate([np.random.default_rng(1).integers(1, 40, 20_000), [0]])
+    sizes = {rate: FMIndex(text, rate).sample.nbytes for rate in (4, 64)}
+    assert sizes[64] < sizes[4] / 12 and sizes[4] <= 4 * (len(text) // 4 + 2)
+    index = FMIndex(text, 64)
+    assert sum(x.words.nbytes + x.counts.nbytes for x in index.levels) < 2 * len(text)
+
+
+def test_items_without_an_id(spark):
+    docs = documents(spark, [(1, "a b c d e"), (2, "x y")])
+    bench = spark.createDataFrame([(None, "a b c"), (7, "x y z q"), (8, "d e")], "item_id long, text string")
+    got = {r.doc_id: (r.n_hit, r["items"], r.n_items) for r in find_phrases(docs, bench, 3).collect()}
+    assert got == {1: (5, ["8"], 1), 2: (0, [], 0)}
+
+
 def brute_hits(text, items, size):
     words = [m for m in re.finditer("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))]
     names, hit = [m[0] for m in words], set()
@@ -512,13 +527,13 @@ def test_personal_data_rows(spark):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.text(alphabet="ab/*?", max_size=7), min_size=1, max_size=12), st.lists(st.text(alphabet="ab/", max_size=9), max_size=8))
+@given(st.lists(st.text(alphabet="ab/*?\\", max_size=7), min_size=1, max_size=12), st.lists(st.text(alphabet="ab/", max_size=9), max_size=8))
 def test_automaton_matches_like_regexes(globs, texts):
     raw = [t.encode() for t in texts]
     offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
     got = GlobAutomaton(globs * 5).match(np.frombuffer(b"".join(raw), dtype=np.uint8), offsets)
     for k, g in enumerate(globs * 5):
-        pattern = re.compile("".join(".*" if p == "**" else "[^/]*" if p == "*" else "[^/]" if p == "?" else re.escape(p) for p in re.findall(r"\*\*|.", g)))
+        pattern = re.compile("".join(".*" if p == "**" else "[^/]*" if p == "*" else "[^/]" if p == "?" else re.escape(p[-1]) for p in re.findall(r"\\.|\*\*|.", g)))
         assert [bool(x) for x in got[:, k]] == [pattern.fullmatch(t) is not None for t in texts], g
 
 
@@ -533,6 +548,15 @@ def test_longest_rule_decides(spark):
     assert judge_urls(df.limit(0), rules, []).count() == 0 and judge_urls(df, [], []).where("verdict = 'block'").count() == 0
 
 
+def test_rules_without_a_path_and_with_signs_of_globs(spark):
+    rules = [Rule("block", "com", ""), Rule("allow", "a.com", "/x*y"), Rule("allow", "q.com", "/?")]
+    urls = ["http://community.net/", "http://a.company.org/", "http://b.com", "http://b.com/p", "http://a.com/xzy", "http://a.com/x*yz", "http://q.com/a", "http://q.com/?a", "http://s.a.com/x*y"]
+    got = [r.rule for r in judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules, []).orderBy("page_id").collect()]
+    assert got == [None, None, "com", "com", "com", "a.com/x*y", "com", "com", "a.com/x*y"]
+    with pytest.raises(ValueError):
+        Rule("block", "com", "x")
+
+
 # --- quality ---------------------------------------------------------------------------------
 
 

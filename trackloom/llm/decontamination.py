@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trackloom.llm._storage import settle
 from trackloom.llm._text import ALNUM, LOWER, Words, hash_words, row_blocks
 from trackloom.llm.fm_index import FMIndex
 
@@ -25,7 +26,7 @@ class Phrases:
         for name, text in items:
             words = _WORD.findall((text or "").translate(_CAPITALS))
             for at in range(max(1, len(words) - size + 1) if words else 0):
-                windows.setdefault(tuple(words[at : at + size]), set()).add(str(name))
+                windows.setdefault(tuple(words[at : at + size]), set()).update([] if name is None else [str(name)])
         vocabulary = sorted({w for window in windows for w in window})
         hashes = hash_words(vocabulary, ALNUM) if vocabulary else np.zeros(0, dtype=np.uint64)
         order = np.argsort(hashes)
@@ -54,7 +55,8 @@ def _occurrences(symbols: np.ndarray, first: np.ndarray, phrases: Phrases, shard
     """(word position, length, names of items) of all occurrences, by one FM-index for each ``shard`` symbols.
 
     A phrase consists of known words, so unknown words are breaks, and runs of known words
-    shorter than the shortest phrase are left out of the index text.
+    shorter than the shortest phrase are left out of the index text: they can hold no occurrence, so
+    this loses none and keeps the index small. The index is therefore of one block of phrases.
     """
     known = np.zeros(len(symbols) + 2, dtype=bool)
     known[1:-1] = symbols > 0
@@ -134,7 +136,7 @@ _FOUND = T.StructType([
 
 
 def _blocks_of(benchmark: DataFrame, limit: int):
-    """Items in blocks of at most ``limit`` characters, fetched partition by partition."""
+    """Items in blocks of at most ``limit`` characters, fetched partition by partition as they are asked for."""
     block, size = [], 0
     for name, text in benchmark.select("item_id", "text").toLocalIterator():
         if block and size + len(text or "") > limit:
@@ -153,21 +155,28 @@ def find_phrases(docs: DataFrame, benchmark: DataFrame, size: int = 13, shard: i
     shards of at most ``shard`` words with an FM-index, searches all phrases at once and merges the
     hit words into removal spans (code points, end exclusive). contaminated: n_hit > 0 and
     20 * n_hit >= n_words. Null and empty texts have no words; null item texts no phrases; repeated
-    rows each get their result; no items flag nothing; other columns stay, and a column of the same name as
-    one of these is replaced.
+    rows each get their result; the phrases of a null item_id are hit, but there is no id to list; no items
+    flag nothing; other columns stay, and a column of the same name as one of these is replaced.
 
     Without ``keep_text`` the text does not come back from the Python workers.
-    The phrases are broadcast in blocks of ``block_chars`` characters, one block after another over
-    the same rows, so what a task holds of the benchmark stays bounded whatever its size.
+    The phrases are broadcast in blocks of ``block_chars`` characters. A benchmark of several blocks is
+    searched block after block, the findings so far written to the shared folder in between, so that
+    the driver and a task hold one block at a time whatever the benchmark's size.
     """
     own = ["n_words", "n_hit", "n_items", "items", "items_sha256", "contaminated", "spans"]
     docs = docs.drop(*own)
     columns = docs.columns if keep_text else [c for c in docs.columns if c != "text"]
     rest = docs.select("text", F.struct(*[c for c in docs.columns if c != "text"], F.lit(0).alias("_")).alias("_row"), F.lit(None).cast(_FOUND).alias("_found"))
-    blocks = list(_blocks_of(benchmark, block_chars))
-    for k, block in enumerate(blocks):
+    blocks = _blocks_of(benchmark, block_chars)
+    block = next(blocks)
+    while block is not None:
+        following = next(blocks, None)
         shared = docs.sparkSession.sparkContext.broadcast(Phrases(block, size))
-        rest = _search(rest, shared, shard, keep_text or k + 1 < len(blocks))
+        rest = _search(rest, shared, shard, keep_text or following is not None)
+        if following is not None:
+            rest = settle(rest, "findings")
+            shared.unpersist()
+        block = following
     found = rest.select(*(["text"] if keep_text else []), "_row.*", "_found.*")
     items = F.array_join(F.array_sort("items"), ",")
     hits = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["words"])
@@ -229,5 +238,3 @@ def remove_spans(text: str | None, spans: list[tuple[int, int]]) -> str | None:
         out.append(text[at:start])
         at = max(at, end)
     return "".join([*out, text[at:]])
-
-

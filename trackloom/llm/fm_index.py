@@ -31,37 +31,51 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
         order = np.argsort(packed)
 
 
+class Bits:
+    """A bitmap and the number of ones before any place: packed words, and a count for each word."""
+
+    def __init__(self, flags: np.ndarray):
+        padded = np.zeros((len(flags) // 64 + 1) * 64, dtype=bool)
+        padded[: len(flags)] = flags
+        self.words = np.packbits(padded, bitorder="little").view("<u8")
+        self.counts = np.zeros(len(self.words) + 1, dtype=np.int32)
+        np.cumsum(np.bitwise_count(self.words), out=self.counts[1:])
+
+    def rank(self, at: np.ndarray) -> np.ndarray:
+        word, bit = at >> 6, (at & 63).astype(np.uint64)
+        return self.counts[word] + np.bitwise_count(self.words[word] & ((np.uint64(1) << bit) - np.uint64(1))).astype(np.int64)
+
+    def get(self, at: np.ndarray) -> np.ndarray:
+        return ((self.words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).astype(np.int64)
+
+
 class FMIndex:
     """Exact search in ``text``, symbols from 1 up in runs that each end with the break 0.
 
-    The wavelet tree is kept level by level, each level one bit a symbol with prefix counts;
-    every ``rate``-th position and every run's first are sampled.
+    The wavelet tree is kept level by level, each level one bit a symbol with counts by word;
+    every ``rate``-th position and every run's first are sampled, and only those are kept.
     """
 
     def __init__(self, text: np.ndarray, rate: int = 16):
         n = self.n = len(text)
         order = suffix_order(text)
-        last = np.where(order > 0, text[order - 1], 0)
+        level = np.where(order > 0, text[order - 1], 0)
         self.bits = max(1, int(text.max()).bit_length())
-        self.ones, self.zeros = [], []
-        level = last
+        self.levels, self.zeros = [], []
         for shift in range(self.bits - 1, -1, -1):
-            bit = (level >> shift) & 1
-            count = np.zeros(n + 1, dtype=np.int32)
-            np.cumsum(bit, out=count[1:])
-            self.ones.append(count)
-            self.zeros.append(n - int(count[-1]))
-            level = np.concatenate([level[bit == 0], level[bit == 1]])
+            bit = ((level >> shift) & 1).astype(bool)
+            self.levels.append(Bits(bit))
+            self.zeros.append(n - int(np.count_nonzero(bit)))
+            level = np.concatenate([level[~bit], level[bit]])
         symbols = np.arange(1 << self.bits)
         self.before = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=1 << self.bits))])[:-1]
         self.origin = self._descend(symbols, np.zeros(len(symbols), dtype=np.int64))
-        sampled = (np.arange(n) % rate == 0) | np.concatenate([[True], text[:-1] == 0])
-        self.sampled = sampled[order]
-        self.sample = order
+        sampled = ((np.arange(n) % rate == 0) | np.concatenate([[True], text[:-1] == 0]))[order]
+        self.sampled, self.sample = Bits(sampled), order[sampled].astype(np.int32)
 
     def _descend(self, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
-        for k, (ones, zeros) in enumerate(zip(self.ones, self.zeros, strict=True)):
-            one = ones[at]
+        for k, (level, zeros) in enumerate(zip(self.levels, self.zeros, strict=True)):
+            one = level.rank(at)
             at = np.where((symbols >> (self.bits - 1 - k)) & 1, zeros + one, at - one)
         return at
 
@@ -84,16 +98,16 @@ class FMIndex:
         return low, np.maximum(low, high)
 
     def locate(self, rows: np.ndarray) -> np.ndarray:
-        """Text positions of suffix rows: step back until a sampled row is met."""
+        """Text positions of suffix rows: step back until a sampled row is met, whose rank among those finds its position."""
         found, steps = np.empty(len(rows), dtype=np.int64), 0
         live, at = np.arange(len(rows)), rows.copy()
         while len(live):
-            done = self.sampled[at]
-            found[live[done]] = self.sample[at[done]] + steps
+            done = self.sampled.get(at) == 1
+            found[live[done]] = self.sample[self.sampled.rank(at[done])] + steps
             live, at = live[~done], at[~done]
             symbols, inner = np.zeros(len(at), dtype=np.int64), at.copy()
-            for ones, zeros in zip(self.ones, self.zeros, strict=True):
-                one, bit = ones[inner], ones[inner + 1] - ones[inner]
+            for level, zeros in zip(self.levels, self.zeros, strict=True):
+                one, bit = level.rank(inner), level.get(inner)
                 inner = np.where(bit, zeros + one, inner - one)
                 symbols = 2 * symbols + bit
             at = self.before[symbols] + inner - self.origin[symbols]
