@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import string
 from dataclasses import dataclass
 
@@ -16,21 +17,32 @@ _ONE = np.uint64(1)
 
 @dataclass(frozen=True)
 class Rule:
-    """``path`` starts with `/` or is empty; fits ``host`` and all its subdomains."""
+    """Fits ``host`` and all its subdomains, where a URL's path starts with ``path``, which begins with `/` or is empty. No sign of either is a wildcard."""
 
     verdict: str
     host: str
     path: str
 
+    def __post_init__(self):
+        if self.path and not self.path.startswith("/"):
+            raise ValueError(f"a rule's path begins with a slash: {self.path}")
+
     @property
     def name(self) -> str:
         return self.host + self.path
 
+    def globs(self) -> list[str]:
+        """What host + path of a fitting URL matches; without a path the host must end where the rule's does."""
+        own = re.sub(r"([*?\\])", r"\\\1", self.name)
+        ends = ["**"] if self.path else ["", "/**"]
+        return [f"{lead}{own}{end}" for lead in ("", "*.") for end in ends]
+
 
 class GlobAutomaton:
     """Globs over bytes, packed into masks of 64-bit words and matched against whole strings.
 
-    `*` stands for any run without `/`, `**` for any run, `?` for one byte other than `/`.
+    `*` stands for any run without `/`, `**` for any run, `?` for one byte other than `/`, and a
+    backslash before any of them (or another) for that sign itself.
     A glob of m bytes owns m + 1 neighbouring bits, bit j saying that j bytes are matched.
     One step is Shift-And with loops: D = ((D << 1) & B[c]) | (D & L[c]), the shift carrying
     from word to word; no byte leads into a first bit, so globs do not run into each other.
@@ -66,6 +78,9 @@ class GlobAutomaton:
             elif raw[i] == ord("*"):
                 loops.setdefault(len(symbols), "*")
                 i += 1
+            elif raw[i] == ord("\\") and i + 1 < len(raw):
+                symbols.append(raw[i + 1])
+                i += 2
             else:
                 symbols.append(None if raw[i] == ord("?") else raw[i])
                 i += 1
@@ -119,7 +134,9 @@ def judge_urls(pages: DataFrame, rules: list[Rule], blocked: list[str], column:
     kept = [c for c in pages.columns if c not in own]
     host, path = canonical(F.coalesce(F.col(column), F.lit("")))
     ordered = sorted(rules, key=lambda r: -len(r.name))
-    automaton = GlobAutomaton([g for r in ordered for g in (f"{r.name}**", f"*.{r.name}**")] + list(blocked))
+    ruled_globs = [(k, g) for k, r in enumerate(ordered) for g in r.globs()]
+    firsts = [next(j for j, (k, _) in enumerate(ruled_globs) if k == i) for i in range(len(ordered))]
+    automaton = GlobAutomaton([g for _, g in ruled_globs] + list(blocked))
     names, verdicts = [r.name for r in ordered] + [None], [r.verdict for r in ordered]
 
     def run(batches):
@@ -128,10 +145,10 @@ def judge_urls(pages: DataFrame, rules: list[Rule], blocked: list[str], column:
             offsets = np.frombuffer(subject.buffers()[1], dtype=np.int64)[subject.offset : subject.offset + len(subject) + 1]
             data = np.frombuffer(subject.buffers()[2] or b"", dtype=np.uint8)
             found = automaton.match(data, offsets)
-            ruled = found[:, 0 : 2 * len(ordered) : 2] | found[:, 1 : 2 * len(ordered) : 2]
-            some = ruled.any(axis=1) if ordered else np.zeros(len(found), dtype=bool)
+            ruled = np.logical_or.reduceat(found[:, : len(ruled_globs)], firsts, axis=1) if ordered else found[:, :0]
+            some = ruled.any(axis=1)
             which = np.where(some, ruled.argmax(axis=1), len(ordered)) if ordered else np.zeros(len(found), dtype=np.int64)
-            bad = found[:, 2 * len(ordered) :].any(axis=1)
+            bad = found[:, len(ruled_globs) :].any(axis=1)
             rule = [names[k] for k in which.tolist()]
             verdict = [verdicts[k] if k < len(ordered) else ("block" if b else "allow") for k, b in zip(which.tolist(), bad.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("host"), batch.column("path"), pa.array(rule, pa.string()), pa.array(verdict, pa.string())], ["row", *own])
