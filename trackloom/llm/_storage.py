@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,10 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession, label: str) -> str:
     """A fresh path below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where the cluster names no such folder (single-machine tests) is one made.
+    Where the session names no such folder a local one will do only for a session within one process.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local($|\[)", spark.conf.get("spark.master", "")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="trackloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
