@@ -14,15 +14,31 @@ from trackloom.llm._graph import components
 from trackloom.llm._storage import settle
 from trackloom.llm._text import NON_SPACE, Words, row_blocks, shingle_sets
 
-_SLOTS, _CHUNK = 1 << 23, 1 << 17
+_SLOTS, _CHUNK = 1 << 22, 1 << 17
 _BITS = 1 << 24
+_SEEN = 100_000
 
 
-def _sets(column: pa.Array, size: int):
-    """(row, sorted distinct shingle hashes, digest of the set) of every text that has words."""
+def _names(own: np.ndarray) -> tuple[int, int]:
+    """Two independent 64-bit digests of a set."""
+    digest = hashlib.blake2b(own.tobytes(), digest_size=16).digest()
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
+
+
+def _sets(column: pa.Array, size: int, clashes: frozenset[int] | None):
+    """(row, sorted distinct shingle hashes, name of the set) of every text; the second digest names a set whose first one clashes. Without ``clashes`` the name is both."""
     for row, data, offsets in row_blocks(column, 1 << 18):
         for i, own in enumerate(shingle_sets(Words(data, offsets, NON_SPACE), size)):
-            yield row + i, own, int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True) if len(own) else 0
+            both = _names(own) if len(own) else (0, 0)
+            yield row + i, own, both if clashes is None else both[both[0] in clashes]
+
+
+def _clashes(described: DataFrame, most: int = 100_000) -> frozenset[int]:
+    """First digests that several different sets have. Of ten thousand million sets some three are expected to."""
+    both = described.where("n > 0").groupBy("sid").agg(F.min("other").alias("low"), F.max("other").alias("high")).where("low <> high").select("sid").limit(most + 1).collect()
+    if len(both) > most:
+        raise RuntimeError("too many sets share a digest")
+    return frozenset(r.sid for r in both)
 
 
 def signature(own: np.ndarray) -> np.ndarray:
@@ -63,24 +79,24 @@ def _may_link(sizes: np.ndarray, signatures: list[np.ndarray], num: int, den: in
 
 
 def _describe(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, set digest and signature of each row; and, once a task, how often each slot of shingles occurs."""
+    """doc_id, n_shingles, two digests of the set and signature of each row; and, once a task, how often each slot of shingles occurs."""
 
     def run(batches):
         counts = np.zeros(_SLOTS, dtype=np.uint32)
         for batch in batches:
-            n, digest, sketch = np.zeros(batch.num_rows, dtype=np.int64), np.zeros(batch.num_rows, dtype=np.int64), [b""] * batch.num_rows
-            for row, own, name in _sets(batch.column("text"), size):
-                n[row], digest[row], sketch[row] = len(own), name, signature(own).tobytes()
+            n, digests, sketch = np.zeros(batch.num_rows, dtype=np.int64), np.zeros((2, batch.num_rows), dtype=np.int64), [b""] * batch.num_rows
+            for row, own, names_of in _sets(batch.column("text"), size, None):
+                n[row], digests[:, row], sketch[row] = len(own), names_of, signature(own).tobytes()
                 np.add.at(counts, own & np.uint64(_SLOTS - 1), 1)
             nothing = pa.nulls(batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(digest), pa.array(sketch, pa.binary()), nothing.cast(pa.int32()), nothing.cast(pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), *map(pa.array, digests), pa.array(sketch, pa.binary()), nothing.cast(pa.int32()), nothing.cast(pa.binary())], names)
         used = [k for k in range(_SLOTS // _CHUNK) if counts[k * _CHUNK : (k + 1) * _CHUNK].any()]
         packed = [zlib.compress(counts[k * _CHUNK : (k + 1) * _CHUNK].tobytes(), 1) for k in used]
         nothing = pa.nulls(len(used))
-        yield pa.RecordBatch.from_arrays([*[nothing.cast(pa.int64())] * 3, nothing.cast(pa.binary()), pa.array(used, pa.int32()), pa.array(packed, pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([*[nothing.cast(pa.int64())] * 4, nothing.cast(pa.binary()), pa.array(used, pa.int32()), pa.array(packed, pa.binary())], names)
 
-    names = ["doc_id", "n", "sid", "sketch", "chunk", "counts"]
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, sid long, sketch binary, chunk int, counts binary")
+    names = ["doc_id", "n", "sid", "other", "sketch", "chunk", "counts"]
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, sid long, other long, sketch binary, chunk int, counts binary")
 
 
 def _tiers(described: DataFrame) -> np.ndarray:
@@ -116,7 +132,7 @@ def _prefix(own: np.ndarray, tiers: np.ndarray, num: int, den: int) -> np.ndarra
     return own[:k] if not tier.any() else own[np.argsort(tier, kind="stable")[:k]]
 
 
-def _regions(docs: DataFrame, size: int, num: int, den: int, tiers, ranges: int) -> DataFrame:
+def _regions(docs: DataFrame, size: int, num: int, den: int, tiers, ranges: int, clashes: frozenset[int]) -> DataFrame:
     """(pivot, sid, n): the members of each pivot's region, with the sizes of their sets.
 
     The shingles of a set's prefix are its nearest points. All sets that hold a point go to the
@@ -140,10 +156,10 @@ def _regions(docs: DataFrame, size: int, num: int, den: int, tiers, ranges: int)
             return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *[pa.array([c[x].tobytes() for x in slices], pa.binary()) for c in (p, s, n)]], ["range", "points", "sids", "sizes"])
 
         for batch in batches:
-            for _, own, name in _sets(batch.column("text"), size):
+            for _, own, name in _sets(batch.column("text"), size, clashes):
                 if not len(own) or name in seen:
                     continue
-                if len(seen) >= 200_000:
+                if len(seen) >= _SEEN:
                     seen.clear()
                 seen.add(name)
                 first = _prefix(own, table, num, den)
@@ -151,7 +167,7 @@ def _regions(docs: DataFrame, size: int, num: int, den: int, tiers, ranges: int)
                 names.append(np.full(len(first), name, dtype=np.int64))
                 sizes.append(np.full(len(first), len(own), dtype=np.int32))
                 held += len(first)
-                if held >= 1_000_000:
+                if held >= 500_000:
                     yield flush()
                     points, names, sizes, held = [], [], [], 0
         if points:
@@ -175,22 +191,23 @@ def _regions(docs: DataFrame, size: int, num: int, den: int, tiers, ranges: int)
     return posted.groupBy("range").applyInArrow(meet, "pivot long, sid long, n long").distinct()
 
 
-def _needed_sets(docs: DataFrame, size: int, regions: DataFrame) -> DataFrame:
+def _needed_sets(docs: DataFrame, size: int, regions: DataFrame, clashes: frozenset[int]) -> DataFrame:
     """(sid, tokens) of the sets that lie in a region. A bitmap of fixed size keeps the others from being sent."""
     slot = F.pmod("sid", F.lit(_BITS))
     rows = regions.select((slot / 32768).cast("long").alias("bucket"), F.pmod(slot, F.lit(32768)).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
-    bits = np.zeros(_BITS, dtype=bool)
+    bits = np.zeros(_BITS // 8, dtype=np.uint8)
     for bucket, own in rows:
-        bits[bucket * 32768 : (bucket + 1) * 32768] = np.unpackbits(np.frombuffer(own, dtype=np.uint8), bitorder="little")
-    wanted = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
+        bits[bucket * 4096 : (bucket + 1) * 4096] = np.frombuffer(own, dtype=np.uint8)
+    wanted = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches):
-        bits, seen = np.unpackbits(wanted.value).astype(bool), set()
+        bits, seen = wanted.value, set()
         for batch in batches:
             names, tokens = [], []
-            for _, own, name in _sets(batch.column("text"), size):
-                if len(own) and bits[name % _BITS] and name not in seen:
-                    if len(seen) >= 200_000:
+            for _, own, name in _sets(batch.column("text"), size, clashes):
+                slot = name % _BITS
+                if len(own) and bits[slot >> 3] >> (slot & 7) & 1 and name not in seen:
+                    if len(seen) >= _SEEN:
                         seen.clear()
                     seen.add(name)
                     names.append(name)
@@ -276,7 +293,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     Words are `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z; a text's set holds its distinct
     shingles of ``size`` words, or all its words as one shingle if it has fewer. Two texts link
     when den * intersection >= num * union. Null and empty texts have no shingles and link with
-    nothing, their component is their own doc_id. Rows with equal sets are one class and are
+    nothing, their component is their own doc_id. Rows with equal sets (told by 64-bit hashes of
+    shingles and digests of sets; digests that clash are looked for and replaced) are one class and are
     compared once; rows with a null doc_id take part, and a component of such rows only is null;
     repeated rows are each returned; no rows give no rows; other columns are not read.
 
@@ -290,11 +308,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     spark = docs.sparkSession
     described = settle(_describe(docs, size), "shingles")
     total = described.agg(F.sum("n")).first()[0] or 0
+    clashes = _clashes(described)
+    if clashes:
+        described = described.withColumn("sid", F.when(F.col("sid").isin(*clashes), F.col("other")).otherwise(F.col("sid")))
     tiers = spark.sparkContext.broadcast(_tiers(described))
-    ranges = 1 << max(10, (total // 5_000_000).bit_length())
-    regions = settle(_regions(docs, size, num, den, tiers, ranges), "regions")
+    ranges = 1 << max(10, (total // 2_500_000).bit_length())
+    regions = settle(_regions(docs, size, num, den, tiers, ranges, clashes), "regions")
     regions = settle(_sifted(regions, described, num, den, block), "regions")
-    edges = components(_links(regions, docs, size, num, den, block))
+    edges = components(_links(regions, docs, size, num, den, block, clashes))
     return _classes(described.where("chunk is null").select("doc_id", "n", "sid"), edges)
 
 
@@ -317,8 +338,8 @@ def _sifted(regions: DataFrame, described: DataFrame, num: int, den: int, block:
     return small.union(members.where("parts > 1").select("pivot", "sid", "n"))
 
 
-def _links(regions: DataFrame, docs: DataFrame, size: int, num: int, den: int, block: int) -> DataFrame:
-    sets = _needed_sets(docs, size, regions)
+def _links(regions: DataFrame, docs: DataFrame, size: int, num: int, den: int, block: int, clashes: frozenset[int]) -> DataFrame:
+    sets = _needed_sets(docs, size, regions, clashes)
     parts = regions.groupBy("pivot").agg(_parts(block).alias("parts"))
     members = regions.join(parts, "pivot").drop("n")
     own = members.where("sid <> pivot").withColumn("part", F.pmod(F.xxhash64("sid", "pivot"), F.col("parts")))
@@ -341,10 +362,10 @@ def _links(regions: DataFrame, docs: DataFrame, size: int, num: int, den: int, b
     found = settle(dealt.groupBy("pivot", "part").applyInArrow(within, "a long, b long, far double, near boolean"), "links")
     links = found.where("far is null").select("a", "b")
     members = found.where("far is not null").select(F.col("a").alias("pivot"), F.col("b").alias("sid"), "far", "near")
-    return links.union(_across(members, docs, size, num, den, block)) if members.where("not near").limit(1).count() else links
+    return links.union(_across(members, docs, size, num, den, block, clashes)) if members.where("not near").limit(1).count() else links
 
 
-def _across(members: DataFrame, docs: DataFrame, size: int, num: int, den: int, block: int) -> DataFrame:
+def _across(members: DataFrame, docs: DataFrame, size: int, num: int, den: int, block: int, clashes: frozenset[int]) -> DataFrame:
     """Links between parts of a large region.
 
     Members within the threshold of the pivot are connected by it already. What is left are those
@@ -363,7 +384,7 @@ def _across(members: DataFrame, docs: DataFrame, size: int, num: int, den: int,
     mine, other = F.struct("shell", "own"), F.struct(F.col("other").alias("shell"), F.col("theirs").alias("own"))
     keyed = placed.select("pivot", "sid", "far", F.least(mine, other).alias("low"), F.greatest(mine, other).alias("high")).distinct()
     keyed = settle(keyed, "blocks")
-    sets = _needed_sets(docs, size, keyed)
+    sets = _needed_sets(docs, size, keyed, clashes)
 
     def within(table: pa.Table) -> pa.Table:
         sids = table.column("sid").to_pylist()
