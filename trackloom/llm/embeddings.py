@@ -28,26 +28,37 @@ def spherical_kmeans(unit: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -
 
 
 def _described(vectors: DataFrame) -> DataFrame:
-    """vec_id, and for vectors that can link: label, dim, digest of both and the components, unit vector as bytes."""
+    """vec_id, and for vectors that can link: label, dim, digest of label and components in two halves, unit vector as bytes."""
 
     def run(batches):
         for batch in batches:
-            ids, units, dims, ok = [], [], [], []
+            ids, others, units, dims = [], [], [], []
             for label, vector in zip(batch.column("label").to_pylist(), batch.column("embedding"), strict=True):
                 x = np.array(vector.values.to_numpy(zero_copy_only=False), dtype=np.float64) if vector.is_valid and not vector.values.null_count else np.zeros(0)
                 largest = np.abs(x).max() if len(x) and np.isfinite(x).all() else 0
                 good = label is not None and largest > 0
-                ok.append(good)
+                digest = b""
                 if good:
                     x = x / largest
                     x = x / np.linalg.norm(x)
-                ids.append(int.from_bytes(hashlib.blake2b(x.tobytes() + f"{label}".encode(), digest_size=8).digest(), "little", signed=True) if good else None)
+                    digest = hashlib.blake2b(x.tobytes() + f"{label}".encode(), digest_size=16).digest()
+                ids.append(int.from_bytes(digest[:8], "little", signed=True) if good else None)
+                others.append(int.from_bytes(digest[8:], "little", signed=True) if good else None)
                 units.append(x.tobytes() if good else None)
                 dims.append(len(x) if good else None)
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(ids, pa.int64()), batch.column("label"), pa.array(dims, pa.int32()), pa.array(units, pa.binary())], ["vec_id", "cid", "label", "dim", "unit"])
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(ids, pa.int64()), pa.array(others, pa.int64()), batch.column("label"), pa.array(dims, pa.int32()), pa.array(units, pa.binary())], ["vec_id", "cid", "other", "label", "dim", "unit"])
 
     asked = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
-    return asked.mapInArrow(run, "vec_id long, cid long, label long, dim int, unit binary")
+    return asked.mapInArrow(run, "vec_id long, cid long, other long, label long, dim int, unit binary")
+
+
+def _told_apart(rows: DataFrame, most: int = 100_000) -> DataFrame:
+    """``rows`` with a cid for each distinct vector of a label: where different ones share the first 64 bits of their digest, the other 64 serve."""
+    both = rows.where("cid is not null").groupBy("cid").agg(F.min("other").alias("low"), F.max("other").alias("high")).where("low <> high").select("cid").limit(most + 1).collect()
+    if len(both) > most:
+        raise RuntimeError("too many vectors share a digest")
+    clash = F.col("cid").isin(*[r.cid for r in both]) if both else F.lit(False)
+    return rows.withColumn("cid", F.when(clash, F.col("other")).otherwise(F.col("cid"))).drop("other")
 
 
 def _apart(centre: np.ndarray) -> np.ndarray:
@@ -148,7 +159,7 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.98, block: int
     on to the components.
     """
     spark = vectors.sparkSession
-    rows = settle(_described(vectors), "vectors")
+    rows = _told_apart(settle(_described(vectors), "vectors"))
     good = rows.where("cid is not null")
     classes = settle(good.groupBy("cid").agg(F.first("label").alias("label"), F.first("dim").alias("dim"), F.first("unit").alias("unit"), F.count("*").alias("copies")), "vector-classes")
     per_label = classes.groupBy("label", "dim").count()
