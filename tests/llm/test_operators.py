@@ -24,7 +24,7 @@ from trackloom.llm.fm_index import FMIndex
 from trackloom.llm.html import extract_main_text, parse, scores, text_below
 from trackloom.llm.jaccard import _may_link, join_region, near_duplicates, signature
 from trackloom.llm.packing import TournamentTree, first_fit_decreasing, pack
-from trackloom.llm.pii import SegmentField, _likelihood, all_spans, base_spans, candidates, find_personal_data, fit_field, luhn, mask, train_field
+from trackloom.llm.pii import FEATURES, SegmentField, _likelihood, all_spans, base_spans, candidates, find_personal_data, fit_field, luhn, mask, perturbed, train_field, windows_of
 from trackloom.llm.quality import held_out, score_quality, train_quality
 from trackloom.llm.urls import GlobAutomaton, Rule, judge_urls
 from trackloom.llm.warc import archive_and_read, build_archive, read_archive, read_warc, write_warc
@@ -510,6 +510,78 @@ def test_field_finds_what_patterns_miss(spark):
     assert isinstance(fit_field(windows), SegmentField) and isinstance(fit_field([]), SegmentField)
 
 
+def best_by_enumeration(text, field):
+    """Score of the best set of disjoint candidate spans."""
+    _, spans, x = candidates(text)
+    value = (x @ field.weights.T).max(axis=1) if spans else []
+    spans = [(s[0], s[1], v) for s, v in zip(spans, value) if v > 0]
+
+    def best(at):
+        return max([0.0, *(v + best(b) for a, b, v in spans if a >= at)])
+
+    return best(0)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="a1@. +-:\n", max_size=14), st.integers(1, 9))
+def test_decoding_is_the_best_labelling(text, seed):
+    field = SegmentField(np.random.default_rng(seed).normal(size=(5, len(FEATURES))))
+    got = field.decode(text, starts=3)
+    assert all(a[1] <= b[0] for a, b in zip(got, got[1:]))
+    places = {(s[2], s[3]): (field.weights @ row).max() for _, spans, x in [candidates(text)] for s, row in zip(spans, x)}
+    assert sum(places[a, b] for a, b, _ in got) == pytest.approx(best_by_enumeration(text, field))
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["word", " ", "1", "@", ". ", "é", "\n", "x9", "-", "wordsthatarelong " * 3, "a,b;c:d " * 4]), max_size=40))
+def test_windows_hold_every_candidate(parts):
+    text = "".join(parts)
+    windows = windows_of(text)
+    assert all(a < b and text[a:b].strip() for a, b in windows) and all(x[1] < y[0] or x[1] <= y[0] for x, y in zip(windows, windows[1:]))
+    starts = set(candidates(text)[0])
+    assert all(a in starts for a, _ in windows)
+    for _, _, a, b in candidates(text)[1]:
+        assert any(x <= a and b <= y for x, y in windows)
+
+
+def test_a_long_dense_text_is_labelled_as_a_whole():
+    field = fit_field([])
+    value = "4918.1871.2863.5271"
+    text = "9 " * 9000 + f"a.b @ c.de {value}"
+    spans = all_spans(text, field)
+    assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+    assert [s for s in all_spans("x " * 50_000 + "me@b.de", field)] == [(100_000, 100_007, "email", True)]
+
+
+def test_rows_of_personal_data_by_brute_force(spark):
+    docs = table(spark, "documents").select("doc_id", "text")
+    field = train_field(docs)
+    for r in find_personal_data(docs, field).collect():
+        base = sorted(plain_base(r.text or ""), key=lambda s: (s[0], ["email", "ip", "card", "phone"].index(s[2])))
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s[2] == k for s in base) for k in ("email", "ip", "card", "phone")]
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, b, k in base).encode()).hexdigest()
+        assert [(s.start, s.end, s.kind) for s in r.found if s.base] == base
+        assert r.spans == ",".join(f"{s.kind}:{s.start}:{s.end}" for s in r.found)
+
+
+def test_the_field_learns_forms_that_no_pattern_knows(spark):
+    field, plain = train_field(table(spark, "documents")), fit_field([])
+    rnd, forms = random.Random(8), np.random.default_rng(9)
+    hits = {"learnt": 0, "unlearnt": 0, "all": 0}
+    for k in range(120):
+        digits = "".join(rnd.choice("123456789") for _ in range(15))
+        card = next(digits + c for c in "0123456789" if luhn(digits + c))
+        value = [f"{card[:4]} {card[4:8]} {card[8:12]} {card[12:]}", f"+{rnd.randint(1, 99)} {rnd.randint(100, 999)} {rnd.randint(10**6, 10**7)}", f"{rnd.choice(['ann', 'j.doe'])}{k}@mail{k}.example.org"][k % 3]
+        text, gold = perturbed(f"Some words before {value} and some after.", forms)
+        a, b, kind = gold[-1]
+        hits["all"] += 1
+        hits["learnt"] += (a, b, kind) in [s[:3] for s in all_spans(text, field)]
+        hits["unlearnt"] += (a, b, kind) in [s[:3] for s in all_spans(text, plain)]
+    assert hits["learnt"] >= 0.8 * hits["all"] and hits["learnt"] > hits["unlearnt"]
+    for clean in ("In 2003.04.05 it was 12.500 m long, 00 of 12 @ home.", "Version 1.2.3.4.5 of 2019-2020, pages 100-200, 3/4/5/6.", "It rose +5 and +2020 to +12.5 (+3)."):
+        assert [s for s in all_spans(clean, field) if not s[3]] == []
+
+
 def test_personal_data_rows(spark):
     field = fit_field([])
     docs = documents(spark, [(1, None), (2, ""), (3, "mail é.x1@b.de"), (3, "mail é.x1@b.de"), (4, "1" * 30_000), (5, "+1 (212) 555-7713")]).withColumn("spans", F.lit(1)).withColumn("keep", F.lit("k"))

@@ -26,6 +26,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _SECRET = re.compile(r"(?i)(?:token|secret|api_?key|password)[\x20]?[=:][\x20]?[\"']?([A-Za-z0-9_+/-]{16,128})")
 _TRIGGER = byte_class(lambda b: 48 <= b <= 57 or b == 64)
 _NOT_DIGIT = re.compile("[^0-9]+")
+_NUMBERS = re.compile("[0-9@]")
 
 
 def luhn(digits: str) -> bool:
@@ -73,7 +74,9 @@ _CALL = re.compile(r"(?i)(?:tel|phone|call|mobile|fax)[\x20:.]*$")
 FEATURES = [
     "bias", "at_and_dots", "local_and_host", "four_octets", "octets_in_range", "card_digits", "luhn", "plus", "phone_digits", "only_digits_and_separators",
     "long_mixed_word", "hex_word", "after_key", "after_call", "inner_space", "cut_word", "cut_number", "letters", "other_signs", "length",
+    "grouped_card", "trunk_prefix", "spaced_address",
 ]
+_ADDRESS = re.compile(r"[A-Za-z0-9._%+-]+ ?@ ?[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LONGEST = 16  #: tokens in a candidate span
 
 
@@ -88,6 +91,9 @@ def _features(text: str, a: int, b: int) -> list[float]:
     local, _, host = span.partition("@")
     dialled = not letters and signs == sum(c in " ().-+" for c in span) and span.count("+") == (span[:1] == "+")
     carded = not letters and signs == sum(c in " -" for c in span)
+    grouped = not letters and 12 <= digits <= 19 and signs == sum(c in " -._/" for c in span)
+    valid = grouped and luhn(_NOT_DIGIT.sub("", span))
+    trunk = dialled and span[:2] == "00" and 11 <= digits <= 17
     word = signs == 0
     before, after = text[a - 1 : a], text[b : b + 1]
     return [
@@ -97,7 +103,7 @@ def _features(text: str, a: int, b: int) -> list[float]:
         float(octets),
         float(octets and all(len(p) < 4 and int(p) <= 255 for p in parts)),
         float(carded and 12 <= digits <= 19),
-        float(carded and 12 <= digits <= 19 and luhn(_NOT_DIGIT.sub("", span))),
+        float(valid),
         float(span[:1] == "+"),
         float(dialled and 9 <= digits <= 15),
         float(dialled),
@@ -109,43 +115,52 @@ def _features(text: str, a: int, b: int) -> list[float]:
         float((before.isalnum() or before == "_") and span[:1].isalnum() or (after.isalnum() and span[-1:].isalnum())),
         float(before[:1] in (".", "-", "@", "+") and before != "" or (after in (".", "-", "@") and text[b + 1 : b + 2].isalnum())),
         letters / max(1, len(span)),
-        float(signs - sum(c in " ().-+@_%" for c in span)),
+        0.0 if valid else float(signs - sum(c in " ().-+@_%" for c in span)),
         min(len(span), 64) / 64,
+        float(valid and not carded),
+        float(trunk),
+        float(" " in span and "@" in span and _ADDRESS.fullmatch(span) is not None),
     ]
 
 
-def candidates(text: str) -> tuple[list[int], list[tuple[int, int, int, int]], np.ndarray]:
+def tokens_of(text: str, a: int = 0, b: int | None = None) -> list[tuple[int, int]]:
+    return [m.span() for m in _TOKEN.finditer(text, a, len(text) if b is None else b)]
+
+
+def candidates(text: str, tokens: list[tuple[int, int]] | None = None, first: int = 0, last: int | None = None) -> tuple[list[int], list[tuple[int, int, int, int]], np.ndarray]:
     """Token starts, spans (first token, end token, start, end) of at most LONGEST tokens and their features.
 
     A span begins and ends with a letter or digit (or begins with +), stays on its line and holds a digit or @.
+    Only spans that begin with the tokens from ``first`` up to ``last`` are given.
     """
-    tokens = [(m.start(), m.end()) for m in _TOKEN.finditer(text)]
+    tokens = tokens_of(text) if tokens is None else tokens
     spans, rows = [], []
-    for i, (a, _) in enumerate(tokens):
+    for i in range(first, len(tokens) if last is None else min(last, len(tokens))):
+        a = tokens[i][0]
         if not (text[a].isascii() and (text[a].isalnum() or text[a] == "+")):
             continue
         spaces = 0
         for j in range(i, min(len(tokens), i + LONGEST)):
             b = tokens[j][1]
-            last = text[b - 1]
-            if last == "\n" or not last.isascii():
+            last_sign = text[b - 1]
+            if last_sign == "\n" or not last_sign.isascii():
                 break
-            spaces += last == " "
+            spaces += last_sign == " "
             if spaces > 4:
                 break
-            if last.isalnum() and any(c.isdigit() or c == "@" for c in text[a:b]):
+            if last_sign.isalnum() and _NUMBERS.search(text, a, b):
                 spans.append((i, j + 1, a, b))
                 rows.append(_features(text, a, b))
     return [a for a, _ in tokens], spans, np.array(rows).reshape(-1, len(FEATURES))
 
 
 def _start_weights() -> np.ndarray:
-    """Where learning starts, and what is kept where nothing is seen: shapes count for their kind, cuts against all."""
+    """Where learning starts, and what is kept where nothing is seen: shapes count for their kind, cuts against all, and forms that no pattern knows for nothing."""
     w = np.zeros((len(KINDS), len(FEATURES)))
     at = {name: i for i, name in enumerate(FEATURES)}
     w[:, at["bias"]] = -6
     w[:, at["cut_word"]] = w[:, at["cut_number"]] = w[:, at["other_signs"]] = -4
-    for kind, names in {"email": ["at_and_dots", "local_and_host"], "ip": ["four_octets", "octets_in_range"], "card": ["card_digits", "luhn"], "phone": ["phone_digits", "plus", "only_digits_and_separators"], "secret": ["hex_word", "after_key", "long_mixed_word"]}.items():
+    for kind, names in {"email": ["at_and_dots", "local_and_host"], "ip": ["four_octets", "octets_in_range"], "card": ["card_digits", "luhn"], "phone": ["phone_digits", "plus"], "secret": ["hex_word", "after_key", "long_mixed_word"]}.items():
         w[KINDS.index(kind), [at[n] for n in names]] = 4
     return w
 
@@ -156,30 +171,36 @@ class SegmentField:
 
     weights: np.ndarray
 
-    def decode(self, text: str) -> list[tuple[int, int, str]]:
-        """The best labelling: for every token end the best way to get there, by a span of any type or none."""
-        tokens, spans, x = candidates(text)
-        if not spans:
-            return []
-        scores = x @ self.weights.T
-        kind, value = scores.argmax(axis=1), scores.max(axis=1)
-        ending: dict[int, list[int]] = {}
-        for k in np.flatnonzero(value > 0).tolist():
-            ending.setdefault(spans[k][1], []).append(k)
-        best, back = [0.0] * (len(tokens) + 1), [-1] * (len(tokens) + 1)
-        for j in range(1, len(tokens) + 1):
-            best[j] = best[j - 1]
-            for k in ending.get(j, ()):
-                if (total := best[spans[k][0]] + float(value[k])) > best[j]:
-                    best[j], back[j] = total, k
-        out, j = [], len(tokens)
+    def decode(self, text: str, a: int = 0, b: int | None = None, starts: int = 256) -> list[tuple[int, int, str]]:
+        """The best labelling of text[a:b]: for every token end the best way to get there, by a span of any type or none.
+
+        Spans are bounded, so one pass over the tokens with the features of ``starts`` tokens at a time
+        finds the best labelling of a stretch of any length.
+        """
+        tokens = tokens_of(text, a, b)
+        n = len(tokens)
+        best, back = [0.0] + [-np.inf] * n, [(-1, -1)] * (n + 1)
+        for first in range(0, n, starts):
+            _, spans, x = candidates(text, tokens, first, first + starts)
+            scores = x @ self.weights.T
+            kind, value = scores.argmax(axis=1).tolist(), scores.max(axis=1).tolist()
+            k = 0
+            for i in range(first, min(n, first + starts)):
+                while k < len(spans) and spans[k][0] == i:
+                    j = spans[k][1]
+                    if value[k] > 0 and best[i] + value[k] > best[j]:
+                        best[j], back[j] = best[i] + value[k], (i, kind[k])
+                    k += 1
+                if best[i] >= best[i + 1]:
+                    best[i + 1], back[i + 1] = best[i], (-1, -1)
+        out, j = [], n
         while j > 0:
-            k = back[j]
-            if k < 0:
+            i, kind = back[j]
+            if i < 0:
                 j -= 1
             else:
-                out.append((spans[k][2], spans[k][3], KINDS[kind[k]]))
-                j = spans[k][0]
+                out.append((tokens[i][0], tokens[j - 1][1], KINDS[kind]))
+                j = i
         return out[::-1]
 
 
@@ -208,17 +229,51 @@ def _likelihood(n: int, spans, scores: np.ndarray, gold: dict[tuple[int, int], i
     return score - forward[n], told
 
 
-def fit_field(windows: list[str], rounds: int = 4, rate: float = 0.5, ridge: float = 0.02) -> SegmentField:
-    """Maximum likelihood by adaptive gradient steps; gold are the pattern matches and keyed secrets of each window."""
-    start = _start_weights()
+def _gold(text: str) -> list[tuple[int, int, str]]:
+    return [*base_spans(text), *((m.start(1), m.end(1), "secret") for m in _SECRET.finditer(text))]
+
+
+def perturbed(text: str, random: np.random.Generator) -> tuple[str, list[tuple[int, int, str]]] | None:
+    """``text`` with one of its values written in a way that the patterns do not know, and all its labels; None if it has none.
+
+    Cards get other separators, phone numbers a trunk prefix for their +, addresses spaces around
+    the @. Other labels that the changed value touches are left out.
+    """
+    gold = _gold(text)
+    able = [g for g in gold if g[2] in ("card", "phone", "email")]
+    if not able:
+        return None
+    a, b, kind = able[int(random.integers(len(able)))]
+    own = text[a:b]
+    if kind == "card":
+        digits, sign = _NOT_DIGIT.sub("", own), "._/"[int(random.integers(3))]
+        new = sign.join(digits[k : k + 4] for k in range(0, len(digits), 4))
+    elif kind == "phone":
+        new = "00" + own[1:]
+    else:
+        new = own.replace("@", (" @ ", " @", "@ ")[int(random.integers(3))])
+    shift = len(new) - len(own)
+    kept = [(i, j, k) if j <= a else (i + shift, j + shift, k) for i, j, k in gold if (j <= a or i >= b)]
+    return text[:a] + new + text[b:], [*kept, (a, a + len(new), kind)]
+
+
+def fit_field(windows: list[str], rounds: int = 4, rate: float = 0.5, ridge: float = 0.02, seed: int = 3) -> SegmentField:
+    """Maximum likelihood by adaptive gradient steps.
+
+    Gold are the pattern matches and keyed secrets of each window, and of a copy of each window in
+    which a value is written as the patterns do not know it, so that the field learns what they miss.
+    """
+    start, random = _start_weights(), np.random.Generator(np.random.PCG64(seed))
+    examples = []
+    for text in windows:
+        for own, gold in filter(None, ((text, _gold(text)), perturbed(text, random))):
+            tokens, spans, x = candidates(own)
+            if spans:
+                examples.append((len(tokens), spans, x, {(a, b): KINDS.index(k) for a, b, k in gold}))
     w, power = start.copy(), np.full_like(start, 1e-6)
     for _ in range(rounds):
-        for text in windows:
-            tokens, spans, x = candidates(text)
-            if not spans:
-                continue
-            gold = {(a, b): KINDS.index(k) for a, b, k in [*base_spans(text), *((m.start(1), m.end(1), "secret") for m in _SECRET.finditer(text))]}
-            _, told = _likelihood(len(tokens), spans, x @ w.T, gold)
+        for n, spans, x, gold in examples:
+            _, told = _likelihood(n, spans, x @ w.T, gold)
             gradient = told.T @ x - ridge * (w - start)
             power += gradient**2
             w += rate * gradient / np.sqrt(power)
@@ -227,17 +282,49 @@ def fit_field(windows: list[str], rounds: int = 4, rate: float = 0.5, ridge: flo
 
 # --- in Spark --------------------------------------------------------------------------------
 
-_NEAR = 48
-_NUMBERS = re.compile("[0-9@]")
+_RUNS = re.compile("[0-9@]+")
+_BARRIER = re.compile("[\n\x80-\U0010ffff]")
+_WORD_END = re.compile("[A-Za-z0-9]*")
+_TRAINED = 400  #: characters of a training window, more or less
+
+
+def _left_of(text: str, at: int, floor: int) -> int:
+    """Where the LONGEST tokens before the one at ``at`` begin, or what bounds them: a line's start, a sign beyond ASCII, ``floor``."""
+    size = 128
+    while True:
+        low = max(floor, at - size)
+        piece = text[low:at]
+        barrier = max((m.end() for m in _BARRIER.finditer(piece)), default=0) if "\n" in piece or not piece.isascii() else 0
+        tokens = tokens_of(piece, barrier)
+        if len(tokens) > LONGEST + 1:
+            return low + tokens[-LONGEST - 1][0]
+        if barrier or low == floor:
+            return low + barrier
+        size *= 4
+
+
+def _right_of(text: str, at: int) -> int:
+    """Where the LONGEST tokens after the one that holds the sign before ``at`` end, or what bounds them."""
+    end = _WORD_END.match(text, at).end()
+    for _ in range(LONGEST):
+        m = _TOKEN.match(text, end)
+        if m is None or text[end] == "\n" or text[end] >= "\x80":
+            break
+        end = m.end()
+    return end
 
 
 def windows_of(text: str) -> list[tuple[int, int]]:
-    """Stretches around digits and @, cut at white space, outside which there can be no span."""
+    """Stretches around digits and @ outside which no token of a candidate span can lie, in whole tokens."""
     out: list[list[int]] = []
-    for m in _NUMBERS.finditer(text):
-        a, b = max(0, m.start() - _NEAR), min(len(text), m.end() + _NEAR)
-        if out and a <= out[-1][1]:
-            out[-1][1] = b
+    for m in _RUNS.finditer(text):
+        floor = out[-1][1] if out else 0
+        if m.end() <= floor and m.end() + 4 * LONGEST <= floor:
+            continue
+        b = _right_of(text, m.end())
+        a = m.start() if m.start() < floor else _left_of(text, m.start(), floor)
+        if out and a <= floor:
+            out[-1][1] = max(b, floor)
         else:
             out.append([a, b])
     return [(a, b) for a, b in out]
@@ -251,36 +338,54 @@ def _texts_with_triggers(column: pa.Array) -> np.ndarray:
     return found
 
 
+def _pieces(text: str, a: int, b: int):
+    """text[a:b] in pieces of about _TRAINED characters that end at white space."""
+    while a < b:
+        end = b if b - a <= _TRAINED else text.find(" ", a + _TRAINED, b)
+        end = b if end < 0 else end
+        yield text[a : min(end, a + 4 * _TRAINED)]
+        a = end
+
+
 def train_field(docs: DataFrame, sample_windows: int = 400) -> SegmentField:
-    """Fit to at most ``sample_windows`` windows of the texts, those of least hash."""
+    """Fit to at most ``sample_windows`` different windows of the texts, those of least hash.
+
+    For training only, long windows are cut into pieces of about 400 characters at white space (1600 at
+    most where there is none). Each task hands on no more windows than are asked for.
+    """
 
     def run(batches):
+        least: dict[int, str] = {}
         for batch in batches:
             texts = batch.column("text").filter(pa.array(_texts_with_triggers(batch.column("text")))).to_pylist()
-            some = [t[a : min(b, a + 400)] for t in texts for a, b in windows_of(t)]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.string())], ["window"])
-
-    rows = docs.select("text").mapInArrow(run, "window string").orderBy(F.xxhash64("window"), "window").limit(sample_windows).collect()
+            for text in texts:
+                for a, b in windows_of(text):
+                    for own in _pieces(text, a, b):
+                        least[int.from_bytes(hashlib.blake2b(own.encode(), digest_size=7).digest(), "big")] = own
+                if len(least) > 8 * sample_windows:
+                    least = dict(sorted(least.items())[:sample_windows])
+        rows = sorted(least.items())[:sample_windows]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([w for _, w in rows], pa.string())], ["hash", "window"])
+
+    rows = docs.select("text").mapInArrow(run, "hash long, window string").distinct().orderBy("hash", "window").limit(sample_windows).collect()
     return fit_field([r.window for r in rows])
 
 
-_CHUNK_TEXT = 4000
-
-
 def all_spans(text: str, field: SegmentField) -> list[tuple[int, int, str, bool]]:
-    """(start, end, kind, base) by start, kind: the pattern matches, and the field's spans that touch none of them."""
+    """(start, end, kind, base) by start, kind: the pattern matches, and the field's spans that touch none of them.
+
+    The field labels each window as a whole; no candidate span crosses a window's ends, so together
+    that is the best labelling of the whole text.
+    """
     base = base_spans(text)
     found = [(a, b, k, True) for a, b, k in base]
     taken = sorted((a, b) for a, b, _ in base)
     starts, ends = [a for a, _ in taken], list(np.maximum.accumulate([b for _, b in taken])) if taken else []
     for a, b in windows_of(text):
-        for at in range(a, b, _CHUNK_TEXT):  # very long windows in parts that overlap by a longest span
-            lead = max(a, at - 200)
-            for i, j, kind in field.decode(text[lead : min(b, at + _CHUNK_TEXT)]):
-                i, j = i + lead, j + lead
-                k = int(np.searchsorted(starts, j))
-                if (k == 0 or ends[k - 1] <= i) and (i, j, kind, False) not in found[-64:]:
-                    found.append((i, j, kind, False))
+        for i, j, kind in field.decode(text, a, b):
+            k = int(np.searchsorted(starts, j))
+            if k == 0 or ends[k - 1] <= i:
+                found.append((i, j, kind, False))
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
