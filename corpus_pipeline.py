@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trackloom.llm._storage import settle
 from trackloom.llm.decontamination import find_phrases
 from trackloom.llm.jaccard import near_duplicates
 from trackloom.llm.packing import pack
@@ -32,16 +33,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, that with the smallest doc_id.
 
-    Rows without a doc_id cannot be told apart and all stay, and so do texts without words.
+    Rows are told apart by their place in a written copy, not by doc_id: of different texts with one
+    doc_id each stays unless it is a near-duplicate itself, and rows without a doc_id are like others, but
+    stay only where their group has no other. Texts without words all stay.
     """
-    found = near_duplicates(docs.select("doc_id", "text"))
-    others = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(others, "doc_id", "left_anti")
-    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if repeated.limit(1).count() == 0:
-        return kept.select(docs.columns)
-    again = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(again).select(docs.columns)
+    rows = settle(docs.select(F.struct(*docs.columns).alias("document"), F.monotonically_increasing_id().alias("place")), "documents")
+    found = near_duplicates(rows.select(F.col("place").alias("doc_id"), F.col("document.text").alias("text"))).withColumnRenamed("doc_id", "place")
+    named = found.join(rows.select("place", F.col("document.doc_id").alias("own")), "place")
+    kept = named.groupBy("component_id").agg(F.min(F.struct(F.col("own").isNull(), "own", "place")).alias("first")).select("first.place")
+    return rows.join(kept, "place", "left_semi").select("document.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -77,7 +77,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; each stage's result before it is written and read back."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = settle(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
