@@ -23,6 +23,17 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def bound_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Let Arrow batches to Python workers end at ``size``, where the session still has Spark's default of 64 MB.
+
+    Batches end by rows too, but some thousand long texts make a batch of a size that small executors feel twice,
+    in the JVM and in the worker.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) in ("67108864", "67108864b", "64m", "64MB"):
+        spark.conf.set(name, size)
+
+
 def settle(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 

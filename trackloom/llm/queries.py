@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trackloom.llm._storage import bound_batches
 from trackloom.llm.decontamination import find_phrases
 from trackloom.llm.embeddings import near_duplicate_vectors
 from trackloom.llm.html import extract_main_text
@@ -21,6 +22,7 @@ from trackloom.llm.warc import archive_and_read
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
