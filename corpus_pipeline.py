@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm._storage import settle
+from trackloom.llm._storage import bound_batches, settle
 from trackloom.llm.decontamination import find_phrases
 from trackloom.llm.jaccard import near_duplicates
 from trackloom.llm.packing import pack
@@ -26,6 +26,7 @@ def _unwrapped(found: DataFrame, columns: list[str], **changed: Column) -> DataF
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the pairwise ranking does not reject."""
+    bound_batches(spark)
     ranking = train_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return _unwrapped(score_quality(_wrapped(docs), ranking).where("predicted = 1"), docs.columns)
 
@@ -37,6 +38,7 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     doc_id each stays unless it is a near-duplicate itself, and rows without a doc_id are like others, but
     stay only where their group has no other. Texts without words all stay.
     """
+    bound_batches(spark)
     rows = settle(docs.select(F.struct(*docs.columns).alias("document"), F.monotonically_increasing_id().alias("place")), "documents")
     found = near_duplicates(rows.select(F.col("place").alias("doc_id"), F.col("document.text").alias("text"))).withColumnRenamed("doc_id", "place")
     named = found.join(rows.select("place", F.col("document.doc_id").alias("own")), "place")
@@ -46,12 +48,14 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no more than a trace of a benchmark item."""
+    bound_batches(spark)
     found = find_phrases(_wrapped(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return _unwrapped(found.where("not contaminated"), docs.columns)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data replaced by its kind; n_chars follows a text that changes."""
+    bound_batches(spark)
     found = find_personal_data(_wrapped(docs), train_field(docs))
     changed = {"text": F.col("masked")}
     if "n_chars" in docs.columns:
@@ -61,6 +65,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents' ids, each with its place in a sequence of 4096."""
+    bound_batches(spark)
     return pack(docs.select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
 
 
