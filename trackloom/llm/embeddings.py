@@ -128,9 +128,9 @@ def _linked(placed: DataFrame, cosine: float, block: int) -> DataFrame:
         shared[np.ix_(guests, mine)] = count_here.T
         near &= shared
         links = near @ copies
-        root = np.arange(len(cid))
+        root = np.arange(len(cid), dtype=np.int32)
         while True:
-            spread = np.minimum(root, np.where(near, root[None, :], len(cid)).min(axis=1, initial=len(cid)))
+            spread = np.minimum(root, np.where(near, root[None, :], np.int32(len(cid))).min(axis=1, initial=len(cid)))
             if (spread == root).all():
                 break
             root = spread
@@ -141,7 +141,7 @@ def _linked(placed: DataFrame, cosine: float, block: int) -> DataFrame:
     return met.select(*columns).groupBy(*cell, "low", "high").applyInArrow(run, "cid long, root long, links long")
 
 
-def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.98, block: int = 256, cell_rows: int = 256, most_cells: int = 2048, sample_rows: int = 16_384) -> DataFrame:
+def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.98, block: int = 1024, cell_rows: int = 256, most_cells: int = 2048, sample_rows: int = 16_384) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of ``vectors(vec_id, embedding, label)``.
 
     Vectors link when their labels are equal and not null, they have the same number of components
