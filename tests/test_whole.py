@@ -18,15 +18,15 @@ SF = "/root/testdata/sf0.001"
 def test_point_queries_answer_for_every_row(spark):
     points = load(spark, SF, "track").count()
     for name in ("jon_07_feasibility", "jon_08_clearance", "agg_33_local_variance"):
-        assert catalog.queries()[f"{name}_whole"](spark, SF).count() == points
+        assert catalog.queries()[f"{name}"](spark, SF).count() == points
 
 
 def test_radius_pairs_of_all_points(spark):
     rows = load(spark, SF, "track").select("path_id", "seq", "x", "y").collect()
     x, y = np.array([r.x for r in rows]), np.array([r.y for r in rows])
     near = np.hypot(x[:, None] - x[None, :], y[:, None] - y[None, :]) <= 1.5
-    got = catalog.queries()["jon_11_radius_pairs_whole"](spark, SF)
-    assert got.count() == (near.sum() - len(rows)) // 2 == catalog.queries()["agg_34_edges_whole"](spark, SF).first().edges
+    got = catalog.queries()["jon_11_radius_pairs"](spark, SF)
+    assert got.count() == (near.sum() - len(rows)) // 2 == catalog.queries()["agg_34_edges"](spark, SF).first().edges
     # keys of path and position stay apart where a path has over 1000 points
     assert got.select("a_path_id", "a_seq", "b_path_id", "b_seq").distinct().count() == got.count()
 

@@ -174,10 +174,10 @@ def agg_23_extent(signal: DataFrame) -> DataFrame:
     return A.extent(signal, ["series"], "value")
 
 
-@query("cells", f"SELECT cy % 16 AS layer, {q4('min(value)')} AS low, {q4('max(value)')} AS high, {q4('avg(value)')} AS mean, {q4('avg(CAST(blocked AS INTEGER))')} AS forbidden, {q4('count(value) / CAST(count(*) AS DOUBLE)')} AS coverage FROM cells WHERE cx < 60 GROUP BY layer")
+@query("cells", f"SELECT cy % 16 AS layer, {q4('min(value)')} AS low, {q4('max(value)')} AS high, {q4('avg(value)')} AS mean, {q4('avg(CAST(blocked AS INTEGER))')} AS forbidden, {q4('count(value) / CAST(count(*) AS DOUBLE)')} AS coverage FROM cells GROUP BY layer")
 def agg_24_layer_statistics(cells: DataFrame) -> DataFrame:
     stats = (F.min("value"), F.max("value"), F.avg("value"), F.avg(F.col("blocked").cast("int")), F.count("value") / F.count("*"))
-    return cells.where("cx < 60").groupBy((F.col("cy") % 16).alias("layer")).agg(*[r4(c).alias(n) for c, n in zip(stats, ("low", "high", "mean", "forbidden", "coverage"), strict=True)])
+    return cells.groupBy((F.col("cy") % 16).alias("layer")).agg(*[r4(c).alias(n) for c, n in zip(stats, ("low", "high", "mean", "forbidden", "coverage"), strict=True)])
 
 
 @query("samples", f"SELECT {_SUMMARY.format(v='speed')} FROM samples WHERE NOT standing AND NOT turning AND speed >= 0.5")

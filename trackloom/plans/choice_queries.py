@@ -6,17 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.operators import choice as C
-from trackloom.plans import whole_queries
 from trackloom.plans.registry import q6, query, r6
 
-_ROUTES = ", r AS (SELECT path_id % 20 AS od, path_id AS route, seq, floor(x / 25) * 25 AS x, floor(y / 25) * 25 AS y FROM track WHERE seq < 30)"
+_ROUTES = ", r AS (SELECT path_id // 20 AS od, path_id AS route, seq, floor(x / 25) * 25 AS x, floor(y / 25) * 25 AS y FROM track)"
 _LEGS = _ROUTES + """
 , s AS (SELECT *, lead(x) OVER w AS x1, lead(y) OVER w AS y1 FROM r WINDOW w AS (PARTITION BY od, route ORDER BY seq)),
 l AS (SELECT od, route, CASE WHEN (x, y) <= (x1, y1) THEN (x, y, x1, y1) ELSE (x1, y1, x, y) END AS key, sqrt(pow(x1 - x, 2) + pow(y1 - y, 2)) AS length FROM s WHERE x1 IS NOT NULL)"""
 
 
 def _routes(track: DataFrame) -> DataFrame:
-    return track.where("seq < 30").select((F.col("path_id") % 20).alias("od"), F.col("path_id").alias("route"), "seq", (F.floor(F.col("x") / 25) * 25.0).alias("x"), (F.floor(F.col("y") / 25) * 25.0).alias("y"))
+    """All paths as routes on a 25-unit grid; twenty paths a group, so that groups grow in number with the data."""
+    return track.select(F.floor(F.col("path_id") / 20).alias("od"), F.col("path_id").alias("route"), "seq", (F.floor(F.col("x") / 25) * 25.0).alias("x"), (F.floor(F.col("y") / 25) * 25.0).alias("y"))
 
 
 @query("track", _LEGS + f" SELECT od, route, count(DISTINCT key) AS keys, {q6('sum(length)')} AS length FROM l GROUP BY od, route")
@@ -48,7 +48,7 @@ def grp_26_overlap(track: DataFrame) -> DataFrame:
 
 @query("track")
 def grp_27_distinct_routes(track: DataFrame) -> DataFrame:
-    routes = whole_queries.routes(track)
+    routes = _routes(track)
     return C.distinct_routes(routes, C.overlaps(routes, "od", "route"), "od", "route", 0.05, 5)
 
 

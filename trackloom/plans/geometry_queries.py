@@ -12,16 +12,21 @@ from trackloom.operators import predicates as P
 from trackloom.operators import signal as S
 from trackloom.plans.registry import q4, q6, query, r4, r6
 
-_SPEC = f"""
+def _spectrum(bins: str, hz: float = 100) -> str:
+    return f"""
 , n AS (SELECT series, idx, value, count(*) OVER (PARTITION BY series) AS n FROM signal),
 w AS (SELECT *, 0.5 - 0.5 * cos({2 * math.pi!r} * idx / n) AS w, pow(2, ceil(log2(n) - 1e-9)) AS size FROM n WHERE n >= 2),
-b AS (SELECT *, k FROM w, (SELECT unnest(range(0, 12)) AS k) WHERE k <= size / 2),
-spec AS (SELECT series, k AS bin, any_value(k * 100 / size) AS hz, sqrt(pow(sum(value * w * cos({2 * math.pi!r} * k * idx / size)), 2) + pow(sum(value * w * sin({2 * math.pi!r} * k * idx / size)), 2)) * 2 / sum(w) AS m FROM b GROUP BY series, k)"""
+b AS (SELECT *, k FROM w, LATERAL (SELECT unnest(range(0, {bins})) AS k) WHERE k <= size / 2),
+spec AS (SELECT series, k AS bin, any_value(k * {hz} / size) AS hz, sqrt(pow(sum(value * w * cos({2 * math.pi!r} * k * idx / size)), 2) + pow(sum(value * w * sin({2 * math.pi!r} * k * idx / size)), 2)) * 2 / sum(w) AS m FROM b GROUP BY series, k)"""
 
 
-@query("signal", _SPEC + f" SELECT series, bin, {q4('hz')} AS frequency_hz, {q4('m')} AS magnitude FROM spec")
+_SPEC = _spectrum("12")
+_WHOLE = _spectrum("CAST(size / 2 AS BIGINT) + 1")
+
+
+@query("signal", _WHOLE + f" SELECT series, bin, {q4('hz')} AS frequency_hz, {q4('m')} AS magnitude FROM spec")
 def grp_01_spectrum(signal: DataFrame) -> DataFrame:
-    return S.spectrum(signal, "series", "idx", "value", 100.0).where("bin < 12").select("series", "bin", r4("frequency_hz").alias("frequency_hz"), r4("magnitude").alias("magnitude"))
+    return S.spectrum(signal, "series", "idx", "value", 100.0).select("series", "bin", r4("frequency_hz").alias("frequency_hz"), r4("magnitude").alias("magnitude"))
 
 
 @query("signal", _SPEC + f" SELECT series, bin, {q4('hz')} AS frequency_hz, {q4('m')} AS magnitude FROM spec")
@@ -108,11 +113,11 @@ def grp_30_segments(track: DataFrame) -> DataFrame:
     return G.segments(track).select("path_id", "seq", "x0", "x1")
 
 
-@query("track", ", a AS (SELECT path_id, count(*) AS n FROM track WHERE path_id % 2 = 0 AND seq < 10 GROUP BY path_id), b AS (SELECT path_id, count(*) AS n FROM track WHERE path_id % 2 = 0 AND seq >= 9 GROUP BY path_id) SELECT path_id, a.n + coalesce(b.n, 0) - CASE WHEN b.n IS NULL THEN 0 ELSE 1 END AS n FROM a LEFT JOIN b USING (path_id)")
+@query("track", ", a AS (SELECT path_id, count(*) AS n FROM track WHERE seq < 10 GROUP BY path_id), b AS (SELECT path_id, count(*) AS n FROM track WHERE seq >= 9 GROUP BY path_id) SELECT path_id, a.n + coalesce(b.n, 0) - CASE WHEN b.n IS NULL THEN 0 ELSE 1 END AS n FROM a LEFT JOIN b USING (path_id)")
 def set_05_concatenate(track: DataFrame) -> DataFrame:
-    even = track.where("path_id % 2 = 0").select("path_id", "seq", "x", "y")
-    rest = even.where("seq >= 9").withColumn("seq", F.col("seq") - 9)
-    return G.concatenated(even.where("seq < 10"), rest).groupBy("path_id").agg(F.count("*").alias("n"))
+    points = track.select("path_id", "seq", "x", "y")
+    rest = points.where("seq >= 9").withColumn("seq", F.col("seq") - 9)
+    return G.concatenated(points.where("seq < 10"), rest).groupBy("path_id").agg(F.count("*").alias("n"))
 
 
 @query("track", "SELECT path_id, path_id % 3 <> 0 OR count(*) < 5 AS same FROM track GROUP BY path_id")

@@ -54,31 +54,47 @@ def jon_06_cell_report(track: DataFrame, cells: DataFrame) -> DataFrame:
     return met.select("path_id", "seq", F.col("value").isNotNull().alias("loaded"), r6("value").alias("value"), F.coalesce("blocked", F.lit(True)).alias("blocked"))
 
 
-_NEAR = "abs(CAST(floor(x) AS BIGINT) - cx) <= 3 AND abs(CAST(floor(y) AS BIGINT) - cy) <= 3"
+_POINT = ["path_id", "seq"]
+_AROUND = ", p AS (SELECT path_id, seq, x, y, CAST(floor(x) AS BIGINT) AS i, CAST(floor(y) AS BIGINT) AS j FROM track), near AS (SELECT p.*, cells.* FROM p CROSS JOIN (SELECT unnest(range(-3, 4)) AS dx) CROSS JOIN (SELECT unnest(range(-3, 4)) AS dy) JOIN cells ON cx = i + dx AND cy = j + dy)"
 
 
-@query(("track", "cells"), f", p AS (SELECT * FROM track WHERE path_id % 10 = 0), d AS (SELECT path_id, seq, min(sqrt(pow(cx + 0.5 - x, 2) + pow(cy + 0.5 - y, 2))) AS d FROM p JOIN cells ON blocked AND {_NEAR} GROUP BY path_id, seq) SELECT path_id, seq, {q6('least(coalesce(d, 3.0), 3.0)')} AS clearance FROM p LEFT JOIN d USING (path_id, seq)")
+@query(("track", "cells"), _AROUND + f", d AS (SELECT path_id, seq, min(sqrt(pow(cx + 0.5 - x, 2) + pow(cy + 0.5 - y, 2))) AS d FROM near WHERE blocked GROUP BY path_id, seq) SELECT path_id, seq, {q6('least(coalesce(d, 3.0), 3.0)')} AS clearance FROM p LEFT JOIN d USING (path_id, seq)")
 def jon_08_clearance(track: DataFrame, cells: DataFrame) -> DataFrame:
-    points = track.where("path_id % 10 = 0")
-    return J.distance_to_blocked(points, cells, ["path_id", "seq"], 1.0, 3.0).select("path_id", "seq", r6("clearance").alias("clearance"))
+    return J.distance_to_blocked(track, cells, _POINT, 1.0, 3.0).select(*_POINT, r6("clearance").alias("clearance"))
 
 
-@query(("track", "cells"), f", p AS (SELECT * FROM track WHERE path_id % 10 = 0), d AS (SELECT path_id, seq, min((sqrt(pow(cx + 0.5 - x, 2) + pow(cy + 0.5 - y, 2)), cy, CAST(cx AS BIGINT))) AS m FROM p JOIN cells ON NOT blocked AND {_NEAR} GROUP BY path_id, seq) SELECT path_id, seq, {q6('m[1]')} AS distance, m[2] AS cy, m[3] AS cx FROM d")
+@query(("track", "cells"), _AROUND + f", d AS (SELECT path_id, seq, min((sqrt(pow(cx + 0.5 - x, 2) + pow(cy + 0.5 - y, 2)), cy, CAST(cx AS BIGINT))) AS m FROM near WHERE NOT blocked GROUP BY path_id, seq) SELECT path_id, seq, {q6('m[1]')} AS distance, m[2] AS cy, m[3] AS cx FROM d")
 def jon_09_nearest_free(track: DataFrame, cells: DataFrame) -> DataFrame:
-    points = track.where("path_id % 10 = 0")
-    return J.nearest_free(points, cells, ["path_id", "seq"], 1.0, 3.0).select("path_id", "seq", r6("distance").alias("distance"), "cy", "cx")
+    return J.nearest_free(track, cells, _POINT, 1.0, 3.0).select(*_POINT, r6("distance").alias("distance"), "cy", "cx")
 
 
-@query("track", f", n AS (SELECT path_id * 1000 + seq AS node, x AS nx, y AS ny FROM track WHERE seq % 7 = 0), p AS (SELECT * FROM track WHERE seq % 7 = 1), m AS (SELECT path_id, seq, min((sqrt(pow(x - nx, 2) + pow(y - ny, 2)), node)) AS m FROM p JOIN n ON sqrt(pow(x - nx, 2) + pow(y - ny, 2)) <= 4 GROUP BY path_id, seq) SELECT path_id, seq, {q6('m[1]')} AS distance, m[2] AS node FROM m")
+def _buckets(width: float) -> str:
+    """Points in square buckets, and in each of the nine around their own."""
+    i, j = (f"CAST(floor({c} / {width}) AS BIGINT)" for c in "xy")
+    return f", own AS (SELECT path_id, seq, x, y, {i} AS i, {j} AS j FROM track), around AS (SELECT path_id, seq, x, y, {i} + dx AS i, {j} + dy AS j FROM track CROSS JOIN (SELECT unnest(range(-1, 2)) AS dx) CROSS JOIN (SELECT unnest(range(-1, 2)) AS dy))"
+
+
+@query("track", _buckets(4.0) + f", m AS (SELECT a.path_id, a.seq, min((sqrt(pow(a.x - n.x, 2) + pow(a.y - n.y, 2)), n.path_id, n.seq)) AS m FROM around a JOIN own n USING (i, j) WHERE a.seq % 7 <> 0 AND n.seq % 7 = 0 AND sqrt(pow(a.x - n.x, 2) + pow(a.y - n.y, 2)) <= 4 GROUP BY a.path_id, a.seq) SELECT path_id, seq, {q6('m[1]')} AS distance, m[2] AS node_path, m[3] AS node_seq FROM m")
 def jon_10_nearest_node(track: DataFrame) -> DataFrame:
-    nodes = track.where("seq % 7 = 0").select((F.col("path_id") * 1000 + F.col("seq")).alias("node"), F.col("x").alias("nx"), F.col("y").alias("ny"))
-    return J.nearest_node(track.where("seq % 7 = 1"), nodes, ["path_id", "seq"], 4.0).select("path_id", "seq", r6("distance").alias("distance"), "node")
+    """Every seventh point is a node, all others ask."""
+    nodes = track.where("seq % 7 = 0").select(F.struct(*_POINT).alias("node"), F.col("x").alias("nx"), F.col("y").alias("ny"))
+    met = J.nearest_node(track.where("seq % 7 <> 0"), nodes, _POINT, 4.0)
+    return met.select(*_POINT, r6("distance").alias("distance"), F.col("node.path_id").alias("node_path"), F.col("node.seq").alias("node_seq"))
+
 
+_PAIRS = _buckets(1.5) + ", e AS (SELECT a.path_id AS a_path_id, a.seq AS a_seq, b.path_id AS b_path_id, b.seq AS b_seq, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS d FROM around a JOIN own b USING (i, j) WHERE (a.path_id, a.seq) < (b.path_id, b.seq) AND sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= 1.5)"
 
-@query("track", f", p AS (SELECT path_id * 1000 + seq AS k, x, y FROM track WHERE seq < 20) SELECT a.k AS a, b.k AS b, {q6('sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2))')} AS distance FROM p a JOIN p b ON a.k < b.k AND sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= 1.5")
+
+@query("track", _PAIRS + f" SELECT a_path_id, a_seq, b_path_id, b_seq, {q6('d')} AS distance FROM e")
 def jon_11_radius_pairs(track: DataFrame) -> DataFrame:
-    points = track.where("seq < 20").select((F.col("path_id") * 1000 + F.col("seq")).alias("k"), "x", "y")
-    return J.pairs_within(points, "k", 1.5).select("a", "b", r6("distance").alias("distance"))
+    pairs = J.pairs_within(track.select(F.struct(*_POINT).alias("k"), "x", "y"), "k", 1.5)
+    return pairs.select(*[F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in "ab" for c in _POINT], r6("distance").alias("distance"))
+
+
+@query("track", _PAIRS + f" SELECT count(*) AS edges, {q6('avg(d)')} AS mean_length FROM e")
+def agg_34_edges(track: DataFrame) -> DataFrame:
+    pairs = J.pairs_within(track.select(F.struct(*_POINT).alias("k"), "x", "y"), "k", 1.5)
+    return pairs.agg(F.count("*").alias("edges"), r6(F.avg("distance")).alias("mean_length"))
 
 
 @query("polys", "SELECT a.region_id AS a, b.region_id AS b FROM polys a JOIN polys b ON a.region_id < b.region_id AND a.x0 <= b.x0 + b.side + 1e-6 AND b.x0 <= a.x0 + a.side + 1e-6 AND a.y0 <= b.y0 + b.side + 1e-6 AND b.y0 <= a.y0 + a.side + 1e-6")
@@ -108,12 +124,12 @@ def jon_14_project_to_path(track: DataFrame) -> DataFrame:
     return J.projected(points, O.arc_lengths(track), ["path_id", "k"]).select("path_id", "k", r6("distance").alias("distance"), r4("arc").alias("arc"))
 
 
-@query("candidates", ", q AS (SELECT od, idx, CAST(floor(length_m / 50) AS BIGINT) AS k, cost_equiv_m FROM candidates WHERE od % 4 = 0), l AS (SELECT od AS lib, CAST(floor(length_m / 50) AS BIGINT) AS k, min(cost_equiv_m) AS c FROM candidates WHERE od % 4 = 1 AND od < 2000 GROUP BY lib, k) SELECT q.od, q.idx, count(*) AS hits FROM q JOIN l ON q.k = l.k AND abs(q.cost_equiv_m - l.c) <= 0.5 GROUP BY ALL")
+@query("candidates", ", r AS (SELECT od, idx, CAST(floor(length_m / 50) AS BIGINT) AS k, CAST(round(cost_equiv_m * 100000) AS BIGINT) AS c FROM candidates), l AS (SELECT od AS lib, k, min(c) AS c FROM r WHERE od % 2 <> 0 GROUP BY lib, k), b AS (SELECT *, c // 50000 AS i FROM l), q AS (SELECT od, idx, k, c, c // 50000 + d AS i FROM r CROSS JOIN (SELECT unnest(range(-1, 2)) AS d) WHERE od % 2 = 0) SELECT q.od, q.idx, count(*) AS hits FROM q JOIN b USING (k, i) WHERE abs(q.c - b.c) <= 50000 GROUP BY ALL")
 def jon_15_library_lookup(candidates: DataFrame) -> DataFrame:
-    key = F.floor(F.col("length_m") / 50).alias("k")
-    asked = candidates.where("od % 4 = 0").select("od", "idx", key, "cost_equiv_m")
-    library = candidates.where("od % 4 = 1 and od < 2000").groupBy(F.col("od").alias("lib"), key).agg(F.min("cost_equiv_m").alias("c"))
-    return asked.join(library, "k").where(F.abs(F.col("cost_equiv_m") - F.col("c")) <= 0.5).groupBy("od", "idx").agg(F.count("*").alias("hits"))
+    """Even groups ask, odd ones are the library; costs in hundred-thousandths, so that the tolerance is exact."""
+    rows = candidates.select("od", "idx", F.floor(F.col("length_m") / 50).alias("k"), F.round(F.col("cost_equiv_m") * 100_000).cast("long").alias("c"))
+    library = rows.where("od % 2 <> 0").groupBy("od", "k").agg(F.min("c").alias("c"))
+    return J.counted_within(rows.where("od % 2 = 0"), library, ["od", "idx"], "k", "c", 50_000)
 
 
 @query("polys", ", o AS (SELECT * FROM polys WHERE region_id % 7 = 0) SELECT region_id FROM polys p WHERE region_id % 7 <> 0 AND NOT EXISTS (SELECT 1 FROM o WHERE p.x0 + 10 BETWEEN o.x0 AND o.x0 + o.side AND p.y0 + 10 BETWEEN o.y0 AND o.y0 + o.side) UNION ALL SELECT region_id FROM o")

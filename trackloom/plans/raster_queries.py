@@ -50,9 +50,9 @@ def agg_29_cost_bounds(cells: DataFrame) -> DataFrame:
     return R.cost_bounds(cost, "cost").select(r6("low").alias("low"), r6("high").alias("high"), r6("mean").alias("mean"))
 
 
-@query(("track", "cells"), f", p AS (SELECT * FROM track WHERE path_id % 20 = 0), v AS (SELECT path_id, seq, count(c.value) AS n, var_pop(c.value) AS v FROM p LEFT JOIN cells c ON NOT c.blocked AND abs(c.cx - CAST(floor(x) AS BIGINT)) <= 3 AND abs(c.cy - CAST(floor(y) AS BIGINT)) <= 3 GROUP BY path_id, seq) SELECT path_id, seq, CASE WHEN n >= 4 THEN {q6('v')} END AS variance FROM v")
+@query(("track", "cells"), f", p AS (SELECT path_id, seq, CAST(floor(x) AS BIGINT) AS i, CAST(floor(y) AS BIGINT) AS j FROM track), v AS (SELECT path_id, seq, count(c.value) AS n, var_pop(c.value) AS v FROM p CROSS JOIN (SELECT unnest(range(-3, 4)) AS dx) CROSS JOIN (SELECT unnest(range(-3, 4)) AS dy) LEFT JOIN cells c ON NOT c.blocked AND c.cx = i + dx AND c.cy = j + dy GROUP BY path_id, seq) SELECT path_id, seq, CASE WHEN n >= 4 THEN {q6('v')} END AS variance FROM v")
 def agg_33_local_variance(track: DataFrame, cells: DataFrame) -> DataFrame:
-    got = R.local_variance(track.where("path_id % 20 = 0"), cells, ["path_id", "seq"])
+    got = R.local_variance(track, cells, ["path_id", "seq"])
     return got.select("path_id", "seq", r6(F.when(F.col("variance") < math.inf, F.col("variance"))).alias("variance"))
 
 
@@ -85,9 +85,9 @@ def grp_17_gradient(cells: DataFrame) -> DataFrame:
     return R.gradients(cells).select("cy", F.col("cx").cast("long").alias("cx"), r6("gx").alias("gx"), r6("gy").alias("gy"), r6("slope").alias("slope"))
 
 
-@query("cells", f"SELECT c.cy, CAST(c.cx AS BIGINT) AS cx, {q6('min(sqrt(pow(b.cx - c.cx, 2) + pow(b.cy - c.cy, 2)))')} AS distance FROM cells c JOIN cells b ON b.blocked AND b.cx BETWEEN c.cx - 12 AND c.cx + 12 AND b.cy BETWEEN c.cy - 12 AND c.cy + 12 AND pow(b.cx - c.cx, 2) + pow(b.cy - c.cy, 2) <= 144 GROUP BY c.cy, c.cx")
+@query("cells", f", b AS (SELECT cx AS bx, cy AS byy FROM cells WHERE blocked) SELECT cy, CAST(cx AS BIGINT) AS cx, {q6('min(sqrt(pow(bx - cx, 2) + pow(byy - cy, 2)))')} AS distance FROM cells LEFT JOIN b ON true GROUP BY cy, cx")
 def grp_18_distance_field(cells: DataFrame) -> DataFrame:
-    return R.distance_field(cells, reach=12).where("distance is not null").select("cy", F.col("cx").cast("long").alias("cx"), r6("distance").alias("distance"))
+    return R.distance_field(cells).select("cy", F.col("cx").cast("long").alias("cx"), r6("distance").alias("distance"))
 
 
 @query("cells", _NEIGHBOURS + f" SELECT cy, CAST(cx AS BIGINT) AS cx, CASE WHEN NOT blocked AND sqrt(gx * gx + gy * gy) > 1e-9 THEN (CAST(round(atan2(gy, gx) / {2 * math.pi!r} * 16) AS BIGINT) + 16) % 16 END AS sector FROM g")
@@ -143,13 +143,13 @@ def grp_12_painted(polys: DataFrame) -> DataFrame:
 
 
 @query("track", f"""
-, w AS (SELECT path_id * 1000 + seq AS seq, x AS x0, y AS y0, x + 3 AS x1, y + 1.5 AS y1, 1.2 AS half, seq % 9 AS surface, z / 10 AS traffic FROM track WHERE seq % 11 = 0),
+, w AS (SELECT (path_id, seq) AS seq, x AS x0, y AS y0, x + 3 AS x1, y + 1.5 AS y1, 1.2 AS half, seq % 9 AS surface, z / 10 AS traffic FROM track),
 c AS (SELECT *, unnest(range(CAST(floor(x0 - half) AS BIGINT), CAST(floor(x1 + half) AS BIGINT) + 1)) AS cx FROM w), d AS (SELECT *, unnest(range(CAST(floor(y0 - half) AS BIGINT), CAST(floor(y1 + half) AS BIGINT) + 1)) AS cy FROM c),
 t AS (SELECT *, least(greatest(((cx + 0.5 - x0) * 3 + (cy + 0.5 - y0) * 1.5) / 11.25, 0), 1) AS t FROM d),
 n AS (SELECT * FROM t WHERE sqrt(pow(cx + 0.5 - x0 - t * (x1 - x0), 2) + pow(cy + 0.5 - y0 - t * (y1 - y0), 2)) <= half)
 SELECT cx, cy, arg_max(surface, (traffic, seq)) AS surface, {q6('max(traffic)')} AS traffic FROM n GROUP BY cx, cy""")
 def grp_13_painted_ways(track: DataFrame) -> DataFrame:
-    ways = track.where("seq % 11 = 0").select((F.col("path_id") * 1000 + F.col("seq")).alias("seq"), F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + 3).alias("x1"), (F.col("y") + 1.5).alias("y1"), F.lit(1.2).alias("half"), (F.col("seq") % 9).alias("surface"), (F.col("z") / 10).alias("traffic"), F.lit(0.0).alias("crowding"), F.lit(0.0).alias("lighting"))
+    ways = track.select(F.struct("path_id", "seq").alias("seq"), F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + 3).alias("x1"), (F.col("y") + 1.5).alias("y1"), F.lit(1.2).alias("half"), (F.col("seq") % 9).alias("surface"), (F.col("z") / 10).alias("traffic"), F.lit(0.0).alias("crowding"), F.lit(0.0).alias("lighting"))
     return R.painted_ways(ways).select("cx", "cy", "surface", r6("traffic").alias("traffic"))
 
 

@@ -58,12 +58,6 @@ def agg_18_ripple(signal: DataFrame) -> DataFrame:
     return rows.groupBy("series").agg(r6(F.when(F.count("*") < 8, 0.0).otherwise((F.max("residual") - F.min("residual")) / 2)).alias("ripple"))
 
 
-@query("track", f", p AS (SELECT path_id * 1000 + seq AS k, x, y FROM track WHERE seq < 20), e AS (SELECT sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS d FROM p a JOIN p b ON a.k < b.k AND sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= 1.5) SELECT count(*) AS edges, {q6('avg(d)')} AS mean_length FROM e")
-def agg_34_edges(track: DataFrame) -> DataFrame:
-    points = track.where("seq < 20").select((F.col("path_id") * 1000 + F.col("seq")).alias("k"), "x", "y")
-    return J.pairs_within(points, "k", 1.5).agg(F.count("*").alias("edges"), r6(F.avg("distance")).alias("mean_length"))
-
-
 @query("signal", f"SELECT series, {q4('sum(value) * 0.01')} AS turned, {q4('arg_max(value, idx) - arg_min(value, idx)')} AS change FROM signal GROUP BY series")
 def agg_39_heading(signal: DataFrame) -> DataFrame:
     return signal.groupBy("series").agg(r4(F.sum("value") * 0.01).alias("turned"), r4(F.max_by("value", "idx") - F.min_by("value", "idx")).alias("change"))
@@ -93,11 +87,11 @@ def jon_02_as_of_clamped(samples: DataFrame) -> DataFrame:
 
 
 @query(("track", "cells"), f"""
-, p AS (SELECT * FROM track WHERE path_id % 10 = 0), m AS (SELECT p.*, c.blocked AS b, c.cx IS NOT NULL AS known FROM p LEFT JOIN cells c ON c.cx = CAST(floor(x) AS BIGINT) AND c.cy = CAST(floor(y) AS BIGINT)),
-d AS (SELECT path_id, seq, min(sqrt(pow(cx + 0.5 - x, 2) + pow(cy + 0.5 - y, 2))) AS d FROM p JOIN cells ON blocked AND abs(CAST(floor(x) AS BIGINT) - cx) <= 1 AND abs(CAST(floor(y) AS BIGINT) - cy) <= 1 GROUP BY path_id, seq)
+, p AS (SELECT *, CAST(floor(x) AS BIGINT) AS i, CAST(floor(y) AS BIGINT) AS j FROM track), m AS (SELECT p.*, c.blocked AS b, c.cx IS NOT NULL AS known FROM p LEFT JOIN cells c ON c.cx = i AND c.cy = j),
+d AS (SELECT path_id, seq, min(sqrt(pow(cx + 0.5 - x, 2) + pow(cy + 0.5 - y, 2))) AS d FROM p CROSS JOIN (SELECT unnest(range(-1, 2)) AS dx) CROSS JOIN (SELECT unnest(range(-1, 2)) AS dy) JOIN cells ON cx = i + dx AND cy = j + dy WHERE blocked GROUP BY path_id, seq)
 SELECT path_id, seq, CASE WHEN floor(x) > 69 OR floor(y) > 199 THEN 'outside' WHEN NOT known THEN 'unknown' WHEN b THEN 'forbidden' WHEN coalesce(d, 1) < 1 THEN 'too_close' ELSE 'ok' END AS reason FROM m LEFT JOIN d USING (path_id, seq)""")
 def jon_07_feasibility(track: DataFrame, cells: DataFrame) -> DataFrame:
-    return L.feasibility(track.where("path_id % 10 = 0"), cells, ["path_id", "seq"], 70, 200, 1.0).select("path_id", "seq", "reason")
+    return L.feasibility(track, cells, ["path_id", "seq"], 70, 200, 1.0).select("path_id", "seq", "reason")
 
 
 @query("geo", "SELECT id, CASE WHEN CAST(floor((lon - floor(lon)) / 0.05) AS BIGINT) % 2 = 0 THEN CAST(floor((lon - floor(lon)) / 0.05) * 10 + floor((lat - floor(lat)) / 0.05) AS DOUBLE) END AS height FROM geo")
