@@ -26,6 +26,18 @@ def query(view: str | tuple[str, ...], sql: str | None = None):
     return add
 
 
+def job(sql: str | None = None):
+    """Register a function of (spark, sf_dir) under its own name."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = oracle(sql)
+        return f
+
+    return add
+
+
 def r6(x) -> Column:
     """Rounded to 6 decimals, never -0.0."""
     c = F.col(x) if isinstance(x, str) else x

@@ -5,22 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.plans.registry import ORACLES, QUERIES, q6, r6
-from trackloom.sources.fixtures import load, oracle
+from trackloom.plans.registry import job, q6, r6
+from trackloom.sources.fixtures import load
+from trackloom.sources.shared import shared_path
 from trackloom.streaming import operators as S
 from trackloom.streaming.replay import open_table, replay
 
 
-def _register(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = oracle(sql)
-        return f
-
-    return add
-
-
 def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = open_table(spark, sf_dir, "events")
     at = F.col("ts").cast("timestamp")
@@ -34,47 +25,74 @@ def _tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("user_id").alias("task_id"), F.unix_millis(at).alias("at_ms"), at.alias("at"), "event_id", kind.alias("type"))
 
 
-@_register("SELECT task_id, event_id, type FROM task_events")
+@job("SELECT task_id, event_id, type FROM task_events")
 def str_01_task_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay(_tasks(spark, sf_dir).select("task_id", "event_id", "type"))
 
 
-@_register("""
+@job("""
 , e AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY at_ms, event_id) AS p FROM task_events), t AS (SELECT task_id, min(p) AS stop FROM e WHERE type IN ('done', 'error') GROUP BY task_id)
 SELECT task_id, event_id, type FROM e LEFT JOIN t USING (task_id) WHERE stop IS NULL OR p <= stop""")
 def str_02_watched_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay(S.latest_state(_tasks(spark, sf_dir).select("task_id", "at_ms", "event_id", "type"))).select("task_id", "event_id", "type")
 
 
-@_register("SELECT DISTINCT task_id, type FROM task_events WHERE type IN ('done', 'error')")
+@job("SELECT DISTINCT task_id, type FROM task_events WHERE type IN ('done', 'error')")
 def str_03_first_terminal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay(S.first_terminal(_tasks(spark, sf_dir)).select("task_id", "type"))
 
 
-@_register(", f AS (SELECT run_id, event_id % 3 AS region_id, event_id, speed > 5 AS fast FROM samples), e AS (SELECT *, fast AND NOT coalesce(lag(fast) OVER (PARTITION BY run_id, region_id ORDER BY event_id), false) AS enters FROM f) SELECT run_id, region_id, event_id, row_number() OVER (PARTITION BY run_id, region_id ORDER BY event_id) - 1 AS entry FROM e WHERE enters")
+@job(", f AS (SELECT run_id, event_id % 3 AS region_id, event_id, speed > 5 AS fast FROM samples), e AS (SELECT *, fast AND NOT coalesce(lag(fast) OVER (PARTITION BY run_id, region_id ORDER BY event_id), false) AS enters FROM f) SELECT run_id, region_id, event_id, row_number() OVER (PARTITION BY run_id, region_id ORDER BY event_id) - 1 AS entry FROM e WHERE enters")
 def str_04_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     flags = _samples(spark, sf_dir).select("run_id", (F.col("event_id") % 3).alias("region_id"), "event_id", (F.col("speed") > 5).alias("fast"))
     return replay(S.entries(flags, "run_id", "region_id", "event_id", "fast"))
 
 
-@_register(", e AS (SELECT DISTINCT run_id, CAST(floor(time_s / 86400) AS BIGINT) AS d FROM samples), n AS (SELECT run_id, d, lead(d) OVER (PARTITION BY run_id ORDER BY d) AS nx FROM e) SELECT run_id, d + 1 AS from_s, nx - 1 AS to_s FROM n WHERE nx > d + 1")
+def _ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of run ends: each customer's number is a run's."""
+    return open_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("run_id"))
+
+
+@job(", e AS (SELECT DISTINCT run_id, CAST(floor(time_s / 86400) AS BIGINT) AS d FROM samples UNION SELECT run_id, 30001 FROM samples WHERE run_id IN (SELECT c_custkey FROM customer)), n AS (SELECT run_id, d, lead(d) OVER (PARTITION BY run_id ORDER BY d) AS nx FROM e) SELECT run_id, d + 1 AS from_s, nx - 1 AS to_s FROM n WHERE nx > d + 1")
 def str_05_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replay(S.gaps(_samples(spark, sf_dir).select("run_id", F.floor(F.col("time_s") / 86400).alias("day")), "run_id", "day"))
+    """Days without a sample; each run ends with day 30000."""
+    fixes = _samples(spark, sf_dir).select("run_id", F.floor(F.col("time_s") / 86400).alias("day"), F.lit(False).alias("ended"))
+    ends = _ends(spark, sf_dir).select("run_id", F.lit(30_000).cast("long").alias("day"), F.lit(True).alias("ended"))
+    return replay(S.gaps(fixes.union(ends), "run_id", "day", "ended"))
 
 
-@_register(f", l AS (SELECT run_id, CAST(floor(event_id / 500) AS BIGINT) AS lap, min(event_id) AS t0 FROM samples GROUP BY ALL), n AS (SELECT *, lead(t0) OVER (PARTITION BY run_id ORDER BY lap) - t0 AS seconds FROM l) SELECT run_id, lap, {q6('seconds')} AS seconds FROM n WHERE seconds IS NOT NULL")
+@job(f", l AS (SELECT run_id, CAST(floor(event_id / 500) AS BIGINT) AS lap, min(event_id) AS t0 FROM samples GROUP BY ALL), n AS (SELECT *, coalesce(lead(t0) OVER (PARTITION BY run_id ORDER BY lap), CASE WHEN run_id IN (SELECT c_custkey FROM customer) THEN 1000000000 END) - t0 AS seconds FROM l) SELECT run_id, lap, {q6('seconds')} AS seconds FROM n WHERE seconds IS NOT NULL")
 def str_06_laps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _samples(spark, sf_dir).select("run_id", F.col("event_id").cast("double").alias("arc"), F.col("event_id").alias("t"))
-    return replay(S.laps(rows, "run_id", "arc", "t", 500.0)).select("run_id", "lap", r6("seconds").alias("seconds"))
+    rows = _samples(spark, sf_dir).select("run_id", F.col("event_id").cast("double").alias("arc"), F.col("event_id").alias("t"), F.lit(False).alias("ended"))
+    ends = _ends(spark, sf_dir).select("run_id", F.lit(0.0).alias("arc"), F.lit(1_000_000_000).cast("long").alias("t"), F.lit(True).alias("ended"))
+    return replay(S.laps(rows.union(ends), "run_id", "arc", "t", 500.0, "ended")).select("run_id", "lap", r6("seconds").alias("seconds"))
+
+
+@job("SELECT event_id, run_id FROM samples")
+def str_07_framed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows, delivered frame by frame to a sink that writes each."""
+    path = shared_path(spark, "frames")
+    writer = _samples(spark, sf_dir).select("event_id", "run_id").writeStream.option("checkpointLocation", f"{path}/state").trigger(availableNow=True)
+    S.framed(writer, lambda rows, frame: rows.write.parquet(f"{path}/rows/frame={frame}")).start().awaitTermination()
+    return spark.read.schema("event_id long, run_id long").parquet(f"{path}/rows").select("event_id", "run_id")
+
+
+@job(f"SELECT epoch(time_bucket(INTERVAL 6 HOUR, ts))::BIGINT AS start_s, count(*) AS n, {q6('avg(value / 5e1)')} AS mean FROM events GROUP BY 1")
+def str_09_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows that every tenth event came too late for, counted again."""
+    events = load(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("at"), (F.col("value") / 50).alias("speed"))
+    seen = S.speed_windows(events.where("event_id % 10 <> 0"), "at", "6 hours")
+    got = S.repaired(seen, events, events.where("event_id % 10 = 0"), "at", "6 hours")
+    return got.select(F.unix_seconds("start").alias("start_s"), "n", r6("mean").alias("mean"))
 
 
-@_register(f", w AS (SELECT time_bucket(INTERVAL 6 HOUR, ts) AS start, value / 5e1 AS speed FROM events), m AS (SELECT max(ts) - INTERVAL 10 MINUTE AS mark FROM events) SELECT epoch(start)::BIGINT AS start_s, count(*) AS n, {q6('avg(speed)')} AS mean FROM w, m WHERE start + INTERVAL 6 HOUR <= mark GROUP BY start")
+@job(f", w AS (SELECT time_bucket(INTERVAL 6 HOUR, ts) AS start, value / 5e1 AS speed FROM events), m AS (SELECT max(ts) - INTERVAL 10 MINUTE AS mark FROM events) SELECT epoch(start)::BIGINT AS start_s, count(*) AS n, {q6('avg(speed)')} AS mean FROM w, m WHERE start + INTERVAL 6 HOUR <= mark GROUP BY start")
 def str_08_speed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = replay(S.speed_windows(_samples(spark, sf_dir), "at", "6 hours"))
     return got.select(F.unix_seconds("start").alias("start_s"), "n", r6("mean").alias("mean"))
 
 
-@_register(f", s AS (SELECT user_id AS run_id, ts, value / 5e1 AS speed, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 12 HOUR, true) AS fresh FROM events), g AS (SELECT *, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY run_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM s) SELECT run_id, count(*) AS n, {q6('avg(speed)')} AS mean FROM g GROUP BY run_id, s")
+@job(f", s AS (SELECT user_id AS run_id, ts, value / 5e1 AS speed, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 12 HOUR, true) AS fresh FROM events), g AS (SELECT *, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY run_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM s) SELECT run_id, count(*) AS n, {q6('avg(speed)')} AS mean FROM g GROUP BY run_id, s")
 def str_08_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = load(spark, sf_dir, "events").select(F.col("user_id").alias("run_id"), F.col("ts").cast("timestamp").alias("at"), (F.col("value") / 50).alias("speed"))
     return S.sessions(events, "run_id", "at", "12 hours").select("run_id", "n", r6("mean").alias("mean"))

@@ -29,31 +29,40 @@ def sessions(samples: DataFrame, run: str, time: str, gap: str = "5 minutes", wa
 
 
 def _stateful(df: DataFrame, keys: list[str], step: Callable, out: str, state: str) -> DataFrame:
-    """``step(key, rows in order, state or None) -> (output rows, state)`` for each group and batch."""
+    """``step(key, rows, state or None) -> (output rows, state)`` for each group and batch.
+
+    State is a few numbers a group and is kept for good: a processing-time timeout would keep an availableNow run from ending.
+    """
+    names = [f.split()[0] for f in out.split(", ")]
 
     def run(key, batches: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(batches))
         got, kept = step(key, rows, group.get if group.exists else None)
         group.update(kept)
-        yield got
+        yield pd.DataFrame(got, columns=names)
 
     return df.groupBy(*keys).applyInPandasWithState(run, out, state, "append", GroupStateTimeout.NoTimeout)
 
 
-def latest_state(events: DataFrame) -> DataFrame:
-    """STR-02: what a watcher of each task sees: the current state first, then each later event, nothing after the first terminal one."""
+def latest_state(events: DataFrame, lag: int | None = None) -> DataFrame:
+    """STR-02: what a watcher of each task sees: the current state first, then each later event, nothing after the first terminal one.
+
+    Events are in the order of time and id. A watcher that falls behind, so that a batch holds more
+    than ``lag`` new events of its task, gets the state they lead to in their place.
+    """
 
     def step(key, rows: pd.DataFrame, state):
-        last, over = state if state is not None else (-1, False)
-        out = []
-        for at, order, kind in rows.sort_values(["at_ms", "event_id"])[["at_ms", "event_id", "type"]].itertuples(index=False):
-            if over or order <= last and at <= last:
-                continue
-            out.append((key[0], int(at), int(order), kind))
-            last, over = int(at), kind in ("done", "error")
-        return pd.DataFrame(out, columns=["task_id", "at_ms", "event_id", "type"]), (last, over)
+        at, order, over = state if state is not None else (-1, -1, False)
+        fresh = []
+        for now in rows.sort_values(["at_ms", "event_id"])[["at_ms", "event_id", "type"]].itertuples(index=False):
+            if over:
+                break
+            if (now.at_ms, now.event_id) > (at, order):
+                fresh.append((key[0], int(now.at_ms), int(now.event_id), now.type))
+                at, order, over = int(now.at_ms), int(now.event_id), now.type in ("done", "error")
+        return fresh[-1:] if lag is not None and len(fresh) > lag else fresh, (at, order, over)
 
-    return _stateful(events, ["task_id"], step, "task_id long, at_ms long, event_id long, type string", "last long, over boolean")
+    return _stateful(events, ["task_id"], step, "task_id long, at_ms long, event_id long, type string", "at long, last long, over boolean")
 
 
 def entries(flags: DataFrame, run: str, region: str, order: str, inside: str) -> DataFrame:
@@ -64,47 +73,60 @@ def entries(flags: DataFrame, run: str, region: str, order: str, inside: str) ->
         out = []
         for at, now in rows.sort_values(order)[[order, inside]].itertuples(index=False):
             if now and not within:
-                out.append((key[0], key[1], int(at), count))
+                out.append((*key, int(at), count))
                 count += 1
             within = bool(now)
-        return pd.DataFrame(out, columns=[run, region, order, "entry"]), (within, count)
+        return out, (within, count)
 
     return _stateful(flags, [run, region], step, f"{run} long, {region} long, {order} long, entry long", "within boolean, count long")
 
 
-def gaps(fixes: DataFrame, run: str, epoch: str) -> DataFrame:
-    """STR-05: (run, from, to) of missing epochs as the fix after them arrives."""
+def gaps(fixes: DataFrame, run: str, epoch: str, ended: str | None = None) -> DataFrame:
+    """STR-05: (run, from, to) of missing epochs as the fix after them arrives.
+
+    A row whose flag ``ended`` is set is no fix but tells a run's last epoch: the gap that is open then is closed there.
+    """
 
     def step(key, rows: pd.DataFrame, state):
-        last = state[0] if state is not None else None
-        out = []
-        for at in sorted({int(t) for t in rows[epoch]}):
-            if last is not None and at > last + 1:
-                out.append((key[0], last + 1, at - 1))
+        last, out = state[0] if state is not None else None, []
+        marks = rows[ended] if ended else [False] * len(rows)
+        for at, over in sorted({(int(t), bool(e)) for t, e in zip(rows[epoch], marks, strict=True)}):
+            reached = at if over else at - 1
+            if last is not None and reached > last:
+                out.append((key[0], last + 1, reached))
             last = at if last is None else max(last, at)
-        return pd.DataFrame(out, columns=[run, "from_s", "to_s"]), (last,)
+        return out, (last,)
 
     return _stateful(fixes, [run], step, f"{run} long, from_s long, to_s long", "last long")
 
 
-def laps(samples: DataFrame, run: str, arc: str, time: str, length: float) -> DataFrame:
-    """STR-06: (run, lap, seconds) as each next lap begins."""
+def laps(samples: DataFrame, run: str, arc: str, time: str, length: float, ended: str | None = None) -> DataFrame:
+    """STR-06: (run, lap, seconds) as each next lap begins, and of the last one as a row whose flag ``ended`` is set tells the run's end."""
 
     def step(key, rows: pd.DataFrame, state):
-        lap, began = state if state is not None else (None, 0.0)
+        lap, began = state if state is not None else (-1, 0.0)
         out = []
-        for s, t in rows.sort_values(time)[[arc, time]].itertuples(index=False):
-            now = int(s // length)
-            if lap is None:
-                lap, began = now, float(t)
+        marks = rows[ended] if ended else [False] * len(rows)
+        for t, over, s in sorted(zip(rows[time].astype(float), marks, rows[arc], strict=True), key=lambda r: r[:2]):
+            now = lap if over else int(s // length)
+            if lap >= 0 and (over or now > lap):
+                out.append((key[0], lap, t - began))
+            if over:
+                lap = -1
             elif now > lap:
-                out.append((key[0], lap, float(t) - began))
-                lap, began = now, float(t)
-        return pd.DataFrame(out, columns=[run, "lap", "seconds"]), (lap, began)
+                lap, began = now, t
+        return out, (lap, began)
 
     return _stateful(samples, [run], step, f"{run} long, lap long, seconds double", "lap long, began double")
 
 
+def repaired(windows: DataFrame, samples: DataFrame, late: DataFrame, time: str, width: str) -> DataFrame:
+    """STR-09: ``windows`` of a stream with those that rows later than its watermark belong to counted again from all ``samples``."""
+    hit = late.select(F.window(time, width)["start"].alias("start")).distinct()
+    spans = samples.withColumn("_w", F.window(time, width)["start"]).join(hit.withColumnRenamed("start", "_w"), "_w", "left_semi").drop("_w")
+    return windows.join(hit, "start", "left_anti").unionByName(speed_windows(spans, time, width))
+
+
 def framed(writer, sink: Callable[[DataFrame, int], None]):
     """STR-07: deliver a stream frame by frame; the reader's maxFilesPerTrigger sets their size, the next one waits for the sink."""
     return writer.foreachBatch(sink)

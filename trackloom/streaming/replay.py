@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from trackloom.sources.shared import shared_path
+
 
 def open_table(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int = 1) -> DataFrame:
     """A stored table as a stream of its files."""
@@ -18,11 +18,7 @@ def open_table(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: i
 def replay(stream: DataFrame) -> DataFrame:
     """Process all that is there and return the appended rows, from a table in the shared folder."""
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="trackloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    out = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    out = shared_path(spark, "stream")
     query = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start(f"{out}/rows")
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{out}/rows")
