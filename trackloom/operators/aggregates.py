@@ -103,6 +103,14 @@ def path_ratio(track: DataFrame, path: str) -> DataFrame:
     return got.select(path, "length_m", F.when(base > 1e-9, F.col("length_m") / base).otherwise(1.0).alias("ratio"))
 
 
+def run_extent(samples: DataFrame, track: DataFrame, run: str, path: str, time: str = "time_s", speed: str = "speed") -> DataFrame:
+    """AGG-32: duration_s, max_speed and length_m of each run; the path's vertices are in order of seq."""
+    step = F.hypot(*[F.col(c) - F.lag(c).over(W.partitionBy(path).orderBy("seq")) for c in "xy"])
+    length = track.select(F.col(path).alias(run), step.alias("_s")).groupBy(run).agg(F.coalesce(F.sum("_s"), F.lit(0.0)).alias("length_m"))
+    own = samples.groupBy(run).agg((F.max(time) - F.min(time)).alias("duration_s"), F.max(speed).alias("max_speed"))
+    return own.join(length, run, "left").select(run, "duration_s", "max_speed", F.coalesce("length_m", F.lit(0.0)).alias("length_m"))
+
+
 def lap_times(df: DataFrame, run: str, arc: str, time: str, lap_length: float) -> DataFrame:
     """AGG-10: (run, lap, seconds) from the first sample in each lap to the next lap's, the last to the run's end; laps without samples are skipped."""
     total = F.max(arc).over(W.partitionBy(run))

@@ -90,25 +90,66 @@ def simplify(track: DataFrame, tolerance: float, span: int = 64, turn_deg: float
     return _per_path(track, path, keep)
 
 
-def remove_spikes(track: DataFrame, reach: float = 12.0, gap: float = 1.0, path: str = "path_id") -> DataFrame:
-    """GRP-08: folds that leave and come back within ``gap``: arc above twice the direct way and half a metre, at most ``reach`` long."""
-
-    def keep(p: np.ndarray) -> list[int]:
-        arc = np.concatenate([[0.0], np.cumsum(np.hypot(*np.diff(p, axis=0).T))]) if len(p) > 1 else np.zeros(len(p))
-        kept, i = [], 0
-        while i < len(p):
-            kept.append(i)
-            jump = i + 1
-            for j in range(i + 2, len(p)):
-                if arc[j] - arc[i] > reach:
-                    break
-                direct = math.hypot(*(p[j] - p[i]))
-                if direct <= gap and arc[j] - arc[i] > 2 * direct + 0.5:
-                    jump = j
-            i = jump
-        return kept
+def _entered(a: np.ndarray, b: np.ndarray, resolution: float) -> set[tuple[int, int]]:
+    """Cells that the straight way from a to b enters: between two crossings of grid lines it lies in one."""
+    a, b = a / resolution, b / resolution
+    cuts = [0.0, 1.0]
+    for s, e in zip(a, b, strict=True):
+        lines = np.arange(math.floor(min(s, e)) + 1, math.floor(max(s, e)) + 1)
+        cuts += ((lines - s) / (e - s)).tolist() if s != e else []
+    t = np.unique(cuts)
+    t = np.concatenate([t[:1], (t[1:] + t[:-1]) / 2, t[-1:]])
+    return {tuple(c) for c in np.floor(a + t[:, None] * (b - a)).astype(int).tolist()}
+
+
+def _without_folds(p: np.ndarray, reach: float, gap: float, blocked: frozenset, resolution: float) -> list[int]:
+    kept, i, changed = list(range(len(p))), 0, False
+
+    def fold_end(i: int) -> int | None:
+        """The first place after the i-th kept point where a fold that begins there has come back."""
+        way = p[kept[i:]] - p[kept[i]]
+        arc = np.cumsum(np.hypot(*np.diff(way, axis=0).T))
+        arc = arc[: np.searchsorted(arc, reach, side="right")]
+        direct = np.hypot(*way[1 : len(arc) + 1].T)
+        for j in np.flatnonzero((direct < gap) & (arc > 2 * direct + 0.5)).tolist():
+            if not blocked or not _entered(p[kept[i]], p[kept[i + j + 1]], resolution) & blocked:
+                return i + j + 1
+        return None
+
+    while True:
+        if i + 2 >= len(kept):
+            if not changed:
+                return kept
+            i, changed = 0, False
+        elif (j := fold_end(i)) is None:
+            i += 1
+        else:
+            del kept[i + 1 : j]
+            changed = True
+
+
+def remove_spikes(track: DataFrame, reach: float = 12.0, gap: float = 1.0, path: str = "path_id", blocked: DataFrame | None = None, resolution: float = 1.0) -> DataFrame:
+    """GRP-08: without folds, which leave and come back within ``gap``: arc above twice the direct way and half a metre, at most ``reach`` long.
+
+    From each point the first fold goes, again and again until none is left anywhere. With cells
+    ``blocked(cx, cy)`` a fold stays where the direct way enters one; only those near a path go to its task.
+    """
+    none = frozenset()
+    if blocked is None:
+        return _per_path(track, path, lambda p: _without_folds(p, reach, gap, none, resolution))
+    size = gap + resolution
+    around = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]))
+    touched = track.select(path, F.floor(F.col("x") / size).alias("_bx"), F.floor(F.col("y") / size).alias("_by")).distinct().select(path, "_bx", "_by", around.alias("_o"))
+    touched = touched.select(path, (F.col("_bx") + F.col("_o.dx")).alias("_bx"), (F.col("_by") + F.col("_o.dy")).alias("_by")).distinct()
+    shut = blocked.select("cx", "cy", *[F.floor((F.col(c) + 0.5) * resolution / size).alias(b) for c, b in (("cx", "_bx"), ("cy", "_by"))])
+    near = touched.join(shut, ["_bx", "_by"]).select(F.col(path).alias("_path"), "cx", "cy")
+
+    def run(rows: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("seq")
+        own = frozenset(zip(cells["cx"].astype(int), cells["cy"].astype(int), strict=True))
+        return rows.iloc[_without_folds(rows[["x", "y"]].to_numpy(dtype=float), reach, gap, own, resolution)]
 
-    return _per_path(track, path, keep)
+    return track.groupBy(path).cogroup(near.groupBy("_path")).applyInPandas(run, track.schema)
 
 
 def turns(track: DataFrame, window: float, degrees: float, path: str = "path_id") -> DataFrame:

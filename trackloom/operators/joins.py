@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from trackloom.operators.predicates import point_in_ring
+
 
 def _lined_up(queries: DataFrame, truth: DataFrame, run: str, time: str, truth_first: bool) -> DataFrame:
     """Both sides on one timeline: ``_q`` is the query row, ``_t`` the truth row."""
@@ -57,6 +59,20 @@ def points_in_boxes(points: DataFrame, boxes: DataFrame, size: float = 50.0) ->
     return met.drop("_bx", "_by")
 
 
+def points_in_regions(points: DataFrame, regions: DataFrame, ring: str = "ring", size: float = 50.0, most: int = 4_000_000) -> DataFrame:
+    """JON-05: point rows with each region row whose polygon holds them: bucket, then box, then even-odd rule.
+
+    ``regions`` has a ring of corners (x, y). One over more than ``most`` buckets fails the query; one with
+    fewer than three corners holds nothing.
+    """
+    corners = F.col(ring)
+    box = {f"{c}_{end}": pick(F.col(f"{ring}.{c}")) for c in "xy" for end, pick in (("lo", F.array_min), ("hi", F.array_max))}
+    boxed = regions.where(F.size(ring) >= 3).withColumns(box)
+    span = [F.floor(F.col(f"{c}_hi") / size) - F.floor(F.col(f"{c}_lo") / size) + 1 for c in "xy"]
+    checked = boxed.withColumn("x_lo", F.when(span[0] * span[1] <= most, F.col("x_lo")).otherwise(F.raise_error(F.lit("a region covers too many buckets")).cast("double")))
+    return points_in_boxes(points, checked, size).where(point_in_ring("x", "y", corners)).drop(*box)
+
+
 def near_cells(points: DataFrame, cells: DataFrame, resolution: float, radius: float) -> DataFrame:
     """JON-08, 09: point rows with the cells whose index is within ``ceil(radius / resolution)`` of theirs, and ``distance`` to their centre."""
     k = int(-(-radius // resolution))
@@ -66,6 +82,14 @@ def near_cells(points: DataFrame, cells: DataFrame, resolution: float, radius: f
     return met.withColumn("distance", F.hypot((F.col("cx") + 0.5) * resolution - F.col("x"), (F.col("cy") + 0.5) * resolution - F.col("y")))
 
 
+def raster_at(points: DataFrame, cells: DataFrame, resolution: float) -> DataFrame:
+    """JON-28: point rows with state (outside, forbidden or value) and value of the cell that holds them."""
+    keyed = points.withColumn("_cx", F.floor(F.col("x") / resolution)).withColumn("_cy", F.floor(F.col("y") / resolution))
+    own = cells.select(F.col("cx").alias("_cx"), F.col("cy").alias("_cy"), "value", "blocked")
+    state = F.when(F.col("blocked").isNull(), "outside").when(F.col("blocked"), "forbidden").otherwise("value")
+    return keyed.join(own, ["_cx", "_cy"], "left").withColumn("state", state).withColumn("value", F.when(F.col("state") == "value", F.col("value"))).drop("_cx", "_cy", "blocked")
+
+
 def distance_to_blocked(points: DataFrame, cells: DataFrame, keys: list[str], resolution: float, radius: float) -> DataFrame:
     """JON-08: least distance to a blocked cell's centre, ``radius`` where none is in reach."""
     near = near_cells(points, cells.where("blocked").select("cx", "cy"), resolution, radius).groupBy(*keys).agg(F.min("distance").alias("_d"))

@@ -74,9 +74,15 @@ def traversals(track: DataFrame, links: list[tuple[int, float, float, float, flo
     return track.groupBy(path).applyInPandas(run, f"{path} {kind}, link long, i long, j long")
 
 
-def near_links(points: DataFrame, links: DataFrame, radius: float) -> DataFrame:
-    """JON-27: points within ``radius`` of a link; links(link, ax, ay, bx, by) are the few of one map."""
-    return points.join(F.broadcast(links), point_segment_distance("x", "y", "ax", "ay", "bx", "by") <= radius)
+def near_links(points: DataFrame, links: DataFrame, radius: float, size: float = 50.0) -> DataFrame:
+    """JON-27: points within ``radius`` of a link(link, ax, ay, bx, by), met in the square buckets that the link's box, widened by the radius, touches."""
+
+    def reached(a: str, b: str) -> Column:
+        return F.explode(F.sequence(F.floor((F.least(a, b) - radius) / size), F.floor((F.greatest(a, b) + radius) / size)))
+
+    spread = links.withColumn("_bx", reached("ax", "bx")).withColumn("_by", reached("ay", "by"))
+    keyed = points.withColumn("_bx", F.floor(F.col("x") / size)).withColumn("_by", F.floor(F.col("y") / size))
+    return keyed.join(spread, ["_bx", "_by"]).where(point_segment_distance("x", "y", "ax", "ay", "bx", "by") <= radius).drop("_bx", "_by")
 
 
 def link_measures() -> dict[str, Column]:

@@ -86,15 +86,26 @@ def poly_ring() -> Column:
 
 
 def point_in_ring(x, y, ring: Column) -> Column:
-    """PRJ-10: even-odd rule; fewer than three corners hold nothing."""
-    px, py = _c(x), _c(y)
+    """PRJ-10: even-odd rule; fewer than three corners hold nothing.
+
+    The point goes to each edge in an array of its own: a lambda that refers to columns of one side of a
+    join is not told apart from the other side's when such a filter is pushed down.
+    """
     nexts = F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1))
+    edges = F.zip_with(ring, nexts, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    point = F.array_repeat(F.struct(_c(x).alias("x"), _c(y).alias("y")), F.size(ring))
+
+    def crosses(edge: Column, p: Column) -> Column:
+        a, b = edge["a"], edge["b"]
+        between = (a["y"] > p["y"]) != (b["y"] > p["y"])
+        return F.when(between, p["x"] < (b["x"] - a["x"]) * (p["y"] - a["y"]) / (b["y"] - a["y"]) + a["x"]).otherwise(F.lit(False))
+
+    return (F.size(ring) >= 3) & F.aggregate(F.zip_with(edges, point, crosses), F.lit(False), lambda s, c: s != c)
 
-    def crosses(a: Column, b: Column) -> Column:
-        between = (a["y"] > py) != (b["y"] > py)
-        return F.when(between, px < (b["x"] - a["x"]) * (py - a["y"]) / (b["y"] - a["y"]) + a["x"]).otherwise(F.lit(False))
 
-    return (F.size(ring) >= 3) & F.aggregate(F.zip_with(ring, nexts, crosses), F.lit(False), lambda s, c: s != c)
+def passable(blocked) -> Column:
+    """PRJ-11: in the grid and not blocked; a cell outside has no flag and counts as blocked."""
+    return ~F.coalesce(_c(blocked), F.lit(True))
 
 
 def mph(speed) -> Column:

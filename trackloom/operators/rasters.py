@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import functools
 import math
-import tempfile
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 
 from trackloom.functions.scalars import TAU, node_key
 from trackloom.operators.joins import segment_cells
+from trackloom.sources.shared import shared_base
 
 
 def _at(cells: DataFrame, dx: int, dy: int, name: str, value: str = "value") -> DataFrame:
@@ -38,26 +38,29 @@ def pyramid(cells: DataFrame, levels: int) -> DataFrame:
     return out
 
 
-def quadtree(cells: DataFrame, depth: int, threshold: float) -> DataFrame:
+def quadtree(cells: DataFrame, depth: int, threshold: float, directed: str | None = None) -> DataFrame:
     """AGG-28: (depth, nx, ny, key, mean, top): blocks of up to 2^depth cells whose largest value exceeds their mean by ``threshold`` at most, none within another.
 
-    Blocks of all sizes are summed up from the cells; a block stays if it holds and no block around it does.
+    A block of several cells that holds one whose flag ``directed`` is set is divided. Cells are dealt once,
+    by the largest block that holds them; all smaller ones are windows within it, so each cell
+    knows the largest block around it that holds, and these are what remains.
     """
-    levels = []
-    for k in range(depth + 1):
-        block = cells.groupBy(F.shiftright("cx", k).alias("nx"), F.shiftright("cy", k).alias("ny")).agg(F.avg("value").alias("mean"), F.max("value").alias("top"))
-        levels.append(block.where((F.col("top") - F.col("mean") <= threshold) | F.lit(k == 0)).withColumn("k", F.lit(k)))
-    kept = levels[depth]
-    for k in range(depth - 1, -1, -1):
-        below = levels[k]
-        for up in range(k + 1, depth + 1):
-            around = kept.where(F.col("k") == up).select(F.col("nx").alias("_x"), F.col("ny").alias("_y"))
-            below = below.join(around, (F.shiftright("nx", up - k) == F.col("_x")) & (F.shiftright("ny", up - k) == F.col("_y")), "left_anti")
-        kept = kept.unionByName(below)
+    top = [F.shiftright("cx", depth).alias("_tx"), F.shiftright("cy", depth).alias("_ty")]
+    flag = F.coalesce(F.col(directed), F.lit(False)) if directed else F.lit(False)
+    rows = cells.select("cx", "cy", "value", flag.alias("_directed"), *top)
+    kept = None
+    for k in range(depth, -1, -1):
+        nx, ny = F.shiftright("cx", k), F.shiftright("cy", k)
+        w = W.partitionBy("_tx", "_ty", nx, ny)
+        mean, high = F.avg("value").over(w), F.max("value").over(w)
+        holds = F.lit(k == 0) | (high - mean <= threshold) & ~F.max("_directed").over(w)
+        node = F.when(holds, F.struct(F.lit(k).alias("k"), nx.alias("nx"), ny.alias("ny"), mean.alias("mean"), high.alias("top")))
+        kept = node if kept is None else F.coalesce(kept, node)
+    nodes = rows.select("_tx", "_ty", kept.alias("n")).groupBy("_tx", "_ty", "n.k", "n.nx", "n.ny").agg(F.first("n.mean").alias("mean"), F.first("n.top").alias("top"))
     key = F.lit(None).cast("long")
     for k in range(depth + 1):
         key = F.when(F.col("k") == k, node_key("nx", "ny", 16 - k)).otherwise(key)
-    return kept.select((16 - F.col("k")).alias("depth"), "nx", "ny", key.alias("key"), "mean", "top")
+    return nodes.select((16 - F.col("k")).alias("depth"), "nx", "ny", key.alias("key"), "mean", "top")
 
 
 def covering_node(points: DataFrame, nodes: DataFrame, depth: int) -> DataFrame:
@@ -88,7 +91,7 @@ def inpainted(cells: DataFrame, most_rounds: int | None = None) -> DataFrame:
     """
     context = cells.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(cells.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="trackloom-"))
+        context.setCheckpointDir(shared_base(cells.sparkSession))
     around = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if dx or dy])
     known, empty = cells.where("value is not null").select("cx", "cy", "value"), cells.where("value is null").select("cx", "cy")
     front, done, rings = known, 0, []
@@ -287,6 +290,13 @@ def local_variance(points: DataFrame, cells: DataFrame, keys: list[str], half: i
 
 
 def layer_fingerprint(cells: DataFrame, chunk: int) -> DataFrame:
-    """AGG-37: one hash of a layer's content, whatever the order of its rows: a sum of row hashes for each chunk, and a hash of the sorted chunks."""
-    rows = cells.groupBy(F.floor(F.col("cx") / chunk).alias("kx"), F.floor(F.col("cy") / chunk).alias("ky")).agg(F.sum(F.xxhash64("cx", "cy", "value").cast("decimal(38,0)")).alias("crc"))
-    return rows.agg(F.xxhash64(F.to_json(F.sort_array(F.collect_list(F.struct("kx", "ky", "crc"))))).alias("fingerprint"))
+    """AGG-37: one hash of a layer's content, whatever the order of its rows: hashes of cells summed for each chunk, and hashes of chunks summed for the layer."""
+    total = "decimal(38,0)"
+    rows = cells.groupBy(F.floor(F.col("cx") / chunk).alias("kx"), F.floor(F.col("cy") / chunk).alias("ky")).agg(F.sum(F.xxhash64("cx", "cy", "value").cast(total)).alias("crc"))
+    layer = rows.agg(F.sum(F.xxhash64("kx", "ky", F.col("crc").cast("string")).cast(total)).alias("sum"), F.count("*").alias("chunks"))
+    return layer.select(F.xxhash64(F.col("sum").cast("string"), "chunks").alias("fingerprint"))
+
+
+def forbidden_ratio(cells: DataFrame, keys: list[str], blocked: str = "blocked") -> DataFrame:
+    """AGG-25: share of blocked cells of each group, or of all."""
+    return cells.groupBy(*keys).agg(F.coalesce(F.avg(F.col(blocked).cast("int")), F.lit(0.0)).alias("forbidden_ratio"))

@@ -118,13 +118,18 @@ def low_pass(df: DataFrame, series: str, idx: str, value: str, dt: float, tau: f
     return df.groupBy(series).applyInPandas(run, schema)
 
 
-def gaps(fixes: DataFrame, run: str, epoch: str) -> DataFrame:
-    """WIN-12: (run, from, to) of each stretch of whole-second epochs without a fix between a run's first and last.
+def gaps(fixes: DataFrame, run: str, epoch: str, runs: DataFrame | None = None) -> DataFrame:
+    """WIN-12: (run, from, to) of each stretch of whole-second epochs without a fix.
 
-    The missing ones lie between neighbours, so no list of all epochs is made.
+    ``runs(run, first, last)`` gives the epochs of each run, so that gaps before its first fix and after
+    its last one are closed at its ends, and a run without fixes is one gap; without it only those between
+    fixes are known. Missing epochs lie between neighbours, so no list of all epochs is made.
     """
     w = W.partitionBy(run).orderBy(epoch)
-    rows = fixes.select(run, epoch).distinct().withColumn("_next", F.lead(epoch).over(w))
+    rows = fixes.select(run, epoch)
+    if runs is not None:
+        rows = rows.union(runs.select(run, F.explode(F.array(F.col("first") - 1, F.col("last") + 1))))
+    rows = rows.distinct().withColumn("_next", F.lead(epoch).over(w))
     return rows.where(F.col("_next") > F.col(epoch) + 1).select(run, (F.col(epoch) + 1).alias("from_s"), (F.col("_next") - 1).alias("to_s"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trackloom.operators import joins as J
+from trackloom.operators import predicates as P
 from trackloom.operators import windows as O
 from trackloom.plans.registry import q4, q6, query, r4, r6
 
@@ -40,10 +41,9 @@ def jon_04_fix_errors(samples: DataFrame) -> DataFrame:
     return met.groupBy("run_id").agg(F.count("*").alias("n"), r6(F.avg("err")).alias("mean"), r6(F.sqrt(F.avg(F.col("err") * F.col("err")))).alias("rms"))
 
 
-@query(("track", "polys"), "SELECT path_id, seq, region_id FROM track JOIN polys ON x >= x0 AND x <= x0 + side AND y >= y0 AND y <= y0 + side")
+@query(("track", "polys"), "SELECT path_id, seq, region_id FROM track JOIN polys ON x >= x0 AND x < x0 + side AND y >= y0 AND y < y0 + side AND (triangle = 0 OR x < (x0 - (x0 + side)) * (y - y0) / (y0 + side - y0) + (x0 + side))")
 def jon_05_points_in_regions(track: DataFrame, polys: DataFrame) -> DataFrame:
-    boxes = polys.select("region_id", F.col("x0").alias("x_lo"), F.col("y0").alias("y_lo"), (F.col("x0") + F.col("side")).alias("x_hi"), (F.col("y0") + F.col("side")).alias("y_hi"))
-    return J.points_in_boxes(track, boxes).select("path_id", "seq", "region_id")
+    return J.points_in_regions(track, polys.select("region_id", P.poly_ring().alias("ring"))).select("path_id", "seq", "region_id")
 
 
 @query(("track", "cells"), f", p AS (SELECT path_id, seq, CAST(floor(x) AS BIGINT) AS cx, CAST(floor(y) AS BIGINT) AS cy FROM track) SELECT path_id, seq, c.value IS NOT NULL AS loaded, {q6('c.value')} AS value, coalesce(c.blocked, true) AS blocked FROM p LEFT JOIN cells c USING (cx, cy)")
@@ -197,12 +197,42 @@ def jon_30_nearest_without_limit(samples: DataFrame) -> DataFrame:
     return met.select("event_id", r6(F.abs(F.col("_t.time_s") - F.col("time_s"))).alias("gap")).where("gap is not null")
 
 
-@query(("track", "cells"))
-def jon_17_line_of_sight(track: DataFrame, cells: DataFrame) -> DataFrame:
-    """Also JON-32: segments of the paths that enter no blocked cell."""
+def _legs(track: DataFrame) -> DataFrame:
     w = W.partitionBy("path_id").orderBy("seq")
-    segments = track.select("path_id", "seq", F.col("x").alias("x0"), F.col("y").alias("y0"), F.lead("x").over(w).alias("x1"), F.lead("y").over(w).alias("y1")).where("x1 is not null")
-    entered = J.segment_cells(segments, 1.0).select("path_id", "seq", "cx", "cy")
-    blocked = cells.where("blocked").select(F.col("cx").cast("long").alias("cx"), "cy")
-    hit = entered.join(blocked, ["cx", "cy"], "left_semi").select("path_id", "seq").distinct()
-    return segments.select("path_id", "seq").join(hit.withColumn("hit", F.lit(True)), ["path_id", "seq"], "left").select("path_id", "seq", F.col("hit").isNull().alias("clear"))
+    return track.select("path_id", "seq", F.col("x").alias("x0"), F.col("y").alias("y0"), F.lead("x").over(w).alias("x1"), F.lead("y").over(w).alias("y1")).where("x1 is not null")
+
+
+_ENTERED = """
+, s AS (SELECT path_id, seq, x AS x0, y AS y0, lead(x) OVER w AS x1, lead(y) OVER w AS y1 FROM track WINDOW w AS (PARTITION BY path_id ORDER BY seq)), l AS (SELECT * FROM s WHERE x1 IS NOT NULL),
+k AS (SELECT path_id, seq, 0.0 AS t FROM l UNION SELECT path_id, seq, 1.0 FROM l
+    UNION SELECT path_id, seq, (unnest(range(CAST(floor(least(x0, x1)) AS BIGINT) + 1, CAST(floor(greatest(x0, x1)) AS BIGINT) + 1)) - x0) / (x1 - x0) FROM l
+    UNION SELECT path_id, seq, (unnest(range(CAST(floor(least(y0, y1)) AS BIGINT) + 1, CAST(floor(greatest(y0, y1)) AS BIGINT) + 1)) - y0) / (y1 - y0) FROM l),
+m AS (SELECT path_id, seq, (t + lead(t) OVER (PARTITION BY path_id, seq ORDER BY t)) / 2 AS t FROM k UNION ALL SELECT path_id, seq, unnest([0.0, 1.0]) FROM l),
+e AS (SELECT DISTINCT path_id, seq, CAST(floor(x0 + t * (x1 - x0)) AS BIGINT) AS cx, CAST(floor(y0 + t * (y1 - y0)) AS BIGINT) AS cy FROM m JOIN l USING (path_id, seq) WHERE t IS NOT NULL),
+h AS (SELECT DISTINCT path_id, seq FROM e JOIN cells USING (cx, cy) WHERE blocked)"""
+
+
+@query(("track", "cells"), _ENTERED + " SELECT l.path_id, l.seq, h.seq IS NULL AS clear FROM l LEFT JOIN h USING (path_id, seq)")
+def jon_17_line_of_sight(track: DataFrame, cells: DataFrame) -> DataFrame:
+    """Segments of the paths that enter no blocked cell."""
+    legs = _legs(track)
+    hit = J.segment_cells(legs, 1.0).select("path_id", "seq", "cx", "cy").join(cells.where("blocked").select("cx", "cy"), ["cx", "cy"], "left_semi").select("path_id", "seq").distinct()
+    return legs.select("path_id", "seq").join(hit.withColumn("hit", F.lit(True)), ["path_id", "seq"], "left").select("path_id", "seq", F.col("hit").isNull().alias("clear"))
+
+
+@query(("track", "cells"), _ENTERED + " SELECT path_id, seq FROM h")
+def jon_32_blocked_segments(track: DataFrame, cells: DataFrame) -> DataFrame:
+    """Segments that cross blocked cells."""
+    entered = J.segment_cells(_legs(track), 1.0).select("path_id", "seq", "cx", "cy")
+    return entered.join(cells.where("blocked").select("cx", "cy"), ["cx", "cy"], "left_semi").select("path_id", "seq").distinct()
+
+
+@query(("track", "cells"), ", p AS (SELECT path_id, seq, CAST(floor(x) AS BIGINT) AS cx, CAST(floor(y) AS BIGINT) AS cy FROM track) SELECT path_id, seq, NOT coalesce(c.blocked, true) AS passable FROM p LEFT JOIN cells c USING (cx, cy)")
+def prj_11_passable(track: DataFrame, cells: DataFrame) -> DataFrame:
+    at = track.select("path_id", "seq", F.floor("x").alias("cx"), F.floor("y").alias("cy")).join(cells, ["cx", "cy"], "left")
+    return at.select("path_id", "seq", P.passable("blocked").alias("passable"))
+
+
+@query(("track", "cells"), f", p AS (SELECT path_id, seq, CAST(floor(x) AS BIGINT) AS cx, CAST(floor(y) AS BIGINT) AS cy FROM track) SELECT path_id, seq, CASE WHEN c.cx IS NULL THEN 'outside' WHEN c.blocked THEN 'forbidden' ELSE 'value' END AS state, {q6('CASE WHEN NOT c.blocked THEN c.value END')} AS value FROM p LEFT JOIN cells c USING (cx, cy)")
+def jon_28_raster_points(track: DataFrame, cells: DataFrame) -> DataFrame:
+    return J.raster_at(track, cells, 1.0).select("path_id", "seq", "state", r6("value").alias("value"))

@@ -16,23 +16,64 @@ from trackloom.operators import windows as O
 from trackloom.plans.registry import q4, q6, query, r4, r6
 
 
-@query("samples")
-def agg_20_run_report(samples: DataFrame) -> DataFrame:
-    """One wide row a run: speed, turn rate, curvature, autocorrelation and correlation time."""
-    speed = A.distribution(samples.where(P.running()), ["run_id"], "speed").select("run_id", *[F.col(c).alias(f"speed_{c}") for c in ("n", "mean", "std", "p95")])
-    turn = A.distribution(samples.where(P.moving()).withColumn("rate", F.col("speed") * F.col("kappa_eff")), ["run_id"], "rate").select("run_id", F.col("std").alias("turn_std"))
+_RATIO = ", st AS (SELECT path_id AS run_id, seq, coalesce(sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)), 0) AS s, sqrt(pow(x - first(x) OVER w, 2) + pow(y - first(y) OVER w, 2)) AS r FROM track WINDOW w AS (PARTITION BY path_id ORDER BY seq)), pr AS (SELECT run_id, sum(s) AS length_m, arg_max(r, seq) AS away, max(r) AS reach FROM st GROUP BY run_id), ratio AS (SELECT run_id, length_m, CASE WHEN (CASE WHEN away < 1 THEN 2 * reach ELSE away END) > 1e-9 THEN length_m / (CASE WHEN away < 1 THEN 2 * reach ELSE away END) ELSE 1 END AS ratio FROM pr)"
+_LAG = ", dn AS (SELECT run_id, CAST(row_number() OVER (PARTITION BY run_id ORDER BY time_s, event_id) AS BIGINT) AS i, speed - avg(speed) OVER (PARTITION BY run_id) AS v FROM samples), ac AS (SELECT a.run_id, sum(a.v * b.v) / any_value(z.s) AS acf_1 FROM dn a JOIN dn b ON b.run_id = a.run_id AND b.i = a.i + 1 JOIN (SELECT run_id, sum(v * v) AS s FROM dn GROUP BY run_id) z ON z.run_id = a.run_id GROUP BY a.run_id)"
+
+
+@query(("samples", "track"), _RATIO + _LAG + f"""
+, sp AS (SELECT run_id, count(*) AS n, avg(speed) AS mean, stddev_pop(speed) AS std, quantile_cont(speed, 0.95) AS p95 FROM samples WHERE NOT standing AND NOT turning AND speed >= 0.5 GROUP BY run_id),
+tu AS (SELECT run_id, stddev_pop(speed * kappa_eff) AS turn_std, avg(abs(kappa_eff)) AS curvature FROM samples WHERE NOT standing AND NOT turning GROUP BY run_id),
+ex AS (SELECT run_id, max(time_s) - min(time_s) AS duration_s, max(speed) AS max_speed FROM samples GROUP BY run_id),
+dy AS (SELECT DISTINCT run_id, CAST(floor(time_s / 86400) AS BIGINT) AS d FROM samples WHERE NOT standing), ga AS (SELECT run_id, count(*) AS had, max(d) - min(d) + 1 AS days FROM dy GROUP BY run_id),
+lp AS (SELECT run_id, seq // 10 AS lap, min(seq) AS t0 FROM st GROUP BY ALL), lx AS (SELECT run_id, max(seq) AS stop, greatest(max(seq) // 10, 1) - 1 AS last FROM st GROUP BY run_id), lt AS (SELECT lp.run_id, lap, coalesce(lead(t0) OVER (PARTITION BY lp.run_id ORDER BY lap), stop) - t0 AS s FROM lp JOIN lx USING (run_id) WHERE lap <= last), lv AS (SELECT run_id, CASE WHEN count(*) >= 2 THEN CASE WHEN abs(avg(s)) < 1e-9 THEN 0 ELSE stddev_pop(s) / abs(avg(s)) END END AS lap_cv FROM lt GROUP BY run_id)
+SELECT run_id, n AS speed_n, {q4('mean')} AS speed_mean, {q4('std')} AS speed_std, {q6('p95')} AS speed_p95, {q4('turn_std')} AS turn_std, {q4('curvature')} AS mean_abs_curvature, {q4('length_m')} AS length_m, {q4('ratio')} AS path_ratio, {q4('duration_s')} AS duration_s, {q4('max_speed')} AS max_speed, {q4('acf_1')} AS acf_1, {q4('had / CAST(days AS DOUBLE)')} AS availability, {q4('lap_cv')} AS lap_cv,
+       coalesce(ratio BETWEEN 1 AND 3 AND mean > 0.5 AND p95 < 8 AND abs(acf_1) < 0.999, false) AS plausible
+FROM ex LEFT JOIN sp USING (run_id) LEFT JOIN tu USING (run_id) LEFT JOIN ratio USING (run_id) LEFT JOIN ac USING (run_id) LEFT JOIN ga USING (run_id) LEFT JOIN lv USING (run_id)""")
+def agg_20_run_report(samples: DataFrame, track: DataFrame) -> DataFrame:
+    """One wide row a run: speed, turn rate, curvature, path, extent, autocorrelation, fixes by day, laps of ten vertices and whether all that is plausible."""
+    run = ["run_id"]
+    speed = A.distribution(samples.where(P.running()), run, "speed").select("run_id", *[F.col(c).alias(f"speed_{c}") for c in ("n", "mean", "std", "p95")])
+    moving = samples.where(P.moving())
+    turn = moving.groupBy(*run).agg(F.stddev_pop(F.col("speed") * F.col("kappa_eff")).alias("turn_std"), F.avg(F.abs("kappa_eff")).alias("mean_abs_curvature"))
+    paths = track.withColumnRenamed("path_id", "run_id")
+    ratio = A.path_ratio(paths, "run_id").select("run_id", F.col("ratio").alias("path_ratio"))
+    extent = A.run_extent(samples, track, "run_id", "path_id")
     dense = samples.withColumn("idx", F.row_number().over(W.partitionBy("run_id").orderBy("time_s", "event_id")) - 1)
-    acf = A.autocorrelation(dense, "run_id", "idx", "speed", 10)
-    lists = acf.groupBy("run_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("lag", "acf"))), lambda s: F.round(s["acf"], 6)).alias("acf"))
-    time = A.correlation_time(acf, "run_id").withColumnRenamed("lag", "correlation_lag")
-    report = speed.join(turn, "run_id", "left").join(lists, "run_id", "left").join(time, "run_id", "left")
-    return report.withColumn("plausible", P.plausible(F.lit(1.2), "speed_mean", "speed_p95", F.get("acf", F.lit(1))))
+    acf = A.autocorrelation(dense, "run_id", "idx", "speed", 1).where("lag = 1").select("run_id", F.col("acf").alias("acf_1"))
+    days = moving_days(samples)
+    fixes = A.availability(days, O.gaps(days, "run_id", "d"), "run_id")
+    vertices = paths.select("run_id", F.col("seq").cast("double").alias("arc"), F.col("seq").alias("t"))
+    laps = A.lap_variation(A.lap_times(vertices, "run_id", "arc", "t", 10.0), "run_id").withColumnRenamed("cv", "lap_cv")
+    report = extent
+    for part in (speed, turn, ratio, acf, fixes, laps):
+        report = report.join(part, "run_id", "left")
+    wide = ["speed_mean", "speed_std", "speed_p95", "turn_std", "mean_abs_curvature", "length_m", "path_ratio", "duration_s", "max_speed", "acf_1", "availability", "lap_cv"]
+    return report.select("run_id", "speed_n", *[(r6 if c == "speed_p95" else r4)(c).alias(c) for c in wide], P.plausible("path_ratio", "speed_mean", "speed_p95", "acf_1").alias("plausible"))
 
 
-@query("samples", f"SELECT run_id, avg(speed) > 0.5 AND quantile_cont(speed, 0.95) < 8 AND count(*) > 60 AS plausible FROM samples WHERE NOT standing AND NOT turning AND speed >= 0.5 GROUP BY run_id")
-def prj_13_plausible(samples: DataFrame) -> DataFrame:
-    report = A.distribution(samples.where(P.running()), ["run_id"], "speed").withColumn("acf", F.when(F.col("n") > 60, 0.5))
-    return report.select("run_id", P.plausible(F.lit(1.5), "mean", "p95", "acf").alias("plausible"))
+def moving_days(samples: DataFrame) -> DataFrame:
+    return samples.where("not standing").select("run_id", F.floor(F.col("time_s") / 86400).alias("d")).distinct()
+
+
+@query(("samples", "track"), _RATIO + _LAG + " SELECT run_id, ratio BETWEEN 1 AND 3 AND avg(speed) > 0.5 AND quantile_cont(speed, 0.95) < 8 AND abs(any_value(acf_1)) < 0.999 AS plausible FROM samples JOIN ratio USING (run_id) JOIN ac USING (run_id) WHERE NOT standing AND NOT turning AND speed >= 0.5 GROUP BY run_id, ratio")
+def prj_13_plausible(samples: DataFrame, track: DataFrame) -> DataFrame:
+    report = A.distribution(samples.where(P.running()), ["run_id"], "speed")
+    dense = samples.withColumn("idx", F.row_number().over(W.partitionBy("run_id").orderBy("time_s", "event_id")) - 1)
+    acf = A.autocorrelation(dense, "run_id", "idx", "speed", 1).where("lag = 1")
+    met = report.join(A.path_ratio(track.withColumnRenamed("path_id", "run_id"), "run_id"), "run_id").join(acf, "run_id")
+    return met.select("run_id", P.plausible("ratio", "mean", "p95", "acf").alias("plausible"))
+
+
+@query(("samples", "track"), _RATIO + f" SELECT run_id, {q4('any_value(max_time) - any_value(min_time)')} AS duration_s, {q6('any_value(top)')} AS max_speed, {q4('any_value(length_m)')} AS length_m FROM (SELECT run_id, max(time_s) AS max_time, min(time_s) AS min_time, max(speed) AS top FROM samples GROUP BY run_id) JOIN ratio USING (run_id) GROUP BY run_id")
+def agg_32_run_extent(samples: DataFrame, track: DataFrame) -> DataFrame:
+    got = A.run_extent(samples, track, "run_id", "path_id")
+    return got.select("run_id", r4("duration_s").alias("duration_s"), r6("max_speed").alias("max_speed"), r4("length_m").alias("length_m"))
+
+
+@query("cells", f"SELECT cy % 16 AS layer, {q6('avg(CAST(blocked AS INTEGER))')} AS forbidden_ratio FROM cells GROUP BY layer")
+def agg_25_forbidden_ratio(cells: DataFrame) -> DataFrame:
+    got = R.forbidden_ratio(cells.withColumn("layer", F.col("cy") % 16), ["layer"])
+    return got.select("layer", r6("forbidden_ratio").alias("forbidden_ratio"))
 
 
 @query("samples", "SELECT event_id FROM samples WHERE standing AND run_id % 2 = 0")
@@ -161,6 +202,13 @@ def sca_30_area_kind(tags: DataFrame) -> DataFrame:
     return rows.select("way_id", S.area_kind(F.col("t")).alias("kind"), S.building_height(F.col("t")).alias("height"))
 
 
+@query("tags", f"SELECT way_id, {q6("CASE WHEN way_id % 4 = 0 THEN CAST(regexp_extract(width, '^([0-9.]+)', 1) AS DOUBLE) ELSE (way_id % 6 + 1) * 3.2 END")} AS height FROM tags")
+def sca_31_building_height(tags: DataFrame) -> DataFrame:
+    way = F.col("way_id")
+    made = F.create_map(F.lit("building"), F.lit("yes"), F.lit("height"), F.when(way % 4 == 0, F.col("width")), F.lit("building:levels"), (way % 6 + 1).cast("string"))
+    return tags.select("way_id", r6(S.building_height(F.map_filter(made, lambda k, v: v.isNotNull()))).alias("height"))
+
+
 @query("signal", ", b AS (SELECT series, idx, value - avg(value) OVER (PARTITION BY series) AS x FROM signal), s AS (SELECT a.series, sum(a.x * a.x) AS s0, sum(a.x * c.x) AS s1 FROM b a LEFT JOIN b c ON a.series = c.series AND c.idx = a.idx + 1 GROUP BY a.series) SELECT series, " + q4("CASE WHEN s1 / s0 > 0 AND s1 / s0 < 1 THEN -0.1 / ln(s1 / s0) END") + " AS tau FROM s")
 def sca_36_ou_fit(signal: DataFrame) -> DataFrame:
     acf = A.autocorrelation(signal, "series", "idx", "value", 1).groupBy("series").agg(F.max(F.when(F.col("lag") == 1, F.col("acf"))).alias("a"))

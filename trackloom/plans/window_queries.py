@@ -91,9 +91,12 @@ def win_11_low_pass(signal: DataFrame) -> DataFrame:
     return O.low_pass(rows, "series", "idx", "value", 0.1, 0.5).select("event_id", r6("low").alias("low"))
 
 
-@query("samples", ", e AS (SELECT DISTINCT run_id, CAST(floor(time_s / 86400) AS BIGINT) AS d FROM samples), n AS (SELECT run_id, d, lead(d) OVER (PARTITION BY run_id ORDER BY d) AS nx FROM e) SELECT run_id, d + 1 AS from_s, nx - 1 AS to_s FROM n WHERE nx > d + 1")
+@query("samples", ", d AS (SELECT run_id, CAST(floor(time_s / 86400) AS BIGINT) AS d, standing FROM samples), e AS (SELECT DISTINCT run_id, d FROM d WHERE NOT standing UNION SELECT run_id, min(d) - 4 FROM d GROUP BY run_id UNION SELECT run_id, max(d) + 3 FROM d GROUP BY run_id), n AS (SELECT run_id, d, lead(d) OVER (PARTITION BY run_id ORDER BY d) AS nx FROM e) SELECT run_id, d + 1 AS from_s, nx - 1 AS to_s FROM n WHERE nx > d + 1")
 def win_12_gaps(samples: DataFrame) -> DataFrame:
-    return O.gaps(samples.withColumn("d", F.floor(F.col("time_s") / 86400)), "run_id", "d")
+    """Days without a sample that moves, from three days before a run's first sample to two after its last."""
+    days = samples.withColumn("d", F.floor(F.col("time_s") / 86400))
+    runs = days.groupBy("run_id").agg((F.min("d") - 3).alias("first"), (F.max("d") + 2).alias("last"))
+    return O.gaps(days.where("not standing"), "run_id", "d", runs)
 
 
 @query("samples", ", f AS (SELECT *, speed > 5 AS fast FROM samples), e AS (SELECT *, fast AND NOT coalesce(lag(fast) OVER (PARTITION BY run_id ORDER BY time_s, event_id), false) AS enters FROM f) SELECT run_id, event_id, row_number() OVER (PARTITION BY run_id ORDER BY time_s, event_id) - 1 AS entry FROM e WHERE enters")

@@ -7,4 +7,7 @@ TRUTH = f"time_s double, position {XY}, position_low {XY}, z double, terrain_z d
 SENSOR = "time_s double, channel string, v array<double>, latitude_deg double, longitude_deg double, altitude_m double, speed_mps double, heading_rad double, valid boolean, satellites int, pressure_pa double"
 CHANNELS = ["gnss", "accel", "gyro", "mag", "baro"]
 EVENT = "at_ms long, event struct<type: string, state: string, stage: string, progress: double, elapsed_s: double, level: string, message: string, kind: string, summary_url: string>"
-OSM = "elements array<struct<type: string, id: long, tags: map<string, string>, geometry: array<struct<lat: double, lon: double>>, members: array<struct<type: string, role: string, geometry: array<struct<lat: double, lon: double>>>>>>"
+_VERTICES = "array<struct<lat: double, lon: double>>"
+_FIELDS = ("type string", "id long", "tags map<string, string>", f"geometry {_VERTICES}", f"members array<struct<type: string, role: string, geometry: {_VERTICES}>>")
+OSM_ELEMENT = ", ".join(_FIELDS)
+OSM = f"elements array<struct<{', '.join(f.replace(' ', ': ', 1) for f in _FIELDS)}>>"
