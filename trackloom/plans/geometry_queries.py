@@ -58,10 +58,10 @@ def srt_05_magnitude_at(signal: DataFrame) -> DataFrame:
 
 @query("signal", f"""
 , n AS (SELECT series, idx, value - avg(value) OVER (PARTITION BY series) AS v, count(*) OVER (PARTITION BY series) AS n FROM signal WHERE idx < 2048),
-b AS (SELECT *, unnest(range(1, least(n // 2, 8) + 1)) AS bin FROM n WHERE n >= 32)
+b AS (SELECT *, unnest(range(1, n // 2 + 1)) AS bin FROM n WHERE n >= 32)
 SELECT series, bin, {q4('any_value(bin * 100.0 / n)')} AS frequency_hz, {q4(f'2 * sqrt(pow(sum(v * cos({2 * math.pi!r} * bin * idx / n)), 2) + pow(sum(v * sin({2 * math.pi!r} * bin * idx / n)), 2)) / any_value(n)')} AS magnitude FROM b GROUP BY series, bin""")
 def grp_31_periodogram(signal: DataFrame) -> DataFrame:
-    return S.periodogram(signal, "series", "idx", "value", 100.0, bins=8).select("series", "bin", r4("frequency_hz").alias("frequency_hz"), r4("magnitude").alias("magnitude"))
+    return S.periodogram(signal, "series", "idx", "value", 100.0).select("series", "bin", r4("frequency_hz").alias("frequency_hz"), r4("magnitude").alias("magnitude"))
 
 
 _ARC = """
