@@ -53,6 +53,25 @@ def test_archive_round_trip():
     assert list(read_archive(build_archive([b"x"]))) == [b"x"]
 
 
+def test_the_dictionary_is_used():
+    import zstandard
+
+    rnd = random.Random(1)
+    words = [f"word{rnd.randint(0, 10**6)}" for _ in range(300)]
+    records = [(" ".join(words[:150]) + " " + " ".join(rnd.choice(words) for _ in range(30))).encode() for _ in range(400)]
+    alone = sum(len(zstandard.ZstdCompressor(level=3, write_checksum=True).compress(r)) for r in records)
+    assert len(build_archive(records, dictionary_bytes=8 << 10)) < alone / 2
+
+
+def test_a_payload_of_many_megabytes(spark, tmp_path):
+    long = "<p>é" + "".join(f"{i} " for i in range(2_500_000))
+    pages = spark.createDataFrame([(1, "http://a", long), (2, "http://b", long)], "page_id long, url string, html string")
+    write_warc(pages, str(tmp_path / "w"))
+    got = {r.page_id: r for r in read_warc(spark, str(tmp_path / "w")).collect()}
+    assert got[1].record_type == "revisit" and got[1].refers_to == 2 and got[1].payload_digest == got[2].payload_digest
+    assert bytes(got[2].payload).decode() == long
+
+
 def test_revisits_nulls_and_ties(spark, tmp_path):
     long = "é" * 600
     rows = [(1, "http://a/\r\nb", long), (2, None, long), (5, "u", long), (5, "u", long), (3, "x", None), (4, "y", ""), (6, "z", "short"), (7, "z", "short"), (None, "n", long), (None, "n", "w" * 2000), (None, "n", "w" * 2000)]
