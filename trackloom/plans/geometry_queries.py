@@ -34,21 +34,30 @@ def grp_01_dft_bins(signal: DataFrame) -> DataFrame:
     return S.dft_bins(signal, "series", "idx", "value", 100.0, 12).select("series", "bin", r4("frequency_hz").alias("frequency_hz"), r4("magnitude").alias("magnitude"))
 
 
-@query("signal")
+_LINES = _spectrum("CAST(size / 2 AS BIGINT) + 1", 10) + """
+, nb AS (SELECT *, lag(m) OVER w AS b, lead(m) OVER w AS a, lead(hz) OVER w - hz AS step FROM spec WINDOW w AS (PARTITION BY series ORDER BY bin)),
+sh AS (SELECT *, CASE WHEN abs(b - 2 * m + a) > 1e-12 THEN least(greatest(0.5 * (b - a) / (b - 2 * m + a), -0.5), 0.5) ELSE 0 END AS shift FROM nb WHERE b IS NOT NULL AND a IS NOT NULL),
+li AS (SELECT *, hz + shift * step AS line_hz, m - 0.25 * (b - a) * shift AS line FROM sh),
+ba AS (SELECT series, arg_max(line_hz, (m, -bin)) AS cadence_hz, arg_max(line, (m, -bin)) AS amplitude FROM li WHERE hz BETWEEN 1.4 AND 3.6 GROUP BY series),
+gait AS (SELECT series, cadence_hz, amplitude, coalesce(max(line) FILTER (abs(hz - 2 * cadence_hz) <= 0.1 * 2 * cadence_hz) / amplitude, 0) AS ratio_2, coalesce(max(line) FILTER (abs(hz - 3 * cadence_hz) <= 0.1 * 3 * cadence_hz) / amplitude, 0) AS ratio_3 FROM li JOIN ba USING (series) WHERE amplitude > 0 GROUP BY series, cadence_hz, amplitude)"""
+
+
+@query("signal", _LINES + f" SELECT series, {q4('cadence_hz')} AS cadence_hz, {q4('amplitude')} AS amplitude, {q4('ratio_2')} AS ratio_2, {q4('ratio_3')} AS ratio_3 FROM gait")
 def grp_02_gait_signature(signal: DataFrame) -> DataFrame:
     gait = S.gait_signature(S.spectrum(signal, "series", "idx", "value", 10.0), "series")
-    return gait.select("series", *[r6(c).alias(c) for c in ("cadence_hz", "amplitude", "ratio_2", "ratio_3")])
+    return gait.select("series", *[r4(c).alias(c) for c in ("cadence_hz", "amplitude", "ratio_2", "ratio_3")])
 
 
-@query("signal")
+@query("signal", _LINES + f" SELECT series, name, {q4('value')} AS value FROM (SELECT series, unnest(['cadence_hz', 'amplitude', 'ratio_2', 'ratio_3']) AS name, unnest([cadence_hz, amplitude, ratio_2, ratio_3]) AS value FROM gait)")
 def grp_03_observables(signal: DataFrame) -> DataFrame:
     gait = S.gait_signature(S.spectrum(signal, "series", "idx", "value", 10.0), "series")
-    return S.observables(gait, ["series"]).select("series", "name", r6("value").alias("value"))
+    return S.observables(gait, ["series"]).select("series", "name", r4("value").alias("value"))
 
 
-@query("signal")
+@query("signal", _LINES + f" SELECT series, {q4('arg_max(hz, (m, -bin)) FILTER (hz >= 0.2)')} AS dominant_hz, {q4('max(m) FILTER (hz BETWEEN 2 AND 3)')} AS step_magnitude, {q4('arg_min(m, (abs(hz - 5), bin))')} AS second_magnitude FROM spec GROUP BY series")
 def grp_04_spectrum_summary(signal: DataFrame) -> DataFrame:
-    return S.spectrum_summary(S.spectrum(signal, "series", "idx", "value", 10.0), "series", 2.5)
+    got = S.spectrum_summary(S.spectrum(signal, "series", "idx", "value", 10.0), "series", 2.5)
+    return got.select("series", *[r4(c).alias(c) for c in ("dominant_hz", "step_magnitude", "second_magnitude")])
 
 
 @query("signal", _SPEC + f" SELECT series, {q4('arg_min(m, (abs(hz - 6), bin))')} AS magnitude FROM spec GROUP BY series")

@@ -85,7 +85,7 @@ def win_10_unwrap(signal: DataFrame) -> DataFrame:
     return O.unwrap(signal, "series", "idx", "value").select("event_id", r6("unwrapped").alias("unwrapped"))
 
 
-@query("signal")
+@query("signal", f"SELECT a.event_id, {q6('sum(CASE WHEN b.idx = 0 THEN pow(0.8, a.idx) * b.value ELSE 0.2 * pow(0.8, a.idx - b.idx) * b.value END)')} AS low FROM signal a JOIN signal b ON b.series = a.series AND b.idx <= a.idx GROUP BY a.event_id")
 def win_11_low_pass(signal: DataFrame) -> DataFrame:
     rows = signal.select("series", "idx", "event_id", "value")
     return O.low_pass(rows, "series", "idx", "value", 0.1, 0.5).select("event_id", r6("low").alias("low"))
