@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from trackloom.operators.predicates import point_in_ring
+from trackloom.operators.predicates import in_edges, ring_edges
 
 
 def _lined_up(queries: DataFrame, truth: DataFrame, run: str, time: str, truth_first: bool) -> DataFrame:
@@ -67,10 +67,10 @@ def points_in_regions(points: DataFrame, regions: DataFrame, ring: str = "ring",
     """
     corners = F.col(ring)
     box = {f"{c}_{end}": pick(F.col(f"{ring}.{c}")) for c in "xy" for end, pick in (("lo", F.array_min), ("hi", F.array_max))}
-    boxed = regions.where(F.size(ring) >= 3).withColumns(box)
+    boxed = regions.where(F.size(ring) >= 3).withColumns({**box, "_edges": ring_edges(corners)})
     span = [F.floor(F.col(f"{c}_hi") / size) - F.floor(F.col(f"{c}_lo") / size) + 1 for c in "xy"]
     checked = boxed.withColumn("x_lo", F.when(span[0] * span[1] <= most, F.col("x_lo")).otherwise(F.raise_error(F.lit("a region covers too many buckets")).cast("double")))
-    return points_in_boxes(points, checked, size).where(point_in_ring("x", "y", corners)).drop(*box)
+    return points_in_boxes(points, checked, size).where(in_edges("x", "y", F.col("_edges"))).drop(*box, "_edges")
 
 
 def near_cells(points: DataFrame, cells: DataFrame, resolution: float, radius: float) -> DataFrame:

@@ -85,22 +85,30 @@ def poly_ring() -> Column:
     return F.when(F.col("triangle") == 1, F.array(corner(x0, y0), corner(x1, y0), corner(x0, y1))).otherwise(F.array(corner(x0, y0), corner(x1, y0), corner(x1, y1), corner(x0, y1)))
 
 
-def point_in_ring(x, y, ring: Column) -> Column:
-    """PRJ-10: even-odd rule; fewer than three corners hold nothing.
+def ring_edges(ring: Column) -> Column:
+    """Each corner with the next one."""
+    nexts = F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1))
+    return F.zip_with(ring, nexts, lambda a, b: F.struct(a["x"].alias("ax"), a["y"].alias("ay"), b["x"].alias("bx"), b["y"].alias("by")))
+
+
+def in_edges(x, y, edges: Column) -> Column:
+    """Even-odd rule over a ring's edges.
 
-    The point goes to each edge in an array of its own: a lambda that refers to columns of one side of a
-    join is not told apart from the other side's when such a filter is pushed down.
+    The point goes along with the sum: a lambda that refers to columns of one side of a join is
+    not told apart from the other side's when such a filter is pushed down.
     """
-    nexts = F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1))
-    edges = F.zip_with(ring, nexts, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    point = F.array_repeat(F.struct(_c(x).alias("x"), _c(y).alias("y")), F.size(ring))
 
-    def crosses(edge: Column, p: Column) -> Column:
-        a, b = edge["a"], edge["b"]
-        between = (a["y"] > p["y"]) != (b["y"] > p["y"])
-        return F.when(between, p["x"] < (b["x"] - a["x"]) * (p["y"] - a["y"]) / (b["y"] - a["y"]) + a["x"]).otherwise(F.lit(False))
+    def step(s: Column, e: Column) -> Column:
+        between = (e["ay"] > s["y"]) != (e["by"] > s["y"])
+        left = s["x"] < (e["bx"] - e["ax"]) * (s["y"] - e["ay"]) / (e["by"] - e["ay"]) + e["ax"]
+        return F.struct(s["x"].alias("x"), s["y"].alias("y"), F.when(between & left, ~s["odd"]).otherwise(s["odd"]).alias("odd"))
+
+    return F.aggregate(edges, F.struct(_c(x).alias("x"), _c(y).alias("y"), F.lit(False).alias("odd")), step, lambda s: s["odd"])
 
-    return (F.size(ring) >= 3) & F.aggregate(F.zip_with(edges, point, crosses), F.lit(False), lambda s, c: s != c)
+
+def point_in_ring(x, y, ring: Column) -> Column:
+    """PRJ-10: even-odd rule; fewer than three corners hold nothing."""
+    return (F.size(ring) >= 3) & in_edges(x, y, ring_edges(ring))
 
 
 def passable(blocked) -> Column:
