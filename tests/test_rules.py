@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from trackloom.operators import aggregates as A
 from trackloom.operators import geometry as G
 from trackloom.operators import joins as J
 from trackloom.operators import links as L
@@ -170,3 +171,60 @@ def test_fingerprints_do_not_depend_on_order(spark):
     schema = "cx long, cy long, value double"
     one, two, three = (R.layer_fingerprint(spark.createDataFrame(r, schema).repartition(n), 4).first()[0] for r, n in ((rows, 1), (rows[::-1], 5), ([*rows[:-1], (8, 8, 1.0)], 2)))
     assert one == two != three
+
+
+@pytest.mark.parametrize("width", [0.5, 7.0, 1e9])
+def test_as_of_in_pieces_of_any_width(spark, width):
+    rng = random.Random(3)
+    truth = [(run, float(t), i) for run in ("a", "b", None) for i, t in enumerate(rng.sample(range(-60, 60), 25))] + [("a", None, 99), ("d", 1.0, 0)]
+    asked = [(run, rng.randrange(-140, 140) / 2, i) for run in ("a", "b", "c", None) for i in range(60)] + [("a", None, 60)]
+    q = spark.createDataFrame(asked, "run string, t double, i int").repartition(3)
+    t = spark.createDataFrame(truth, "run string, t double, k int").repartition(3)
+    forward = {(r.run, r.i): r._t and r._t.k for r in J.as_of_forward(q, t, "run", "t", width).collect()}
+    index = {(r.run, r.i): r._at for r in J.first_index_at(q, t, "run", "t", width).collect()}
+    nearest = {late: {(r.run, r.i): r._t and r._t.k for r in J.as_of_nearest(q, t, "run", "t", None, late, width).collect()} for late in (True, False)}
+    near = {(r.run, r.i) for r in J.as_of_nearest(q, t, "run", "t", 1.0, True, width).collect()}
+    assert len(forward) == len(index) == len(nearest[True]) == len(asked)
+    for run, at, i in asked:
+        own = sorted((s, k) for r, s, k in truth if r == run and s is not None)
+        if at is None or not own:
+            assert forward[run, i] is None and nearest[True][run, i] is None and nearest[False][run, i] is None and (run, i) not in near
+            assert index[run, i] == (None if at is None else -1)
+            continue
+        later = [k for s, k in own if s >= at]
+        assert forward[run, i] == (later[0] if later else own[-1][1])
+        assert index[run, i] == min(len(own) - len(later), len(own) - 1)
+        for late, sign in ((True, -1), (False, 1)):
+            assert nearest[late][run, i] == min(own, key=lambda p: (abs(p[0] - at), sign * p[0]))[1]
+        assert ((run, i) in near) == (min(abs(s - at) for s, _ in own) <= 1.0)
+
+
+@pytest.mark.parametrize("parts", [1, 2, 7, 32])
+def test_quantiles_by_selection(spark, parts):
+    rng = random.Random(5)
+    rows = [(k, rng.choice([rng.randrange(9) / 4, rng.gauss(0, 50)])) for k in ("a", "b", None) for _ in range(rng.randrange(40, 90))]
+    rows += [("a", None), ("c", 1.5), ("d", None), ("e", 2.0), ("e", 3.0)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    for keys in (["k"], []):
+        want = {tuple(r[c] for c in keys): r for r in A.distribution(df, keys, "v").collect()}
+        got = {tuple(r[c] for c in keys): r for r in A.distribution(df, keys, "v", parts).collect()}
+        assert want.keys() == got.keys()
+        for key, row in want.items():
+            assert got[key].n == row.n and all(math.isclose(got[key][c], row[c], abs_tol=1e-9) for c in ("mean", "std", "min", "p05", "p50", "p95", "max"))
+    assert A.distribution(df.limit(0), [], "v", parts).first().n == 0 and not A.distribution(df.limit(0), ["k"], "v", parts).count()
+
+
+@pytest.mark.parametrize("block", [1, 5, 4096])
+def test_autocorrelation_in_blocks(spark, block):
+    rng = random.Random(6)
+    series = {"long": [rng.gauss(0, 1) for _ in range(40)], "gaps": [rng.gauss(0, 1) if i % 7 else None for i in range(30)], "short": [1.0, 2.0], "flat": [4.0] * 9}
+    rows = [(s, i, x) for s, xs in series.items() for i, x in enumerate(xs) if x is not None]
+    got = {(r.series, r.lag): r.acf for r in A.autocorrelation(spark.createDataFrame(rows, "series string, i long, x double").repartition(3), "series", "i", "x", 6, block).collect()}
+    for s, xs in series.items():
+        known = [x for x in xs if x is not None]
+        mean = sum(known) / len(known)
+        dense = [None if x is None else x - mean for x in xs]
+        sums = [sum(a * b for a, b in zip(dense, dense[k:]) if a is not None and b is not None) for k in range(7)]
+        want = {0: 1.0} if s in ("short", "flat") else {k: sums[k] / sums[0] for k in range(7)}
+        mine = {k: acf for (name, k), acf in got.items() if name == s}
+        assert mine.keys() == want.keys() and all(math.isclose(mine[k], want[k], abs_tol=1e-9) for k in want)

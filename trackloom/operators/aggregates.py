@@ -15,15 +15,47 @@ def finite(value) -> Column:
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < math.inf)
 
 
-def distribution(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """AGG-01: count, mean, population std, min, p05, p50, p95, max by linear rank; no rows of a group or no keys and no rows give zeros."""
-    v = F.col(value)
-    points = F.percentile(v, F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
-    out = df.groupBy(*keys).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), points.alias("q"), F.max(v).alias("max"))
+def distribution(df: DataFrame, keys: list[str], value: str, parts: int = 0) -> DataFrame:
+    """AGG-01: count, mean, population std, min, p05, p50, p95, max by linear rank; no rows of a group or no keys and no rows give zeros.
+
+    A group's distinct values are held by one task, unless ``parts`` splits them (``exact_quantiles``).
+    """
+    v, wanted = F.col(value), [0.05, 0.5, 0.95]
+    plain = {"n": F.count(v), "mean": F.avg(v), "std": F.stddev_pop(v), "min": F.min(v), "max": F.max(v)}
+    if parts:
+        own = df.groupBy(*keys).agg(*[c.alias(n) for n, c in plain.items()]).withColumn("_k", F.struct(F.lit(0), *keys))
+        out = own.join(exact_quantiles(df.select(F.struct(F.lit(0), *keys).alias("_k"), v.alias("_v")), "_k", "_v", wanted, parts), "_k", "left")
+    else:
+        out = df.groupBy(*keys).agg(*[c.alias(n) for n, c in plain.items()], F.percentile(v, F.array(*map(F.lit, wanted))).alias("q"))
     zero = F.lit(0.0)
     return out.select(*keys, "n", *[F.coalesce(c, zero).alias(n) for c, n in ((F.col("mean"), "mean"), (F.col("std"), "std"), (F.col("min"), "min"), (F.col("q")[0], "p05"), (F.col("q")[1], "p50"), (F.col("q")[2], "p95"), (F.col("max"), "max"))])
 
 
+def exact_quantiles(df: DataFrame, key: str, value: str, wanted: list[float], parts: int) -> DataFrame:
+    """AGG-01: (key, q) with the quantiles of each key by linear rank, nulls left out, by selection: no task holds a key's values.
+
+    Equal values are counted first. Approximate cuts deal a key's distinct values to ``parts`` ranges, sums
+    over the ranges tell which of them hold the ranks wanted, and only those are ordered. Cuts decide how
+    even the ranges are, never the result.
+    """
+    counted = df.where(F.col(value).isNotNull()).groupBy(key, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    cuts = counted.groupBy(key).agg(F.percentile_approx("_v", [i / parts for i in range(1, max(parts, 2))], 1000).alias("_cuts"))
+    placed = counted.join(cuts, key).select(key, "_v", "_c", F.size(F.filter("_cuts", lambda c: c < F.col("_v"))).alias("_part"))
+    upto, whole = W.partitionBy(key).orderBy("_part"), W.partitionBy(key)
+    sums = placed.groupBy(key, "_part").agg(F.sum("_c").alias("_s"))
+    sums = sums.select(key, "_part", F.sum("_s").over(whole).alias("_n"), F.sum("_s").over(upto).alias("_end"), (F.sum("_s").over(upto) - F.col("_s")).alias("_below"))
+    ranks = [(F.col("_n") - 1) * p for p in wanted]
+    ends = [(F.floor(r), F.ceil(r)) for r in ranks]
+    held = [(r >= F.col("_below")) & (r < F.col("_end")) for pair in ends for r in pair]
+    chosen = sums.where(F.exists(F.array(*held), lambda h: h)).drop("_end")
+    running = F.sum("_c").over(W.partitionBy(key, "_part").orderBy("_v")) + F.col("_below")
+    rows = placed.join(chosen, [key, "_part"]).withColumn("_end", running).withColumn("_below", F.col("_end") - F.col("_c"))
+    at = [F.max(F.when((r >= F.col("_below")) & (r < F.col("_end")), F.col("_v"))) for pair in ends for r in pair]
+    found = rows.groupBy(key).agg(F.array(*at).alias("_at"), F.max("_n").alias("_n"))
+    between = [F.when(r == low, F.col("_at")[2 * i]).otherwise((high - r) * F.col("_at")[2 * i] + (r - low) * F.col("_at")[2 * i + 1]) for i, (r, (low, high)) in enumerate(zip(ranks, ends))]
+    return found.select(key, F.array(*between).alias("q"))
+
+
 def variation(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """AGG-02: std over mean, 0 for a mean near 0."""
     mean = F.avg(value)
@@ -70,20 +102,24 @@ def ks_p_value(d, n_a, n_b) -> Column:
     return F.when((n_a == 0) | (n_b == 0) | (lam <= 0), 1.0).otherwise(F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0)))
 
 
-def autocorrelation(df: DataFrame, series: str, idx: str, value: str, max_lag: int) -> DataFrame:
+def autocorrelation(df: DataFrame, series: str, idx: str, value: str, max_lag: int, block: int = 4096) -> DataFrame:
     """AGG-05: (series, lag, acf) for lags 0 to ``max_lag`` (below the length), all divided by the sum at lag 0.
 
-    Under 3 rows or variance under 1e-12 only lag 0 is given, as 1. A row meets only its
-    ``max_lag`` followers, by the join key series and index.
+    Under 3 rows or variance under 1e-12 only lag 0 is given, as 1. A series is read in blocks of
+    ``block`` indices, or of ``max_lag`` if that is more, each with the first ``max_lag`` rows of the next one,
+    so that a row is shuffled once or twice and products are summed where they are formed.
     """
-    w = W.partitionBy(series)
-    base = df.select(series, F.col(idx).alias("_i"), (F.col(value) - F.avg(value).over(w)).alias("_x"), F.count("*").over(w).alias("_n"), F.var_pop(value).over(w).alias("_var"))
+    size = max(block, max_lag, 1)
+    whole = df.groupBy(series).agg(F.avg(value).alias("_mean"), F.count("*").alias("_n"), F.var_pop(value).alias("_var"))
     flat = (F.col("_n") < 3) | (F.col("_var") < 1e-12)
-    lags = F.when(flat, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.least(F.lit(max_lag), F.col("_n").cast("int") - 1)))
-    left = base.select(series, "_i", "_x", F.explode(lags).alias("lag"), flat.alias("_flat")).withColumn("_j", F.col("_i") + F.col("lag"))
-    right = base.select(F.col(series), F.col("_i").alias("_j"), F.col("_x").alias("_y"))
-    sums = left.join(right, [series, "_j"]).groupBy(series, "lag").agg(F.sum(F.col("_x") * F.col("_y")).alias("_s"), F.first("_flat").alias("_flat"))
-    zero = F.max(F.when(F.col("lag") == 0, F.col("_s"))).over(w)
+    base = df.select(series, F.col(idx).cast("long").alias("_i"), F.col(value).alias("_v")).join(whole, series)
+    base = base.select(series, "_i", (F.col("_v") - F.col("_mean")).alias("_x"), flat.alias("_flat"), F.when(flat, 0).otherwise(F.least(F.lit(max_lag), F.col("_n") - 1)).alias("_most"), F.floor(F.col("_i") / size).alias("_own"))
+    spread = base.withColumn("_block", F.explode(F.when(F.col("_i") - F.col("_own") * size < max_lag, F.array("_own", F.col("_own") - 1)).otherwise(F.array("_own"))))
+    ahead = F.collect_list(F.struct("_i", "_x")).over(W.partitionBy(series, "_block").orderBy("_i").rangeBetween(0, max_lag))
+    pairs = spread.withColumn("_a", ahead).where("_block = _own").select(series, "_i", "_x", "_flat", "_most", F.explode("_a").alias("_a"))
+    lag = (F.col("_a._i") - F.col("_i")).cast("int")
+    sums = pairs.where(lag <= F.col("_most")).groupBy(series, lag.alias("lag")).agg(F.sum(F.col("_x") * F.col("_a._x")).alias("_s"), F.first("_flat").alias("_flat"))
+    zero = F.max(F.when(F.col("lag") == 0, F.col("_s"))).over(W.partitionBy(series))
     return sums.select(series, "lag", F.when(F.col("_flat"), 1.0).otherwise(F.col("_s") / zero).alias("acf"))
 
 

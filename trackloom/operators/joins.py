@@ -9,41 +9,69 @@ from pyspark.sql import functions as F
 from trackloom.operators.predicates import in_edges, ring_edges
 
 
-def _lined_up(queries: DataFrame, truth: DataFrame, run: str, time: str, truth_first: bool) -> DataFrame:
-    """Both sides on one timeline: ``_q`` is the query row, ``_t`` the truth row."""
-    q = queries.select(run, time, F.struct(*queries.columns).alias("_q"), F.lit(int(truth_first)).alias("_side"))
-    t = truth.select(run, time, F.struct(*truth.columns).alias("_t"), F.lit(int(not truth_first)).alias("_side"))
-    return q.unionByName(t, allowMissingColumns=True)
-
-
-def as_of_forward(queries: DataFrame, truth: DataFrame, run: str, time: str) -> DataFrame:
-    """JON-01, 02: each query row with the first truth row at or after its time, the last one if there is none; ``_t`` is null without truth."""
-    w = W.partitionBy(run).orderBy(time, "_side")
-    rows = _lined_up(queries, truth, run, time, truth_first=False)
-    after = F.first("_t", ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing))
-    before = F.last("_t", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))
-    return rows.withColumn("_found", F.coalesce(after, before)).where("_q is not null").select("_q.*", F.col("_found").alias("_t"))
-
-
-def first_index_at(queries: DataFrame, truth: DataFrame, run: str, time: str) -> DataFrame:
-    """JON-03: index of the first truth row at or after each time, at most the last, as ``_at``."""
-    rows = _lined_up(queries, truth, run, time, truth_first=False)
-    earlier = F.count("_t").over(W.partitionBy(run).orderBy(time, "_side").rowsBetween(W.unboundedPreceding, -1))
-    total = F.count("_t").over(W.partitionBy(run))
-    return rows.withColumn("_at", F.least(earlier, total - 1)).where("_q is not null").select("_q.*", "_at")
-
-
-def as_of_nearest(queries: DataFrame, truth: DataFrame, run: str, time: str, tolerance: float | None, later_wins: bool = True) -> DataFrame:
-    """JON-29, 30: the truth row nearest in time, dropped beyond ``tolerance``; on ties the later or the earlier one."""
-    rows = _lined_up(queries, truth, run, time, truth_first=True)
-    w = W.partitionBy(run)
-    after = F.first("_t", ignorenulls=True).over(w.orderBy(time, F.desc("_side")).rowsBetween(0, W.unboundedFollowing))
-    before = F.last("_t", ignorenulls=True).over(w.orderBy(time, "_side").rowsBetween(W.unboundedPreceding, 0))
-    rows = rows.withColumn("_after", after).withColumn("_before", before).where("_q is not null")
+def _piece(time: str, width: float) -> Column:
+    """Number of the range of ``width`` that holds a time; rows without one come first, NaN last."""
+    return F.when(F.col(time).isNull(), -(2**63)).when(F.isnan(time), 2**63 - 1).otherwise(F.floor(F.col(time) / width))
+
+
+def _lined_up(queries: DataFrame, truth: DataFrame, run: str, time: str, width: float) -> DataFrame:
+    """Both sides on one timeline, in pieces of ``width``: ``_q`` is the query row, ``_t`` the truth row.
+
+    The last truth row before a piece and the first one after it are guests in it, so that each
+    piece can be read for itself and no task holds a whole run.
+    """
+    q = queries.select(run, time, F.struct(*queries.columns).alias("_q"), F.lit(1).alias("_side"))
+    t = truth.where(F.col(time).isNotNull()).select(run, time, F.struct(*truth.columns).alias("_t"), F.lit(0).alias("_side"))
+    rows = q.unionByName(t, allowMissingColumns=True).withColumn("_piece", _piece(time, width))
+    held = F.when(F.col("_t").isNotNull(), F.col(time))
+    ends = rows.groupBy(run, "_piece").agg(F.min_by("_t", held).alias("_first"), F.max_by("_t", held).alias("_last"))
+    beyond = [F.last(end, ignorenulls=True).over(W.partitionBy(run).orderBy(order).rowsBetween(W.unboundedPreceding, -1)) for end, order in (("_last", F.asc("_piece")), ("_first", F.desc("_piece")))]
+    guests = ends.select(run, "_piece", F.array(*beyond).alias("_t")).withColumn("_t", F.explode("_t")).where("_t is not null")
+    return rows.unionByName(guests.select(run, F.col(f"_t.{time}").alias(time), "_t", F.lit(0).alias("_side"), "_piece"), allowMissingColumns=True)
+
+
+def _neighbours(queries: DataFrame, truth: DataFrame, run: str, time: str, width: float) -> DataFrame:
+    """Query rows with the last truth row up to their time as ``_before`` and the first one from it on as ``_after``: two running windows over one shuffle."""
+    w = W.partitionBy(run, "_piece")
+    rows = _lined_up(queries, truth, run, time, width)
+    for name, order in (("_before", F.asc(time)), ("_after", F.desc(time))):
+        rows = rows.withColumn(name, F.last("_t", ignorenulls=True).over(w.orderBy(order, "_side").rowsBetween(W.unboundedPreceding, W.currentRow)))
+    timed = F.col(time).isNotNull()
+    return rows.where("_q is not null").withColumns({c: F.when(timed, F.col(c)) for c in ("_before", "_after")})
+
+
+def as_of_forward(queries: DataFrame, truth: DataFrame, run: str, time: str, width: float = 3600.0) -> DataFrame:
+    """JON-01, 02: each query row with the first truth row at or after its time, the last one if there is none.
+
+    ``_t`` is null without truth or without a time; truth rows without a time are none. ``width`` is the
+    length of the pieces, in units of ``time``, that one task reads; the result does not depend on it.
+    """
+    return _neighbours(queries, truth, run, time, width).select("_q.*", F.coalesce("_after", "_before").alias("_t"))
+
+
+def first_index_at(queries: DataFrame, truth: DataFrame, run: str, time: str, width: float = 3600.0) -> DataFrame:
+    """JON-03: index of the first truth row at or after each time, at most the last, as ``_at``: -1 without truth, null without a time.
+
+    Counts of the earlier pieces of ``width`` are carried into each piece.
+    """
+    q = queries.select(run, time, F.struct(*queries.columns).alias("_q"), F.lit(0).cast("long").alias("_n"))
+    t = truth.where(F.col(time).isNotNull()).select(run, time, F.lit(1).cast("long").alias("_n"))
+    rows = q.unionByName(t, allowMissingColumns=True).withColumn("_piece", _piece(time, width))
+    sums = rows.groupBy(run, "_piece").agg(F.sum("_n").alias("_n"))
+    before = F.sum("_n").over(W.partitionBy(run).orderBy("_piece").rowsBetween(W.unboundedPreceding, -1))
+    carried = sums.select(run, "_piece", F.coalesce(before, F.lit(0).cast("long")).alias("_n"), F.sum("_n").over(W.partitionBy(run)).alias("_all"))
+    running = W.partitionBy(run, "_piece").orderBy(F.col("_all").isNull(), time, "_n").rowsBetween(W.unboundedPreceding, W.currentRow)
+    met = rows.unionByName(carried, allowMissingColumns=True).withColumn("_at", F.least(F.sum("_n").over(running), F.first("_all", ignorenulls=True).over(running) - 1))
+    return met.where("_q is not null").select("_q.*", F.when(F.col(time).isNotNull(), F.col("_at")).alias("_at"))
+
+
+def as_of_nearest(queries: DataFrame, truth: DataFrame, run: str, time: str, tolerance: float | None, later_wins: bool = True, width: float = 3600.0) -> DataFrame:
+    """JON-29, 30: the truth row nearest in time, dropped beyond ``tolerance``; on ties the later or the earlier one. Pieces and missing times as in ``as_of_forward``."""
+    rows = _neighbours(queries, truth, run, time, width)
     ahead, behind = F.col(f"_after.{time}") - F.col(time), F.col(time) - F.col(f"_before.{time}")
     take = (ahead <= behind) if later_wins else (ahead < behind)
     found = F.when(F.col("_before").isNull() | take, F.col("_after")).otherwise(F.col("_before"))
-    out = rows.withColumn("_near", F.coalesce(found, "_before")).select("_q.*", F.col("_near").alias("_t"))
+    out = rows.select("_q.*", F.coalesce(found, "_before").alias("_t"))
     return out if tolerance is None else out.where(F.abs(F.col(f"_t.{time}") - F.col(time)) <= tolerance)
 
 
@@ -155,7 +183,7 @@ def at_arc(vertices: DataFrame, targets: DataFrame, path: str = "path_id") -> Da
     left = v.select(path, F.col("arc").alias("_at"), F.lit(0).alias("_side"), F.struct(F.col("_v").alias("v"), F.col("_n").alias("n")).alias("_seg"))
     right = targets.select(path, F.col("s").alias("_at"), F.lit(1).alias("_side"), F.struct(*targets.columns).alias("_q"))
     w = W.partitionBy(path).orderBy("_at", "_side")
-    seg = F.coalesce(F.last("_seg", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)), F.first("_seg", ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing)))
+    seg = F.coalesce(F.last("_seg", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)), F.first("_seg", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
     rows = left.unionByName(right, allowMissingColumns=True).withColumn("_g", seg).where("_q is not null")
     a, b = F.col("_g.v"), F.col("_g.n")
     span = b["arc"] - a["arc"]

@@ -166,7 +166,7 @@ def distance_field(cells: DataFrame, resolution: float = 1.0, reach: int | None
     w = W.partitionBy("cx").orderBy("cy")
     y = F.when(F.col("blocked"), F.col("cy"))
     up = F.col("cy") - F.last(y, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))
-    down = F.first(y, ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing)) - F.col("cy")
+    down = F.last(y, ignorenulls=True).over(W.partitionBy("cx").orderBy(F.desc("cy")).rowsBetween(W.unboundedPreceding, 0)) - F.col("cy")
     column = cells.select("cx", "cy", F.least(up, down).cast("double").alias("_d"))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:

@@ -22,7 +22,7 @@ def _rounded(df: DataFrame, *keys: str) -> DataFrame:
 
 @query("signal", f"SELECT series, {_SUMMARY.format(v='value')} FROM signal GROUP BY series")
 def agg_01_distribution(signal: DataFrame) -> DataFrame:
-    return _rounded(A.distribution(signal, ["series"], "value"), "series")
+    return _rounded(A.distribution(signal, ["series"], "value", parts=32), "series")
 
 
 @query("signal", f"SELECT series, {q6('CASE WHEN abs(avg(value)) < 1e-9 THEN 0 ELSE stddev_pop(value) / abs(avg(value)) END')} AS cv FROM signal GROUP BY series")
@@ -182,7 +182,7 @@ def agg_24_layer_statistics(cells: DataFrame) -> DataFrame:
 
 @query("samples", f"SELECT {_SUMMARY.format(v='speed')} FROM samples WHERE NOT standing AND NOT turning AND speed >= 0.5")
 def agg_26_pooled_speeds(samples: DataFrame) -> DataFrame:
-    return _rounded(A.distribution(samples.where(P.running()), [], "speed"))
+    return _rounded(A.distribution(samples.where(P.running()), [], "speed", parts=32))
 
 
 @query("polys", f"SELECT CAST(x0 AS BIGINT) AS cell, {q6('1 - product(1 - least(greatest(p_loss, 0), 1))')} AS p_loss FROM polys GROUP BY cell")
@@ -213,7 +213,7 @@ def agg_41_pearson(candidates: DataFrame) -> DataFrame:
 
 @query("signal", f"SELECT event_type, {_SUMMARY.format(v='value')} FROM signal GROUP BY event_type")
 def agg_42_population(signal: DataFrame) -> DataFrame:
-    return _rounded(A.distribution(signal, ["event_type"], "value"), "event_type")
+    return _rounded(A.distribution(signal, ["event_type"], "value", parts=32), "event_type")
 
 
 @query("samples", f", o AS (SELECT run_id, speed, standing, row_number() OVER (PARTITION BY run_id ORDER BY speed, event_id) AS p, count(*) OVER (PARTITION BY run_id) AS n FROM samples) SELECT run_id, {q6('avg(CAST(NOT standing AS INTEGER))')} AS usable, {q6('max(speed) FILTER (p = least(floor(0.95 * n) + 1, n))')} AS p95 FROM o GROUP BY run_id")
