@@ -114,7 +114,22 @@ def grp_22_heading_cost(cells: DataFrame) -> DataFrame:
     return cells.select("cy", "cx", r6(R.heading_cost(F.lit(1.0), packed, F.lit(2.0), F.lit(1.0), 0.4)).alias("cost"))
 
 
-@query(("track", "cells"))
+_LEGS = """
+, n AS (SELECT path_id, seq, x AS x0, y AS y0, lead(x) OVER w AS x1, lead(y) OVER w AS y1 FROM track WINDOW w AS (PARTITION BY path_id ORDER BY seq)),
+l AS (SELECT *, sqrt(pow(x1 - x0, 2) + pow(y1 - y0, 2)) AS len FROM n WHERE x1 IS NOT NULL),
+t AS (SELECT *, list_sort(list_distinct([0.0::DOUBLE, 1.0::DOUBLE]
+  || [(g - x0) / (x1 - x0) FOR g IN range(CAST(floor(least(x0, x1)) AS BIGINT) + 1, CAST(floor(greatest(x0, x1)) AS BIGINT) + 1)]
+  || [(g - y0) / (y1 - y0) FOR g IN range(CAST(floor(least(y0, y1)) AS BIGINT) + 1, CAST(floor(greatest(y0, y1)) AS BIGINT) + 1)])) AS cuts FROM l),
+m AS (SELECT path_id, seq, x0, y0, x1, y1, unnest([0.0::DOUBLE, 1.0::DOUBLE] || [(cuts[i] + cuts[i + 1]) / 2 FOR i IN range(1, len(cuts))]) AS along FROM t),
+e AS (SELECT DISTINCT path_id, seq, CAST(floor(x0 + along * (x1 - x0)) AS BIGINT) AS cx, CAST(floor(y0 + along * (y1 - y0)) AS BIGINT) AS cy FROM m),
+shut AS (SELECT DISTINCT path_id, seq FROM e LEFT JOIN cells USING (cx, cy) WHERE coalesce(blocked, true)),
+k AS (SELECT *, greatest(CAST(ceil(len / 0.5) AS BIGINT), 1) AS steps FROM l),
+s AS (SELECT *, unnest(range(0, steps + 1)) AS i FROM k),
+c AS (SELECT *, CAST(floor(x0 + i / CAST(steps AS DOUBLE) * (x1 - x0)) AS BIGINT) AS cx, CAST(floor(y0 + i / CAST(steps AS DOUBLE) * (y1 - y0)) AS BIGINT) AS cy FROM s),
+a AS (SELECT path_id, seq, sum(CASE WHEN i IN (0, steps) THEN 0.5 ELSE 1 END * abs(value) * len / steps) AS cost FROM c JOIN cells USING (cx, cy) GROUP BY path_id, seq)"""
+
+
+@query(("track", "cells"), _LEGS + f" SELECT l.path_id, l.seq, CASE WHEN shut.seq IS NULL THEN {q6('cost')} END AS cost FROM l LEFT JOIN a USING (path_id, seq) LEFT JOIN shut USING (path_id, seq)")
 def grp_23_segment_cost(track: DataFrame, cells: DataFrame) -> DataFrame:
     legs = segments(track).select("path_id", "seq", "x0", "y0", "x1", "y1")
     return R.segment_costs(legs, cells.withColumn("value", F.abs("value")), ["path_id", "seq"]).select("path_id", "seq", r6("cost").alias("cost"))

@@ -215,7 +215,16 @@ def sca_36_ou_fit(signal: DataFrame) -> DataFrame:
     return acf.select("series", r4(S.ou_tau("a", 0.1)).alias("tau"))
 
 
-@query("track")
+_AHEAD = """
+, st AS (SELECT *, coalesce(sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)), 0) AS step FROM track WINDOW w AS (PARTITION BY path_id ORDER BY seq)),
+v AS (SELECT *, sum(step) OVER (PARTITION BY path_id ORDER BY seq) AS arc FROM st),
+h AS (SELECT path_id, arc, z, lead(arc) OVER w AS narc, lead(z) OVER w AS nz FROM v WINDOW w AS (PARTITION BY path_id ORDER BY arc, seq)),
+o AS (SELECT path_id, seq, arc AS own, least(arc + 20, max(arc) OVER (PARTITION BY path_id)) AS far FROM v),
+p AS (SELECT path_id, seq, 1 - 0.05 * k AS weight, side, greatest(own + (far - own) * k / 10.0 + side * 0.5, 0) AS s FROM o, (SELECT unnest(range(0, 11)) AS k), (SELECT unnest([-1, 1]) AS side)),
+q AS (SELECT p.path_id, seq, weight, side * CASE WHEN narc > arc THEN z + (s - arc) / (narc - arc) * (nz - z) ELSE z END AS d FROM p ASOF JOIN h ON p.path_id = h.path_id AND p.s >= h.arc)"""
+
+
+@query("track", _AHEAD + f" SELECT path_id, seq, {q6('2 * sum(d * weight) / sum(weight)')} AS grade FROM q GROUP BY path_id, seq")
 def win_17_look_ahead_grade(track: DataFrame) -> DataFrame:
     return L.look_ahead_grade(track, 20.0).select("path_id", "seq", r6("grade").alias("grade"))
 

@@ -15,19 +15,30 @@ def src_09_capped(signal: DataFrame) -> DataFrame:
     return R.capped(signal, "series", "idx", 20, 30).select("event_id")
 
 
-@query("samples")
+_TEXTS = ", ".join(f"printf('%.{n}f', {e}) AS {c}" for c, e, n in (("time_s", "time_s", 3), ("z", "speed", 4), ("terrain_z", "CAST(0.5 AS DOUBLE)", 4), ("bounce_z", "speed - 0.5", 5), ("speed", "speed", 4), ("kappa_eff", "kappa_eff", 6)))
+
+
+@query("samples", f"SELECT {_TEXTS}, CAST(CAST(standing AS INTEGER) AS VARCHAR) AS standing, CAST(CAST(turning AS INTEGER) AS VARCHAR) AS turning FROM samples")
 def src_12_stream_table(samples: DataFrame) -> DataFrame:
     rows = samples.select("event_id", "time_s", F.col("speed").alias("z"), F.lit(0.5).alias("terrain_z"), "speed", "kappa_eff", "standing", "turning")
     return S.stream_table(rows, "truth")
 
 
-@query("samples")
+_STILL = """string_agg('{"event_id":' || event_id || '}', ',' ORDER BY event_id) FILTER (standing)"""
+_SPEED = "CASE WHEN speed > 0 AND speed < 1e-3 THEN printf('%.1fE-4', speed * 1e4) ELSE CAST(speed AS VARCHAR) END"
+_DOCUMENT = """'{"run_id":' || run_id || ',"manifest":{"rows":' || count(*) || '},"truth":[' || string_agg('{"event_id":' || event_id || ',"speed":' || """ + _SPEED + """ || '}', ',' ORDER BY event_id) || ']' || coalesce(',"standing":[' || """ + _STILL + """ || ']', '') || '}'"""
+
+
+@query("samples", f"SELECT run_id, {_DOCUMENT} AS document FROM samples GROUP BY run_id")
 def src_13_run_documents(samples: DataFrame) -> DataFrame:
     manifest = samples.groupBy("run_id").agg(F.count("*").alias("rows"))
     return S.run_documents(manifest, {"truth": samples.select("run_id", "event_id", "speed"), "standing": samples.where("standing").select("run_id", "event_id")}, "run_id", "event_id")
 
 
-@query("track")
+_FEATURE = """'{"type":"Feature","properties":{"run":' || path_id || ',"coordinates":"local_metres"},"geometry":{"type":"LineString","coordinates":[' || string_agg('[' || CAST(x AS VARCHAR) || ',' || CAST(y AS VARCHAR) || ']', ',' ORDER BY seq) || ']}}'"""
+
+
+@query("track", f"SELECT path_id, {_FEATURE} AS feature FROM track GROUP BY path_id")
 def src_14_geojson(track: DataFrame) -> DataFrame:
     return S.geojson_lines(track, "path_id", "seq", "x", "y", degrees=False)
 

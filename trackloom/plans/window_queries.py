@@ -34,12 +34,15 @@ def win_03_turn_angle(track: DataFrame) -> DataFrame:
     return O.turn_angles(track).groupBy("path_id").agg(r6(F.max(F.abs("turn"))).alias("sharpest"))
 
 
-@query("track")
+_KEPT = ", k AS (SELECT path_id, seq, x AS kx, y AS ky, true AS kept FROM track WHERE seq = 0 UNION ALL SELECT t.path_id, t.seq, CASE WHEN sqrt(pow(t.x - kx, 2) + pow(t.y - ky, 2)) > 30 THEN t.x ELSE kx END, CASE WHEN sqrt(pow(t.x - kx, 2) + pow(t.y - ky, 2)) > 30 THEN t.y ELSE ky END, sqrt(pow(t.x - kx, 2) + pow(t.y - ky, 2)) > 30 FROM k JOIN track t ON t.path_id = k.path_id AND t.seq = k.seq + 1)"
+
+
+@query("track", _KEPT + " SELECT path_id, seq, x, y FROM track JOIN k USING (path_id, seq) WHERE kept")
 def win_04_deduplicate(track: DataFrame) -> DataFrame:
     return O.deduplicate(track, 30.0).select("path_id", "seq", "x", "y")
 
 
-@query("track")
+@query("track", _KEPT + " SELECT path_id, seq, z, z / 2 AS link_speed FROM track JOIN k USING (path_id, seq) WHERE kept")
 def win_05_deduplicate_channels(track: DataFrame) -> DataFrame:
     return O.deduplicate(track.withColumn("link_speed", F.col("z") / 2), 30.0).select("path_id", "seq", "z", "link_speed")
 
