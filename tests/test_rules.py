@@ -228,3 +228,18 @@ def test_autocorrelation_in_blocks(spark, block):
         want = {0: 1.0} if s in ("short", "flat") else {k: sums[k] / sums[0] for k in range(7)}
         mine = {k: acf for (name, k), acf in got.items() if name == s}
         assert mine.keys() == want.keys() and all(math.isclose(mine[k], want[k], abs_tol=1e-9) for k in want)
+
+
+@pytest.mark.parametrize("block", [1, 4, 256])
+def test_nearest_vertex_by_blocks(spark, block):
+    rng = random.Random(8)
+    track = [(p, i, rng.randrange(12) / 2, rng.randrange(12) / 2, float(i)) for p in ("a", "b") for i in range(40)] + [("a", 40, None, 1.0, 40.0)]
+    asked = [(k, rng.choice("abc"), rng.randrange(-20, 30) / 3, rng.randrange(-20, 30) / 3) for k in range(80)] + [(80, "a", None, 0.0), (81, None, 1.0, 1.0)]
+    points = spark.createDataFrame(asked, "seq int, path_id string, x double, y double")
+    got = {r.seq: (r.distance, r.arc) for r in J.projected(points, spark.createDataFrame(track, "path_id string, seq int, x double, y double, arc double"), ["seq"], block=block).collect()}
+    want = {}
+    for k, path, x, y in asked:
+        near = [(round(math.hypot(vx - x, vy - y), 9), arc) for p, _, vx, vy, arc in track if p == path and None not in (x, vx)]
+        if near:
+            want[k] = min(near)
+    assert got == want

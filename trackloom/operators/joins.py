@@ -191,11 +191,27 @@ def at_arc(vertices: DataFrame, targets: DataFrame, path: str = "path_id") -> Da
     return rows.select("_q.*", *[F.when(b.isNull(), a[c]).otherwise(a[c] + t * (b[c] - a[c])).alias(c) for c in ("x", "y")])
 
 
-def projected(points: DataFrame, vertices: DataFrame, keys: list[str], path: str = "path_id") -> DataFrame:
-    """JON-14: arc of the path's vertex nearest each point, and that distance; the earliest of those equal to a nanometre."""
-    v = vertices.select(path, "seq", F.col("arc").alias("_arc"), F.col("x").alias("_vx"), F.col("y").alias("_vy"))
-    met = points.join(v, path).withColumn("distance", F.round(F.hypot(F.col("x") - F.col("_vx"), F.col("y") - F.col("_vy")), 9))
-    return met.groupBy(*keys).agg(F.min(F.struct("distance", "seq", F.col("_arc").alias("arc"))).alias("_m")).select(*keys, "_m.distance", "_m.arc")
+def projected(points: DataFrame, vertices: DataFrame, keys: list[str], path: str = "path_id", block: int = 256) -> DataFrame:
+    """JON-14: arc of the path's vertex nearest each point, and that distance; the earliest of those equal to a nanometre.
+
+    A point meets the boxes of its path's blocks (``block`` values of seq each), and then the vertices of only those
+    blocks that may hold the nearest one. Points or vertices without coordinates, and points without a path, are left out.
+    """
+    placed = F.col("x").isNotNull() & F.col("y").isNotNull()
+    v = vertices.where(placed).select(path, F.floor(F.col("seq") / block).alias("_b"), "seq", F.col("arc").alias("_arc"), F.col("x").alias("_vx"), F.col("y").alias("_vy"))
+    ends = [f(c).alias(f"{c}_{n}") for c in ("_vx", "_vy") for n, f in (("lo", F.min), ("hi", F.max))]
+    boxes = v.groupBy(path, "_b").agg(*ends).groupBy(path).agg(F.collect_list(F.struct("_b", *[f"{c}_{n}" for c in ("_vx", "_vy") for n in ("lo", "hi")])).alias("_boxes"))
+
+    def apart(box: Column, pick) -> Column:
+        return F.hypot(*[pick(F.col(c) - box[f"_v{c}_lo"], box[f"_v{c}_hi"] - F.col(c)) for c in ("x", "y")])
+
+    # a rounded distance may pass the bound by half a nanometre, hence the slack
+    most = F.array_min(F.transform("_boxes", lambda box: apart(box, lambda low, high: F.greatest(F.abs(low), F.abs(high))))) + 1e-6
+    asked = points.where(placed).join(boxes, path).withColumn("_most", most)
+    within = F.filter("_boxes", lambda box: apart(box, lambda low, high: F.greatest(-low, -high, F.lit(0.0))) <= F.col("_most"))
+    asked = asked.select(*dict.fromkeys([*keys, path]), "x", "y", F.explode(within).alias("_box")).withColumn("_b", F.col("_box._b")).drop("_box")
+    met = asked.join(v.withColumnRenamed("seq", "_seq"), [path, "_b"]).withColumn("distance", F.round(F.hypot(F.col("x") - F.col("_vx"), F.col("y") - F.col("_vy")), 9))
+    return met.groupBy(*keys).agg(F.min(F.struct("distance", "_seq", F.col("_arc").alias("arc"))).alias("_m")).select(*keys, "_m.distance", "_m.arc")
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
