@@ -6,24 +6,21 @@ with numpy, so no Python object is made per word. Null texts count as empty.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 _U = np.uint64
-_PIECE = 1 << 17
-_rng = np.random.Generator(np.random.PCG64(20240517))
-_BASE = int(_rng.integers(1 << 60, 1 << 63)) | 1
-with np.errstate(over="ignore"):
-    _POWERS = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(_PIECE - 1, _BASE, np.uint64)]))
-    _INVERSES = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(_PIECE - 1, pow(_BASE, -1, 1 << 64), np.uint64)]))
-_COEFS = _rng.integers(1, 1 << 63, size=16, dtype=np.uint64) | _U(1)
+#: Words of up to so many bytes are hashed in vectorised steps of eight bytes, longer ones by a digest.
+_STEPPED = 32
+_COEFS = np.random.Generator(np.random.PCG64(20240517)).integers(1, 1 << 63, size=16, dtype=np.uint64) | _U(1)
+#: Of eight bytes read from a word's place, those that belong to its last n.
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_LOWER64 = LOWER.astype(np.uint64) + _U(1)
-_EXACT64 = np.arange(1, 257, dtype=np.uint64)
 
 
 def byte_class(in_word) -> np.ndarray:
@@ -65,8 +62,64 @@ def row_blocks(column: pa.Array, target: int) -> Iterator[tuple[int, np.ndarray,
         at = end
 
 
+def padded(data: np.ndarray, table: np.ndarray | None = None) -> np.ndarray:
+    """A copy, mapped by ``table``, with eight zero bytes behind it, so that eight bytes can be read from any place."""
+    out = np.zeros(len(data) + 8, dtype=np.uint8)
+    if table is None:
+        out[:-8] = data
+    else:
+        np.take(table, data, out=out[:-8])
+    return out
+
+
+def _eight(data: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place as one number, without those beyond the ``left`` ones of its word."""
+    view = np.ndarray((len(data) - 7,), dtype="<u8", buffer=data, strides=(1,))
+    return view[at] & _MASKS[np.minimum(left, 8)]
+
+
+def hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words ``data[starts:ends]`` of padded data.
+
+    Up to seven bytes it is one-to-one. Longer words are mixed eight bytes at a time, those above
+    32 bytes are digested; so no structure of a word, but chance alone, gives two words one hash.
+    """
+    size = ends - starts
+    total = mix(_eight(data, starts, size) + (np.minimum(size, 8).astype(np.uint64) << _U(56)))
+    some = np.flatnonzero(size > 7)
+    if len(some):
+        at, left, h = starts[some], size[some], total[some]
+        h = mix(_eight(data, at, left) + _COEFS[15])
+        for step in range(8, _STEPPED, 8):
+            more = np.flatnonzero(left > step)
+            if not len(more):
+                break
+            h[more] = mix(mix(h[more] * _COEFS[14]) ^ _eight(data, at[more] + step, left[more] - step))
+        total[some] = mix(h ^ left.astype(np.uint64) * _COEFS[13])
+        for k in np.flatnonzero(size > _STEPPED).tolist():
+            total[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
+    return total
+
+
+def same_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray, others: np.ndarray, other_ends: np.ndarray) -> np.ndarray:
+    """Whether the k-th words of two lists hold the same bytes; both data are padded."""
+    size = ends - starts
+    same = size == other_ends - others
+    left = np.flatnonzero(same)
+    for step in range(0, 256, 8):
+        left = left[size[left] > step]
+        if not len(left):
+            return same
+        equal = _eight(data, starts[left] + step, size[left] - step) == _eight(other, others[left] + step, size[left] - step)
+        same[left[~equal]] = False
+        left = left[equal]
+    for k in left[size[left] > 256].tolist():
+        same[k] = np.array_equal(data[starts[k] : ends[k]], other[others[k] : other_ends[k]])
+    return same
+
+
 class Words:
-    """Words of a block of texts: byte ``starts`` and ``ends``, ``hashes`` and, for row i, the slice ``first[i]:first[i+1]``."""
+    """Words of a block of texts: byte ``starts`` and ``ends``, ``hashes``, the padded and folded ``data``, and, for row i, the slice ``first[i]:first[i+1]``."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, table: np.ndarray, fold: bool = True):
         inside = np.zeros(len(data) + 2, dtype=bool)
@@ -81,39 +134,8 @@ class Words:
             points = np.sort(np.concatenate([points, joined]))
         self.starts, self.ends = points[::2], points[1::2]
         self.first = np.searchsorted(self.starts, offsets)
-        self.hashes = np.empty(len(self.starts), dtype=np.uint64)
-        codes = _LOWER64 if fold else _EXACT64
-        at = 0
-        while at < len(self.starts):  # in pieces, which stay in the cache and keep memory bounded for very long texts
-            end = int(np.searchsorted(self.ends, self.starts[at] + _PIECE, side="right"))
-            if end <= at:
-                self.hashes[at] = _hash_long(data[self.starts[at] : self.ends[at]], codes)
-                end = at + 1
-            else:
-                self.hashes[at:end] = _hash(data, self.starts[at:end], self.ends[at:end], codes)
-            at = end
-
-
-def _hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """A word's polynomial is a difference of prefix sums, shifted back to its own start."""
-    base = starts[0]
-    piece = data[base : ends[-1]]
-    starts, ends = starts - base, ends - base
-    sums = np.zeros(len(piece) + 1, dtype=np.uint64)
-    values = codes[piece]
-    values *= _POWERS[: len(piece)]
-    np.cumsum(values, out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * _INVERSES[starts] + (ends - starts).astype(np.uint64) * _COEFS[15])
-
-
-def _hash_long(word: np.ndarray, codes: np.ndarray) -> np.uint64:
-    """The same for a word longer than the tables: Horner's rule over pieces."""
-    total, scale, step = 0, 1, int(_POWERS[_PIECE - 1]) * int(_POWERS[1])
-    for at in range(0, len(word), _PIECE):
-        part = word[at : at + _PIECE]
-        total += scale * int((codes[part] * _POWERS[: len(part)]).sum(dtype=np.uint64))
-        scale = scale * step % (1 << 64)
-    return mix(np.array([(total + len(word) * int(_COEFS[15])) % (1 << 64)], dtype=np.uint64))[0]
+        self.data = padded(data, LOWER if fold else None)
+        self.hashes = hashed(self.data, self.starts, self.ends)
 
 
 def hash_words(words: list[str], table: np.ndarray) -> np.ndarray:

@@ -13,7 +13,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-from trackloom.llm._text import NON_SPACE, Words, byte_class, row_blocks
+from trackloom.llm._text import NON_SPACE, Words, byte_class, row_blocks, same_words
 
 _NOT_BLANK = byte_class(lambda b: b != 32)
 #: ASCII signs that a run of letters never joins; the apostrophe, which it may, is left out.
@@ -22,45 +22,61 @@ _SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 class MemoTokens:
     """``encode(texts)`` word by word. ``table`` and ``fold`` say what a word is and whether A-Z count as a-z;
-    ``whole(bytes)`` says which texts must be encoded as they are. The memo is a few sorted arrays; it is dropped
-    when they hold more than ``limit`` bytes.
+    ``whole(bytes, a, b)`` says whether the text from a to b must be encoded as it is. The memo is a few sorted
+    arrays; it is dropped when they hold more than ``limit`` bytes. Words are looked up by a hash and compared
+    byte by byte; a text with a word whose hash another word has is encoded as it is.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], table: np.ndarray, fold: bool, whole, limit: int = 24 << 20):
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], table: np.ndarray | None, fold: bool, whole, limit: int = 24 << 20):
         self.encode, self.table, self.fold, self.whole, self.limit = encode, table, fold, whole, limit
         self._forget()
 
     def _forget(self) -> None:
         self.keys = np.zeros(0, dtype=np.uint64)
         self.at, self.size = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int32)
-        self.pool = np.zeros(1 << 16, dtype=np.uint32)
-        self.filled = 0
+        self.pool, self.filled = np.zeros(1 << 16, dtype=np.uint32), 0
+        self.word_at, self.word_size = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32)
+        self.word_pool, self.word_filled = np.zeros(1 << 16, dtype=np.uint8), 0
 
     def _held(self) -> int:
-        return 16 * len(self.keys) + 4 * self.filled
+        return 28 * len(self.keys) + 4 * self.filled + self.word_filled
 
-    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
+    def _learn(self, keys: np.ndarray, words: list[bytes]) -> None:
         """Add ``keys``, which are sorted and new."""
-        ids = self._ids(words)
-        sizes = np.fromiter(map(len, ids), dtype=np.int32, count=len(ids))
-        total = int(sizes.sum())
-        while self.filled + total > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros(max(total, len(self.pool) // 2), dtype=np.uint32)])
-        self.pool[self.filled : self.filled + total] = np.fromiter((i for x in ids for i in x), dtype=np.uint32, count=total)
+        ids, sizes = self._ids(words)
+        self.pool = _with_room(self.pool, self.filled, len(ids))
+        self.pool[self.filled : self.filled + len(ids)] = ids
+        lengths = np.fromiter(map(len, words), dtype=np.int32, count=len(words))
+        raw = np.frombuffer(b"".join(words), dtype=np.uint8)
+        self.word_pool = _with_room(self.word_pool, self.word_filled, len(raw) + 8)
+        self.word_pool[self.word_filled : self.word_filled + len(raw)] = raw
         place = np.searchsorted(self.keys, keys)
         self.at = np.insert(self.at, place, self.filled + np.cumsum(sizes) - sizes)
-        self.size, self.keys = np.insert(self.size, place, sizes), np.insert(self.keys, place, keys)
-        self.filled += total
+        self.word_at = np.insert(self.word_at, place, self.word_filled + np.cumsum(lengths) - lengths)
+        self.size, self.word_size = np.insert(self.size, place, sizes), np.insert(self.word_size, place, lengths)
+        self.keys = np.insert(self.keys, place, keys)
+        self.filled += len(ids)
+        self.word_filled += len(raw)
+
+    def _ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in a row, and how many each has."""
+        ids = self._listed([w.decode() for w in words])
+        sizes = np.fromiter(map(len, ids), dtype=np.int32, count=len(ids))
+        return np.fromiter((i for x in ids for i in x), dtype=np.uint32, count=int(sizes.sum())), sizes
 
-    def _ids(self, words: list[str]) -> list[list[int]]:
+    def _listed(self, words: list[str]) -> list[list[int]]:
         return self.encode(words)
 
+    def words(self, data: np.ndarray, offsets: np.ndarray) -> Words:
+        return Words(data, offsets, self.table, self.fold)
+
     def blocks(self, column: pa.Array, target: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(first row, ids, offsets): row i of the block has ``ids[offsets[i]:offsets[i+1]]``."""
         for row, data, offsets in row_blocks(column, target):
-            ids, ends = self._block(data, offsets)
+            ids, ends, clashing = self._block(data, offsets)
             raw = data.tobytes()
-            if odd := [i for i in range(len(offsets) - 1) if self.whole(raw, offsets[i], offsets[i + 1])] if self.whole(raw, 0, len(raw)) else []:
+            odd = {i for i in range(len(offsets) - 1) if self.whole(raw, offsets[i], offsets[i + 1])} if self.whole(raw, 0, len(raw)) else set()
+            if odd := sorted(odd.union(clashing.tolist())):
                 parts = np.split(ids, ends[1:-1])
                 texts = [raw[offsets[i] : offsets[i + 1]].decode() for i in odd]
                 for i, own in zip(odd, self.encode(texts), strict=True):
@@ -69,10 +85,11 @@ class MemoTokens:
                 ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
             yield row, ids, ends
 
-    def _block(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        words = Words(data, offsets, self.table, self.fold)
+    def _block(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, their offsets by row, and the rows with a word whose hash is another word's too."""
+        words = self.words(data, offsets)
         if not len(words.hashes):
-            return np.zeros(0, dtype=np.uint32), np.zeros(len(offsets), dtype=np.int64)
+            return np.zeros(0, dtype=np.uint32), np.zeros(len(offsets), dtype=np.int64), np.zeros(0, dtype=np.int64)
         keys, sample, inverse = np.unique(words.hashes, return_index=True, return_inverse=True)
         if self._held() > self.limit:
             self._forget()
@@ -81,13 +98,22 @@ class MemoTokens:
             known = self.keys[np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)] == keys
         if not known.all():
             first = sample[~known]
-            raw = data.tobytes()
-            self._learn(keys[~known], [raw[a:b].decode() for a, b in zip(words.starts[first].tolist(), words.ends[first].tolist(), strict=True)])
+            raw = words.data.tobytes()
+            self._learn(keys[~known], [raw[a:b] for a, b in zip(words.starts[first].tolist(), words.ends[first].tolist(), strict=True)])
         slot = np.searchsorted(self.keys, keys)[inverse]
+        same = same_words(words.data, words.starts, words.ends, self.word_pool, self.word_at[slot], self.word_at[slot] + self.word_size[slot])
+        clashing = np.unique(np.searchsorted(words.first, np.flatnonzero(~same), side="right") - 1)
         sizes = self.size[slot]
         ends = np.concatenate([[0], np.cumsum(sizes)])
         ids = self.pool[np.repeat(self.at[slot] - ends[:-1], sizes) + np.arange(ends[-1])]
-        return ids, ends[words.first]
+        return ids, ends[words.first], clashing
+
+
+def _with_room(pool: np.ndarray, filled: int, more: int) -> np.ndarray:
+    """``pool``, or a longer copy of it if ``more`` do not fit behind the filled part."""
+    if filled + more <= len(pool):
+        return pool
+    return np.concatenate([pool, np.zeros(max(more, len(pool) // 2), dtype=pool.dtype)])
 
 
 class WordTokens(MemoTokens):
@@ -116,7 +142,7 @@ class WordTokens(MemoTokens):
         found = np.split(ids, np.flatnonzero(self.word_end[ids]) + 1)[:-1]
         return [x.tolist() for x in found] if len(found) == len(words) else self.encode(words)
 
-    def _ids(self, words: list[str]) -> list[list[int]]:
+    def _listed(self, words: list[str]) -> list[list[int]]:
         if self.letters_held > self.limit // 64:
             self.parts, self.letters_held = {}, 0
         cut = []

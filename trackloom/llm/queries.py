@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackloom.llm._storage import bound_batches
+from trackloom.llm.alignment import align_tokens
+from trackloom.llm.byte_pairs import decode_ids, encode_texts
 from trackloom.llm.decontamination import find_phrases
 from trackloom.llm.embeddings import near_duplicate_vectors
 from trackloom.llm.html import extract_main_text
@@ -16,6 +18,7 @@ from trackloom.llm.jaccard import near_duplicates
 from trackloom.llm.packing import pack
 from trackloom.llm.pii import find_personal_data, train_field
 from trackloom.llm.quality import held_out, score_quality, train_quality
+from trackloom.llm.search import search
 from trackloom.llm.token_counts import count_tokens
 from trackloom.llm.urls import Rule, judge_urls
 from trackloom.llm.warc import archive_and_read
@@ -90,12 +93,31 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return search(docs, _table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return align_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoded = encode_texts(_table(spark, sf_dir, "documents").select("doc_id", "text"), path).select("doc_id", "ids")
+    found = decode_ids(encoded, path)
+    ids = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{0}')"
 _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_TERMS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _SPACED = r"[^\x20\x09-\x0D]+"
 
 _OP1 = """
@@ -165,6 +187,20 @@ SELECT page_id, host, path, rule, CASE
 FROM r
 """
 
+_OP11 = rf"""
+WITH d AS (SELECT doc_id, {_WORDS.format(_TERMS)} AS w FROM documents),
+b AS (SELECT item_id, {_WORDS.format(_TERMS)} AS w FROM benchmark),
+s AS (SELECT count(*) AS n, CAST(sum(len(w)) AS BIGINT) AS l FROM d WHERE len(w) > 0),
+t AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM d) GROUP BY doc_id, term),
+f AS (SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * s.n + 2) / (2.0::DOUBLE * count(*) + 1))) AS BIGINT) AS weight FROM t, s GROUP BY term, s.n),
+m AS (SELECT doc_id, 75 + (25 * CAST(len(w) AS BIGINT) * s.n) // s.l AS m FROM d, s WHERE len(w) > 0),
+i AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(w) AS term FROM b) GROUP BY item_id, term),
+r AS (SELECT item_id, doc_id, CAST(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+      FROM i JOIN f USING (term) JOIN t USING (term) JOIN m USING (doc_id) GROUP BY item_id, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM r WHERE score > 0 QUALIFY rank <= 20
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": _OP1, "op2_decontamination": _OP2, "op4_embeddings": _OP4, "op6_jaccard": _OP6, "op9_urls": _OP9}
+    return {"op1_warc": _OP1, "op2_decontamination": _OP2, "op4_embeddings": _OP4, "op6_jaccard": _OP6, "op9_urls": _OP9, "op11_search": _OP11}
