@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from dataclasses import dataclass
@@ -303,28 +304,40 @@ def _left_of(text: str, at: int, floor: int) -> int:
         size *= 4
 
 
-def _right_of(text: str, at: int) -> int:
-    """Where the LONGEST tokens after the one that holds the sign before ``at`` end, or what bounds them."""
-    end = _WORD_END.match(text, at).end()
-    for _ in range(LONGEST):
-        m = _TOKEN.match(text, end)
-        if m is None or text[end] == "\n" or text[end] >= "\x80":
-            break
-        end = m.end()
-    return end
+def _right_of(text: str, at: int, ends: list[int]) -> bool:
+    """Add to ``ends`` the ends of the tokens from ``at`` on until they are LONGEST; False if a line's end or a sign beyond ASCII stops them."""
+    while len(ends) < LONGEST:
+        m = _TOKEN.match(text, at)
+        if m is None or text[at] == "\n" or text[at] >= "\x80":
+            return False
+        at = m.end()
+        ends.append(at)
+    return True
 
 
 def windows_of(text: str) -> list[tuple[int, int]]:
-    """Stretches around digits and @ outside which no token of a candidate span can lie, in whole tokens."""
+    """Stretches around digits and @ outside which no token of a candidate span can lie, in whole tokens.
+
+    The ends of the tokens behind the last digit or @ are kept, so each token is read once.
+    """
     out: list[list[int]] = []
+    ends: list[int] = []
+    goes_on = True
     for m in _RUNS.finditer(text):
         floor = out[-1][1] if out else 0
-        if m.end() <= floor and m.end() + 4 * LONGEST <= floor:
+        end = _WORD_END.match(text, m.end()).end()
+        if end <= floor:
+            if goes_on:
+                ends = ends[bisect.bisect_right(ends, end) :]
+                goes_on = _right_of(text, floor, ends)
+                out[-1][1] = max(floor, ends[-1] if ends else floor)
             continue
-        b = _right_of(text, m.end())
         a = m.start() if m.start() < floor else _left_of(text, m.start(), floor)
+        ends = []
+        goes_on = _right_of(text, end, ends)
+        b = ends[-1] if ends else end
         if out and a <= floor:
-            out[-1][1] = max(b, floor)
+            out[-1][1] = b
         else:
             out.append([a, b])
     return [(a, b) for a, b in out]

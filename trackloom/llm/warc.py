@@ -21,7 +21,7 @@ _EMPTY_FRAME = struct.pack("<II", 0x184D2A50, 0).decode("ascii")
 
 def _record(page: dict) -> bytes:
     digest = "sha1:" + base64.b32encode(bytes.fromhex(page["payload_digest"])).decode()
-    name = "null" if page["page_id"] is None else page["page_id"]
+    name = f"{'null' if page['page_id'] is None else page['page_id']}:{page['place']}"
     head = [
         "WARC/1.1", f"WARC-Type: {page['record_type']}", f"WARC-Record-ID: <urn:x-page:{name}>", "WARC-Date: 2024-01-01T00:00:00Z",
         f"WARC-Payload-Digest: {digest}", f"X-Payload-Length: {page['payload_bytes']}",
@@ -30,7 +30,7 @@ def _record(page: dict) -> bytes:
         head.append("WARC-Target-URI: " + "".join(c if c > " " and c != "\x7f" else f"%{ord(c):02X}" for c in page["url"]))
     http = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
     if page["record_type"] == "revisit":
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:x-page:{page['refers_to']}>"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:x-page:{page['refers_to']}:{page['refers_place']}>"]
         block = f"{http}\r\n".encode()
     else:
         block = f"{http}Content-Length: {page['payload_bytes']}\r\n\r\n".encode() + (page["html"] or "").encode()
@@ -85,21 +85,21 @@ def parse_record(record: bytes) -> dict:
             raise ValueError(f"damaged record {fields['WARC-Record-ID']}")
 
     def page(value: str | None) -> int | None:
-        value = value and value.removeprefix("<urn:x-page:").removesuffix(">")
+        value = value and value.removeprefix("<urn:x-page:").partition(":")[0]
         return None if value in (None, "null") else int(value)
 
     return {"page_id": page(fields["WARC-Record-ID"]), "url": fields.get("WARC-Target-URI"), "payload_bytes": size, "payload_digest": digest, "record_type": fields["WARC-Type"], "refers_to": page(fields.get("WARC-Refers-To")), "payload": payload}
 
 
 def _decided(pages: DataFrame, least_bytes: int) -> DataFrame:
-    """Each page with the record it becomes."""
-    page = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
+    """Each page with the record it becomes. Its place among the rows tells its record from those of the same page_id."""
+    page = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"), F.monotonically_increasing_id().alias("place"))
     page = page.withColumn("payload_bytes", F.octet_length("html").cast("long")).withColumn("payload_digest", F.sha1(F.col("html").cast("binary")))
-    long = page.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest").agg(F.max("page_id").alias("first"), F.count("*").alias("copies"))
-    repeated = settle(long.where((F.col("copies") > 1) & F.col("first").isNotNull()).select("payload_digest", "first"), "payloads")
+    long = page.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest").agg(F.max(F.struct("page_id", "place")).alias("last"), F.count("*").alias("copies"))
+    repeated = settle(long.where("copies > 1 and last.page_id is not null").select("payload_digest", F.col("last.page_id").alias("first"), F.col("last.place").alias("first_place")), "payloads")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     joined = page.join(repeated, "payload_digest", "left")  # small by its written size: broadcast; else sorted, skewed digests split
-    return joined.select("page_id", "url", "html", "payload_bytes", "payload_digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first")).alias("refers_to"))
+    return joined.select("page_id", "place", F.when(revisit, F.col("first_place")).alias("refers_place"), "url", "html", "payload_bytes", "payload_digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first")).alias("refers_to"))
 
 
 def write_warc(pages: DataFrame, path: str, least_bytes: int = 1000, archive_bytes: int = 16 << 20) -> None:
@@ -109,7 +109,8 @@ def write_warc(pages: DataFrame, path: str, least_bytes: int = 1000, archive_byt
     are response records and the others revisit it; shorter ones are all responses. A null html
     is an empty payload, a null url no target; a null page_id never is the one revisited, and
     where all of equal payload are null, all are responses; repeated rows that tie for the largest
-    page_id are all responses; other columns are not read.
+    page_id are all responses; other columns are not read. Record ids are page_id and the row's place, so
+    rows that repeat have ids of their own; a revisit refers to the id of one response.
 
     Each archive is one row for Spark's text sink, so its commit protocol decides which files
     count; the separator that the sink appends is an empty skippable frame, which readers skip.
