@@ -199,6 +199,32 @@ def test_as_of_in_pieces_of_any_width(spark, width):
         assert ((run, i) in near) == (min(abs(s - at) for s, _ in own) <= 1.0)
 
 
+@pytest.mark.parametrize("unit", [1.0, 1e6])
+@pytest.mark.parametrize("width", [None, 3.0])
+def test_as_of_ties_do_not_hang_on_the_order_of_rows(spark, unit, width):
+    rng = random.Random(11)
+    truth = [(run, rng.randrange(8) * unit, k, {"m": k}) for run in "ab" for k in rng.sample(range(100), 40)]
+    asked = [("ab"[i % 2], rng.randrange(-4, 20) / 2 * unit, i) for i in range(60)]
+    found = []
+    for seed in range(3):
+        for rows in (truth, asked):
+            random.Random(seed).shuffle(rows)
+        q = spark.createDataFrame(asked, "run string, t double, i int").repartition(1 + seed)
+        t = spark.createDataFrame(truth, "run string, t double, k int, extra map<string,int>").repartition(3)
+        step = width and width * unit
+        got = [J.as_of_forward(q, t, "run", "t", step), J.as_of_nearest(q, t, "run", "t", None, True, step), J.as_of_nearest(q, t, "run", "t", None, False, step), J.as_of_forward(q, t.withColumn("o", -F.col("k")), "run", "t", step, ["o"])]
+        found.append([{r.i: r._t.k for r in df.collect()} for df in got])
+    assert found[0] == found[1] == found[2]
+    for run, at, i in asked:
+        own = sorted((s, k) for r, s, k, _ in truth if r == run)
+        later = [p for p in own if p[0] >= at]
+        assert found[0][0][i] == (later[0] if later else own[-1])[1]
+        assert found[0][1][i] == min(own, key=lambda p: (abs(p[0] - at), -p[0], -p[1]))[1]
+        assert found[0][2][i] == min(own, key=lambda p: (abs(p[0] - at), p[0], p[1]))[1]
+        assert found[0][3][i] == (max(k for s, k in own if s == later[0][0]) if later else min(k for s, k in own if s == own[-1][0]))
+    assert J.piece_width([q, t], "run", "t", rows=40) == pytest.approx(J.piece_width([q, t], "run", "t", rows=20) * 2)
+
+
 @pytest.mark.parametrize("parts", [1, 2, 7, 32])
 def test_quantiles_by_selection(spark, parts):
     rng = random.Random(5)

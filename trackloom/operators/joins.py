@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trackloom.operators.predicates import in_edges, ring_edges
 
@@ -14,46 +17,75 @@ def _piece(time: str, width: float) -> Column:
     return F.when(F.col(time).isNull(), -(2**63)).when(F.isnan(time), 2**63 - 1).otherwise(F.floor(F.col(time) / width))
 
 
-def _lined_up(queries: DataFrame, truth: DataFrame, run: str, time: str, width: float) -> DataFrame:
-    """Both sides on one timeline, in pieces of ``width``: ``_q`` is the query row, ``_t`` the truth row.
+def piece_width(sides: list[DataFrame], run: str, time: str, rows: int = 65_536) -> float:
+    """A length of time, in the data's own unit, that holds about ``rows`` rows of a run, from one pass over the runs' ends."""
+    both = functools.reduce(DataFrame.union, [d.select(run, F.col(time).cast("double").alias(time)) for d in sides]).where(f"abs(`{time}`) < double('infinity')")
+    runs = both.groupBy(run).agg((F.max(time) - F.min(time)).alias("span"), F.count("*").alias("n"))
+    told = runs.agg(F.sum("span").alias("span"), F.sum("n").alias("n")).first()
+    return max(told.span * rows / told.n, 1e-9) if told.n and told.span else 1.0
+
+
+def _tie(truth: DataFrame, run: str, time: str, order: list[str] | None) -> Column:
+    """What tells truth rows of one time apart: ``order``, or all columns that can be compared, as they come."""
+    def comparable(kind: T.DataType) -> bool:
+        if isinstance(kind, T.StructType):
+            return all(comparable(f.dataType) for f in kind)
+        return comparable(kind.elementType) if isinstance(kind, T.ArrayType) else not isinstance(kind, (T.MapType, T.VariantType))
+
+    names = order or [f.name for f in truth.schema if f.name not in (run, time) and comparable(f.dataType)]
+    return F.struct(*[F.col(n) for n in names], F.lit(0).alias("_"))
+
+
+def _lined_up(queries: DataFrame, truth: DataFrame, run: str, time: str, width: float, order: list[str] | None, after_first: bool, before_first: bool) -> DataFrame:
+    """Both sides on one timeline, in pieces of ``width``: ``_q`` is the query row, ``_t`` the truth row, ``_tie`` its place among those of its time.
 
     The last truth row before a piece and the first one after it are guests in it, so that each
-    piece can be read for itself and no task holds a whole run.
+    piece can be read for itself and no task holds a whole run. Of rows of one time the guest is the
+    first or the last by ``_tie``, as each side asks.
     """
     q = queries.select(run, time, F.struct(*queries.columns).alias("_q"), F.lit(1).alias("_side"))
-    t = truth.where(F.col(time).isNotNull()).select(run, time, F.struct(*truth.columns).alias("_t"), F.lit(0).alias("_side"))
+    t = truth.where(F.col(time).isNotNull()).select(run, time, F.struct(*truth.columns).alias("_t"), F.lit(0).alias("_side"), _tie(truth, run, time, order).alias("_tie"))
     rows = q.unionByName(t, allowMissingColumns=True).withColumn("_piece", _piece(time, width))
-    held = F.when(F.col("_t").isNotNull(), F.col(time))
-    ends = rows.groupBy(run, "_piece").agg(F.min_by("_t", held).alias("_first"), F.max_by("_t", held).alias("_last"))
-    beyond = [F.last(end, ignorenulls=True).over(W.partitionBy(run).orderBy(order).rowsBetween(W.unboundedPreceding, -1)) for end, order in (("_last", F.asc("_piece")), ("_first", F.desc("_piece")))]
-    guests = ends.select(run, "_piece", F.array(*beyond).alias("_t")).withColumn("_t", F.explode("_t")).where("_t is not null")
-    return rows.unionByName(guests.select(run, F.col(f"_t.{time}").alias(time), "_t", F.lit(0).alias("_side"), "_piece"), allowMissingColumns=True)
-
-
-def _neighbours(queries: DataFrame, truth: DataFrame, run: str, time: str, width: float) -> DataFrame:
+    here = F.col("_t").isNotNull()
+    rising = F.when(here, F.struct(F.col(time), F.col("_tie")))
+    falling = F.when(here, F.struct(~F.isnan(time), -F.col(time), F.col("_tie")))
+    guest = F.struct("_t", "_tie")
+    first = F.min_by(guest, rising) if after_first else F.max_by(guest, falling)
+    last = F.min_by(guest, falling) if before_first else F.max_by(guest, rising)
+    ends = rows.groupBy(run, "_piece").agg(first.alias("_first"), last.alias("_last"))
+    beyond = [F.last(F.when(F.col(f"{end}._t").isNotNull(), F.col(end)), ignorenulls=True).over(W.partitionBy(run).orderBy(order_).rowsBetween(W.unboundedPreceding, -1)) for end, order_ in (("_last", F.asc("_piece")), ("_first", F.desc("_piece")))]
+    guests = ends.select(run, "_piece", F.array(*beyond).alias("_g")).withColumn("_g", F.explode("_g")).where("_g is not null").select(run, "_piece", "_g.*")
+    return rows.unionByName(guests.select(run, F.col(f"_t.{time}").alias(time), "_t", "_tie", F.lit(0).alias("_side"), "_piece"), allowMissingColumns=True)
+
+
+def _neighbours(queries: DataFrame, truth: DataFrame, run: str, time: str, width: float | None, order: list[str] | None, after_first: bool, before_first: bool) -> DataFrame:
     """Query rows with the last truth row up to their time as ``_before`` and the first one from it on as ``_after``: two running windows over one shuffle."""
+    width = width or piece_width([queries, truth], run, time)
     w = W.partitionBy(run, "_piece")
-    rows = _lined_up(queries, truth, run, time, width)
-    for name, order in (("_before", F.asc(time)), ("_after", F.desc(time))):
-        rows = rows.withColumn(name, F.last("_t", ignorenulls=True).over(w.orderBy(order, "_side").rowsBetween(W.unboundedPreceding, W.currentRow)))
+    rows = _lined_up(queries, truth, run, time, width, order, after_first, before_first)
+    for name, at, tie in (("_before", F.asc(time), F.desc("_tie") if before_first else F.asc("_tie")), ("_after", F.desc(time), F.desc("_tie") if after_first else F.asc("_tie"))):
+        rows = rows.withColumn(name, F.last("_t", ignorenulls=True).over(w.orderBy(at, "_side", tie).rowsBetween(W.unboundedPreceding, W.currentRow)))
     timed = F.col(time).isNotNull()
     return rows.where("_q is not null").withColumns({c: F.when(timed, F.col(c)) for c in ("_before", "_after")})
 
 
-def as_of_forward(queries: DataFrame, truth: DataFrame, run: str, time: str, width: float = 3600.0) -> DataFrame:
+def as_of_forward(queries: DataFrame, truth: DataFrame, run: str, time: str, width: float | None = None, order: list[str] | None = None) -> DataFrame:
     """JON-01, 02: each query row with the first truth row at or after its time, the last one if there is none.
 
-    ``_t`` is null without truth or without a time; truth rows without a time are none. ``width`` is the
-    length of the pieces, in units of ``time``, that one task reads; the result does not depend on it.
+    ``_t`` is null without truth or without a time; truth rows without a time are none. Truth rows of one time
+    are in the order of ``order``, or of all their columns, so the result does not hang on the order of
+    the input. ``width`` is the length of the pieces, in units of ``time``, that one task reads; without
+    it a job takes it from the data. The result does not depend on it.
     """
-    return _neighbours(queries, truth, run, time, width).select("_q.*", F.coalesce("_after", "_before").alias("_t"))
+    return _neighbours(queries, truth, run, time, width, order, True, False).select("_q.*", F.coalesce("_after", "_before").alias("_t"))
 
 
-def first_index_at(queries: DataFrame, truth: DataFrame, run: str, time: str, width: float = 3600.0) -> DataFrame:
+def first_index_at(queries: DataFrame, truth: DataFrame, run: str, time: str, width: float | None = None) -> DataFrame:
     """JON-03: index of the first truth row at or after each time, at most the last, as ``_at``: -1 without truth, null without a time.
 
     Counts of the earlier pieces of ``width`` are carried into each piece.
     """
+    width = width or piece_width([queries, truth], run, time)
     q = queries.select(run, time, F.struct(*queries.columns).alias("_q"), F.lit(0).cast("long").alias("_n"))
     t = truth.where(F.col(time).isNotNull()).select(run, time, F.lit(1).cast("long").alias("_n"))
     rows = q.unionByName(t, allowMissingColumns=True).withColumn("_piece", _piece(time, width))
@@ -65,9 +97,9 @@ def first_index_at(queries: DataFrame, truth: DataFrame, run: str, time: str, wi
     return met.where("_q is not null").select("_q.*", F.when(F.col(time).isNotNull(), F.col("_at")).alias("_at"))
 
 
-def as_of_nearest(queries: DataFrame, truth: DataFrame, run: str, time: str, tolerance: float | None, later_wins: bool = True, width: float = 3600.0) -> DataFrame:
-    """JON-29, 30: the truth row nearest in time, dropped beyond ``tolerance``; on ties the later or the earlier one. Pieces and missing times as in ``as_of_forward``."""
-    rows = _neighbours(queries, truth, run, time, width)
+def as_of_nearest(queries: DataFrame, truth: DataFrame, run: str, time: str, tolerance: float | None, later_wins: bool = True, width: float | None = None, order: list[str] | None = None) -> DataFrame:
+    """JON-29, 30: the truth row nearest in time, dropped beyond ``tolerance``; of equally near ones, and of those of one time, the last or the first. Pieces, order and missing times as in ``as_of_forward``."""
+    rows = _neighbours(queries, truth, run, time, width, order, not later_wins, not later_wins)
     ahead, behind = F.col(f"_after.{time}") - F.col(time), F.col(time) - F.col(f"_before.{time}")
     take = (ahead <= behind) if later_wins else (ahead < behind)
     found = F.when(F.col("_before").isNull() | take, F.col("_after")).otherwise(F.col("_before"))
