@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackloom.operators import predicates as P
 from trackloom.operators import rasters as R
 from trackloom.operators.geometry import segments
-from trackloom.plans.registry import q4, q6, query, r4, r6
+from trackloom.plans.registry import job, q4, q6, query, r4, r6
+from trackloom.sources import chunks as C
+from trackloom.sources.fixtures import load
+from trackloom.sources.shared import shared_path
 
 _NEIGHBOURS = """
 , n AS (SELECT c.*, w.value AS w, e.value AS e, s.value AS s, n.value AS n FROM cells c LEFT JOIN cells w ON w.cx = c.cx - 1 AND w.cy = c.cy LEFT JOIN cells e ON e.cx = c.cx + 1 AND e.cy = c.cy
@@ -18,9 +21,26 @@ LEFT JOIN cells s ON s.cx = c.cx AND s.cy = c.cy - 1 LEFT JOIN cells n ON n.cx =
 g AS (SELECT cy, cx, blocked, coalesce((e - w) / 2, e - value, value - w, 0) AS gx, coalesce((n - s) / 2, n - value, value - s, 0) AS gy FROM n)"""
 
 
-@query("cells", "SELECT cy, cx FROM cells WHERE cx // 16 BETWEEN 1 AND 2 AND cy // 16 BETWEEN 2 AND 5")
-def src_17_chunks_in_box(cells: DataFrame) -> DataFrame:
-    return R.chunks_in_box(cells, 16, 20, 40, 47, 90).select("cy", "cx")
+def _laid_out(spark: SparkSession, sf_dir: str) -> str:
+    folder = shared_path(spark, "chunks")
+    C.write_chunks(load(spark, sf_dir, "cells"), folder, 16)
+    return folder
+
+
+@job(f"SELECT cy, cx, {q6('value')} AS value FROM cells WHERE cx // 16 BETWEEN 1 AND 2 AND cy // 16 BETWEEN 2 AND 5")
+def src_17_chunks_in_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole raster is laid out; of its files those that the box meets are read."""
+    return C.read_box(spark, _laid_out(spark, sf_dir), 16, (20, 40, 47, 90)).select("cy", "cx", r6("value").alias("value"))
+
+
+@job("SELECT region_id AS key, cx, cy FROM polys JOIN cells ON cx // 16 BETWEEN CAST(x0 AS BIGINT) // 16 AND CAST(x0 + side AS BIGINT) // 16 AND cy // 16 BETWEEN CAST(y0 AS BIGINT) // 16 AND CAST(y0 + side AS BIGINT) // 16")
+def src_17_chunks_of_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each region's box against the stored raster."""
+    return C.read_boxes(spark, _laid_out(spark, sf_dir), 16, _region_boxes(load(spark, sf_dir, "polys"))).select("key", "cx", "cy")
+
+
+def _region_boxes(polys: DataFrame) -> DataFrame:
+    return polys.select(F.col("region_id").alias("key"), *[c.cast("long").alias(n) for n, c in {"x0": F.col("x0"), "y0": F.col("y0"), "x1": F.col("x0") + F.col("side"), "y1": F.col("y0") + F.col("side")}.items()])
 
 
 @query("cells", f"""
@@ -44,6 +64,24 @@ def jon_23_covering_node(cells: DataFrame) -> DataFrame:
     return R.covering_node(cells.select("cx", "cy"), R.quadtree(cells, 3, 0.12), 3).select(F.col("cx").cast("long").alias("cx"), "cy", "depth")
 
 
+_NODES = """
+, b AS (SELECT k, cx >> k AS nx, cy >> k AS ny, avg(value) AS mean, max(value) AS top FROM cells, (SELECT unnest([0, 1, 2, 3]) AS k) GROUP BY ALL), ok AS (SELECT * FROM b WHERE k = 0 OR top - mean <= 0.12),
+n AS (SELECT * FROM ok o WHERE NOT EXISTS (SELECT 1 FROM ok u WHERE u.k > o.k AND (o.nx >> (u.k - o.k)) = u.nx AND (o.ny >> (u.k - o.k)) = u.ny))"""
+
+
+@job(_NODES + " SELECT 16 - k AS depth, CAST(nx AS BIGINT) AS nx, ny FROM n WHERE (nx << k) <= 47 AND ((nx + 1) << k) > 20 AND (ny << k) <= 90 AND ((ny + 1) << k) > 40")
+def jon_23_nodes_in_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All nodes are stored; of their files those that the box meets are read."""
+    folder = shared_path(spark, "nodes")
+    C.write_nodes(R.quadtree(load(spark, sf_dir, "cells"), 3, 0.12), folder)
+    return C.nodes_in_box(spark, folder, (20, 40, 47, 90)).select("depth", "nx", "ny")
+
+
+@query(("cells", "polys"), _NODES + " SELECT region_id AS key, 16 - k AS depth, CAST(nx AS BIGINT) AS nx, ny FROM polys JOIN n ON (nx << k) <= CAST(x0 + side AS BIGINT) AND ((nx + 1) << k) > CAST(x0 AS BIGINT) AND (ny << k) <= CAST(y0 + side AS BIGINT) AND ((ny + 1) << k) > CAST(y0 AS BIGINT)")
+def jon_23_nodes_in_boxes(cells: DataFrame, polys: DataFrame) -> DataFrame:
+    return C.nodes_in_boxes(R.quadtree(cells, 3, 0.12), _region_boxes(polys)).select("key", "depth", F.col("nx").cast("long").alias("nx"), "ny")
+
+
 @query("cells", f"SELECT {q6('min(value) FILTER (NOT blocked)')} AS low, {q6('max(value) FILTER (NOT blocked)')} AS high, {q6('avg(value) FILTER (NOT blocked)')} AS mean FROM cells")
 def agg_29_cost_bounds(cells: DataFrame) -> DataFrame:
     cost = cells.withColumn("cost", F.when(F.col("blocked"), math.inf).otherwise(F.col("value")))
