@@ -84,7 +84,7 @@ def test_nodes_that_meet_boxes(spark, tmp_path):
         assert sorted((r.depth, r.nx, r.ny) for r in C.nodes_in_box(spark, folder, box).collect()) == meeting(*box)
     asked = spark.createDataFrame(boxes, "key int, x0 long, y0 long, x1 long, y1 long")
     for tile in (2, 6):
-        got = sorted((r.key, r.depth, r.nx, r.ny) for r in C.nodes_in_boxes(nodes, asked, tile).collect())
+        got = sorted((r.box, r.depth, r.nx, r.ny) for r in C.nodes_in_boxes(nodes, asked, tile).collect())
         assert got == sorted((k, *n) for k, *box in boxes for n in meeting(*box))
     plan = C.nodes_in_box(spark, folder, (10, 10, 20, 20))._jdf.queryExecution().toString()
     assert "zone" in plan.split("PartitionFilters")[1].split("]")[0] and "low" in plan.split("PushedFilters")[1].split("]")[0]

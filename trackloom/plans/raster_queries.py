@@ -79,7 +79,7 @@ def jon_23_nodes_in_box(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(("cells", "polys"), _NODES + " SELECT region_id AS key, 16 - k AS depth, CAST(nx AS BIGINT) AS nx, ny FROM polys JOIN n ON (nx << k) <= CAST(x0 + side AS BIGINT) AND ((nx + 1) << k) > CAST(x0 AS BIGINT) AND (ny << k) <= CAST(y0 + side AS BIGINT) AND ((ny + 1) << k) > CAST(y0 AS BIGINT)")
 def jon_23_nodes_in_boxes(cells: DataFrame, polys: DataFrame) -> DataFrame:
-    return C.nodes_in_boxes(R.quadtree(cells, 3, 0.12), _region_boxes(polys)).select("key", "depth", F.col("nx").cast("long").alias("nx"), "ny")
+    return C.nodes_in_boxes(R.quadtree(cells, 3, 0.12), _region_boxes(polys)).select(F.col("box").alias("key"), "depth", F.col("nx").cast("long").alias("nx"), "ny")
 
 
 @query("cells", f"SELECT {q6('min(value) FILTER (NOT blocked)')} AS low, {q6('max(value) FILTER (NOT blocked)')} AS high, {q6('avg(value) FILTER (NOT blocked)')} AS mean FROM cells")

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trackloom.operators.predicates import poly_ring
 from trackloom.plans.registry import job, q6, r6
 from trackloom.sources.fixtures import load
 from trackloom.sources.shared import shared_path
 from trackloom.streaming import operators as S
+from trackloom.streaming import processors as P
 from trackloom.streaming.replay import open_table, replay
 
 
@@ -30,11 +32,32 @@ def str_01_task_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay(_tasks(spark, sf_dir).select("task_id", "event_id", "type"))
 
 
+#: A time after all others.
+_CLOSING = "2200-01-01 00:00:00"
+
+
+def _with_end(rows: DataFrame, spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
+    """``rows`` and, of a key of its own, one far later row, as any later traffic would be: the watermark passes all others."""
+    end = open_table(spark, sf_dir, "region").where("r_regionkey = 0")
+    own = {key: F.lit(-1).cast("long"), "at": F.lit(_CLOSING).cast("timestamp")}
+    return rows.unionByName(end.select(*[c.alias(n) for n, c in own.items()]), allowMissingColumns=True)
+
+
 @job("""
-, e AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY at_ms, event_id) AS p FROM task_events), t AS (SELECT task_id, min(p) AS stop FROM e WHERE type IN ('done', 'error') GROUP BY task_id)
-SELECT task_id, event_id, type FROM e LEFT JOIN t USING (task_id) WHERE stop IS NULL OR p <= stop""")
+, ended AS (SELECT task_id, min((at_ms, event_id)) AS stop FROM task_events WHERE type IN ('done', 'error') GROUP BY task_id),
+e AS (SELECT t.* FROM task_events t LEFT JOIN ended USING (task_id) WHERE stop IS NULL OR (at_ms, event_id) <= stop),
+j AS (SELECT c_custkey AS watcher, c_custkey % 97 AS task_id, epoch_ms(TIMESTAMP '2024-01-01 00:00:00') + (c_custkey * 7919 % 800) * 3600000 AS since FROM customer),
+s AS (SELECT watcher, task_id, max((at_ms, event_id, type)) AS m FROM j JOIN e USING (task_id) WHERE at_ms <= since GROUP BY ALL)
+SELECT watcher, task_id, 'snapshot' AS kind, m[2] AS event_id, m[3] AS type FROM j LEFT JOIN s USING (watcher, task_id)
+UNION ALL SELECT watcher, task_id, 'event', event_id, type FROM j JOIN e USING (task_id) WHERE at_ms > since""")
 def str_02_watched_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replay(S.latest_state(_tasks(spark, sf_dir).select("task_id", "at_ms", "event_id", "type"))).select("task_id", "event_id", "type")
+    """Customers watch tasks from an hour of their own on."""
+    key = F.col("c_custkey")
+    since = F.timestamp_millis(F.unix_millis(F.lit("2024-01-01 00:00:00").cast("timestamp")) + (key * 7919 % 800) * 3_600_000)
+    joins = open_table(spark, sf_dir, "customer").select((key % 97).alias("task_id"), since.alias("at"), key.alias("watcher"))
+    events = _with_end(_tasks(spark, sf_dir).select("task_id", "at", "event_id", "type"), spark, sf_dir, "task_id")
+    forever = 400 * 365 * 86_400_000
+    return replay(P.watched(events, joins, patience_ms=forever)).select("watcher", "task_id", "kind", "event_id", "type")
 
 
 @job("SELECT DISTINCT task_id, type FROM task_events WHERE type IN ('done', 'error')")
@@ -42,30 +65,43 @@ def str_03_first_terminal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay(S.first_terminal(_tasks(spark, sf_dir)).select("task_id", "type"))
 
 
-@job(", f AS (SELECT run_id, event_id % 3 AS region_id, event_id, speed > 5 AS fast FROM samples), e AS (SELECT *, fast AND NOT coalesce(lag(fast) OVER (PARTITION BY run_id, region_id ORDER BY event_id), false) AS enters FROM f) SELECT run_id, region_id, event_id, row_number() OVER (PARTITION BY run_id, region_id ORDER BY event_id) - 1 AS entry FROM e WHERE enters")
+@job("""
+, p AS (SELECT user_id AS run_id, ts, event_id, (event_id * 7919) % 1000 / 1e1 AS x, (event_id * 104729) % 1000 / 1e1 AS y FROM events),
+i AS (SELECT run_id, region_id, ts, event_id FROM p JOIN polys ON x >= x0 AND x < x0 + side AND y >= y0 AND y < y0 + side AND (triangle = 0 OR x < (x0 - (x0 + side)) * (y - y0) / (y0 + side - y0) + (x0 + side))),
+n AS (SELECT run_id, event_id, lag(event_id) OVER (PARTITION BY run_id ORDER BY ts, event_id) AS before FROM p),
+e AS (SELECT i.* FROM i JOIN n USING (run_id, event_id) LEFT JOIN i b ON b.run_id = i.run_id AND b.region_id = i.region_id AND b.event_id = n.before WHERE b.event_id IS NULL)
+SELECT run_id, region_id, event_id, row_number() OVER (PARTITION BY run_id, region_id ORDER BY ts, event_id) - 1 AS entry FROM e""")
 def str_04_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flags = _samples(spark, sf_dir).select("run_id", (F.col("event_id") % 3).alias("region_id"), "event_id", (F.col("speed") > 5).alias("fast"))
-    return replay(S.entries(flags, "run_id", "region_id", "event_id", "fast"))
-
-
-def _ends(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stream of run ends: each customer's number is a run's."""
-    return open_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("run_id"))
+    """Live points of each run against the regions."""
+    event = F.col("event_id")
+    points = open_table(spark, sf_dir, "events").select(F.col("user_id").alias("run_id"), F.col("ts").cast("timestamp").alias("at"), "event_id", (event * 7919 % 1000 / 10.0).alias("x"), (event * 104729 % 1000 / 10.0).alias("y"))
+    regions = load(spark, sf_dir, "polys").select("region_id", poly_ring().alias("ring"))
+    return replay(P.entries(_with_end(points, spark, sf_dir, "run_id"), regions, "run_id", "at", "event_id", 400 * 365 * 86_400_000, size=10.0)).where("run_id >= 0")
 
 
-@job(", e AS (SELECT DISTINCT run_id, CAST(floor(time_s / 86400) AS BIGINT) AS d FROM samples UNION SELECT run_id, 30001 FROM samples WHERE run_id IN (SELECT c_custkey FROM customer)), n AS (SELECT run_id, d, lead(d) OVER (PARTITION BY run_id ORDER BY d) AS nx FROM e) SELECT run_id, d + 1 AS from_s, nx - 1 AS to_s FROM n WHERE nx > d + 1")
+@job("""
+, d AS (SELECT DISTINCT user_id AS run_id, epoch_ms(ts) // 3600000 AS d, max(epoch_ms(ts)) OVER (PARTITION BY user_id, epoch_ms(ts) // 3600000) AS last_ms, min(epoch_ms(ts)) OVER (PARTITION BY user_id, epoch_ms(ts) // 3600000) AS first_ms FROM events),
+n AS (SELECT *, lead(d) OVER w AS nx, lead(first_ms) OVER w AS next_ms FROM d WINDOW w AS (PARTITION BY run_id ORDER BY d)),
+g AS (SELECT run_id, d + 1 AS from_s, CASE WHEN next_ms - last_ms <= 172800000 THEN nx - 1 ELSE (last_ms + 172800000) // 3600000 END AS to_s FROM n)
+SELECT * FROM g WHERE to_s >= from_s""")
 def str_05_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Days without a sample; each run ends with day 30000."""
-    fixes = _samples(spark, sf_dir).select("run_id", F.floor(F.col("time_s") / 86400).alias("day"), F.lit(False).alias("ended"))
-    ends = _ends(spark, sf_dir).select("run_id", F.lit(30_000).cast("long").alias("day"), F.lit(True).alias("ended"))
-    return replay(S.gaps(fixes.union(ends), "run_id", "day", "ended"))
-
-
-@job(f", l AS (SELECT run_id, CAST(floor(event_id / 500) AS BIGINT) AS lap, min(event_id) AS t0 FROM samples GROUP BY ALL), n AS (SELECT *, coalesce(lead(t0) OVER (PARTITION BY run_id ORDER BY lap), CASE WHEN run_id IN (SELECT c_custkey FROM customer) THEN 1000000000 END) - t0 AS seconds FROM l) SELECT run_id, lap, {q6('seconds')} AS seconds FROM n WHERE seconds IS NOT NULL")
+    """Hours without a fix; after two days of silence a run is over."""
+    fixes = open_table(spark, sf_dir, "events").select(F.col("user_id").alias("run_id"), F.col("ts").cast("timestamp").alias("at"))
+    return replay(P.gaps(_with_end(fixes, spark, sf_dir, "run_id"), "run_id", "at", 172_800_000, 3_600_000)).where("run_id >= 0")
+
+
+@job(f"""
+, r AS (SELECT user_id AS run_id, epoch_us(ts) / 1e6 AS t, epoch_ms(ts) AS ms, event_id, CAST(floor(event_id / 5e2) AS BIGINT) AS lap FROM events),
+c AS (SELECT *, coalesce(ms - lag(ms) OVER (PARTITION BY run_id ORDER BY ms, t, event_id) > 172800000, true) AS fresh FROM r),
+v AS (SELECT *, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY run_id ORDER BY ms, t, event_id ROWS UNBOUNDED PRECEDING) AS visit FROM c),
+h AS (SELECT *, max(lap) OVER (PARTITION BY run_id, visit ORDER BY ms, t, event_id ROWS UNBOUNDED PRECEDING) AS top FROM v),
+l AS (SELECT run_id, visit, top AS lap, min(t) AS began, max(t) AS ended FROM h GROUP BY ALL)
+SELECT run_id, lap, {q6('coalesce(lead(began) OVER (PARTITION BY run_id, visit ORDER BY lap), ended) - began')} AS seconds FROM l""")
 def str_06_laps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _samples(spark, sf_dir).select("run_id", F.col("event_id").cast("double").alias("arc"), F.col("event_id").alias("t"), F.lit(False).alias("ended"))
-    ends = _ends(spark, sf_dir).select("run_id", F.lit(0.0).alias("arc"), F.lit(1_000_000_000).cast("long").alias("t"), F.lit(True).alias("ended"))
-    return replay(S.laps(rows.union(ends), "run_id", "arc", "t", 500.0, "ended")).select("run_id", "lap", r6("seconds").alias("seconds"))
+    """Laps of 500 along event numbers; after two days of silence a run is over."""
+    rows = open_table(spark, sf_dir, "events").select(F.col("user_id").alias("run_id"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").cast("double").alias("arc"))
+    got = replay(P.laps(_with_end(rows, spark, sf_dir, "run_id").withColumn("arc", F.coalesce("arc", F.lit(0.0))), "run_id", "arc", "at", 500.0, 172_800_000))
+    return got.where("run_id >= 0").select("run_id", "lap", r6("seconds").alias("seconds"))
 
 
 @job("SELECT event_id, run_id FROM samples")
@@ -77,13 +113,21 @@ def str_07_framed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("event_id long, run_id long").parquet(f"{path}/rows").select("event_id", "run_id")
 
 
-@job(f"SELECT epoch(time_bucket(INTERVAL 6 HOUR, ts))::BIGINT AS start_s, count(*) AS n, {q6('avg(value / 5e1)')} AS mean FROM events GROUP BY 1")
+@job(f"SELECT epoch(time_bucket(INTERVAL 6 HOUR, ts))::BIGINT AS start_s, count(*) AS n, {q6('avg(value / 5e1)')} AS mean, count(*) FILTER (event_id % 10 = 0) > 0 AS repaired FROM events GROUP BY 1")
 def str_09_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows that every tenth event came too late for, counted again."""
-    events = load(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("at"), (F.col("value") / 50).alias("speed"))
-    seen = S.speed_windows(events.where("event_id % 10 <> 0"), "at", "6 hours")
-    got = S.repaired(seen, events, events.where("event_id % 10 = 0"), "at", "6 hours")
-    return got.select(F.unix_seconds("start").alias("start_s"), "n", r6("mean").alias("mean"))
+    """Every tenth event comes in a second batch, when the watermark has long passed it: the windows take it all the same."""
+    folder = shared_path(spark, "late")
+    at = F.col("ts").cast("timestamp")
+    events = load(spark, sf_dir, "events").select(at.alias("at"), (F.col("value") / 50).alias("speed"), "event_id")
+    end = spark.range(1).select(F.lit(_CLOSING).cast("timestamp").alias("at"), F.lit(0.0).alias("speed"), F.lit(0).cast("long").alias("event_id"))
+    for k, rows in enumerate((events.where("event_id % 10 <> 0").union(end), events.where("event_id % 10 = 0"))):
+        rows.write.parquet(f"{folder}/in/{k}")
+    sink = S.RepairedWindows(spark, f"{folder}/out", "at", "6 hours")
+    for k in range(2):  # a restart between the two
+        stream = spark.readStream.schema("at timestamp, speed double, event_id long").parquet(f"{folder}/in/{'[0]' if k == 0 else '[01]'}")
+        stream.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(sink).start().awaitTermination()
+    got = sink.windows().where(F.col("start") < F.lit(_CLOSING).cast("timestamp") - F.expr("INTERVAL 1 DAY"))
+    return got.select(F.unix_seconds("start").alias("start_s"), "n", r6("mean").alias("mean"), "repaired")
 
 
 @job(f", w AS (SELECT time_bucket(INTERVAL 6 HOUR, ts) AS start, value / 5e1 AS speed FROM events), m AS (SELECT max(ts) - INTERVAL 10 MINUTE AS mark FROM events) SELECT epoch(start)::BIGINT AS start_s, count(*) AS n, {q6('avg(speed)')} AS mean FROM w, m WHERE start + INTERVAL 6 HOUR <= mark GROUP BY start")
@@ -92,7 +136,14 @@ def str_08_speed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.unix_seconds("start").alias("start_s"), "n", r6("mean").alias("mean"))
 
 
-@job(f", s AS (SELECT user_id AS run_id, ts, value / 5e1 AS speed, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 12 HOUR, true) AS fresh FROM events), g AS (SELECT *, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY run_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM s) SELECT run_id, count(*) AS n, {q6('avg(speed)')} AS mean FROM g GROUP BY run_id, s")
+@job(f", m AS (SELECT max(ts) - INTERVAL 10 MINUTE AS mark FROM events), w AS (SELECT time_bucket(INTERVAL 2 HOUR, ts) - CAST(k AS INTEGER) * INTERVAL 2 HOUR AS start, value / 5e1 AS speed FROM events, (SELECT unnest([0, 1, 2]) AS k)) SELECT epoch(start)::BIGINT AS start_s, count(*) AS n, {q6('avg(speed)')} AS mean, {q6('max(speed)')} AS top FROM w, m WHERE start + INTERVAL 6 HOUR <= mark GROUP BY start")
+def str_08_sliding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six hours, every two."""
+    got = replay(S.speed_windows(_samples(spark, sf_dir), "at", "6 hours", slide="2 hours"))
+    return got.select(F.unix_seconds("start").alias("start_s"), "n", r6("mean").alias("mean"), r6("top").alias("top"))
+
+
+@job(f", m AS (SELECT max(ts) - INTERVAL 10 MINUTE AS mark FROM events), s AS (SELECT user_id AS run_id, ts, value / 5e1 AS speed, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 12 HOUR, true) AS fresh FROM events), g AS (SELECT *, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY run_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM s) SELECT run_id, count(*) AS n, {q6('avg(speed)')} AS mean FROM g, m GROUP BY run_id, s, mark HAVING max(ts) + INTERVAL 12 HOUR <= mark")
 def str_08_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = load(spark, sf_dir, "events").select(F.col("user_id").alias("run_id"), F.col("ts").cast("timestamp").alias("at"), (F.col("value") / 50).alias("speed"))
-    return S.sessions(events, "run_id", "at", "12 hours").select("run_id", "n", r6("mean").alias("mean"))
+    """Sessions that the watermark has closed."""
+    return replay(S.sessions(_samples(spark, sf_dir), "run_id", "at", "12 hours")).select("run_id", "n", r6("mean").alias("mean"))

@@ -154,7 +154,7 @@ def _meets(x0: Column, y0: Column, x1: Column, y1: Column, deepest: int) -> Colu
 
 
 def nodes_in_boxes(nodes: DataFrame, boxes: DataFrame, tile: int = 6, deepest: int = 16, most: int = 1_048_576) -> DataFrame:
-    """JON-23 for boxes(key, x0, y0, x1, y1) of cells: each box with each node(depth, nx, ny, ...) whose area meets it.
+    """JON-23 for boxes(key, x0, y0, x1, y1) of cells: each box's key as ``box`` with each node(depth, nx, ny, ...) whose area meets it.
 
     Boxes and nodes meet in tiles of 2^tile cells, on an equal key; a pair is given in the one
     tile that holds the lower left corner of what both share, so none comes twice. What covers more than
@@ -164,7 +164,7 @@ def nodes_in_boxes(nodes: DataFrame, boxes: DataFrame, tile: int = 6, deepest: i
     low = {c: F.call_function("shiftleft", F.col(f"n{c}").cast("long"), k) for c in "xy"}
     side = F.call_function("shiftleft", F.lit(1).cast("long"), k)
     placed = nodes.withColumns({"_x0": low["x"], "_y0": low["y"], "_x1": low["x"] + side - 1, "_y1": low["y"] + side - 1})
-    asked = boxes.where("x0 <= x1 and y0 <= y1").select("key", *[F.col(c).cast("long").alias(f"_b{c}") for c in ("x0", "y0", "x1", "y1")])
+    asked = boxes.where("x0 <= x1 and y0 <= y1").select(F.col("key").alias("box"), *[F.col(c).cast("long").alias(f"_b{c}") for c in ("x0", "y0", "x1", "y1")])
 
     def tiled(rows: DataFrame, x0: str, y0: str, x1: str, y1: str) -> DataFrame:
         t = {c: F.shiftright(c, tile) for c in (x0, y0, x1, y1)}
@@ -176,4 +176,4 @@ def nodes_in_boxes(nodes: DataFrame, boxes: DataFrame, tile: int = 6, deepest: i
     shared = {c: F.greatest(f"_{c}0", f"_b{c}0") for c in "xy"}
     meets = (F.col("_x0") <= F.col("_bx1")) & (F.col("_x1") >= F.col("_bx0")) & (F.col("_y0") <= F.col("_by1")) & (F.col("_y1") >= F.col("_by0"))
     once = (F.shiftright(shared["x"], tile) == F.col("_tx")) & (F.shiftright(shared["y"], tile) == F.col("_ty"))
-    return met.where(meets & once).select("key", *nodes.columns)
+    return met.where(meets & once).select("box", *nodes.columns)

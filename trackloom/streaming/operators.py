@@ -1,24 +1,24 @@
-"""Streaming twins of the time-based operators."""
+"""Streaming twins of the time-based operators that need no state of their own; see ``processors`` for those that do."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from trackloom.streaming.processors import TERMINAL
 
 
 def first_terminal(events: DataFrame, watermark: str = "10 minutes") -> DataFrame:
     """STR-03: one terminal event a task and type within the watermark."""
-    return events.where(F.col("type").isin("done", "error")).withWatermark("at", watermark).dropDuplicatesWithinWatermark(["task_id", "type"])
+    return events.where(F.col("type").isin(*TERMINAL)).withWatermark("at", watermark).dropDuplicatesWithinWatermark(["task_id", "type"])
 
 
-def speed_windows(samples: DataFrame, time: str, width: str = "1 minute", watermark: str = "10 minutes") -> DataFrame:
-    """STR-08, 09: count, mean and maximum of running speeds by event-time window; rows later than the watermark are left to a batch replay."""
+def speed_windows(samples: DataFrame, time: str, width: str = "1 minute", watermark: str = "10 minutes", slide: str | None = None) -> DataFrame:
+    """STR-08: count, mean and maximum of running speeds by event-time window, every ``slide`` or one after another; rows later than the watermark do not count."""
     late = samples.withWatermark(time, watermark) if samples.isStreaming else samples
-    windows = late.groupBy(F.window(time, width).alias("w")).agg(F.count("*").alias("n"), F.avg("speed").alias("mean"), F.max("speed").alias("top"))
+    windows = late.groupBy(F.window(time, width, slide).alias("w")).agg(F.count("*").alias("n"), F.avg("speed").alias("mean"), F.max("speed").alias("top"))
     return windows.select(F.col("w.start").alias("start"), "n", "mean", "top")
 
 
@@ -28,109 +28,51 @@ def sessions(samples: DataFrame, run: str, time: str, gap: str = "5 minutes", wa
     return late.groupBy(run, F.session_window(time, gap).alias("w")).agg(F.count("*").alias("n"), F.avg("speed").alias("mean")).select(run, F.col("w.start").alias("start"), "n", "mean")
 
 
-def _stateful(df: DataFrame, keys: list[str], step: Callable, out: str, state: str) -> DataFrame:
-    """``step(key, rows, state or None) -> (output rows, state)`` for each group and batch.
-
-    State is a few numbers a group and is kept for good: a processing-time timeout would keep an availableNow run from ending.
-    """
-    names = [f.split()[0] for f in out.split(", ")]
-
-    def run(key, batches: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches))
-        got, kept = step(key, rows, group.get if group.exists else None)
-        group.update(kept)
-        yield pd.DataFrame(got, columns=names)
-
-    return df.groupBy(*keys).applyInPandasWithState(run, out, state, "append", GroupStateTimeout.NoTimeout)
-
-
-def latest_state(events: DataFrame, lag: int | None = None) -> DataFrame:
-    """STR-02: what a watcher of each task sees: the current state first, then each later event, nothing after the first terminal one.
-
-    Events are in the order of time and id. A watcher that falls behind, so that a batch holds more
-    than ``lag`` new events of its task, gets the state they lead to in their place.
-    """
-
-    def step(key, rows: pd.DataFrame, state):
-        at, order, over = state if state is not None else (-1, -1, False)
-        fresh = []
-        for now in rows.sort_values(["at_ms", "event_id"])[["at_ms", "event_id", "type"]].itertuples(index=False):
-            if over:
-                break
-            if (now.at_ms, now.event_id) > (at, order):
-                fresh.append((key[0], int(now.at_ms), int(now.event_id), now.type))
-                at, order, over = int(now.at_ms), int(now.event_id), now.type in ("done", "error")
-        return fresh[-1:] if lag is not None and len(fresh) > lag else fresh, (at, order, over)
-
-    return _stateful(events, ["task_id"], step, "task_id long, at_ms long, event_id long, type string", "at long, last long, over boolean")
-
-
-def entries(flags: DataFrame, run: str, region: str, order: str, inside: str) -> DataFrame:
-    """STR-04: rows that enter a region, counted for each run and region; micro-batches must come in event order."""
+class RepairedWindows:
+    """STR-09: speed windows of a stream that also take the rows that its watermark would drop.
 
-    def step(key, rows: pd.DataFrame, state):
-        within, count = state if state is not None else (False, 0)
-        out = []
-        for at, now in rows.sort_values(order)[[order, inside]].itertuples(index=False):
-            if now and not within:
-                out.append((*key, int(at), count))
-                count += 1
-            within = bool(now)
-        return out, (within, count)
-
-    return _stateful(flags, [run, region], step, f"{run} long, {region} long, {order} long, entry long", "within boolean, count long")
-
-
-def gaps(fixes: DataFrame, run: str, epoch: str, ended: str | None = None) -> DataFrame:
-    """STR-05: (run, from, to) of missing epochs as the fix after them arrives.
-
-    A row whose flag ``ended`` is set is no fix but tells a run's last epoch: the gap that is open then is closed there.
+    Used as the sink of ``foreachBatch``. Of each batch it writes the windows' partial sums, the rows that
+    were late, which are those of windows that the latest time of the batches before, less ``delay``, had passed,
+    and the batch's own latest time, each into a folder of the batch's number. A batch
+    that is run again after a failure writes the same folders over, so nothing counts twice. ``windows``
+    adds the partial sums up; which of them late rows have changed is told.
     """
 
-    def step(key, rows: pd.DataFrame, state):
-        last, out = state[0] if state is not None else None, []
-        marks = rows[ended] if ended else [False] * len(rows)
-        for at, over in sorted({(int(t), bool(e)) for t, e in zip(rows[epoch], marks, strict=True)}):
-            reached = at if over else at - 1
-            if last is not None and reached > last:
-                out.append((key[0], last + 1, reached))
-            last = at if last is None else max(last, at)
-        return out, (last,)
-
-    return _stateful(fixes, [run], step, f"{run} long, from_s long, to_s long", "last long")
-
-
-def laps(samples: DataFrame, run: str, arc: str, time: str, length: float, ended: str | None = None) -> DataFrame:
-    """STR-06: (run, lap, seconds) as each next lap begins, and of the last one as a row whose flag ``ended`` is set tells the run's end."""
-
-    def step(key, rows: pd.DataFrame, state):
-        lap, began = state if state is not None else (-1, 0.0)
-        out = []
-        marks = rows[ended] if ended else [False] * len(rows)
-        for t, over, s in sorted(zip(rows[time].astype(float), marks, rows[arc], strict=True), key=lambda r: r[:2]):
-            now = lap if over else int(s // length)
-            if lap >= 0 and (over or now > lap):
-                out.append((key[0], lap, t - began))
-            if over:
-                lap = -1
-            elif now > lap:
-                lap, began = now, t
-        return out, (lap, began)
-
-    return _stateful(samples, [run], step, f"{run} long, lap long, seconds double", "lap long, began double")
-
-
-def repaired(windows: DataFrame, samples: DataFrame, late: DataFrame, time: str, width: str) -> DataFrame:
-    """STR-09: ``windows`` of a stream with those that rows later than its watermark belong to counted again from all ``samples``."""
-    hit = late.select(F.window(time, width)["start"].alias("start")).distinct()
-    spans = samples.withColumn("_w", F.window(time, width)["start"]).join(hit.withColumnRenamed("start", "_w"), "_w", "left_semi").drop("_w")
-    return windows.join(hit, "start", "left_anti").unionByName(speed_windows(spans, time, width))
+    PARTS = "start timestamp, n long, total double, top double, late long"
+
+    def __init__(self, spark: SparkSession, folder: str, time: str, width: str = "1 minute", delay: str = "10 minutes"):
+        self.spark, self.folder, self.time, self.width, self.delay = spark, folder.rstrip("/"), time, width, delay
+
+    def __call__(self, rows: DataFrame, batch: int) -> None:
+        window = F.window(self.time, self.width)
+        mark = self._mark(batch)
+        late = F.lit(False) if mark is None else window["end"] <= F.lit(mark)
+        told = rows.where(F.col(self.time).isNotNull()).withColumn("_start", window["start"]).withColumn("_late", late).persist()
+        try:
+            parts = told.groupBy(F.col("_start").alias("start")).agg(F.count("*").alias("n"), F.sum("speed").alias("total"), F.max("speed").alias("top"), F.count_if("_late").alias("late"))
+            parts.write.mode("overwrite").parquet(f"{self.folder}/parts/batch={batch}")
+            told.where("_late").drop("_start", "_late").write.mode("overwrite").parquet(f"{self.folder}/late/batch={batch}")
+            told.agg(F.max(self.time).alias("at")).write.mode("overwrite").parquet(f"{self.folder}/marks/batch={batch}")  # last: it says that the batch is whole
+        finally:
+            told.unpersist()
+
+    def _mark(self, batch: int):
+        """The watermark that a stream has before a batch: the latest time of the batches before it, less the delay."""
+        if batch == 0:
+            return None
+        marks = self.spark.read.schema("at timestamp, batch long").parquet(f"{self.folder}/marks").where(F.col("batch") < batch)
+        return marks.agg((F.max("at") - F.expr(f"INTERVAL {self.delay}")).alias("mark")).first().mark
+
+    def windows(self) -> DataFrame:
+        """(start, n, mean, top, repaired) of all rows so far."""
+        parts = self.spark.read.schema(f"{self.PARTS}, batch long").parquet(f"{self.folder}/parts")
+        return parts.groupBy("start").agg(F.sum("n").alias("n"), (F.sum("total") / F.sum("n")).alias("mean"), F.max("top").alias("top"), (F.sum("late") > 0).alias("repaired"))
+
+    def late(self, schema: str) -> DataFrame:
+        """The late rows, as they came."""
+        return self.spark.read.schema(f"{schema}, batch long").parquet(f"{self.folder}/late")
 
 
 def framed(writer, sink: Callable[[DataFrame, int], None]):
     """STR-07: deliver a stream frame by frame; the reader's maxFilesPerTrigger sets their size, the next one waits for the sink."""
     return writer.foreachBatch(sink)
-
-
-def terminal(kind: str = "type") -> Column:
-    return F.col(kind).isin("done", "error")

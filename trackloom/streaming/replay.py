@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQuery
 
 from trackloom.sources.shared import shared_path
 
@@ -15,10 +17,24 @@ def open_table(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: i
     return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_trigger).parquet(pattern)
 
 
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def start(writer: Callable[[], StreamingQuery], spark: SparkSession) -> StreamingQuery:
+    """Start a query with the state store that stateful processors need; the session's own setting comes back."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, STORE)
+    try:
+        return writer()
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def replay(stream: DataFrame) -> DataFrame:
     """Process all that is there and return the appended rows, from a table in the shared folder."""
     spark = stream.sparkSession
     out = shared_path(spark, "stream")
-    query = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start(f"{out}/rows")
-    query.awaitTermination()
+    writer = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{out}/state").trigger(availableNow=True)
+    start(lambda: writer.start(f"{out}/rows"), spark).awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{out}/rows")
