@@ -1,6 +1,5 @@
 """Rules with a state or an order, against plain Python."""
 
-import datetime
 import json
 import math
 import random
@@ -16,39 +15,6 @@ from trackloom.operators import links as L
 from trackloom.operators import rasters as R
 from trackloom.operators import windows as O
 from trackloom.sources import readers
-from trackloom.streaming import operators as S
-from trackloom.streaming.replay import replay
-
-
-def streamed(spark, folder, rows, schema):
-    """One file, and so one micro-batch, for each list of ``rows``."""
-    for k, some in enumerate(rows):
-        spark.createDataFrame(some, schema).coalesce(1).write.parquet(f"{folder}/{k}")
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")
-
-
-EVENTS = "task_id long, at_ms long, event_id long, type string"
-
-
-def test_watchers_see_every_event_of_a_millisecond(spark, tmp_path):
-    rows = [(1, 10, 5, "state"), (1, 10, 6, "log"), (1, 11, 7, "log"), (1, 12, 8, "done"), (1, 12, 9, "log"), (2, 1, 1, "log")]
-    got = replay(S.latest_state(streamed(spark, str(tmp_path), [rows], EVENTS))).collect()
-    assert sorted((r.task_id, r.event_id) for r in got) == [(1, 5), (1, 6), (1, 7), (1, 8), (2, 1)]
-
-
-def test_a_lagging_watcher_gets_the_state_instead(spark, tmp_path):
-    rows = [(1, t, t, "log") for t in range(1, 9)] + [(2, 1, 1, "log"), (2, 2, 2, "log"), (3, 1, 1, "log"), (3, 2, 2, "done"), (3, 3, 3, "log"), (3, 4, 4, "log")]
-    got = replay(S.latest_state(streamed(spark, str(tmp_path), [rows], EVENTS), lag=2)).collect()
-    assert sorted((r.task_id, r.event_id) for r in got) == [(1, 8), (2, 1), (2, 2), (3, 1), (3, 2)]
-
-
-def test_open_gaps_and_last_laps_close_at_the_end(spark, tmp_path):
-    schema = "run long, epoch long, arc double, ended boolean"
-    rows = [(1, 3, 0.0, False), (1, 4, 5.0, False), (1, 7, 12.0, False), (1, 9, 0.0, True), (2, 5, 1.0, False)]
-    gaps = replay(S.gaps(streamed(spark, str(tmp_path / "a"), [rows], schema), "run", "epoch", "ended")).collect()
-    assert sorted((r.run, r.from_s, r.to_s) for r in gaps) == [(1, 5, 6), (1, 8, 9)]
-    laps = replay(S.laps(streamed(spark, str(tmp_path / "b"), [rows], schema), "run", "arc", "epoch", 10.0, "ended")).collect()
-    assert sorted((r.run, r.lap, r.seconds) for r in laps) == [(1, 0, 4.0), (1, 1, 2.0)]
 
 
 def test_gaps_reach_to_the_ends_of_runs(spark):
@@ -59,13 +25,6 @@ def test_gaps_reach_to_the_ends_of_runs(spark):
     assert sorted(tuple(r) for r in O.gaps(fixes, "run", "epoch").collect()) == [(1, 5, 6)]
 
 
-def test_late_rows_repair_their_windows(spark):
-    rows = [(datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=7 * k), float(k % 5)) for k in range(100)]
-    df = spark.createDataFrame(rows, "at timestamp, speed double").withColumn("late", F.minute("at") % 3 == 0)
-    got = S.repaired(S.speed_windows(df.where("not late"), "at", "30 minutes"), df, df.where("late"), "at", "30 minutes")
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, S.speed_windows(df, "at", "30 minutes").collect()))
-
-
 def test_axes_of_two_splits_stay_apart(spark, tmp_path):
     for axis, shift in (("x", 0), ("y", 100)):
         for split in ("train", "test"):
