@@ -14,7 +14,7 @@ from trackloom.operators import joins as J
 from trackloom.operators import links as L
 from trackloom.operators import rasters as R
 from trackloom.operators import windows as O
-from trackloom.sources import readers
+from trackloom.sources import readers, writers
 
 
 def test_gaps_reach_to_the_ends_of_runs(spark):
@@ -34,6 +34,32 @@ def test_axes_of_two_splits_stay_apart(spark, tmp_path):
     assert all(r.ay == r.ax + 100 and (r.ax >= 1000) == (r.split == "test") for r in got)
 
 
+def test_lines_keep_their_numbers_over_blocks(spark, tmp_path):
+    texts = {"a.txt": [f"line {i} " + "x" * (i % 50) for i in range(3000)], "b.txt": ["one", "", "three"]}
+    for name, lines in texts.items():
+        (tmp_path / name).write_text("\n".join(lines) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "7001")
+    try:
+        assert spark.read.text(str(tmp_path / "*.txt")).rdd.getNumPartitions() > 5
+        got = readers.numbered_lines(spark, str(tmp_path / "*.txt"))
+        rows = {(r.file, r.number): r.value for r in got.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert rows == {(name, i): line for name, lines in texts.items() for i, line in enumerate(lines)}
+
+
+def test_files_of_given_names(spark, tmp_path):
+    rows = [(f"t {k % 3}.csv", 100 - k, f"{100 - k},x") for k in range(60)]
+    writers.write_named(spark.createDataFrame(rows, "file string, o int, value string").repartition(5), str(tmp_path / "out"), ["o"], "o,v")
+    assert sorted(p.name for p in (tmp_path / "out").iterdir() if not p.name.startswith((".", "_"))) == ["t 0.csv", "t 1.csv", "t 2.csv"]
+    for k in range(3):
+        own = sorted(o for name, o, _ in rows if name == f"t {k}.csv")
+        assert (tmp_path / "out" / f"t {k}.csv").read_text().splitlines() == ["o,v", *[f"{o},x" for o in own]]
+    with pytest.raises(OSError, match="could not be written"):
+        writers.write_named(spark.createDataFrame(rows, "file string, o int, value string"), str(tmp_path / "out"), ["o"])
+
+
 def test_elements_with_infinite_vertices_go(spark, tmp_path):
     ways = [{"type": "way", "id": i, "geometry": [{"lat": v, "lon": 1.0}]} for i, v in enumerate([1.0, math.inf, -math.inf, math.nan, None])]
     (tmp_path / "o.json").write_text(json.dumps({"elements": ways}))
