@@ -47,12 +47,12 @@ def test_moving_average_keeps_its_width(spark):
 
 def test_simplify_and_spikes(spark):
     straight = track(spark, [(i, 0.01 * (i % 2)) for i in range(10)])
-    assert [r.seq for r in G.simplify(straight, 0.05, 64, 15.0).orderBy("seq").collect()] == [0, 9]
+    assert [r.seq for r in G.simplify(straight, 0.05).orderBy("seq").collect()] == [0, 9]
     fold = track(spark, [(0, 0), (1, 0), (2, 0), (2, 3), (2, 0.1), (4, 0)])
     assert [r.seq for r in G.remove_spikes(fold, 12.0, 1.0).orderBy("seq").collect()] == [0, 1, 2, 4, 5]
     corner = track(spark, [(0, 0), (5, 0), (10, 0), (10, 5), (10, 10)])
     turn = G.turns(corner, 4.0, 60.0).collect()
-    assert len(turn) == 1 and turn[0].arc == 10 and turn[0].turn == pytest.approx(math.pi / 2)
+    assert len(turn) == 1 and turn[0].arc == pytest.approx(10, abs=0.1) and turn[0].kind == "corner" and turn[0].turn == pytest.approx(math.pi / 2)
 
 
 def test_rings_close_or_go(spark):

@@ -121,6 +121,133 @@ def test_folds_go_until_none_is_left(spark, walled):
     assert shorter > 3
 
 
+def wandering(rnd, n):
+    """Points of a walk with bends, reversals and short dead ends."""
+    at, heading, points = [0.0, 0.0], 0.0, [(0.0, 0.0)]
+    while len(points) < n:
+        heading += rnd.choice([0.0, 0.1, -0.2, rnd.uniform(-3.2, 3.2)])
+        step = rnd.choice([0.0, 0.3, 1.0, 4.0])
+        at = [at[0] + step * math.cos(heading), at[1] + step * math.sin(heading)]
+        points.append(tuple(at))
+        if rnd.random() < 0.1:  # in and out again
+            points += [(at[0] + 0.9, at[1]), tuple(at)]
+    return points
+
+
+def plain_turns(points, window, degrees):
+    """The rule place by place, with a search for the leg at each."""
+    arc = [0.0]
+    for a, b in zip(points, points[1:]):
+        arc.append(arc[-1] + math.hypot(b[0] - a[0], b[1] - a[1]))
+    total = arc[-1]
+
+    def leg(s):
+        s = min(max(s, 0.0), total)
+        return min(max(k for k in range(len(arc)) if arc[k] <= s), len(points) - 2)
+
+    def heading(s):
+        (ax, ay), (bx, by) = points[leg(s)], points[leg(s) + 1]
+        return math.atan2(by - ay, bx - ax) if math.hypot(bx - ax, by - ay) > 1e-12 else 0.0
+
+    def place(s):
+        k, s = leg(s), min(max(s, 0.0), total)
+        t = min(max((s - arc[k]) / max(arc[k + 1] - arc[k], 1e-9), 0.0), 1.0)
+        return [a + (b - a) * t for a, b in zip(points[k], points[k + 1])]
+
+    def apart(a, b):
+        return (a - b + math.pi) % (2 * math.pi) - math.pi
+
+    found, step = [], max(window / 8, 0.25)
+    if total <= 2 * window:
+        return found
+    begin, k = step, 0
+    while (s := begin + step * k) < total - window:
+        k += 1
+        corner = apart(heading(s + window), heading(s - window))
+        if abs(corner) >= math.radians(degrees):
+            low, high, best = max(0.0, s - window), min(total, s + window), (-1.0, s)
+            n = 0
+            while low + 0.1 * n <= high + 1e-9:
+                change = abs(apart(heading(low + 0.1 * n + 0.1), heading(low + 0.1 * n - 0.1)))
+                if change > best[0]:
+                    best = (change, low + 0.1 * n)
+                n += 1
+            found.append((best[1], corner, "corner"))
+            begin, k = best[1] + 4 * window, 0
+            continue
+        for r in range(1, 7):
+            if s + r / 2 <= total and math.dist(place(s), place(s + r / 2)) < 0.5 and abs(apart(heading(s + r / 2), heading(s))) > math.pi / 2:
+                found.append((s + r / 4, apart(heading(s + r / 2), heading(s)), "fold"))
+                begin, k = s + r / 4 + window, 0
+                break
+    return found
+
+
+def plain_shortcuts(points, tolerance, span, cosine, shut):
+    if len(points) < 3:
+        return list(range(len(points)))
+    arc = [0.0]
+    for a, b in zip(points, points[1:]):
+        arc.append(arc[-1] + math.hypot(b[0] - a[0], b[1] - a[1]))
+
+    def unit(a, b):
+        size = math.hypot(b[0] - a[0], b[1] - a[1])
+        return ((b[0] - a[0]) / size, (b[1] - a[1]) / size) if size else (0.0, 0.0)
+
+    kept, i = [0], 0
+    while i < len(points) - 1:
+        furthest = i + 1
+        for j in range(i + 1, min(len(points), i + 66)):
+            if tuple(math.floor(c) for c in points[j]) in shut or arc[j] - arc[i] > span:
+                break
+            if arc[j] == arc[i]:
+                continue
+            cx, cy = points[j][0] - points[i][0], points[j][1] - points[i][1]
+            size = math.hypot(cx, cy)
+            away = [abs((x - points[i][0]) * cy - (y - points[i][1]) * cx) / size if size > 1e-9 else math.hypot(x - points[i][0], y - points[i][1]) for x, y in points[i + 1 : j]]
+            if max(away, default=0.0) > tolerance:
+                break
+            u = unit(points[i - 1], points[i]) if i else (0.0, 0.0)
+            v = unit(points[j], points[j + 1]) if j + 1 < len(points) else (0.0, 0.0)
+            if (u == (0.0, 0.0) or v == (0.0, 0.0) or u[0] * v[0] + u[1] * v[1] >= cosine) and not (shut and enters(points[i], points[j], shut)):
+                furthest = j
+        kept.append(furthest)
+        i = furthest
+    return kept
+
+
+def test_turns_by_the_rule(spark):
+    rnd = random.Random(12)
+    paths = {k: wandering(rnd, rnd.choice([1, 2, 5, 60, 120])) for k in range(25)}
+    bend = [(5 * math.cos(t / 20), 5 * math.sin(t / 20)) for t in range(64)]
+    paths |= {90: [(0.0, 0.0), *[(x + 30.0, y) for x, y in bend]]}
+    track = spark.createDataFrame([(k, i, x, y) for k, points in paths.items() for i, (x, y) in enumerate(points)], "path_id long, seq long, x double, y double")
+    got = {}
+    for r in G.turns(track, 6.0, 60.0).collect():
+        got.setdefault(r.path_id, []).append((r.arc, r.turn, r.kind))
+    kinds = set()
+    for k, points in paths.items():
+        want, own = plain_turns(points, 6.0, 60.0), sorted(got.get(k, []))
+        assert [w[2] for w in want] == [o[2] for o in own] and all(a[0] == pytest.approx(b[0], abs=1e-6) and a[1] == pytest.approx(b[1], abs=1e-6) for a, b in zip(own, want))
+        kinds |= {w[2] for w in want}
+    assert kinds == {"corner", "fold"} and len(got[90]) == 1
+
+
+@pytest.mark.parametrize("walled", [False, True])
+def test_shortcuts_by_the_rule(spark, walled):
+    rnd = random.Random(13)
+    paths = {k: [(x + 0.137, y + 0.291) for x, y in wandering(rnd, rnd.choice([1, 2, 3, 50, 150]))] for k in range(20)}
+    shut = {(rnd.randint(-40, 40), rnd.randint(-40, 40)) for _ in range(900)} if walled else set()
+    track = spark.createDataFrame([(k, i, x, y) for k, points in paths.items() for i, (x, y) in enumerate(points)], "path_id long, seq long, x double, y double")
+    blocked = spark.createDataFrame(sorted(shut), "cx long, cy long") if walled else None
+    got = {}
+    for r in G.simplify(track, 1.5, 12.0, 0.7, blocked=blocked).collect():
+        got.setdefault(r.path_id, []).append(r.seq)
+    for k, points in paths.items():
+        assert sorted(got[k]) == plain_shortcuts(points, 1.5, 12.0, 0.7, shut)
+    assert sum(map(len, got.values())) < 0.9 * sum(map(len, paths.values()))
+
+
 def test_blocks_with_directed_cells_divide(spark):
     cells = spark.createDataFrame([(x, y, 1.0, (x, y) == (5, 6)) for x in range(8) for y in range(8)], "cx long, cy long, value double, directed boolean")
     assert [(r.depth, r.nx, r.ny) for r in R.quadtree(cells, 3, 0.1).collect()] == [(13, 0, 0)]

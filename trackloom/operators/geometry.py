@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from trackloom.operators.joins import at_arc
+from trackloom.operators.joins import at_arc, segment_cells
 from trackloom.operators.windows import arc_lengths
 
 
@@ -66,28 +66,76 @@ def _per_path(track: DataFrame, path: str, keep) -> DataFrame:
     return track.groupBy(path).applyInPandas(run, track.schema)
 
 
-def simplify(track: DataFrame, tolerance: float, span: int = 64, turn_deg: float = 15.0, path: str = "path_id") -> DataFrame:
-    """GRP-07: from each kept point the furthest shortcut whose skipped vertices lie within ``tolerance`` and turn by no more than ``turn_deg``."""
+#: Fixed values of the rules of simplification and of folds. A shortcut spans 65 vertices at most, and turns by no
+#: more than an angle of this cosine; a fold comes back within half a metre, at every half metre up to three.
+_SPAN, _STRAIGHT = 65, 0.966
+_FOLD_ARCS, _FOLD_GAP = np.arange(1, 7) * 0.5, 0.5
+_PROBE = 0.1
+
+
+def _shortcuts(p: np.ndarray, tolerance: float, span: float, cosine: float, shut: frozenset, resolution: float) -> list[int]:
+    """Places of the points that stay."""
+    n = len(p)
+    if n < 3:
+        return list(range(n))
+    steps = np.diff(p, axis=0)
+    lengths = np.hypot(*steps.T)
+    arc = np.concatenate([[0.0], np.cumsum(lengths)])
+    way = np.divide(steps, lengths[:, None], out=np.zeros_like(steps), where=lengths[:, None] > 0)
+    open_to = np.array([tuple(c) not in shut for c in np.floor(p / resolution).astype(int).tolist()]) if shut else np.ones(n, dtype=bool)
+    kept, i = [0], 0
+    while i < n - 1:
+        furthest = i + 1
+        for j in range(i + 1, min(n, i + 1 + _SPAN)):
+            along = arc[j] - arc[i]
+            if not open_to[j] or along > span:
+                break
+            if along <= 0:
+                continue
+            chord, inner = p[j] - p[i], p[i + 1 : j] - p[i]
+            size = math.hypot(*chord)
+            away = np.abs(inner[:, 0] * chord[1] - inner[:, 1] * chord[0]) / size if size > 1e-9 else np.hypot(*inner.T)
+            if len(away) and away.max() > tolerance:
+                break  # what a longer one would leave out lies as far away
+            before = way[i - 1] if i else np.zeros(2)
+            after = way[j] if j < n - 1 else np.zeros(2)
+            straight = not before.any() or not after.any() or float(before @ after) >= cosine
+            if straight and not (shut and _entered(p[i], p[j], resolution) & shut):
+                furthest = j
+        kept.append(furthest)
+        i = furthest
+    return kept
+
+
+def simplify(track: DataFrame, tolerance: float, span: float = 64.0, cosine: float = _STRAIGHT, path: str = "path_id", blocked: DataFrame | None = None, resolution: float = 1.0) -> DataFrame:
+    """GRP-07: from each kept point the furthest shortcut over at most ``span`` metres of the path.
+
+    The vertices that it leaves out lie within ``tolerance`` of it, the directions into its beginning and out of its
+    end have a cosine of ``cosine`` at least, and, with cells ``blocked(cx, cy)``, no vertex up to its end lies and no part
+    of it runs in one. A shortcut lies within the tolerance of what it replaces, so only blocked cells
+    so near to a path go to its task.
+    """
+    none = frozenset()
+    if blocked is None:
+        return _per_path(track, path, lambda p: _shortcuts(p, tolerance, span, cosine, none, resolution))
+    size = tolerance + 2 * resolution
+    w = W.partitionBy(path).orderBy("seq")
+    legs = track.select(path, *[F.col(c).alias(f"{c}0") for c in "xy"], *[F.coalesce(F.lead(c).over(w), F.col(c)).alias(f"{c}1") for c in "xy"])
+    met = segment_cells(legs, size).select(path, F.col("cx").alias("_bx"), F.col("cy").alias("_by")).distinct()
+    return track.groupBy(path).cogroup(_near(met, blocked, path, size, resolution).groupBy("_path")).applyInPandas(lambda rows, cells: _kept(rows, cells, lambda p, shut: _shortcuts(p, tolerance, span, cosine, shut, resolution)), track.schema)
+
+
+def _near(touched: DataFrame, blocked: DataFrame, path: str, size: float, resolution: float) -> DataFrame:
+    """(_path, cx, cy): blocked cells in the buckets (_bx, _by) of ``size`` that a path touches, or beside one."""
+    around = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]))
+    touched = touched.select(path, "_bx", "_by", around.alias("_o")).select(path, (F.col("_bx") + F.col("_o.dx")).alias("_bx"), (F.col("_by") + F.col("_o.dy")).alias("_by")).distinct()
+    shut = blocked.select("cx", "cy", *[F.floor((F.col(c) + 0.5) * resolution / size).alias(b) for c, b in (("cx", "_bx"), ("cy", "_by"))])
+    return touched.join(shut, ["_bx", "_by"]).select(F.col(path).alias("_path"), "cx", "cy")
 
-    def keep(p: np.ndarray) -> list[int]:
-        kept, i, n = [0] if len(p) else [], 0, len(p)
-        while i < n - 1:
-            best = i + 1
-            for j in range(min(n - 1, i + span), i + 1, -1):
-                d = p[j] - p[i]
-                size = math.hypot(*d)
-                inner = p[i + 1 : j] - p[i]
-                away = np.abs(inner[:, 0] * d[1] - inner[:, 1] * d[0]) / size if size > 1e-9 else np.hypot(inner[:, 0], inner[:, 1])
-                first, last = p[i + 1] - p[i], p[j] - p[j - 1]
-                turn = abs(math.atan2(first[0] * last[1] - first[1] * last[0], float(first @ last)))
-                if (away <= tolerance).all() and turn <= math.radians(turn_deg):
-                    best = j
-                    break
-            kept.append(best)
-            i = best
-        return kept
 
-    return _per_path(track, path, keep)
+def _kept(rows: pd.DataFrame, cells: pd.DataFrame, keep) -> pd.DataFrame:
+    rows = rows.sort_values("seq")
+    return rows.iloc[keep(rows[["x", "y"]].to_numpy(dtype=float), frozenset(zip(cells["cx"].astype(int), cells["cy"].astype(int), strict=True)))]
 
 
 def _entered(a: np.ndarray, b: np.ndarray, resolution: float) -> set[tuple[int, int]]:
@@ -138,42 +186,92 @@ def remove_spikes(track: DataFrame, reach: float = 12.0, gap: float = 1.0, path:
     if blocked is None:
         return _per_path(track, path, lambda p: _without_folds(p, reach, gap, none, resolution))
     size = gap + resolution
-    around = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]))
-    touched = track.select(path, F.floor(F.col("x") / size).alias("_bx"), F.floor(F.col("y") / size).alias("_by")).distinct().select(path, "_bx", "_by", around.alias("_o"))
-    touched = touched.select(path, (F.col("_bx") + F.col("_o.dx")).alias("_bx"), (F.col("_by") + F.col("_o.dy")).alias("_by")).distinct()
-    shut = blocked.select("cx", "cy", *[F.floor((F.col(c) + 0.5) * resolution / size).alias(b) for c, b in (("cx", "_bx"), ("cy", "_by"))])
-    near = touched.join(shut, ["_bx", "_by"]).select(F.col(path).alias("_path"), "cx", "cy")
-
-    def run(rows: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq")
-        own = frozenset(zip(cells["cx"].astype(int), cells["cy"].astype(int), strict=True))
-        return rows.iloc[_without_folds(rows[["x", "y"]].to_numpy(dtype=float), reach, gap, own, resolution)]
-
-    return track.groupBy(path).cogroup(near.groupBy("_path")).applyInPandas(run, track.schema)
+    touched = track.select(path, F.floor(F.col("x") / size).alias("_bx"), F.floor(F.col("y") / size).alias("_by")).distinct()
+    near = _near(touched, blocked, path, size, resolution)
+    return track.groupBy(path).cogroup(near.groupBy("_path")).applyInPandas(lambda rows, cells: _kept(rows, cells, lambda p, shut: _without_folds(p, reach, gap, shut, resolution)), track.schema)
+
+
+class _Line:
+    """A polyline by arc length; beyond its ends it stands still."""
+
+    def __init__(self, p: np.ndarray):
+        steps = np.diff(p, axis=0)
+        self.p, self.lengths = p, np.hypot(*steps.T)
+        self.arc = np.concatenate([[0.0], np.cumsum(self.lengths)])
+        self.total = float(self.arc[-1])
+        self.angles = np.where(self.lengths > 1e-12, np.arctan2(steps[:, 1], steps[:, 0]), 0.0)
+
+    def leg(self, s: np.ndarray) -> np.ndarray:
+        return np.clip(np.searchsorted(self.arc, np.clip(s, 0.0, self.total), side="right") - 1, 0, len(self.p) - 2)
+
+    def heading(self, s: np.ndarray) -> np.ndarray:
+        return self.angles[self.leg(s)]
+
+    def at(self, s: np.ndarray) -> np.ndarray:
+        k = self.leg(s)
+        t = np.clip((np.clip(s, 0.0, self.total) - self.arc[k]) / np.maximum(self.lengths[k], 1e-9), 0.0, 1.0)
+        return self.p[k] + (self.p[k + 1] - self.p[k]) * t[:, None]
+
+
+def _turned(after: np.ndarray, before: np.ndarray) -> np.ndarray:
+    return (after - before + math.pi) % (2 * math.pi) - math.pi
+
+
+def _reversals(line: _Line, window: float, threshold: float, look: int = 2048) -> list[tuple[float, float, str]]:
+    """(arc, turn, kind) of corners and folds along a line, ``look`` places at a time."""
+    found, step = [], max(window / 8, 0.25)
+    at, end = step, line.total - window
+    while line.total > 2 * window and at < end:
+        places = at + step * np.arange(look)
+        places = places[places < end]
+        corner = _turned(line.heading(places + window), line.heading(places - window))
+        hit = np.abs(corner) >= threshold
+        reached = places[:, None] + _FOLD_ARCS
+        back = line.at(reached.ravel()).reshape(*reached.shape, 2) - line.at(places)[:, None]
+        turn = _turned(line.heading(reached.ravel()).reshape(reached.shape), line.heading(places)[:, None])
+        folds = (reached <= line.total) & (np.hypot(back[..., 0], back[..., 1]) < _FOLD_GAP) & (np.abs(turn) > math.pi / 2)
+        some = np.flatnonzero(hit | folds.any(axis=1))
+        if not len(some):
+            at += step * len(places)
+            continue
+        k = int(some[0])
+        if hit[k]:
+            first = max(0.0, places[k] - window)
+            probes = first + _PROBE * np.arange(int((min(line.total, places[k] + window) - first) / _PROBE + 1e-9) + 1)
+            change = np.abs(_turned(line.heading(probes + _PROBE), line.heading(probes - _PROBE)))
+            pivot = float(probes[int(change.argmax())])
+            found.append((pivot, float(corner[k]), "corner"))
+            at = pivot + 4 * window
+        else:
+            j = int(folds[k].argmax())
+            pivot = float(places[k] + _FOLD_ARCS[j] / 2)
+            found.append((pivot, float(turn[k, j]), "fold"))
+            at = pivot + window
+    return found
 
 
 def turns(track: DataFrame, window: float, degrees: float, path: str = "path_id") -> DataFrame:
-    """GRP-09: (path, arc, turn) of each vertex where the direction over ``window`` metres before and after changes by ``degrees`` or more; a hit hides the next ``window`` metres."""
+    """GRP-09: (path, arc, turn, x, y, kind) where a path reverses.
+
+    Along the arc, every eighth of ``window`` (a quarter metre at least), the directions ``window`` before
+    and after are compared; where they differ by ``degrees`` or more there is a corner, at the sharpest change within the window, and
+    the next four windows behind it are passed over. Where they do not, a path that is back within half a metre after at most three, by
+    more than a right angle, is a fold, at its middle, and one window is passed over. A path of two windows or less has none.
+    """
     kind = track.schema[path].dataType.simpleString()
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("seq")
         p = rows[["x", "y"]].to_numpy(dtype=float)
-        arc = np.concatenate([[0.0], np.cumsum(np.hypot(*np.diff(p, axis=0).T))]) if len(p) > 1 else np.zeros(len(p))
-        found, free = [], -1.0
-        for i in range(1, len(p) - 1):
-            if arc[i] < free:
-                continue
-            s0, s1 = max(0.0, arc[i] - window), min(arc[-1], arc[i] + window)
-            a, b = (np.array([np.interp(s, arc, p[:, 0]), np.interp(s, arc, p[:, 1])]) for s in (s0, s1))
-            u, v = p[i] - a, b - p[i]
-            turn = math.atan2(u[0] * v[1] - u[1] * v[0], float(u @ v))
-            if abs(turn) >= math.radians(degrees):
-                found.append((rows[path].iloc[0], float(arc[i]), turn))
-                free = arc[i] + window
-        return pd.DataFrame(found, columns=[path, "arc", "turn"])
-
-    return track.groupBy(path).applyInPandas(run, f"{path} {kind}, arc double, turn double")
+        found = []
+        if len(p) > 1:
+            line = _Line(p)
+            told = _reversals(line, window, math.radians(degrees))
+            where = line.at(np.array([s for s, _, _ in told])) if told else []
+            found = [(rows[path].iloc[0], s, turn, float(x), float(y), what) for (s, turn, what), (x, y) in zip(told, where, strict=True)]
+        return pd.DataFrame(found, columns=[path, "arc", "turn", "x", "y", "kind"])
+
+    return track.groupBy(path).applyInPandas(run, f"{path} {kind}, arc double, turn double, x double, y double, kind string")
 
 
 def stitched_rings(fragments: DataFrame, relation: str) -> DataFrame:

@@ -95,7 +95,7 @@ def grp_06_sub_path(track: DataFrame) -> DataFrame:
 
 @query("track")
 def grp_07_simplify(track: DataFrame) -> DataFrame:
-    return G.simplify(track, 15.0, 16, 60.0).select("path_id", "seq")
+    return G.simplify(track, 15.0, 160.0, 0.5).select("path_id", "seq")
 
 
 @query("track")
@@ -105,7 +105,7 @@ def grp_08_remove_spikes(track: DataFrame) -> DataFrame:
 
 @query("track")
 def grp_09_turns(track: DataFrame) -> DataFrame:
-    return G.turns(track, 40.0, 60.0).select("path_id", r4("arc").alias("arc"), r6("turn").alias("turn"))
+    return G.turns(track, 40.0, 60.0).select("path_id", r4("arc").alias("arc"), r6("turn").alias("turn"), "kind")
 
 
 @query("polys")
