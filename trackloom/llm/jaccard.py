@@ -324,10 +324,14 @@ def _parts(block: int) -> F.Column:
     return F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / 1_000_000)).cast("long")
 
 
+def _counted(regions: DataFrame, block: int) -> DataFrame:
+    """``regions`` with the number of their parts, from a written table: a join with a grouping in its own stage could not be split for a large region."""
+    return regions.join(settle(regions.groupBy("pivot").agg(_parts(block).alias("parts")), "parts"), "pivot")
+
+
 def _sifted(regions: DataFrame, described: DataFrame, num: int, den: int, block: int) -> DataFrame:
     """Regions without the members that can link with no other of theirs; large ones stay as they are."""
-    counts = regions.groupBy("pivot").agg(_parts(block).alias("parts"))
-    members = regions.join(counts, "pivot")
+    members = _counted(regions, block)
     sketches = described.where("n > 0").groupBy("sid").agg(F.first("sketch").alias("sketch"))
 
     def sift(table: pa.Table) -> pa.Table:
@@ -340,8 +344,7 @@ def _sifted(regions: DataFrame, described: DataFrame, num: int, den: int, block:
 
 def _links(regions: DataFrame, docs: DataFrame, size: int, num: int, den: int, block: int, clashes: frozenset[int]) -> DataFrame:
     sets = _needed_sets(docs, size, regions, clashes)
-    parts = regions.groupBy("pivot").agg(_parts(block).alias("parts"))
-    members = regions.join(parts, "pivot").drop("n")
+    members = _counted(regions, block).drop("n")
     own = members.where("sid <> pivot").withColumn("part", F.pmod(F.xxhash64("sid", "pivot"), F.col("parts")))
     pivots = members.where("sid = pivot").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     dealt = own.unionByName(pivots).join(sets, "sid")
