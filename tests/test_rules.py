@@ -13,7 +13,10 @@ from trackloom.operators import geometry as G
 from trackloom.operators import joins as J
 from trackloom.operators import links as L
 from trackloom.operators import rasters as R
+from trackloom.operators import register as REG
 from trackloom.operators import windows as O
+from trackloom.operators.ranking import global_rank, merged_regions
+from trackloom.operators.search import coordinate_search
 from trackloom.sources import readers, writers
 
 
@@ -278,11 +281,114 @@ def test_regions_hold_points_by_their_corners(spark):
         J.points_in_regions(points, regions, most=3).collect()
 
 
-def test_fingerprints_do_not_depend_on_order(spark):
-    rows = [(x, y, float(x * y)) for x in range(9) for y in range(9)]
-    schema = "cx long, cy long, value double"
-    one, two, three = (R.layer_fingerprint(spark.createDataFrame(r, schema).repartition(n), 4).first()[0] for r, n in ((rows, 1), (rows[::-1], 5), ([*rows[:-1], (8, 8, 1.0)], 2)))
-    assert one == two != three
+def told(spark, register, layers, made, sources):
+    return {r.derived: r.status for r in REG.verified(register, REG.derived_entries(REG.layer_fingerprints(layers), made, sources)).collect()}
+
+
+def test_a_register_tells_what_is_stale(spark):
+    schema = "layer string, cx long, cy long, value double"
+    rows = [(layer, x, y, float(x * y + (layer == "b"))) for layer in "ab" for x in range(9) for y in range(9)]
+    layers = spark.createDataFrame(rows, schema)
+    sums = REG.chunk_sums(layers, 4)
+    made = spark.createDataFrame([("d", "p=1", 1), ("e", "p=1", 1)], "derived string, params string, version int")
+    sources = spark.createDataFrame([("d", "a"), ("d", "b"), ("e", "b"), ("e", "gone")], "derived string, layer string")
+    register = REG.derived_entries(REG.layer_fingerprints(sums), made, sources)
+    again = REG.chunk_sums(spark.createDataFrame(rows[::-1], schema).repartition(5), 4)
+    assert told(spark, register, again, made, sources) == {"d": "valid", "e": "valid"}
+    one, other = spark.createDataFrame([rows[5]], schema), spark.createDataFrame([(*rows[5][:3], 99.0)], schema)
+    changed = REG.changed_sums(sums, one, other, 4)
+    assert told(spark, register, changed, made, sources) == {"d": "inputs", "e": "valid"}
+    assert told(spark, register, REG.changed_sums(changed, other, one, 4), made, sources) == {"d": "valid", "e": "valid"}
+    assert sorted(map(tuple, changed.collect())) == sorted(map(tuple, REG.chunk_sums(spark.createDataFrame([*rows[:5], (*rows[5][:3], 99.0), *rows[6:]], schema), 4).collect()))
+    assert told(spark, register, sums, made.withColumn("params", F.lit("p=2")), sources) == {"d": "parameters", "e": "parameters"}
+    assert told(spark, register, sums, made.withColumn("version", F.lit(2)), sources) == {"d": "version", "e": "version"}
+    assert told(spark, register.where("derived = 'd'"), sums, made, sources) == {"d": "valid", "e": "unregistered"}
+    assert told(spark, register, REG.changed_sums(sums, layers.where("layer = 'b'"), layers.limit(0), 4), made, sources) == {"d": "inputs", "e": "inputs"}
+
+
+def plain_search(point, bounds, loss, first, least, most):
+    names, at, tried = list(bounds), dict(point), 1
+    steps = {n: (h - lo) * first for n, (lo, h) in bounds.items()}
+    best = loss(at)
+    while tried < most:
+        moves = [{**at, n: at[n] + sign * steps[n]} for n in names for sign in (1, -1)]
+        moves = [m for m in moves if all(lo <= m[n] <= h for n, (lo, h) in bounds.items())]
+        tried += len(moves)
+        found = min(((loss(m), k, m) for k, m in enumerate(moves)), key=lambda x: x[:2], default=(math.inf, 0, None))
+        if found[0] < best - 2.0**-52:
+            best, at = found[0], found[2]
+            continue
+        if not any(steps[n] > (h - lo) * least for n, (lo, h) in bounds.items()):
+            break
+        steps = {n: s / 2 if s > (bounds[n][1] - bounds[n][0]) * least else s for n, s in steps.items()}
+    return at, best, tried
+
+
+@pytest.mark.parametrize("most", [400, 23])
+def test_search_along_coordinates(spark, most):
+    bounds = {"a": (0.0, 4.0), "b": (-3.0, 3.0), "c": (1.0, 2.0)}
+    groups = {k: (0.3 * k, 1.0 - 0.7 * k, 1.1 + 0.2 * k) for k in range(5)}
+    start = spark.createDataFrame([(k, 2.0, 0.0, 1.5) for k in groups], "k int, a double, b double, c double")
+    goals = spark.createDataFrame([(k, *g) for k, g in groups.items()], "k int, ga double, gb double, gc double")
+
+    def score(asked):
+        parts = [F.col(n) - F.col(f"g{n}") for n in "abc"]
+        return asked.join(goals, "k").select("k", "candidate", (parts[0] * parts[0] + 2 * parts[1] * parts[1] + parts[2] * parts[2] + parts[0] * parts[1]).alias("loss"))
+
+    got = {r.k: r for r in coordinate_search(start, "k", bounds, score, most=most).collect()}
+    for k, g in groups.items():
+        def loss(p, g=g):
+            u, v, w = p["a"] - g[0], p["b"] - g[1], p["c"] - g[2]
+            return u * u + 2 * v * v + w * w + u * v
+
+        at, best, tried = plain_search({"a": 2.0, "b": 0.0, "c": 1.5}, bounds, loss, 0.15, 0.01, most)
+        assert got[k].evaluations == tried and got[k].loss == pytest.approx(best, abs=1e-12) and all(got[k][n] == pytest.approx(at[n]) for n in bounds)
+
+
+def test_sweep_fills_holes_at_edges_and_corners(spark):
+    rng = random.Random(9)
+    for density in (0.0, 0.2, 0.9):
+        width, height = 7, 6
+        grid = [[float(x + 10 * y) if rng.random() < density else rng.choice([None, math.nan]) for x in range(width)] for y in range(height)]
+        got = {(r.cx, r.cy): r.value for r in R.swept(spark.createDataFrame([(x, y, grid[y][x]) for x in range(width) for y in range(height)], "cx long, cy long, value double").repartition(3)).collect()}
+        known = [v for row in grid for v in row if v is not None and v == v]
+        filled = [[v if v is not None and v == v else None for v in row] for row in grid]
+        for y in range(height):
+            for x in range(width):
+                if filled[y][x] is None:
+                    filled[y][x] = filled[y][x - 1] if x else filled[y - 1][x] if y else (known[0] if known else 0.0)
+        assert got == {(x, y): filled[y][x] for x in range(width) for y in range(height)}
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_ranks_by_ranges(spark, parts):
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        rng = random.Random(2)
+        rows = [(rng.choice(["a", "b", None]), rng.randrange(50), i) for i in range(400)]
+        df = spark.createDataFrame(rows, "g string, v int, i int").repartition(5)
+        ranked = global_rank(df, [F.desc("v"), F.col("i")])
+        assert "SinglePartition" not in ranked._jdf.queryExecution().toString()
+        assert [r.i for r in sorted(ranked.collect(), key=lambda r: r["rank"])] == [i for _, v, i in sorted(rows, key=lambda r: (-r[1], r[2]))]
+        grouped = global_rank(df, [F.col("v"), F.col("i")], "n", within="g").collect()
+        for g in ("a", "b", None):
+            own = sorted((r for r in rows if r[0] == g), key=lambda r: r[1:])
+            assert [(r.n, r.i) for r in sorted((r for r in grouped if r.g == g), key=lambda r: r.n)] == [(k + 1, r[2]) for k, r in enumerate(own)]
+        assert global_rank(df.limit(0), [F.col("v")]).count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_references_follow_their_outlines(spark):
+    features = spark.createDataFrame([("m", 1, 0), ("m", 2, 2), ("m", 3, 1)], "set string, tag int, geom_ref long")
+    outlines = spark.createDataFrame([("m", 0, "o0"), ("m", 1, "o1"), ("m", 2, "o2")], "set string, ref long, shape string")
+    fresh = spark.createDataFrame([("m", 2, 70), ("m", 9, 5), ("n", 1, 4)], "set string, tag int, geom_ref long")
+    drawn = spark.createDataFrame([("m", 5, "n5"), ("m", 70, "n70"), ("m", 30, "n30"), ("n", 4, "n4")], "set string, ref long, shape string")
+    one, two = merged_regions(features, outlines, fresh, drawn)
+    assert sorted(map(tuple, two.collect())) == [("m", 0, "o0"), ("m", 1, "o1"), ("m", 2, "o2"), ("m", 3, "n5"), ("m", 4, "n30"), ("m", 5, "n70"), ("n", 0, "n4")]
+    assert sorted(map(tuple, one.collect())) == [("m", 1, 0), ("m", 2, 5), ("m", 3, 1), ("m", 9, 3), ("n", 1, 0)]
+    with pytest.raises(Exception, match="no outline 6"):
+        merged_regions(features, outlines, fresh.withColumn("geom_ref", F.lit(6).cast("long")), drawn)[0].collect()
 
 
 @pytest.mark.parametrize("width", [0.5, 7.0, 1e9])

@@ -82,6 +82,23 @@ def dilated(cells: DataFrame, radius: int) -> DataFrame:
     return grown.join(cells.select("cx", "cy"), ["cx", "cy"], "left_semi")
 
 
+def swept(cells: DataFrame, first_column: int = 0) -> DataFrame:
+    """GRP-15, directional form: a cell without a value takes that of its left neighbour, one in the first column that of the one above, and the first of all the first value that there is, or 0.
+
+    Neighbours are filled before what lies behind them, so along a row the last value carries on, and a row
+    that begins without one begins with what its first column has carried down: one scan of each row and one of the
+    first column. ``cells(cx, cy, value)`` has a row for each cell; null and NaN are no values.
+    """
+    value = F.when(~F.isnan("value"), F.col("value").cast("double"))
+    rows = cells.select("cx", "cy", value.alias("value"))
+    told = rows.agg(F.min_by("value", F.when(F.col("value").isNotNull(), F.struct("cy", "cx"))).alias("_first"))
+    down = F.last("value", ignorenulls=True).over(W.partitionBy("cx").orderBy("cy").rowsBetween(W.unboundedPreceding, W.currentRow))
+    column = rows.where(F.col("cx") == first_column).select("cy", down.alias("_down"))
+    along = F.last("value", ignorenulls=True).over(W.partitionBy("cy").orderBy("cx").rowsBetween(W.unboundedPreceding, W.currentRow))
+    met = rows.withColumn("_along", along).join(column, "cy", "left").crossJoin(F.broadcast(told))
+    return met.select("cx", "cy", F.coalesce("_along", "_down", "_first", F.lit(0.0)).alias("value"))
+
+
 def inpainted(cells: DataFrame, most_rounds: int | None = None) -> DataFrame:
     """GRP-15: cells without a value take the mean of their valid neighbours, ring by ring until nothing changes; what is never reached becomes 0.
 
@@ -289,14 +306,6 @@ def local_variance(points: DataFrame, cells: DataFrame, keys: list[str], half: i
     return met.groupBy(*keys).agg(F.when(F.count("value") >= 4, F.var_pop("value")).otherwise(math.inf).alias("variance"))
 
 
-def layer_fingerprint(cells: DataFrame, chunk: int) -> DataFrame:
-    """AGG-37: one hash of a layer's content, whatever the order of its rows: hashes of cells summed for each chunk, and hashes of chunks summed for the layer."""
-    total = "decimal(38,0)"
-    rows = cells.groupBy(F.floor(F.col("cx") / chunk).alias("kx"), F.floor(F.col("cy") / chunk).alias("ky")).agg(F.sum(F.xxhash64("cx", "cy", "value").cast(total)).alias("crc"))
-    layer = rows.agg(F.sum(F.xxhash64("kx", "ky", F.col("crc").cast("string")).cast(total)).alias("sum"), F.count("*").alias("chunks"))
-    return layer.select(F.xxhash64(F.col("sum").cast("string"), "chunks").alias("fingerprint"))
-
-
 def forbidden_ratio(cells: DataFrame, keys: list[str], blocked: str = "blocked") -> DataFrame:
     """AGG-25: share of blocked cells of each group, or of all."""
     return cells.groupBy(*keys).agg(F.coalesce(F.avg(F.col(blocked).cast("int")), F.lit(0.0)).alias("forbidden_ratio"))

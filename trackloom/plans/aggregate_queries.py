@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from trackloom.operators import aggregates as A
 from trackloom.operators import predicates as P
 from trackloom.operators import windows as O
+from trackloom.operators.ranking import global_rank
 from trackloom.plans.registry import q4, q6, query, r4, r6
 
 _SUMMARY = "count(*) AS n, " + ", ".join(f"{q6(e)} AS {n}" for e, n in (("avg({v})", "mean"), ("stddev_pop({v})", "std"), ("min({v})", "min"), ("quantile_cont({v}, 0.05)", "p05"), ("quantile_cont({v}, 0.5)", "p50"), ("quantile_cont({v}, 0.95)", "p95"), ("max({v})", "max")))
@@ -255,7 +256,7 @@ def srt_03_page(samples: DataFrame) -> DataFrame:
 @query("polys", "SELECT region_id, CAST(rank() OVER (ORDER BY CASE WHEN triangle = 1 THEN side * side / 2 ELSE side * side END DESC, region_id) AS INTEGER) AS paint FROM polys")
 def srt_04_largest_first(polys: DataFrame) -> DataFrame:
     area = F.when(F.col("triangle") == 1, F.col("side") * F.col("side") / 2).otherwise(F.col("side") * F.col("side"))
-    return polys.select("region_id", F.rank().over(W.orderBy(area.desc(), "region_id")).alias("paint"))
+    return global_rank(polys.select("region_id", area.alias("area")), [F.desc("area"), F.col("region_id")], "paint").select("region_id", F.col("paint").cast("int").alias("paint"))
 
 
 @query("part", f", s AS (SELECT p_brand, p_partkey, pow((p_size - 20) / 10.0, 2) + pow((p_retailprice - 1000) / 100, 2) AS loss FROM part) SELECT p_brand, arg_min(p_partkey, (loss, p_partkey)) AS best, {q6('min(loss)')} AS loss FROM s GROUP BY p_brand")

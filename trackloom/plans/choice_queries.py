@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.operators import choice as C
-from trackloom.plans.registry import q6, query, r6
+from trackloom.operators.search import coordinate_search
+from trackloom.plans.registry import q4, q6, query, r4, r6
 
 _ROUTES = ", r AS (SELECT path_id // 20 AS od, path_id AS route, seq, floor(x / 25) * 25 AS x, floor(y / 25) * 25 AS y FROM track)"
 _LEGS = _ROUTES + """
@@ -56,3 +57,31 @@ def grp_27_distinct_routes(track: DataFrame) -> DataFrame:
 def jon_22_best_of_group(candidates: DataFrame) -> DataFrame:
     best = candidates.groupBy("od").agg(F.min(F.struct("cost_equiv_m", "idx")).alias("m"))
     return best.select("od", F.col("m.idx").cast("long").alias("best"), r6(F.col("m.cost_equiv_m")).alias("cost"))
+
+
+_LOSS = "(sxx - 2 * {x} * sx + n * {x} * {x}) / n / 100 + (syy - 2 * {y} * sy + n * {y} * {y}) / n / 10000"
+_PICK = "arg_min(struct_pack(x := cx, y := cy, loss := cl), (cl, c)) FILTER (cx BETWEEN 1 AND 50 AND cy BETWEEN 900 AND 2100)"
+
+
+@query("part", f"""
+, s AS (SELECT p_brand, count(*) AS n, sum(p_size) AS sx, sum(p_size * p_size) AS sxx, sum(p_retailprice) AS sy, sum(p_retailprice * p_retailprice) AS syy FROM part GROUP BY p_brand),
+r(p_brand, k, x, y, loss, hx, hy, tried, done) AS (
+SELECT p_brand, 0, 25e0, 1500e0, {_LOSS.format(x='25e0', y='1500e0')}, 49 * 0.15::DOUBLE, 1200 * 0.15::DOUBLE, 1, false FROM s
+UNION ALL SELECT p_brand, any_value(k) + 1, CASE WHEN any_value(loss) - 2e-16 > {_PICK}.loss THEN {_PICK}.x ELSE any_value(x) END, CASE WHEN any_value(loss) - 2e-16 > {_PICK}.loss THEN {_PICK}.y ELSE any_value(y) END,
+least(any_value(loss), CASE WHEN any_value(loss) - 2e-16 > {_PICK}.loss THEN {_PICK}.loss ELSE any_value(loss) END),
+CASE WHEN NOT any_value(loss) - 2e-16 > {_PICK}.loss AND any_value(hx) > 0.49::DOUBLE THEN any_value(hx) / 2 ELSE any_value(hx) END, CASE WHEN NOT any_value(loss) - 2e-16 > {_PICK}.loss AND any_value(hy) > 12::DOUBLE THEN any_value(hy) / 2 ELSE any_value(hy) END,
+any_value(tried) + count(*) FILTER (cx BETWEEN 1 AND 50 AND cy BETWEEN 900 AND 2100), any_value(tried) + count(*) FILTER (cx BETWEEN 1 AND 50 AND cy BETWEEN 900 AND 2100) >= 400 OR (NOT any_value(loss) - 2e-16 > {_PICK}.loss AND NOT (any_value(hx) > 0.49::DOUBLE OR any_value(hy) > 12::DOUBLE))
+FROM (SELECT r.*, c, x + CASE c WHEN 0 THEN hx WHEN 1 THEN -hx ELSE 0 END AS cx, y + CASE c WHEN 2 THEN hy WHEN 3 THEN -hy ELSE 0 END AS cy, {_LOSS.format(x='(x + CASE c WHEN 0 THEN hx WHEN 1 THEN -hx ELSE 0 END)', y='(y + CASE c WHEN 2 THEN hy WHEN 3 THEN -hy ELSE 0 END)')} AS cl FROM r JOIN s USING (p_brand), (SELECT unnest([0, 1, 2, 3]) AS c) WHERE NOT done) GROUP BY p_brand)
+SELECT p_brand, {q4('arg_max(x, k)')} AS size, {q4('arg_max(y, k)')} AS price, {q4('arg_max(loss, k)')} AS loss FROM r GROUP BY p_brand""")
+def jon_22_coordinate_search(part: DataFrame) -> DataFrame:
+    """For each brand the size and price with the least mean squared distance to its parts."""
+    sums = part.groupBy("p_brand").agg(F.count("*").alias("n"), *[F.sum(F.col(a) * F.col(b)).alias(c) for a, b, c in (("p_size", "p_size", "sxx"), ("p_retailprice", "p_retailprice", "syy"))], F.sum("p_size").alias("sx"), F.sum("p_retailprice").alias("sy"))
+
+    def score(candidates: DataFrame) -> DataFrame:
+        n, x, y = F.col("n"), F.col("size"), F.col("price")
+        loss = (F.col("sxx") - 2 * x * F.col("sx") + n * x * x) / n / 100 + (F.col("syy") - 2 * y * F.col("sy") + n * y * y) / n / 10000
+        return candidates.join(sums, "p_brand").select("p_brand", "candidate", loss.alias("loss"))
+
+    start = sums.select("p_brand", F.lit(25.0).alias("size"), F.lit(1500.0).alias("price"))
+    got = coordinate_search(start, "p_brand", {"size": (1.0, 50.0), "price": (900.0, 2100.0)}, score)
+    return got.select("p_brand", *[r4(c).alias(c) for c in ("size", "price", "loss")])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from trackloom.operators import joins as J
 from trackloom.operators import predicates as P
 from trackloom.operators import windows as O
+from trackloom.operators.ranking import merged_regions
 from trackloom.plans.registry import q4, q6, query, r4, r6
 
 _SIDES = ", t AS (SELECT run_id, time_s, event_id AS truth_id, speed AS truth_speed FROM samples WHERE NOT standing AND event_id % 2 = 0), q AS (SELECT run_id, time_s, event_id, speed FROM samples WHERE event_id % 3 = 0)"
@@ -183,6 +184,22 @@ def jon_24_upsert(orders: DataFrame) -> DataFrame:
     return J.upsert(old, new, ["o_orderkey"])
 
 
+@query("polys", """
+, o AS (SELECT region_id % 5 AS "set", row_number() OVER (PARTITION BY region_id % 5 ORDER BY region_id) - 1 AS ref, region_id AS tag, x0 FROM polys),
+i AS (SELECT region_id % 5 AS "set", region_id * 10 + k * 3 AS old_ref, region_id + CASE WHEN region_id % 2 = 0 THEN 0 ELSE 1000 END AS tag, k, y0 FROM polys, (SELECT unnest([0, 1]) AS k) WHERE region_id % 3 = 0),
+n AS (SELECT i.*, coalesce(h.last + 1, 0) + row_number() OVER (PARTITION BY i."set" ORDER BY old_ref) - 1 AS ref FROM i LEFT JOIN (SELECT "set", max(ref) AS last FROM o GROUP BY 1) h ON h."set" = i."set")
+SELECT "set", tag, ref AS geom_ref, x0 AS corner FROM o WHERE ("set", tag) NOT IN (SELECT "set", tag FROM n) UNION ALL SELECT "set", tag, ref, y0 FROM n WHERE k = 1""")
+def jon_24_merged_regions(polys: DataFrame) -> DataFrame:
+    """Every third region comes anew with two outlines and names the second; half of them under tags of their own. Each feature with the corner of the outline that it names."""
+    of_set = (F.col("region_id") % 5).alias("set")
+    place = F.row_number().over(W.partitionBy(F.col("region_id") % 5).orderBy("region_id")).cast("long") - 1
+    held = polys.select(of_set, place.alias("ref"), F.col("region_id").alias("tag"), F.col("x0").alias("corner"))
+    fresh = polys.where("region_id % 3 = 0").withColumn("k", F.explode(F.array(F.lit(0), F.lit(1))))
+    fresh = fresh.select(of_set, (F.col("region_id") * 10 + F.col("k") * 3).alias("ref"), F.when(F.col("region_id") % 2 == 0, F.col("region_id")).otherwise(F.col("region_id") + 1000).alias("tag"), "k", F.col("y0").alias("corner"))
+    features, outlines = merged_regions(held.select("set", "tag", F.col("ref").alias("geom_ref")), held.select("set", "ref", "corner"), fresh.where("k = 1").select("set", "tag", F.col("ref").alias("geom_ref")), fresh.select("set", "ref", "corner"))
+    return features.join(outlines.withColumnRenamed("ref", "geom_ref"), ["set", "geom_ref"]).select("set", "tag", "geom_ref", "corner")
+
+
 @query("samples", _SIDES + f"""
 , p AS (SELECT q.event_id, min((abs(t.time_s - q.time_s), -t.time_s, -t.truth_id)) AS m FROM q JOIN t USING (run_id) GROUP BY q.event_id)
 SELECT event_id, {q6('m[1]')} AS gap FROM p WHERE m[1] <= 50000""")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from trackloom.operators import predicates as P
 from trackloom.operators import rasters as R
+from trackloom.operators import register as REG
 from trackloom.operators.geometry import segments
 from trackloom.plans.registry import job, q4, q6, query, r4, r6
 from trackloom.sources import chunks as C
@@ -94,9 +95,46 @@ def agg_33_local_variance(track: DataFrame, cells: DataFrame) -> DataFrame:
     return got.select("path_id", "seq", r6(F.when(F.col("variance") < math.inf, F.col("variance"))).alias("variance"))
 
 
-@query("cells")
+def _layers(cells: DataFrame) -> DataFrame:
+    return cells.select((F.col("cy") % 8).alias("layer"), "cx", "cy", "value")
+
+
+@query("cells", """
+, d AS (SELECT k, k % 8 AS a, (k + 1) % 8 AS b FROM (SELECT unnest(range(12)) AS k)), c AS (SELECT DISTINCT cy % 8 AS layer FROM cells WHERE cy % 8 = 3 AND cx = 5 AND value <> value * 2 + 1)
+SELECT k AS derived, CASE WHEN k = 11 THEN 'unregistered' WHEN k = 7 THEN 'version' WHEN a IN (SELECT layer FROM c) OR b IN (SELECT layer FROM c) THEN 'inputs' WHEN k IN (6, 8) THEN 'parameters' ELSE 'valid' END AS status FROM d""")
+def agg_37_staleness(cells: DataFrame) -> DataFrame:
+    """Derived layers of two each: some cells of one layer have changed, all of another are written again as they were; the sums follow the changes alone."""
+    spark, layers = cells.sparkSession, _layers(cells)
+    made = spark.range(12).select(F.col("id").alias("derived"), F.lit("p").alias("params"), F.lit(1).alias("version"))
+    sources = made.select("derived", F.explode(F.array(F.col("derived") % 8, (F.col("derived") + 1) % 8)).alias("layer"))
+    sums = REG.chunk_sums(layers, 16)
+    register = REG.derived_entries(REG.layer_fingerprints(sums), made.where("derived <> 11"), sources)
+    hit = layers.where("layer = 3 and cx = 5")
+    again = layers.where("layer = 5").orderBy(F.desc("cx"), "cy")
+    removed, added = hit.unionByName(layers.where("layer = 5")), hit.withColumn("value", F.col("value") * 2 + 1).unionByName(again)
+    now = REG.changed_sums(sums, removed, added, 16)
+    today = made.withColumn("params", F.when(F.col("derived").isin(6, 8), "q").otherwise(F.col("params"))).withColumn("version", F.when(F.col("derived") == 7, 2).otherwise(F.col("version")))
+    return REG.verified(register, REG.derived_entries(REG.layer_fingerprints(now), today, sources))
+
+
+@query("cells", "SELECT cy % 8 AS layer, count(*) AS cells FROM cells GROUP BY 1")
 def agg_37_fingerprint(cells: DataFrame) -> DataFrame:
-    return R.layer_fingerprint(cells, 16)
+    """Layers whose fingerprint is the same from all their cells and from them in two lots."""
+    layers = _layers(cells)
+    whole = REG.layer_fingerprints(REG.chunk_sums(layers, 16))
+    odd = layers.where("cx % 2 = 1")
+    lots = REG.layer_fingerprints(REG.changed_sums(REG.chunk_sums(layers.where("cx % 2 = 0"), 16), odd.limit(0), odd, 16))
+    return whole.join(lots, ["layer", "fingerprint"], "left_semi").join(layers.groupBy("layer").agg(F.count("*").alias("cells")), "layer").select("layer", "cells")
+
+
+@query("cells", f"""
+, h AS (SELECT cx, cy, CASE WHEN NOT blocked AND (cx > 3 OR cy % 5 = 2) AND cy % 7 <> 6 THEN value END AS value FROM cells), o AS (SELECT arg_min(value, (cy, cx)) FILTER (value IS NOT NULL) AS one FROM h),
+z AS (SELECT cy, last_value(value IGNORE NULLS) OVER (ORDER BY cy ROWS UNBOUNDED PRECEDING) AS down FROM h WHERE cx = 0)
+SELECT h.cx, h.cy, {q6('coalesce(last_value(value IGNORE NULLS) OVER (PARTITION BY h.cy ORDER BY h.cx ROWS UNBOUNDED PRECEDING), down, one, 0)')} AS value FROM h JOIN z ON z.cy = h.cy, o""")
+def grp_15_swept(cells: DataFrame) -> DataFrame:
+    """Holes at blocked cells, in whole rows, and in most of the first columns."""
+    kept = ~F.col("blocked") & ((F.col("cx") > 3) | (F.col("cy") % 5 == 2)) & (F.col("cy") % 7 != 6)
+    return R.swept(cells.select("cx", "cy", F.when(kept, F.col("value")).alias("value"))).select("cx", "cy", r6("value").alias("value"))
 
 
 @query("cells", f"SELECT c.cy, CAST(c.cx AS BIGINT) AS cx, {q6('max(o.value)')} AS value FROM cells c JOIN cells o ON pow(o.cx - c.cx, 2) + pow(o.cy - c.cy, 2) <= 4 AND o.cx BETWEEN c.cx - 2 AND c.cx + 2 AND o.cy BETWEEN c.cy - 2 AND c.cy + 2 GROUP BY c.cy, c.cx")
