@@ -14,6 +14,7 @@ from trackloom.operators import joins as J
 from trackloom.operators import links as L
 from trackloom.operators import rasters as R
 from trackloom.operators import register as REG
+from trackloom.operators import signal as Z
 from trackloom.operators import windows as O
 from trackloom.operators.ranking import global_rank, merged_regions
 from trackloom.operators.search import coordinate_search
@@ -458,6 +459,60 @@ def test_quantiles_by_selection(spark, parts):
     assert A.distribution(df.limit(0), [], "v", parts).first().n == 0 and not A.distribution(df.limit(0), ["k"], "v", parts).count()
 
 
+def test_large_groups_by_selection_and_small_ones_at_once(spark):
+    rng = random.Random(15)
+    rows = [(k, rng.choice([rng.randrange(9) / 4, rng.gauss(0, 50)])) for k, n in (("a", 90), ("b", 7), (None, 60), (None, 3)) for _ in range(n)] + [("c", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(4)
+    for keys in (["k"], []):
+        want, got = ({tuple(r[c] for c in keys): r for r in A.distribution(df, keys, "v", **how).collect()} for how in ({}, {"parts": 5, "held": 20}))
+        assert want.keys() == got.keys()
+        assert all(math.isclose(got[key][c], row[c], abs_tol=1e-9) for key, row in want.items() for c in ("n", "mean", "std", "min", "p05", "p50", "p95", "max"))
+
+
+def test_spectra_of_long_and_short_series(spark):
+    rng = np.random.default_rng(4)
+    series = {name: rng.normal(size=n) for name, n in (("a", 300), ("b", 2), ("c", 1), ("d", 64), (None, 130), ("e", 65))}
+    df = spark.createDataFrame([(name, i, float(v)) for name, values in series.items() for i, v in enumerate(values)], "s string, i long, v double").repartition(5)
+    found = {}
+    for rows in (1 << 16, 64):
+        for r in Z.spectrum(df, "s", "i", "v", 100.0, rows).collect():
+            found.setdefault((rows, r.s), {})[r.bin] = (r.frequency_hz, r.magnitude)
+    for name, values in series.items():
+        n = len(values)
+        if n < 2:
+            assert (64, name) not in found and (1 << 16, name) not in found
+            continue
+        size = 1 << (n - 1).bit_length()
+        window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)
+        want = np.abs(np.fft.rfft(values * window, size)) * 2 / window.sum()
+        for rows in (1 << 16, 64):
+            got = found[rows, name]
+            assert sorted(got) == list(range(size // 2 + 1))
+            assert np.allclose([got[k][1] for k in sorted(got)], want) and np.allclose([got[k][0] for k in sorted(got)], np.arange(size // 2 + 1) * 100.0 / size)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_regions_of_many_shapes_by_trying_all(spark, seed):
+    rng = random.Random(seed)
+    rings = []
+    for k in range(30):
+        cx, cy, n = rng.uniform(-60, 60), rng.uniform(-60, 60), rng.randrange(3, 9)
+        rings.append((k, [(cx + rng.uniform(2, 40) * math.cos(2 * math.pi * i / n), cy + rng.uniform(2, 40) * math.sin(2 * math.pi * i / n)) for i in range(n)]))
+    points = [(i, rng.uniform(-90, 90), rng.uniform(-90, 90)) for i in range(400)] + [(900 + k, *rings[k][1][0]) for k in range(30)]
+
+    def holds(ring, x, y):
+        odd = False
+        for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1]):
+            if (ay > y) != (by > y) and x < (bx - ax) * (y - ay) / (by - ay) + ax:
+                odd = not odd
+        return odd
+
+    shapes = spark.createDataFrame(rings, "region long, ring array<struct<x: double, y: double>>")
+    for size in (5.0, 30.0):
+        got = J.points_in_regions(spark.createDataFrame(points, "k long, x double, y double"), shapes, size=size)
+        assert sorted((r.k, r.region) for r in got.collect()) == sorted((i, k) for i, x, y in points for k, ring in rings if holds(ring, x, y))
+
+
 @pytest.mark.parametrize("block", [1, 5, 4096])
 def test_autocorrelation_in_blocks(spark, block):
     rng = random.Random(6)

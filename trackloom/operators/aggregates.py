@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from trackloom.sources.shared import settled
+
 
 def finite(value) -> Column:
     """PRJ-03"""
@@ -15,18 +18,32 @@ def finite(value) -> Column:
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < math.inf)
 
 
-def distribution(df: DataFrame, keys: list[str], value: str, parts: int = 0) -> DataFrame:
+def distribution(df: DataFrame, keys: list[str], value: str, parts: int = 0, held: int = 1_000_000) -> DataFrame:
     """AGG-01: count, mean, population std, min, p05, p50, p95, max by linear rank; no rows of a group or no keys and no rows give zeros.
 
-    A group's distinct values are held by one task, unless ``parts`` splits them (``exact_quantiles``).
+    A group's distinct values are held by one task, unless ``parts`` splits them (``exact_quantiles``). Only
+    groups of more than ``held`` values pay for that: a job counts them first, and the values of all others are
+    ordered as they are. Both ways give the same quantiles.
     """
     v, wanted = F.col(value), [0.05, 0.5, 0.95]
     plain = {"n": F.count(v), "mean": F.avg(v), "std": F.stddev_pop(v), "min": F.min(v), "max": F.max(v)}
-    if parts:
-        own = df.groupBy(*keys).agg(*[c.alias(n) for n, c in plain.items()]).withColumn("_k", F.struct(F.lit(0), *keys))
-        out = own.join(exact_quantiles(df.select(F.struct(F.lit(0), *keys).alias("_k"), v.alias("_v")), "_k", "_v", wanted, parts), "_k", "left")
+
+    def at_once(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*keys).agg(*[c.alias(n) for n, c in plain.items()], F.percentile(v, F.array(*map(F.lit, wanted))).alias("q"))
+
+    def selected(rows: DataFrame) -> DataFrame:
+        own = rows.groupBy(*keys).agg(*[c.alias(n) for n, c in plain.items()]).withColumn("_k", F.struct(F.lit(0), *keys))
+        return own.join(exact_quantiles(rows.select(F.struct(F.lit(0), *keys).alias("_k"), v.alias("_v")), "_k", "_v", wanted, parts), "_k", "left").drop("_k")
+
+    big = df.groupBy(*keys).agg(F.count(v).alias("_n")).where(F.col("_n") > held).select(*[F.col(k).alias(f"_big_{k}") for k in keys])
+    if not parts or big.limit(1).count() == 0:
+        out = at_once(df)
+    elif not keys:
+        out = selected(df)
     else:
-        out = df.groupBy(*keys).agg(*[c.alias(n) for n, c in plain.items()], F.percentile(v, F.array(*map(F.lit, wanted))).alias("q"))
+        big = settled(big, "large")
+        same = functools.reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_big_{k}")) for k in keys])
+        out = at_once(df.join(big, same, "left_anti")).unionByName(selected(df.join(big, same, "left_semi")))
     zero = F.lit(0.0)
     return out.select(*keys, "n", *[F.coalesce(c, zero).alias(n) for c, n in ((F.col("mean"), "mean"), (F.col("std"), "std"), (F.col("min"), "min"), (F.col("q")[0], "p05"), (F.col("q")[1], "p50"), (F.col("q")[2], "p95"), (F.col("max"), "max"))])
 

@@ -122,6 +122,8 @@ def points_in_boxes(points: DataFrame, boxes: DataFrame, size: float = 50.0) ->
 def points_in_regions(points: DataFrame, regions: DataFrame, ring: str = "ring", size: float = 50.0, most: int = 4_000_000) -> DataFrame:
     """JON-05: point rows with each region row whose polygon holds them: bucket, then box, then even-odd rule.
 
+    A bucket that no edge of a region comes near lies in it or beside it as a whole, which one of its
+    points tells once; only points in the other buckets are held against the edges.
     ``regions`` has a ring of corners (x, y). One over more than ``most`` buckets fails the query; one with
     fewer than three corners holds nothing.
     """
@@ -130,7 +132,22 @@ def points_in_regions(points: DataFrame, regions: DataFrame, ring: str = "ring",
     boxed = regions.where(F.size(ring) >= 3).withColumns({**box, "_edges": ring_edges(corners)})
     span = [F.floor(F.col(f"{c}_hi") / size) - F.floor(F.col(f"{c}_lo") / size) + 1 for c in "xy"]
     checked = boxed.withColumn("x_lo", F.when(span[0] * span[1] <= most, F.col("x_lo")).otherwise(F.raise_error(F.lit("a region covers too many buckets")).cast("double")))
-    return points_in_boxes(points, checked, size).where(in_edges("x", "y", F.col("_edges"))).drop(*box, "_edges")
+    spread = checked.withColumn("_bx", F.explode(_buckets(F.col("x_lo"), F.col("x_hi"), size))).withColumn("_by", F.explode(_buckets(F.col("y_lo"), F.col("y_hi"), size)))
+    crossed = F.exists("_edges", lambda e: _crosses(e, F.col("_bx") * size, F.col("_by") * size, size))
+    spread = spread.withColumn("_crossed", crossed).where(F.col("_crossed") | in_edges((F.col("_bx") + 0.5) * size, (F.col("_by") + 0.5) * size, F.col("_edges")))
+    spread = spread.withColumn("_edges", F.when(F.col("_crossed"), F.col("_edges")))
+    keyed = points.withColumn("_bx", F.floor(F.col("x") / size)).withColumn("_by", F.floor(F.col("y") / size))
+    met = keyed.join(spread, ["_bx", "_by"]).where(F.when(F.col("_crossed"), in_edges("x", "y", F.col("_edges"))).otherwise(F.lit(True)))
+    return met.drop(*box, "_edges", "_bx", "_by", "_crossed")
+
+
+def _crosses(edge: Column, x: Column, y: Column, size: float) -> Column:
+    """Whether an edge comes into a square, a little more than closed: their boxes meet, and its corners do not all lie on one side."""
+    slack = 1e-9 * size
+    x0, y0, x1, y1 = x - slack, y - slack, x + size + slack, y + size + slack
+    meet = (F.least(edge["ax"], edge["bx"]) <= x1) & (F.greatest(edge["ax"], edge["bx"]) >= x0) & (F.least(edge["ay"], edge["by"]) <= y1) & (F.greatest(edge["ay"], edge["by"]) >= y0)
+    sides = [(edge["bx"] - edge["ax"]) * (cy - edge["ay"]) - (edge["by"] - edge["ay"]) * (cx - edge["ax"]) for cx in (x0, x1) for cy in (y0, y1)]
+    return meet & ~((F.least(*sides) > 0) | (F.greatest(*sides) < 0))
 
 
 def near_cells(points: DataFrame, cells: DataFrame, resolution: float, radius: float) -> DataFrame:

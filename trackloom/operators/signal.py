@@ -6,10 +6,14 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from trackloom.sources.shared import settled
+
 
 def spectrum(df: DataFrame, series: str, idx: str, value: str, rate: float, segment_rows: int = 65_536) -> DataFrame:
     """GRP-01: (series, bin, frequency_hz, magnitude), one-sided, of each whole series.
@@ -17,10 +21,71 @@ def spectrum(df: DataFrame, series: str, idx: str, value: str, rate: float, segm
     A periodic Hann window over the real rows, zeros up to the next power of two, scaled by 2 over
     the window's sum. A transform of more than ``segment_rows`` (a power of two) is made in two
     steps: every R-th row from each start is transformed alone, then the R results at equal bins
-    with one another, so that no group grows with a recording. Series under two rows give nothing.
+    with one another, so that no group grows with a recording. Shorter series, which a job counts first, are
+    transformed one after another as they stand, sorted, in their partitions. Series under two rows give nothing.
     """
     if segment_rows & (segment_rows - 1):
         raise ValueError("segment_rows must be a power of two")
+    long = df.groupBy(series).agg(F.count("*").alias("_n")).where(F.col("_n") > segment_rows).select(F.col(series).alias("_long"))
+    if long.limit(1).count() == 0:
+        return _short_spectra(df, series, idx, value, rate)
+    long = settled(long, "long")
+    same = F.col(series).eqNullSafe(F.col("_long"))
+    return _short_spectra(df.join(long, same, "left_anti"), series, idx, value, rate).unionByName(_long_spectra(df.join(long, same, "left_semi"), series, idx, value, rate, segment_rows))
+
+
+def _short_spectra(df: DataFrame, series: str, idx: str, value: str, rate: float) -> DataFrame:
+    """Spectra of series that a task can hold, many in one pass."""
+    kind = df.schema[series].dataType.simpleString()
+    rows = df.select(F.col(series).alias("_s"), F.col(value).cast("double").alias("_v"), F.col(idx).alias("_i")).repartition("_s").sortWithinPartitions("_s", F.asc_nulls_last("_i")).select("_s", F.coalesce("_v", F.lit(math.nan)).alias("_v"))
+
+    def told(names: pa.Array, values: np.ndarray, cuts: np.ndarray) -> pa.RecordBatch:
+        at, bins, hertz, sizes = [], [], [], []
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            n = b - a
+            if n < 2:
+                continue
+            size = 1 << (n - 1).bit_length()
+            window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)
+            at.append(np.abs(np.fft.rfft(values[a:b] * window, size)) * 4 / n)  # the window's sum is n / 2
+            bins.append(np.arange(size // 2 + 1))
+            hertz.append(bins[-1] * rate / size)
+            sizes.append((a, size // 2 + 1))
+        if not at:
+            return pa.RecordBatch.from_arrays([names.slice(0, 0), pa.array([], pa.int64()), pa.array([], pa.float64()), pa.array([], pa.float64())], [series, "bin", "frequency_hz", "magnitude"])
+        first, counts = np.array(sizes).T
+        return pa.RecordBatch.from_arrays([names.take(pa.array(np.repeat(first, counts))), *[pa.array(np.concatenate(c)) for c in (bins, hertz, at)]], [series, "bin", "frequency_hz", "magnitude"])
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            table = pa.Table.from_batches(held).combine_chunks()
+            cuts = _changes(table)
+            if len(cuts) > 2:
+                yield told(table.column("_s").combine_chunks(), table.column("_v").to_numpy(), cuts[:-1])
+            held = table.slice(int(cuts[-2])).to_batches()  # the last series may go on
+        if held:
+            table = pa.Table.from_batches(held).combine_chunks()
+            yield told(table.column("_s").combine_chunks(), table.column("_v").to_numpy(), _changes(table))
+
+    return rows.mapInArrow(run, f"{series} {kind}, bin long, frequency_hz double, magnitude double")
+
+
+def _changes(table: pa.Table) -> np.ndarray:
+    """Where each series begins, and the end."""
+    names = table.column("_s").combine_chunks()
+    n = len(names)
+    if n < 2:
+        return np.array([0, n])
+    same = pc.equal(names.slice(0, n - 1), names.slice(1))
+    same = pc.or_(pc.fill_null(same, False), pc.and_(pc.is_null(names.slice(0, n - 1)), pc.is_null(names.slice(1))))
+    return np.concatenate([[0], np.flatnonzero(~same.to_numpy(zero_copy_only=False)) + 1, [n]])
+
+
+def _long_spectra(df: DataFrame, series: str, idx: str, value: str, rate: float, segment_rows: int) -> DataFrame:
     kind = df.schema[series].dataType.simpleString()
     rows = df.select(F.col(series).alias("_s"), F.col(idx).alias("_i"), F.col(value).cast("double").alias("_v"), F.floor(F.col(idx) / segment_rows).alias("_b"))
     w = W.partitionBy("_s").orderBy(F.asc_nulls_last("_b"))
