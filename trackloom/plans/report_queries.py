@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,6 +15,8 @@ from trackloom.operators import links as L
 from trackloom.operators import predicates as P
 from trackloom.operators import rasters as R
 from trackloom.operators import windows as O
+from trackloom.operators.report import run_report
+from trackloom.plans.geometry_queries import _LINES
 from trackloom.plans.registry import q4, q6, query, r4, r6
 
 
@@ -20,35 +24,47 @@ _RATIO = ", st AS (SELECT path_id AS run_id, seq, coalesce(sqrt(pow(x - lag(x) O
 _LAG = ", dn AS (SELECT run_id, CAST(row_number() OVER (PARTITION BY run_id ORDER BY time_s, event_id) AS BIGINT) AS i, speed - avg(speed) OVER (PARTITION BY run_id) AS v FROM samples), ac AS (SELECT a.run_id, sum(a.v * b.v) / any_value(z.s) AS acf_1 FROM dn a JOIN dn b ON b.run_id = a.run_id AND b.i = a.i + 1 JOIN (SELECT run_id, sum(v * v) AS s FROM dn GROUP BY run_id) z ON z.run_id = a.run_id GROUP BY a.run_id)"
 
 
-@query(("samples", "track"), _RATIO + _LAG + f"""
-, sp AS (SELECT run_id, count(*) AS n, avg(speed) AS mean, stddev_pop(speed) AS std, quantile_cont(speed, 0.95) AS p95 FROM samples WHERE NOT standing AND NOT turning AND speed >= 0.5 GROUP BY run_id),
-tu AS (SELECT run_id, stddev_pop(speed * kappa_eff) AS turn_std, avg(abs(kappa_eff)) AS curvature FROM samples WHERE NOT standing AND NOT turning GROUP BY run_id),
+_REPORT = _LINES + _RATIO + """
+, sp AS (SELECT run_id, count(*) AS speed_n, avg(speed) AS speed_mean, stddev_pop(speed) AS speed_std, quantile_cont(speed, 0.05) AS speed_p05, quantile_cont(speed, 0.5) AS speed_p50, quantile_cont(speed, 0.95) AS speed_p95 FROM samples WHERE NOT standing AND NOT turning AND speed >= 0.5 GROUP BY run_id),
+tu AS (SELECT run_id, avg(speed * kappa_eff) AS turn_mean, stddev_pop(speed * kappa_eff) AS turn_std, quantile_cont(speed * kappa_eff, 0.95) AS turn_p95, avg(abs(kappa_eff)) AS mean_abs_curvature FROM samples WHERE NOT standing AND NOT turning GROUP BY run_id),
 ex AS (SELECT run_id, max(time_s) - min(time_s) AS duration_s, max(speed) AS max_speed FROM samples GROUP BY run_id),
-dy AS (SELECT DISTINCT run_id, CAST(floor(time_s / 86400) AS BIGINT) AS d FROM samples WHERE NOT standing), ga AS (SELECT run_id, count(*) AS had, max(d) - min(d) + 1 AS days FROM dy GROUP BY run_id),
-lp AS (SELECT run_id, seq // 10 AS lap, min(seq) AS t0 FROM st GROUP BY ALL), lx AS (SELECT run_id, max(seq) AS stop, greatest(max(seq) // 10, 1) - 1 AS last FROM st GROUP BY run_id), lt AS (SELECT lp.run_id, lap, coalesce(lead(t0) OVER (PARTITION BY lp.run_id ORDER BY lap), stop) - t0 AS s FROM lp JOIN lx USING (run_id) WHERE lap <= last), lv AS (SELECT run_id, CASE WHEN count(*) >= 2 THEN CASE WHEN abs(avg(s)) < 1e-9 THEN 0 ELSE stddev_pop(s) / abs(avg(s)) END END AS lap_cv FROM lt GROUP BY run_id)
-SELECT run_id, n AS speed_n, {q4('mean')} AS speed_mean, {q4('std')} AS speed_std, {q6('p95')} AS speed_p95, {q4('turn_std')} AS turn_std, {q4('curvature')} AS mean_abs_curvature, {q4('length_m')} AS length_m, {q4('ratio')} AS path_ratio, {q4('duration_s')} AS duration_s, {q4('max_speed')} AS max_speed, {q4('acf_1')} AS acf_1, {q4('had / CAST(days AS DOUBLE)')} AS availability, {q4('lap_cv')} AS lap_cv,
-       coalesce(ratio BETWEEN 1 AND 3 AND mean > 0.5 AND p95 < 8 AND abs(acf_1) < 0.999, false) AS plausible
-FROM ex LEFT JOIN sp USING (run_id) LEFT JOIN tu USING (run_id) LEFT JOIN ratio USING (run_id) LEFT JOIN ac USING (run_id) LEFT JOIN ga USING (run_id) LEFT JOIN lv USING (run_id)""")
-def agg_20_run_report(samples: DataFrame, track: DataFrame) -> DataFrame:
-    """One wide row a run: speed, turn rate, curvature, path, extent, autocorrelation, fixes by day, laps of ten vertices and whether all that is plausible."""
-    run = ["run_id"]
-    speed = A.distribution(samples.where(P.running()), run, "speed").select("run_id", *[F.col(c).alias(f"speed_{c}") for c in ("n", "mean", "std", "p95")])
-    moving = samples.where(P.moving())
-    turn = moving.groupBy(*run).agg(F.stddev_pop(F.col("speed") * F.col("kappa_eff")).alias("turn_std"), F.avg(F.abs("kappa_eff")).alias("mean_abs_curvature"))
+dn AS (SELECT run_id, row_number() OVER w - 1 AS i, time_s, speed, kappa_eff * 10 AS off, count(*) OVER (PARTITION BY run_id) AS n FROM samples WINDOW w AS (PARTITION BY run_id ORDER BY time_s, event_id)),
+fr AS (SELECT *, CASE WHEN n <= 5 THEN 0 ELSE least(greatest(i, 2), n - 3) - 2 END AS a, CASE WHEN n <= 5 THEN n ELSE least(greatest(i, 2), n - 3) + 3 END AS b FROM dn),
+re AS (SELECT f.run_id, f.i, any_value(f.speed) - avg(d.speed) AS rs, any_value(f.off) - avg(d.off) AS ro FROM fr f JOIN dn d ON d.run_id = f.run_id AND d.i >= f.a AND d.i < f.b GROUP BY f.run_id, f.i),
+me AS (SELECT *, rs - avg(rs) OVER (PARTITION BY run_id) AS vs, ro - avg(ro) OVER (PARTITION BY run_id) AS vo FROM re),
+va AS (SELECT run_id, count(*) AS n, sum(vs * vs) AS zs, sum(vo * vo) AS zo FROM me GROUP BY run_id),
+ac AS (SELECT a.run_id, CASE WHEN any_value(n) >= 3 AND any_value(zs / n) >= 1e-12 THEN sum(a.vs * b.vs) / any_value(zs) END AS speed_acf_1, CASE WHEN any_value(n) >= 3 AND any_value(zo / n) >= 1e-12 THEN sum(a.vo * b.vo) / any_value(zo) END AS position_acf_1 FROM me a JOIN me b ON b.run_id = a.run_id AND b.i = a.i + 1 JOIN va ON va.run_id = a.run_id GROUP BY a.run_id),
+dy AS (SELECT DISTINCT run_id, CAST(floor(time_s / 86400) AS BIGINT) AS d FROM samples WHERE NOT standing), ga AS (SELECT run_id, count(*) / CAST(max(d) - min(d) + 1 AS DOUBLE) AS availability FROM dy GROUP BY run_id),
+al AS (SELECT dn.run_id, time_s, sum(s) OVER (PARTITION BY dn.run_id ORDER BY i) AS arc FROM dn JOIN st ON st.run_id = dn.run_id AND st.seq = dn.i),
+lx AS (SELECT run_id, max(time_s) AS stop, greatest(CAST(floor(max(arc) / 500) AS BIGINT), 1) - 1 AS last FROM al GROUP BY run_id), lp AS (SELECT run_id, least(CAST(floor(arc / 500) AS BIGINT), last) AS lap, min(time_s) AS t0 FROM al JOIN lx USING (run_id) GROUP BY ALL),
+lt AS (SELECT lp.run_id, coalesce(lead(t0) OVER (PARTITION BY lp.run_id ORDER BY lap), stop) - t0 AS s FROM lp JOIN lx USING (run_id)), lv AS (SELECT run_id, count(*) AS laps, avg(s) AS lap_mean_s, CASE WHEN count(*) >= 2 THEN CASE WHEN abs(avg(s)) < 1e-9 THEN 0 ELSE stddev_pop(s) / abs(avg(s)) END END AS lap_cv FROM lt GROUP BY run_id),
+ts AS (SELECT run_id, time_s, event_id, speed FROM samples WHERE NOT standing AND event_id % 2 = 0), qs AS (SELECT run_id, time_s, event_id, speed FROM samples WHERE event_id % 3 = 0),
+fx AS (SELECT q.event_id, min((t.time_s, t.event_id)) AS m FROM qs q JOIN ts t ON t.run_id = q.run_id AND t.time_s >= q.time_s GROUP BY q.event_id), zx AS (SELECT run_id, max((time_s, event_id)) AS m FROM ts GROUP BY run_id),
+er AS (SELECT q.run_id, q.speed - t.speed AS e, t.speed AS v FROM qs q LEFT JOIN fx USING (event_id) LEFT JOIN zx ON zx.run_id = q.run_id JOIN ts t ON t.event_id = coalesce(fx.m, zx.m)[2]),
+fe AS (SELECT run_id, avg(abs(e)) AS fix_horizontal_mean, quantile_cont(abs(e), 0.95) AS fix_horizontal_p95, avg(e / 2) AS fix_vertical_mean, quantile_cont(e / 2, 0.95) AS fix_vertical_p95, avg(e) FILTER (v >= 0.5) AS fix_speed_mean, quantile_cont(CASE WHEN v >= 0.5 THEN e END, 0.95) AS fix_speed_p95 FROM er GROUP BY run_id),
+su AS (SELECT series AS run_id, arg_max(hz, (m, -bin)) FILTER (hz >= 0.2) AS accel_dominant_hz, max(m) FILTER (hz BETWEEN 2 AND 3) AS accel_step, arg_min(m, (abs(hz - 5), bin)) AS accel_second FROM spec GROUP BY series)
+"""
+_REPORTED = ["speed_mean", "speed_std", "speed_p05", "speed_p50", "speed_p95", "turn_mean", "turn_std", "turn_p95", "mean_abs_curvature", "path_ratio", "length_m", "duration_s", "max_speed", "speed_acf_1", "position_acf_1", "availability", "lap_mean_s", "lap_cv"] + [f"fix_{c}_{m}" for c in ("horizontal", "vertical", "speed") for m in ("mean", "p95")] + ["accel_dominant_hz", "accel_step", "accel_second", "bounce_consistency"]
+
+
+@query(("samples", "track", "signal"), _REPORT + "SELECT ex.run_id, speed_n, laps, CASE WHEN speed_acf_1 < exp(-1) THEN 1 WHEN speed_acf_1 IS NULL THEN 1 ELSE 2 END AS speed_memory, CASE WHEN position_acf_1 < exp(-1) THEN 1 WHEN position_acf_1 IS NULL THEN 1 ELSE 2 END AS position_memory, "
+       + ", ".join(f"{q4({'path_ratio': 'ratio', 'bounce_consistency': f'accel_step / {0.05 * (2 * math.pi * 2.5) ** 2!r}e0'}.get(c, c))} AS {c}" for c in _REPORTED)
+       + ", coalesce(ratio BETWEEN 1 AND 3 AND speed_mean > 0.5 AND speed_p95 < 8 AND abs(speed_acf_1) < 0.999, false) AS plausible FROM ex LEFT JOIN sp USING (run_id) LEFT JOIN tu USING (run_id) LEFT JOIN ratio USING (run_id) LEFT JOIN ac USING (run_id) LEFT JOIN ga USING (run_id) LEFT JOIN lv USING (run_id) LEFT JOIN fe USING (run_id) LEFT JOIN su USING (run_id)")
+def agg_20_run_report(samples: DataFrame, track: DataFrame, signal: DataFrame) -> DataFrame:
+    """The whole report of each run: fixes against truth, laps of 500 m, and the signal as its accelerometer."""
     paths = track.withColumnRenamed("path_id", "run_id")
-    ratio = A.path_ratio(paths, "run_id").select("run_id", F.col("ratio").alias("path_ratio"))
-    extent = A.run_extent(samples, track, "run_id", "path_id")
-    dense = samples.withColumn("idx", F.row_number().over(W.partitionBy("run_id").orderBy("time_s", "event_id")) - 1)
-    acf = A.autocorrelation(dense, "run_id", "idx", "speed", 1).where("lag = 1").select("run_id", F.col("acf").alias("acf_1"))
+    dense = samples.withColumn("seq", (F.row_number().over(W.partitionBy("run_id").orderBy("time_s", "event_id")) - 1).cast("long"))
+    arcs = O.arc_lengths(paths, "run_id").select("run_id", "seq", F.col("arc").alias("arc_s"))
+    rows = dense.join(arcs, ["run_id", "seq"]).withColumn("offset_m", F.col("kappa_eff") * 10)
     days = moving_days(samples)
-    fixes = A.availability(days, O.gaps(days, "run_id", "d"), "run_id")
-    vertices = paths.select("run_id", F.col("seq").cast("double").alias("arc"), F.col("seq").alias("t"))
-    laps = A.lap_variation(A.lap_times(vertices, "run_id", "arc", "t", 10.0), "run_id").withColumnRenamed("cv", "lap_cv")
-    report = extent
-    for part in (speed, turn, ratio, acf, fixes, laps):
-        report = report.join(part, "run_id", "left")
-    wide = ["speed_mean", "speed_std", "speed_p95", "turn_std", "mean_abs_curvature", "length_m", "path_ratio", "duration_s", "max_speed", "acf_1", "availability", "lap_cv"]
-    return report.select("run_id", "speed_n", *[(r6 if c == "speed_p95" else r4)(c).alias(c) for c in wide], P.plausible("path_ratio", "speed_mean", "speed_p95", "acf_1").alias("plausible"))
+    truth = samples.where("not standing and event_id % 2 = 0").select("run_id", "time_s", F.col("event_id").alias("truth_id"), F.col("speed").alias("v"))
+    met = J.as_of_forward(samples.where("event_id % 3 = 0").select("run_id", "time_s", "event_id", "speed"), truth, "run_id", "time_s", 86_400.0).where("_t is not null")
+    error = F.col("speed") - F.col("_t.v")
+    errors = met.select("run_id", F.abs(error).alias("horizontal"), (error / 2).alias("vertical"), F.when(F.col("_t.v") >= 0.5, error).alias("speed"))
+    accel = signal.select(F.col("series").alias("run_id"), "idx", "value")
+    report = run_report(rows, paths, "run_id", ["time_s", "event_id"], 1.0, 500.0, 2.5, 0.05, accel=accel, errors=errors, availability=A.availability(days, O.gaps(days, "run_id", "d"), "run_id"), accel_rate=10.0)
+    plausible = P.plausible("path_ratio", "speed_mean", "speed_p95", "speed_acf_1")
+    return report.select("run_id", "speed_n", "laps", "speed_memory", "position_memory", *[r4(c).alias(c) for c in _REPORTED], plausible.alias("plausible"))
 
 
 def moving_days(samples: DataFrame) -> DataFrame:
