@@ -401,7 +401,7 @@ def _across(members: DataFrame, docs: DataFrame, size: int, num: int, den: int,
 def _classes(rows: DataFrame, roots: DataFrame) -> DataFrame:
     classes = rows.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least"))
     rooted = classes.join(roots, classes.sid == roots.node, "left").select("sid", "least", F.coalesce("root", "sid").alias("root"))
-    names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    names = settle(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "names")  # so that the join is split for a large class
     named = settle(rooted.join(names, "root").select("sid", "component_id"), "classes")
     full = rows.where("n > 0").join(named, "sid").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     empty = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
