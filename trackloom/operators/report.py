@@ -73,3 +73,26 @@ def run_report(
     for part in parts:
         report = report.join(part, run, "left")
     return report
+
+
+def compared_runs(report: DataFrame, samples: DataFrame, pairs: DataFrame, run: str, columns: list[str]) -> DataFrame:
+    """JON-20: for each of ``pairs(a, b)`` of runs how much each of the report's ``columns`` is more for b, null unless both have it, and the Kolmogorov-Smirnov test of their running speeds.
+
+    Pairs without a report of both are left out; a run without running speeds has statistic 1 and p-value 1.
+    """
+    one = report.select(F.col(run).alias("a"), *[F.col(c).alias(f"_a_{c}") for c in columns])
+    two = report.select(F.col(run).alias("b"), *[F.col(c).alias(f"_b_{c}") for c in columns])
+    delta = pairs.join(one, "a").join(two, "b").select("a", "b", *[(F.col(f"_b_{c}") - F.col(f"_a_{c}")).alias(f"{c}_delta") for c in columns])
+    speeds = samples.where(P.running()).select(F.col(run).alias("_run"), "speed")
+    sides = pairs.select("a", "b", F.explode(F.array(F.struct(F.col("a").alias("run"), F.lit(True).alias("is_a")), F.struct(F.col("b").alias("run"), F.lit(False).alias("is_a")))).alias("_s")).select("a", "b", F.col("_s.run").alias("_run"), F.col("_s.is_a").alias("_is_a"))
+    test = A.ks_statistic(sides.join(speeds, "_run"), "speed", "_is_a", ["a", "b"])
+    out = delta.join(test, ["a", "b"], "left").withColumns({"d": F.coalesce("d", F.lit(1.0)), "n_a": F.coalesce("n_a", F.lit(0)), "n_b": F.coalesce("n_b", F.lit(0))})
+    return out.withColumn("p_value", A.ks_p_value("d", "n_a", "n_b"))
+
+
+def recovered_turns(rates: DataFrame, truth: DataFrame, run: str, idx: str, rate: str, heading: str, hertz: float) -> DataFrame:
+    """AGG-39: (run, turned, change, error): the yaw rate summed from the second row on over its rate, against the truth's last heading less its first."""
+    first = F.min(idx).over(W.partitionBy(run))
+    turned = rates.select(run, F.when(F.col(idx) > first, F.col(rate)).otherwise(0.0).alias("_r")).groupBy(run).agg((F.sum("_r") / hertz).alias("turned"))
+    change = truth.groupBy(run).agg((F.max_by(heading, idx) - F.min_by(heading, idx)).alias("change"))
+    return turned.join(change, run).withColumn("error", F.abs(F.col("turned") - F.col("change")))

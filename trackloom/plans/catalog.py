@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trackloom.plans import aggregate_queries, choice_queries, geometry_queries, join_queries, quality_queries, raster_queries, reader_queries, report_queries, scalar_queries, source_queries, stream_queries, window_queries  # noqa: F401
+from trackloom.plans import aggregate_queries, along_queries, choice_queries, geometry_queries, join_queries, quality_queries, raster_queries, reader_queries, report_queries, scalar_queries, source_queries, stream_queries, window_queries  # noqa: F401
 from trackloom.plans.registry import ORACLES, QUERIES
 
 
