@@ -61,12 +61,13 @@ def test_short_words_have_hashes_of_their_own():
 
 
 def test_words_with_one_hash_are_still_told_apart(monkeypatch):
-    """Every hash the same: the memo compares bytes, so texts of other words are encoded as they are."""
+    """Long words with one hash: the memo compares bytes, so texts with another word than the one it knows are encoded as they are."""
     from trackloom.llm import _text
 
-    monkeypatch.setattr(_text, "hashed", lambda data, starts, ends: np.ones(len(starts), dtype=np.uint64))
+    real = _text.hashed
+    monkeypatch.setattr(_text, "hashed", lambda data, starts, ends: np.where(ends - starts > 7, np.uint64(1), real(data, starts, ends)))
     tokens = WordTokens(WORDS)
-    texts = ["one two", "one one", "three", None, "two"]
+    texts = ["international two", "two tournaments one", "international", None, "one", "tournaments"]
     (_, ids, ends), = tokens.blocks(pa.array(texts))
     want = [e.ids for e in Tokenizer.from_file(WORDS).encode_batch([t or "" for t in texts], add_special_tokens=False)]
     assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])] == want
@@ -81,6 +82,14 @@ def test_same_words_compares_all_bytes():
     assert same_words(*place(a), *place(b)).tolist() == [x == y for x, y in zip(a, b)]
 
 
+def test_spaces_at_the_ends_of_texts_among_others():
+    """A text that ends or begins with a space is encoded as it is wherever it stands in a block."""
+    pieces = PieceTokens(PIECES)
+    texts = ["one two", "word word ", "three", " four", "five", None, " "]
+    for target in (1, 1 << 20):
+        assert encoded(pieces, texts, target) == pieces.encode([t or "" for t in texts])
+
+
 # --- byte pairs ------------------------------------------------------------------------------
 
 SIGNS = ["a", "b", "the", "'s", "'re", "'", "'ll", " ", "  ", "\n", "\t", "　", "\xa0", "1", "½", "é", "ß", "日", "!", "?!", "<|endoftext|>", "<|", "|>", "\U0001f600", "s", "d", "ᲊ", "՘", "_", "\r\n", "'S", "\x85", "​", "\x00"]

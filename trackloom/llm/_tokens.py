@@ -75,7 +75,8 @@ class MemoTokens:
         for row, data, offsets in row_blocks(column, target):
             ids, ends, clashing = self._block(data, offsets)
             raw = data.tobytes()
-            odd = {i for i in range(len(offsets) - 1) if self.whole(raw, offsets[i], offsets[i + 1])} if self.whole(raw, 0, len(raw)) else set()
+            ends_of = offsets.tolist()
+            odd = {i for i, (a, b) in enumerate(zip(ends_of[:-1], ends_of[1:], strict=True)) if self.whole(raw, a, b)}
             if odd := sorted(odd.union(clashing.tolist())):
                 parts = np.split(ids, ends[1:-1])
                 texts = [raw[offsets[i] : offsets[i + 1]].decode() for i in odd]
@@ -101,8 +102,11 @@ class MemoTokens:
             raw = words.data.tobytes()
             self._learn(keys[~known], [raw[a:b] for a, b in zip(words.starts[first].tolist(), words.ends[first].tolist(), strict=True)])
         slot = np.searchsorted(self.keys, keys)[inverse]
-        same = same_words(words.data, words.starts, words.ends, self.word_pool, self.word_at[slot], self.word_at[slot] + self.word_size[slot])
-        clashing = np.unique(np.searchsorted(words.first, np.flatnonzero(~same), side="right") - 1)
+        length = words.ends - words.starts
+        some = np.flatnonzero((length > 7) | (self.word_size[slot] != length))  # shorter ones have hashes of their own
+        at = self.word_at[slot[some]]
+        same = same_words(words.data, words.starts[some], words.ends[some], self.word_pool, at, at + self.word_size[slot[some]])
+        clashing = np.unique(np.searchsorted(words.first, some[~same], side="right") - 1)
         sizes = self.size[slot]
         ends = np.concatenate([[0], np.cumsum(sizes)])
         ids = self.pool[np.repeat(self.at[slot] - ends[:-1], sizes) + np.arange(ends[-1])]

@@ -233,7 +233,7 @@ class BytePairTokens(MemoTokens):
         model, before = spec["model"], spec["pre_tokenizer"]
         if model["type"] != "BPE" or before["type"] != "ByteLevel" or before.get("add_prefix_space") or spec["normalizer"] or model.get("ignore_merges"):
             raise ValueError("not a plain byte-level BPE vocabulary")
-        super().__init__(None, None, False, lambda raw, a, b: False, limit)
+        super().__init__(self._without_memo, None, False, lambda raw, a, b: False, limit)
         self.kinds = CodePointKinds(Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str)
         signs = byte_signs()
         vocabulary = model["vocab"]
@@ -257,8 +257,7 @@ class BytePairTokens(MemoTokens):
         self.lengths = np.array([len(s) for s in strings], dtype=np.int64)
         self.places = np.cumsum(self.lengths) - self.lengths
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        """Without the memo."""
+    def _without_memo(self, texts: list[str]) -> list[list[int]]:
         out = []
         for text in texts:
             data = np.frombuffer(text.encode(), dtype=np.uint8)
