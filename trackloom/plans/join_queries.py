@@ -94,8 +94,7 @@ def jon_11_radius_pairs(track: DataFrame) -> DataFrame:
 
 @query("track", _PAIRS + f" SELECT count(*) AS edges, {q6('avg(d)')} AS mean_length FROM e")
 def agg_34_edges(track: DataFrame) -> DataFrame:
-    pairs = J.pairs_within(track.select(F.struct(*_POINT).alias("k"), "x", "y"), "k", 1.5)
-    return pairs.agg(F.count("*").alias("edges"), r6(F.avg("distance")).alias("mean_length"))
+    return J.pair_totals(track, 1.5).select("edges", r6("mean_length").alias("mean_length"))
 
 
 @query("polys", "SELECT a.region_id AS a, b.region_id AS b FROM polys a JOIN polys b ON a.region_id < b.region_id AND a.x0 <= b.x0 + b.side + 1e-6 AND b.x0 <= a.x0 + a.side + 1e-6 AND a.y0 <= b.y0 + b.side + 1e-6 AND b.y0 <= a.y0 + a.side + 1e-6")
