@@ -106,3 +106,11 @@ def test_f16_totals_of_pairs_form_none(spark):
     assert got.edges == same + apart and got.mean_length == pytest.approx(apart / (same + apart)) and told[0] < 500
     none = J.pair_totals(points.limit(0), 1.5).first()
     assert (none.edges, none.mean_length) == (0, None)
+
+
+def test_f18_boxes_of_one_outline_are_met_as_one(spark):
+    held = boxes(spark, copies=40).union(spark.createDataFrame([(999, 200.0, 200.0, 201.0, 201.0)], "region_id long, x_lo double, y_lo double, x_hi double, y_hi double"))
+    with counting_shuffled(spark) as told:
+        got = J.touching_boxes(held, "region_id", 1.0).collect()
+    assert {(r.a, r.b) for r in got} == {(a, b) for b in range(120) for a in range(b)} and len(got) == 120 * 119 / 2
+    assert told[0] < 10_000
