@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from trackloom.operators import joins as J
+from trackloom.operators import links as L
+from trackloom.operators import rasters as R
 
 
 @contextmanager
@@ -114,3 +116,21 @@ def test_f18_boxes_of_one_outline_are_met_as_one(spark):
         got = J.touching_boxes(held, "region_id", 1.0).collect()
     assert {(r.a, r.b) for r in got} == {(a, b) for b in range(120) for a in range(b)} and len(got) == 120 * 119 / 2
     assert told[0] < 10_000
+
+
+def raster(spark, size=8):
+    return spark.createDataFrame([(x, y, float(x * y % 5), (x + 2 * y) % 7 == 0) for x in range(size) for y in range(size)], "cx long, cy long, value double, blocked boolean")
+
+
+def copies(spark, n=600):
+    return spark.createDataFrame([(k, 0.25 + k % 3, 2.5) for k in range(n)], "k long, x double, y double")
+
+
+def test_f21_nearest_free_cells_are_sought_once_a_place(spark):
+    points, cells = copies(spark), raster(spark)
+    with counting_shuffled(spark) as told:
+        got = {r.k: (round(r.distance, 9), r.cy, r.cx) for r in J.nearest_free(points, cells, ["k"], 1.0, 3.0).collect()}
+    free = [(r.cy, r.cx) for r in cells.collect() if not r.blocked]
+    for k, x, y in points.collect():
+        assert got[k] == min((round(((cx + 0.5 - x) ** 2 + (cy + 0.5 - y) ** 2) ** 0.5, 9), cy, cx) for cy, cx in free)
+    assert len(got) == 600 and told[0] < 3_000
