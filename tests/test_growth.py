@@ -134,3 +134,13 @@ def test_f21_nearest_free_cells_are_sought_once_a_place(spark):
     for k, x, y in points.collect():
         assert got[k] == min((round(((cx + 0.5 - x) ** 2 + (cy + 0.5 - y) ** 2) ** 0.5, 9), cy, cx) for cy, cx in free)
     assert len(got) == 600 and told[0] < 3_000
+
+
+def test_f23_clearance_is_sought_once_a_place(spark):
+    points, cells = copies(spark), raster(spark)
+    with counting_shuffled(spark) as told:
+        got = {r.k: r.clearance for r in J.distance_to_blocked(points, cells, ["k"], 1.0, 3.0).collect()}
+    shut = [(r.cx, r.cy) for r in cells.collect() if r.blocked]
+    for k, x, y in points.collect():
+        assert got[k] == pytest.approx(min(3.0, *(((cx + 0.5 - x) ** 2 + (cy + 0.5 - y) ** 2) ** 0.5 for cx, cy in shut)))
+    assert len(got) == 600 and told[0] < 3_000
