@@ -144,3 +144,16 @@ def test_f23_clearance_is_sought_once_a_place(spark):
     for k, x, y in points.collect():
         assert got[k] == pytest.approx(min(3.0, *(((cx + 0.5 - x) ** 2 + (cy + 0.5 - y) ** 2) ** 0.5 for cx, cy in shut)))
     assert len(got) == 600 and told[0] < 3_000
+
+
+def test_f22_variance_is_told_once_a_cell(spark):
+    points, cells = copies(spark), raster(spark)
+    with counting_shuffled(spark) as told:
+        got = {r.k: r.variance for r in R.local_variance(points, cells, ["k"]).collect()}
+    open_ = {(r.cx, r.cy): r.value for r in cells.collect() if not r.blocked}
+    for k, x, y in points.collect():
+        v = [open_[c] for c in ((int(x) + dx, int(y) + dy) for dx in range(-3, 4) for dy in range(-3, 4)) if c in open_]
+        assert got[k] == pytest.approx(sum((u - sum(v) / len(v)) ** 2 for u in v) / len(v))
+    far = R.local_variance(spark.createDataFrame([(1, 900.0, 2.0), (2, None, 2.0)], "k long, x double, y double"), cells, ["k"])
+    assert {r.k: r.variance for r in far.collect()} == {1: float("inf"), 2: float("inf")}
+    assert len(got) == 600 and told[0] < 3_000

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trackloom.functions.scalars import TAU, node_key
-from trackloom.operators.joins import segment_cells
+from trackloom.operators.joins import dealt, segment_cells
 from trackloom.sources.shared import shared_base
 
 
@@ -299,11 +299,14 @@ def raised(cells: DataFrame, buildings: DataFrame) -> DataFrame:
 
 
 def local_variance(points: DataFrame, cells: DataFrame, keys: list[str], half: int = 3) -> DataFrame:
-    """AGG-33: variance of the finite costs in the square of cells around each point; infinite for under four."""
+    """AGG-33: variance of the finite costs in the square of cells around each point; infinite for under four. It hangs on the point's own cell only and is told once for each."""
     span = F.sequence(F.lit(-half), F.lit(half))
-    spread = points.withColumn("cx", F.explode(F.transform(span, lambda d: F.floor("x") + d))).withColumn("cy", F.explode(F.transform(span, lambda d: F.floor("y") + d)))
-    met = spread.join(cells.where("not blocked").select("cx", "cy", "value"), ["cx", "cy"], "left")
-    return met.groupBy(*keys).agg(F.when(F.count("value") >= 4, F.var_pop("value")).otherwise(math.inf).alias("variance"))
+    at = points.select(*keys, F.floor("x").alias("_i"), F.floor("y").alias("_j"))
+    own = dealt(at.select("_i", "_j").distinct(), "_i", "_j")
+    spread = own.withColumn("cx", F.explode(F.transform(span, lambda d: F.col("_i") + d))).withColumn("cy", F.explode(F.transform(span, lambda d: F.col("_j") + d)))
+    met = spread.join(cells.where("not blocked").select("cx", "cy", "value"), ["cx", "cy"])
+    told = met.groupBy("_i", "_j").agg(F.when(F.count("value") >= 4, F.var_pop("value")).alias("_v"))
+    return at.join(told, ["_i", "_j"], "left").select(*keys, F.coalesce("_v", F.lit(math.inf)).alias("variance"))
 
 
 def forbidden_ratio(cells: DataFrame, keys: list[str], blocked: str = "blocked") -> DataFrame:
