@@ -157,3 +157,18 @@ def test_f22_variance_is_told_once_a_cell(spark):
     far = R.local_variance(spark.createDataFrame([(1, 900.0, 2.0), (2, None, 2.0)], "k long, x double, y double"), cells, ["k"])
     assert {r.k: r.variance for r in far.collect()} == {1: float("inf"), 2: float("inf")}
     assert len(got) == 600 and told[0] < 3_000
+
+
+def legs(spark, n=300):
+    return spark.createDataFrame([(k, 0.5, 0.5, 6.5 if k % 2 else 0.5, 3.5) for k in range(n)], "k long, x0 double, y0 double, x1 double, y1 double")
+
+
+def test_f19_f20_segments_of_the_same_ends_are_followed_once(spark):
+    cells = raster(spark).where("blocked")
+    with counting_shuffled(spark) as told:
+        got = J.blocked_segments(legs(spark).where("k > 0"), cells.where("cx = 3"), ["k"]).collect()
+    assert {r.k for r in got} == {k for k in range(1, 300) if k % 2} and len(got) == 150 and told[0] < 1_500
+    with counting_shuffled(spark) as told:
+        entered = [(r.k, r.cx, r.cy) for r in J.segment_cells(legs(spark, 2), 1.0).collect()]
+    assert len(set(entered)) == len(entered) and {(cx, cy) for k, cx, cy in entered if k == 0} == {(0, y) for y in range(4)}
+    assert told[0] == 0

@@ -232,7 +232,7 @@ h AS (SELECT DISTINCT path_id, seq FROM e JOIN cells USING (cx, cy) WHERE blocke
 def jon_17_line_of_sight(track: DataFrame, cells: DataFrame) -> DataFrame:
     """Segments of the paths that enter no blocked cell."""
     legs = _legs(track)
-    hit = J.segment_cells(legs, 1.0).select("path_id", "seq", "cx", "cy").join(cells.where("blocked").select("cx", "cy"), ["cx", "cy"], "left_semi").select("path_id", "seq").distinct()
+    hit = J.blocked_segments(legs, cells.where("blocked"), _POINT)
     return legs.select("path_id", "seq").join(hit.withColumn("hit", F.lit(True)), ["path_id", "seq"], "left").select("path_id", "seq", F.col("hit").isNull().alias("clear"))
 
 
