@@ -239,8 +239,7 @@ def jon_17_line_of_sight(track: DataFrame, cells: DataFrame) -> DataFrame:
 @query(("track", "cells"), _ENTERED + " SELECT path_id, seq FROM h")
 def jon_32_blocked_segments(track: DataFrame, cells: DataFrame) -> DataFrame:
     """Segments that cross blocked cells."""
-    entered = J.segment_cells(_legs(track), 1.0).select("path_id", "seq", "cx", "cy")
-    return entered.join(cells.where("blocked").select("cx", "cy"), ["cx", "cy"], "left_semi").select("path_id", "seq").distinct()
+    return J.blocked_segments(_legs(track), cells.where("blocked"), _POINT)
 
 
 @query(("track", "cells"), ", p AS (SELECT path_id, seq, CAST(floor(x) AS BIGINT) AS cx, CAST(floor(y) AS BIGINT) AS cy FROM track) SELECT path_id, seq, NOT coalesce(c.blocked, true) AS passable FROM p LEFT JOIN cells c USING (cx, cy)")
