@@ -172,3 +172,12 @@ def test_f19_f20_segments_of_the_same_ends_are_followed_once(spark):
         entered = [(r.k, r.cx, r.cy) for r in J.segment_cells(legs(spark, 2), 1.0).collect()]
     assert len(set(entered)) == len(entered) and {(cx, cy) for k, cx, cy in entered if k == 0} == {(0, y) for y in range(4)}
     assert told[0] == 0
+
+
+def test_f17_costs_of_the_same_ends_are_summed_once(spark):
+    cells = raster(spark).withColumn("blocked", F.lit(False))
+    with counting_shuffled(spark) as told:
+        got = {r.k: r.cost for r in R.segment_costs(legs(spark), cells, ["k"]).collect()}
+    assert len(got) == 300 and len(set(got.values())) == 2 and None not in got.values() and told[0] < 1_500
+    shut = R.segment_costs(legs(spark), cells.withColumn("blocked", F.col("cx") == 3), ["k"]).collect()
+    assert {r.k: r.cost for r in shut} == {k: None if k % 2 else got[0] for k in range(300)}

@@ -238,17 +238,23 @@ def heading_cost(base: Column, packed: Column, hx: Column, hy: Column, weight: f
 
 
 def segment_costs(segments: DataFrame, cells: DataFrame, keys: list[str], step: float = 0.5) -> DataFrame:
-    """GRP-23: trapezoid sum of the cell costs along each segment, in equal steps of at most ``step``; null where it enters a blocked or a missing cell."""
-    entered = segment_cells(segments, 1.0).select(*keys, "cx", "cy").join(cells.select("cx", "cy", "blocked"), ["cx", "cy"], "left")
-    shut = entered.where(F.coalesce("blocked", F.lit(True))).select(*keys).distinct().withColumn("_shut", F.lit(True))
+    """GRP-23: trapezoid sum of the cell costs along each segment, in equal steps of at most ``step``; null where it enters a blocked or a missing cell.
+
+    Segments with the same ends are followed once. One that enters a cell which is not open has no cost, and its steps are not taken.
+    """
+    ends = ["x0", "y0", "x1", "y1"]
+    lines = dealt(segments.select(*ends).distinct(), *ends)
+    entered = segment_cells(lines, 1.0).join(cells.where("not blocked").select("cx", "cy"), ["cx", "cy"], "left_anti")
+    shut = entered.select(*ends).distinct()
+    lines = lines.join(shut, ends, "left_anti")
     length = F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
-    spread = segments.withColumn("_l", length).withColumn("_steps", F.greatest(F.ceil(F.col("_l") / step), F.lit(1).cast("long")))
+    spread = lines.withColumn("_l", length).withColumn("_steps", F.greatest(F.ceil(F.col("_l") / step), F.lit(1).cast("long")))
     spread = spread.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_steps"))))
     t = F.col("_k") / F.col("_steps")
     spread = spread.withColumn("cx", F.floor(F.col("x0") + t * (F.col("x1") - F.col("x0")))).withColumn("cy", F.floor(F.col("y0") + t * (F.col("y1") - F.col("y0"))))
     weight = F.when((F.col("_k") == 0) | (F.col("_k") == F.col("_steps")), 0.5).otherwise(1.0)
-    summed = spread.join(cells.select("cx", "cy", "value"), ["cx", "cy"]).groupBy(*keys).agg(F.sum(weight * F.col("value") * F.col("_l") / F.col("_steps")).alias("cost"))
-    return segments.select(*keys).join(summed, keys, "left").join(shut, keys, "left").select(*keys, F.when(F.col("_shut").isNull(), F.col("cost")).alias("cost"))
+    summed = spread.join(cells.select("cx", "cy", "value"), ["cx", "cy"]).groupBy(*ends).agg(F.sum(weight * F.col("value") * F.col("_l") / F.col("_steps")).alias("cost"))
+    return segments.select(*keys, *ends).join(summed, ends, "left").select(*keys, "cost")
 
 
 def filled_cells(corners: DataFrame, key: str) -> DataFrame:
