@@ -181,3 +181,10 @@ def test_f17_costs_of_the_same_ends_are_summed_once(spark):
     assert len(got) == 300 and len(set(got.values())) == 2 and None not in got.values() and told[0] < 1_500
     shut = R.segment_costs(legs(spark), cells.withColumn("blocked", F.col("cx") == 3), ["k"]).collect()
     assert {r.k: r.cost for r in shut} == {k: None if k % 2 else got[0] for k in range(300)}
+
+
+def test_f24_a_vertex_asks_without_more_shuffles(spark):
+    track = walks(spark).withColumn("z", F.col("x") / 10)
+    with counting_shuffled(spark) as told:
+        got = L.look_ahead_grade(track, 20.0).collect()
+    assert len(got) == 300 and told[0] < 1_000

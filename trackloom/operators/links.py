@@ -6,10 +6,11 @@ import math
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trackloom.functions.scalars import point_segment_distance, tile_name
-from trackloom.operators.joins import as_of_forward, at_arc, distance_to_blocked, upsert
+from trackloom.operators.joins import as_of_forward, dealt, distance_to_blocked, upsert
 from trackloom.operators.windows import arc_lengths
 
 
@@ -94,19 +95,30 @@ def link_measures() -> dict[str, Column]:
 
 def look_ahead_grade(track: DataFrame, window: float, steps: int = 10, worst_case: bool = False, path: str = "path_id") -> DataFrame:
     """WIN-17: for each vertex the weighted mean grade over the next ``window`` metres, weights 1 down to 0.5; in the worst case a climb above 0.05 counts whole."""
-    with_arc = arc_lengths(track, path)
-    total = with_arc.groupBy(path).agg(F.max("arc").alias("_total"))
-    targets = with_arc.join(total, path).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(steps).cast("long"))))
+    # Each vertex makes the rows at which it asks beside its own, so a path's rows are dealt once, and sorted once by arc.
+    whole = W.partitionBy(path)
+    rows = arc_lengths(dealt(track, path), path).withColumn("_total", F.max("arc").over(whole))
+    rows = rows.withColumn("_v", F.struct("arc", "z")).withColumn("_seg", F.struct(F.col("_v").alias("v"), F.lead("_v").over(whole.orderBy("arc", "seq")).alias("n")))
     end = F.least(F.col("arc") + window, F.col("_total"))
-    targets = targets.select(path, "seq", "k", (F.col("arc") + (end - F.col("arc")) * F.col("k") / steps).alias("s"))
-    heights = with_arc.select(path, "seq", "arc", F.col("z").alias("x"), F.lit(0.0).alias("y"))
-    ahead = at_arc(heights, targets.withColumn("s", F.col("s") + 0.5), path).select(path, "seq", "k", F.col("x").alias("_z1"))
-    here = at_arc(heights, targets.withColumn("s", F.col("s") - 0.5), path).select(path, "seq", "k", F.col("x").alias("_z0"))
+
+    def asked(k: int, side: int) -> Column:
+        s = F.col("arc") + (end - F.col("arc")) * float(k) / steps + 0.5 * side
+        return F.struct(F.greatest(s, F.lit(0.0)).alias("at"), F.lit(1).alias("order"), F.lit(k).alias("k"), F.lit(side).alias("side"))
+
+    own = F.struct(F.col("arc").alias("at"), F.lit(0).alias("order"), F.lit(-1).alias("k"), F.lit(0).alias("side"))
+    told = rows.select(path, "seq", "_seg", F.explode(F.array(own, *[asked(k, side) for k in range(steps + 1) for side in (-1, 1)])).alias("_e"))
+    line = whole.orderBy("_e.at", "_e.order", "seq").rowsBetween(W.unboundedPreceding, W.currentRow)
+    told = told.withColumn("_g", F.last(F.when(F.col("_e.order") == 0, F.col("_seg")), ignorenulls=True).over(line)).where("_e.order = 1")
+    a, b = F.col("_g.v"), F.col("_g.n")
+    span = b["arc"] - a["arc"]
+    t = F.when(span > 0, F.least((F.col("_e.at") - a["arc"]) / span, F.lit(1.0))).otherwise(0.0)
+    z = F.when(b.isNull(), a["z"]).otherwise(a["z"] + t * (b["z"] - a["z"]))
+    rises = told.select(path, "seq", F.col("_e.k").alias("k"), F.col("_e.side").alias("_side"), z.alias("_z")).groupBy(path, "seq", "k")
+    got = rises.agg((F.max(F.when(F.col("_side") == 1, F.col("_z"))) - F.max(F.when(F.col("_side") == -1, F.col("_z")))).alias("_g"))
     weight = 1.0 - 0.5 * F.col("k") / steps
-    rows = ahead.join(here, [path, "seq", "k"]).withColumn("_g", F.col("_z1") - F.col("_z0"))
     mean = F.sum(F.col("_g") * weight) / F.sum(weight)
     grade = F.when(F.max("_g") > 0.05, F.max("_g")).otherwise(mean) if worst_case else mean
-    return rows.groupBy(path, "seq").agg(grade.alias("grade"))
+    return got.groupBy(path, "seq").agg(grade.alias("grade"))
 
 
 def barometer_error(readings: DataFrame, truth: DataFrame, run: str, time: str, read: str, true: str) -> DataFrame:
