@@ -10,11 +10,12 @@ from pyspark.sql.streaming import StreamingQuery
 from trackloom.sources.shared import shared_path
 
 
-def open_table(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int = 1) -> DataFrame:
-    """A stored table as a stream of its files."""
+def open_table(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
+    """A stored table as a stream of its files, all at once unless told: files have no order in time, so the watermark of one would make the next one's rows late."""
     path = f"{sf_dir}/{name}.parquet"
     pattern = f"{sf_dir}/{name[:-1]}[{name[-1]}].parquet"  # a pattern may name one file as well as a folder
-    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_trigger).parquet(pattern)
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    return (reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader).parquet(pattern)
 
 
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
