@@ -1,11 +1,14 @@
 """Rows that are shuffled do not grow with the product of two sides, nor with the copies of a place or an outline."""
 
+import math
 import random
+import time
 from contextlib import contextmanager
 
 import pytest
 from pyspark.sql import functions as F
 
+from trackloom.functions import scalars as S
 from trackloom.operators import joins as J
 from trackloom.operators import links as L
 from trackloom.operators import rasters as R
@@ -188,3 +191,15 @@ def test_f24_a_vertex_asks_without_more_shuffles(spark):
     with counting_shuffled(spark) as told:
         got = L.look_ahead_grade(track, 20.0).collect()
     assert len(got) == 300 and told[0] < 1_000
+
+
+def test_f27_shares_of_long_vectors_take_one_pass(spark):
+    rows = spark.range(20).select("id", F.transform(F.sequence(F.lit(0), F.lit(499)), lambda i: (i * (F.col("id") + 1) % 7).cast("double")).alias("v"))
+    began = time.monotonic()
+    got = rows.select("id", S.softmax("v", 2.0).alias("p")).collect()
+    assert time.monotonic() - began < 20  # minutes where each element adds up all others
+    for r in got:
+        e = [math.exp((i * (r.id + 1) % 7 - (6 if r.id != 6 else 0)) / 2.0) for i in range(500)]
+        assert r.p == pytest.approx([x / sum(e) for x in e])
+    odd = spark.createDataFrame([(1, None), (2, []), (3, [1.0, None])], "id long, v array<double>")
+    assert {r.id: r.p for r in odd.select("id", S.softmax("v").alias("p")).collect()} == {1: None, 2: [], 3: [0.5, 0.5]}
