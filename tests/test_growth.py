@@ -5,10 +5,12 @@ import random
 import time
 from contextlib import contextmanager
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from trackloom.functions import scalars as S
+from trackloom.operators import geometry as G
 from trackloom.operators import joins as J
 from trackloom.operators import links as L
 from trackloom.operators import rasters as R
@@ -203,3 +205,28 @@ def test_f27_shares_of_long_vectors_take_one_pass(spark):
         assert r.p == pytest.approx([x / sum(e) for x in e])
     odd = spark.createDataFrame([(1, None), (2, []), (3, [1.0, None])], "id long, v array<double>")
     assert {r.id: r.p for r in odd.select("id", S.softmax("v").alias("p")).collect()} == {1: None, 2: [], 3: [0.5, 0.5]}
+
+
+def counting_sizes(monkeypatch, owner, name):
+    sizes, plain = [], getattr(owner, name)
+    monkeypatch.setattr(owner, name, lambda a, *rest: sizes.append(np.size(a)) or plain(a, *rest))
+    return sizes
+
+
+def test_f25_folds_are_sought_within_their_reach(monkeypatch):
+    dice = np.random.default_rng(3)
+    walk = np.cumsum(dice.uniform(-0.9, 1.0, size=(2000, 2)), axis=0)
+    copied = np.repeat(walk[:200], 50, axis=0)
+    sizes = counting_sizes(monkeypatch, np, "hypot")
+    alone = G._without_folds(walk[:200], 12.0, 1.0, frozenset(), 1.0)
+    few = sum(sizes)
+    kept = G._without_folds(copied, 12.0, 1.0, frozenset(), 1.0)
+    assert sum(sizes) == 2 * few and sorted({k // 50 for k in kept}) == alone and 20 < len(alone) < 200
+    assert 200 < len(G._without_folds(walk, 12.0, 1.0, frozenset(), 1.0)) < 2000 and sum(sizes) < 400_000
+
+
+def test_f26_few_places_are_looked_at_behind_a_turn(monkeypatch):
+    corners = np.array([(30.0 * (k // 2), 30.0 * ((k + 1) // 2 % 2)) for k in range(600)])
+    sizes = counting_sizes(monkeypatch, G, "_turned")
+    found = G._reversals(G._Line(corners), 4.0, math.radians(60))
+    assert len(found) == 598 and {kind for _, _, kind in found} == {"corner"} and sum(sizes) < 1_000 * len(found)

@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -58,12 +59,17 @@ def segments(track: DataFrame, path: str = "path_id") -> DataFrame:
     return rows.where("x1 is not null")
 
 
+def _points(rows: pa.Table) -> np.ndarray:
+    """x and y of each row, NaN where there is none."""
+    return np.column_stack([rows.column(c).cast(pa.float64()).to_numpy() for c in "xy"])
+
+
 def _per_path(track: DataFrame, path: str, keep) -> DataFrame:
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq")
-        return rows.iloc[keep(rows[["x", "y"]].to_numpy(dtype=float))]
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("seq")
+        return rows.take(pa.array(keep(_points(rows)), pa.int64()))
 
-    return track.groupBy(path).applyInPandas(run, track.schema)
+    return track.groupBy(path).applyInArrow(run, track.schema)
 
 
 #: Fixed values of the rules of simplification and of folds. A shortcut spans 65 vertices at most, and turns by no
@@ -151,29 +157,50 @@ def _entered(a: np.ndarray, b: np.ndarray, resolution: float) -> set[tuple[int,
 
 
 def _without_folds(p: np.ndarray, reach: float, gap: float, blocked: frozenset, resolution: float) -> list[int]:
-    kept, i, changed = list(range(len(p))), 0, False
-
-    def fold_end(i: int) -> int | None:
-        """The first place after the i-th kept point where a fold that begins there has come back."""
-        way = p[kept[i:]] - p[kept[i]]
-        arc = np.cumsum(np.hypot(*np.diff(way, axis=0).T))
-        arc = arc[: np.searchsorted(arc, reach, side="right")]
-        direct = np.hypot(*way[1 : len(arc) + 1].T)
-        for j in np.flatnonzero((direct < gap) & (arc > 2 * direct + 0.5)).tolist():
-            if not blocked or not _entered(p[kept[i]], p[kept[i + j + 1]], resolution) & blocked:
-                return i + j + 1
-        return None
-
-    while True:
-        if i + 2 >= len(kept):
-            if not changed:
-                return kept
-            i, changed = 0, False
-        elif (j := fold_end(i)) is None:
-            i += 1
-        else:
-            del kept[i + 1 : j]
-            changed = True
+    """Places of the points that stay.
+
+    Points of one place behind one another have the same folds ahead: one asks for all of them. It looks no further than
+    ``reach``, and asks again only where something has gone from what it saw.
+    """
+    first = np.flatnonzero(np.concatenate([np.ones(min(len(p), 1), dtype=bool), (p[1:] != p[:-1]).any(axis=1)]))
+    at, behind = p[first], np.append(first[1:], len(p))
+    alone = np.zeros(len(first), dtype=bool)  # the others of its place are gone
+    seen = np.full(len(first), len(first))
+
+    def fold_end(i: int, rest: np.ndarray, r: int) -> int | None:
+        """The first place of ``rest`` from the r-th on where a fold that begins at i has come back."""
+        look, asked = 16, 0
+        while True:
+            ahead = rest[r : r + look]
+            way = at[ahead] - at[i]
+            steps = way.copy()
+            steps[1:] -= way[:-1]
+            arc = np.hypot(steps[:, 0], steps[:, 1]).cumsum()
+            within = int(arc.searchsorted(reach, side="right"))
+            direct = np.hypot(way[:within, 0], way[:within, 1])
+            for j in ((direct < gap) & (arc[:within] > 2 * direct + 0.5)).nonzero()[0].tolist():
+                if j >= asked and (not blocked or not _entered(at[i], at[ahead[j]], resolution) & blocked):
+                    return r + j
+            if within < len(ahead) or r + look >= len(rest):
+                seen[i] = ahead[within] if within < len(ahead) else len(first) - 1
+                return None
+            look, asked = 4 * look, len(ahead)
+
+    kept, stale = np.arange(len(first)), np.ones(len(first), dtype=bool)
+    while stale.any():
+        stays = np.ones(len(kept), dtype=bool)
+        r = 0
+        while r < len(kept):
+            i = int(kept[r])
+            r += 1
+            while stale[i] and (j := fold_end(i, kept, r)) is not None:
+                alone[i], stays[r:j], r = True, False, j
+        gone = np.zeros(len(first) + 1, dtype=int)
+        gone[kept[~stays] + 1] = 1
+        kept, upto = kept[stays], np.cumsum(gone)
+        stale = np.zeros(len(first), dtype=bool)
+        stale[kept] = upto[np.minimum(seen[kept] + 1, len(first))] > upto[kept + 1]
+    return [n for i in kept.tolist() for n in range(first[i], first[i] + 1 if alone[i] else behind[i])]
 
 
 def remove_spikes(track: DataFrame, reach: float = 12.0, gap: float = 1.0, path: str = "path_id", blocked: DataFrame | None = None, resolution: float = 1.0) -> DataFrame:
@@ -202,14 +229,15 @@ class _Line:
         self.angles = np.where(self.lengths > 1e-12, np.arctan2(steps[:, 1], steps[:, 0]), 0.0)
 
     def leg(self, s: np.ndarray) -> np.ndarray:
-        return np.clip(np.searchsorted(self.arc, np.clip(s, 0.0, self.total), side="right") - 1, 0, len(self.p) - 2)
+        held = np.minimum(np.maximum(s, 0.0), self.total)
+        return np.minimum(self.arc.searchsorted(held, side="right") - 1, len(self.p) - 2)
 
     def heading(self, s: np.ndarray) -> np.ndarray:
         return self.angles[self.leg(s)]
 
     def at(self, s: np.ndarray) -> np.ndarray:
         k = self.leg(s)
-        t = np.clip((np.clip(s, 0.0, self.total) - self.arc[k]) / np.maximum(self.lengths[k], 1e-9), 0.0, 1.0)
+        t = np.minimum(np.maximum((np.minimum(np.maximum(s, 0.0), self.total) - self.arc[k]) / np.maximum(self.lengths[k], 1e-9), 0.0), 1.0)
         return self.p[k] + (self.p[k + 1] - self.p[k]) * t[:, None]
 
 
@@ -218,21 +246,27 @@ def _turned(after: np.ndarray, before: np.ndarray) -> np.ndarray:
 
 
 def _reversals(line: _Line, window: float, threshold: float, look: int = 2048) -> list[tuple[float, float, str]]:
-    """(arc, turn, kind) of corners and folds along a line, ``look`` places at a time."""
+    """(arc, turn, kind) of corners and folds along a line, up to ``look`` places at a time, few of them after one that was found."""
     found, step = [], max(window / 8, 0.25)
     at, end = step, line.total - window
-    while line.total > 2 * window and at < end:
-        places = at + step * np.arange(look)
+    done, few = 0, 16
+    while line.total > 2 * window and at + step * done < end:
+        places = at + step * np.arange(done, min(done + few, look))
         places = places[places < end]
         corner = _turned(line.heading(places + window), line.heading(places - window))
         hit = np.abs(corner) >= threshold
+        if hit.any():  # what comes behind a corner is looked at after it
+            places = places[: int(hit.argmax()) + 1]
+            hit = hit[: len(places)]
         reached = places[:, None] + _FOLD_ARCS
         back = line.at(reached.ravel()).reshape(*reached.shape, 2) - line.at(places)[:, None]
         turn = _turned(line.heading(reached.ravel()).reshape(reached.shape), line.heading(places)[:, None])
         folds = (reached <= line.total) & (np.hypot(back[..., 0], back[..., 1]) < _FOLD_GAP) & (np.abs(turn) > math.pi / 2)
         some = np.flatnonzero(hit | folds.any(axis=1))
         if not len(some):
-            at += step * len(places)
+            done, few = done + len(places), 2 * few
+            if done >= look:
+                at, done = at + step * done, 0
             continue
         k = int(some[0])
         if hit[k]:
@@ -247,6 +281,7 @@ def _reversals(line: _Line, window: float, threshold: float, look: int = 2048) -
             pivot = float(places[k] + _FOLD_ARCS[j] / 2)
             found.append((pivot, float(turn[k, j]), "fold"))
             at = pivot + window
+        done, few = 0, 16
     return found
 
 
@@ -260,18 +295,17 @@ def turns(track: DataFrame, window: float, degrees: float, path: str = "path_id"
     """
     kind = track.schema[path].dataType.simpleString()
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq")
-        p = rows[["x", "y"]].to_numpy(dtype=float)
-        found = []
+    def run(rows: pa.Table) -> pa.Table:
+        p, told, where = _points(rows.sort_by("seq")), [], np.empty((0, 2))
         if len(p) > 1:
             line = _Line(p)
             told = _reversals(line, window, math.radians(degrees))
-            where = line.at(np.array([s for s, _, _ in told])) if told else []
-            found = [(rows[path].iloc[0], s, turn, float(x), float(y), what) for (s, turn, what), (x, y) in zip(told, where, strict=True)]
-        return pd.DataFrame(found, columns=[path, "arc", "turn", "x", "y", "kind"])
+            where = line.at(np.array([s for s, _, _ in told], dtype=float))
+        arcs, turned, kinds = ([t[i] for t in told] for i in range(3))
+        names = rows.column(path).take(pa.array([0] * len(told), pa.int64()))
+        return pa.table({path: names, "arc": pa.array(arcs, pa.float64()), "turn": pa.array(turned, pa.float64()), "x": pa.array(where[:, 0]), "y": pa.array(where[:, 1]), "kind": pa.array(kinds, pa.string())})
 
-    return track.groupBy(path).applyInPandas(run, f"{path} {kind}, arc double, turn double, x double, y double, kind string")
+    return track.groupBy(path).applyInArrow(run, f"{path} {kind}, arc double, turn double, x double, y double, kind string")
 
 
 def stitched_rings(fragments: DataFrame, relation: str) -> DataFrame:
