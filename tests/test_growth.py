@@ -230,3 +230,26 @@ def test_f26_few_places_are_looked_at_behind_a_turn(monkeypatch):
     sizes = counting_sizes(monkeypatch, G, "_turned")
     found = G._reversals(G._Line(corners), 4.0, math.radians(60))
     assert len(found) == 598 and {kind for _, _, kind in found} == {"corner"} and sum(sizes) < 1_000 * len(found)
+
+
+def test_f29_ways_of_the_same_ends_are_painted_once(spark):
+    ways = spark.range(300_000, numPartitions=1).selectExpr("id AS seq", "id % 2 * 4e0 AS x0", "0e0 AS y0", "id % 2 * 4e0 + 3 AS x1", "1.5e0 AS y1", "1.2e0 AS half", "id % 9 AS surface", "id % 50 / 10e0 AS traffic", "0e0 AS crowding", "id / 3e5 AS lighting")
+    store, gateway = spark._jsc.sc().statusStore(), spark.sparkContext._gateway
+    stages = lambda: store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    before = {stages().apply(i).stageId() for i in range(stages().size())}
+    got = {(r.cx, r.cy): r for r in R.painted_ways(ways).collect()}
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    peak = max(store.taskList(st.stageId(), st.attemptId(), 99).apply(0).taskMetrics().get().peakExecutionMemory() for st in map(stages().apply, range(stages().size())) if st.stageId() not in before and st.numCompleteTasks())
+    assert (got[0, 0].surface, got[0, 0].traffic, got[0, 0].lighting) == (299_998 % 9, 4.8, 299_998 / 3e5)  # even ways
+    assert (got[6, 1].surface, got[6, 1].traffic, got[6, 1].lighting) == (299_999 % 9, 4.9, 299_999 / 3e5)  # odd ways
+    assert peak < 200 * 2**20, peak
+
+
+def test_f30_an_outline_is_filled_once(spark, tmp_path, monkeypatch):
+    from trackloom.plans import catalog
+
+    spark.range(1, 481).selectExpr("id AS s_suppkey", "'s' AS s_name", "1 AS s_nationkey", "1e0 AS s_acctbal").write.parquet(f"{tmp_path}/supplier.parquet")
+    met, filled = [], R.filled_cells
+    monkeypatch.setattr(R, "filled_cells", lambda corners, key: met.append(corners.select(key).distinct().count()) or filled(corners, key))
+    got = {r.region_id: r.cells for r in catalog.queries()["grp_11_filled_cells"](spark, str(tmp_path)).collect()}
+    assert got == {k: 210 if k % 2 else 400 for k in range(1, 481)} and met == [80]

@@ -258,7 +258,8 @@ def segment_costs(segments: DataFrame, cells: DataFrame, keys: list[str], step:
 
 
 def filled_cells(corners: DataFrame, key: str) -> DataFrame:
-    """GRP-11: cells(key, cx, cy) of rings(key, seq, x, y): centres inside by the even-odd rule, and every cell that an edge enters."""
+    """GRP-11: cells(key, cx, cy) of rings(key, seq, x, y): centres inside by the even-odd rule, and every cell that an edge enters. Rings are dealt out before they become cells."""
+    corners = dealt(corners, key)
     w = W.partitionBy(key).orderBy("seq")
     first = F.first(F.struct("x", "y")).over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
     edges = corners.select(key, "seq", F.col("x").alias("x0"), F.col("y").alias("y0"), F.coalesce(F.lead("x").over(w), first["x"]).alias("x1"), F.coalesce(F.lead("y").over(w), first["y"]).alias("y1"))
@@ -286,7 +287,10 @@ def painted_ways(ways: DataFrame, resolution: float = 1.0) -> DataFrame:
     """GRP-13: cells(cx, cy, surface, traffic, crowding, lighting) whose centre lies within a way's half width.
 
     ways(seq, x0, y0, x1, y1, half, surface, traffic, crowding, lighting): the surface is the busiest way's, the later one's on ties; the others take the largest value.
+    Ways of the same ends and width paint the same cells: what they leave there is told once for all of them.
     """
+    place, top = ["x0", "y0", "x1", "y1", "half"], [F.max(c).alias(c) for c in ("traffic", "crowding", "lighting")]
+    ways = ways.groupBy(*place).agg(F.max_by(F.struct("traffic", "seq", "surface"), F.struct("traffic", "seq")).alias("_w"), *top)
     half = F.col("half") / resolution
     x0, y0, x1, y1 = (F.col(c) / resolution for c in ("x0", "y0", "x1", "y1"))
     spread = ways.withColumn("cx", F.explode(F.sequence(F.floor(F.least(x0, x1) - half), F.floor(F.greatest(x0, x1) + half))))
@@ -295,7 +299,7 @@ def painted_ways(ways: DataFrame, resolution: float = 1.0) -> DataFrame:
     square = dx * dx + dy * dy
     t = F.when(square > 0, F.least(F.greatest(((px - x0) * dx + (py - y0) * dy) / square, F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
     near = spread.where(F.hypot(px - x0 - t * dx, py - y0 - t * dy) <= half)
-    return near.groupBy("cx", "cy").agg(F.max_by("surface", F.struct("traffic", "seq")).alias("surface"), F.max("traffic").alias("traffic"), F.max("crowding").alias("crowding"), F.max("lighting").alias("lighting"))
+    return near.groupBy("cx", "cy").agg(F.max_by("_w.surface", F.struct("_w.traffic", "_w.seq")).alias("surface"), *top)
 
 
 def raised(cells: DataFrame, buildings: DataFrame) -> DataFrame:
