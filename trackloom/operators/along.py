@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from trackloom.operators.joins import by_outline, dealt
+
 _LEAST_LENGTH = 1e-3  #: metres of arc below which a segment has no grade
 
 
@@ -92,19 +94,28 @@ def library_lookup(queries: DataFrame, libraries: DataFrame, entries: DataFrame,
     ``libraries(library, params)`` were made with a parameter set, ``entries(library, idx, sx, sy, ex, ey)`` are
     stored under the cells of their own. Candidates with an end over ``attach`` metres from the query's are dropped. A query
     without a candidate has one row: no_library, parameters_differ, no_entry, or too_far with the least distance that either end
-    was off by.
+    was off by. Queries of the same ends meet entries of the same ends once; the rows of both follow after that, and no pair of them is shuffled.
     """
-    q = queries.select("*", *[F.floor(F.col(c) / cell).alias(f"_{c}") for c in ("sx", "sy", "gx", "gy")])
-    known = q.join(libraries.select("library", F.col("params").alias("_stored"), F.lit(True).alias("_has")), "library", "left")
+    ends, kept = ["sx", "sy", "gx", "gy"], ["_at_sx", "_at_sy", "_at_ex", "_at_ey"]
+    known = queries.join(libraries.select("library", F.col("params").alias("_stored"), F.lit(True).alias("_has")), "library", "left")
     fits = known.where(F.col("_has") & F.col("_stored").eqNullSafe(F.col("params")))
-    stored = entries.select("library", "idx", *[F.col(c).alias(f"_at_{c}") for c in ("sx", "sy", "ex", "ey")], *[F.floor(F.col(c) / cell).alias(f"_{k}") for c, k in (("sx", "sx"), ("sy", "sy"), ("ex", "gx"), ("ey", "gy"))])
-    met = fits.join(stored, ["library", "_sx", "_sy", "_gx", "_gy"])
-    met = met.select("query", "idx", F.hypot(F.col("_at_sx") - F.col("sx"), F.col("_at_sy") - F.col("sy")).alias("to_start"), F.hypot(F.col("gx") - F.col("_at_ex"), F.col("gy") - F.col("_at_ey")).alias("to_goal"))
+    stored = entries.select("library", "idx", *[F.col(c[4:]).alias(c) for c in kept])
+
+    cells = [f"_{c}" for c in ends]
+    asked = fits.select("library", *ends).distinct().select("*", *[F.floor(F.col(c) / cell).alias(k) for c, k in zip(ends, cells, strict=True)])
+    held = stored.select("library", *kept).distinct().select("*", *[F.floor(F.col(c) / cell).alias(k) for c, k in zip(kept, cells, strict=True)])
+    met = dealt(asked, "library", *ends).join(held, ["library", *cells])
+    met = met.select("library", *ends, *kept, F.hypot(F.col("_at_sx") - F.col("sx"), F.col("_at_sy") - F.col("sy")).alias("to_start"), F.hypot(F.col("gx") - F.col("_at_ex"), F.col("gy") - F.col("_at_ey")).alias("to_goal"))
     near = (F.col("to_start") <= attach) & (F.col("to_goal") <= attach)
-    told = met.groupBy("query").agg(F.count_if(near).alias("_near"), F.min("to_start").alias("to_start"), F.min("to_goal").alias("to_goal"))
+    told = met.groupBy("library", *ends).agg(F.count_if(near).alias("_near"), F.min("to_start").alias("to_start"), F.min("to_goal").alias("to_goal"))
+    fit = F.col("_has") & F.col("_stored").eqNullSafe(F.col("params"))
     kind = F.when(F.col("_has").isNull(), "no_library").when(~F.col("_stored").eqNullSafe(F.col("params")), "parameters_differ").when(F.col("_near").isNull(), "no_entry").when(F.col("_near") == 0, "too_far")
-    misses = known.join(told, "query", "left").select("query", F.lit(None).cast(dict(met.dtypes)["idx"]).alias("idx"), kind.alias("miss"), F.when(F.col("_near") == 0, F.col("to_start")).alias("to_start"), F.when(F.col("_near") == 0, F.col("to_goal")).alias("to_goal"))
-    return met.where(near).select("query", "idx", F.lit(None).cast("string").alias("miss"), "to_start", "to_goal").unionByName(misses.where("miss is not null"))
+    none = F.col("_near") == 0
+    misses = known.join(told, ["library", *ends], "left").select("query", F.lit(None).cast(dict(entries.dtypes)["idx"]).alias("idx"), kind.alias("miss"), F.when(fit & none, F.col("to_start")).alias("to_start"), F.when(fit & none, F.col("to_goal")).alias("to_goal"))
+    askers = by_outline(fits.select("library", *ends, "query"), ["library", *ends]).withColumnRenamed("_members", "_queries")
+    hits = met.where(near).join(askers, ["library", *ends]).select("library", *kept, "_queries", "to_start", "to_goal").join(by_outline(stored, ["library", *kept]), ["library", *kept])
+    hits = hits.select(F.explode("_queries.query").alias("query"), "_members", "to_start", "to_goal").select("query", F.explode("_members.idx").alias("idx"), "to_start", "to_goal")
+    return hits.select("query", "idx", F.lit(None).cast("string").alias("miss"), "to_start", "to_goal").unionByName(misses.where("miss is not null"))
 
 
 def segments_near_links(segments: DataFrame, links: DataFrame, radius: float, tolerance: float, size: float = 50.0) -> DataFrame:
