@@ -14,10 +14,10 @@ _LEAST_LENGTH = 1e-3  #: metres of arc below which a segment has no grade
 
 
 def frame_at(vertices: DataFrame, targets: DataFrame, path: str = "path_id") -> DataFrame:
-    """JON-13: target rows (path, s) with x, y, tx, ty and, of the channels that ``vertices(path, seq, arc, x, y ..)`` have, kappa, z, grade and link_speed at arc s.
+    """JON-13: target rows (path, s) with x, y, tx, ty, segment_m and, of the channels that ``vertices(path, seq, arc, x, y ..)`` have, kappa, z, grade and link_speed at arc s.
 
     The segment that begins at or before s counts, the first or last beyond the ends. Position and kappa are
-    linear in it; the tangent is its direction, (1, 0) without length; z is linear where both its
+    linear in it; the tangent is its direction, (1, 0) without length, which segment_m tells; z is linear where both its
     vertices have one, and grade is the rise over it, where it is a millimetre long; link_speed is the
     lower of its vertices' own. A path of one vertex has its position only, one of none no rows.
     """
@@ -40,7 +40,7 @@ def frame_at(vertices: DataFrame, targets: DataFrame, path: str = "path_id") ->
 
     dx, dy = b["x"] - a["x"], b["y"] - a["y"]
     length = F.hypot(dx, dy)
-    out = {"x": between("x"), "y": between("y"), "tx": F.when(length > 1e-12, dx / length).otherwise(F.when(b.isNotNull(), F.lit(1.0))), "ty": F.when(length > 1e-12, dy / length).otherwise(F.when(b.isNotNull(), F.lit(0.0)))}
+    out = {"x": between("x"), "y": between("y"), "tx": F.when(length > 1e-12, dx / length).otherwise(F.when(b.isNotNull(), F.lit(1.0))), "ty": F.when(length > 1e-12, dy / length).otherwise(F.when(b.isNotNull(), F.lit(0.0))), "segment_m": length}
     if "kappa" in channels:
         out["kappa"] = between("kappa")
     if "z" in channels:
