@@ -44,7 +44,7 @@ def jon_04_fix_errors(samples: DataFrame) -> DataFrame:
 
 @query(("track", "polys"), "SELECT path_id, seq, region_id FROM track JOIN polys ON x >= x0 AND x < x0 + side AND y >= y0 AND y < y0 + side AND (triangle = 0 OR x < (x0 - (x0 + side)) * (y - y0) / (y0 + side - y0) + (x0 + side))")
 def jon_05_points_in_regions(track: DataFrame, polys: DataFrame) -> DataFrame:
-    return J.points_in_regions(track, polys.select("region_id", P.poly_ring().alias("ring")), size=10.0).select("path_id", "seq", "region_id")
+    return J.points_in_regions(track.select(*_POINT, "x", "y"), polys.select("region_id", P.poly_ring().alias("ring")), size=10.0).select("path_id", "seq", "region_id")
 
 
 @query(("track", "cells"), f", p AS (SELECT path_id, seq, CAST(floor(x) AS BIGINT) AS cx, CAST(floor(y) AS BIGINT) AS cy FROM track) SELECT path_id, seq, c.value IS NOT NULL AS loaded, {q6('c.value')} AS value, coalesce(c.blocked, true) AS blocked FROM p LEFT JOIN cells c USING (cx, cy)")
