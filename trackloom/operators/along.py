@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -87,14 +88,14 @@ def path_grades(vertices: DataFrame, targets: DataFrame, cells: DataFrame, keys:
     return met.select(*keys, (F.coalesce("grade", along) if "z" in vertices.columns else along).alias("grade"), directional_slope(-F.col("ty"), F.col("tx")).alias("cross_grade"))
 
 
-def library_lookup(queries: DataFrame, libraries: DataFrame, entries: DataFrame, cell: float, attach: float = 30.0) -> DataFrame:
+def library_lookup(queries: DataFrame, libraries: DataFrame, entries: DataFrame, cell: float, attach: float = 30.0, measure: Callable[[str], Column] = F.col) -> DataFrame:
     """JON-15: (query, idx, miss, to_start, to_goal): the stored candidates of each query, or the kind of miss.
 
     ``queries(query, library, params, sx, sy, gx, gy)`` ask a library by the cells of ``cell`` metres of their ends;
     ``libraries(library, params)`` were made with a parameter set, ``entries(library, idx, sx, sy, ex, ey)`` are
     stored under the cells of their own. Candidates with an end over ``attach`` metres from the query's are dropped. A query
     without a candidate has one row: no_library, parameters_differ, no_entry, or too_far with the least distance that either end
-    was off by. Queries of the same ends meet entries of the same ends once; the rows of both follow after that, and no pair of them is shuffled.
+    was off by; ``measure`` of the two distances is asked once for queries and entries of the same ends, which meet in blocks: no pair of rows is shuffled.
     """
     ends, kept = ["sx", "sy", "gx", "gy"], ["_at_sx", "_at_sy", "_at_ex", "_at_ey"]
     known = queries.join(libraries.select("library", F.col("params").alias("_stored"), F.lit(True).alias("_has")), "library", "left")
@@ -102,19 +103,21 @@ def library_lookup(queries: DataFrame, libraries: DataFrame, entries: DataFrame,
     stored = entries.select("library", "idx", *[F.col(c[4:]).alias(c) for c in kept])
 
     cells = [f"_{c}" for c in ends]
-    asked = fits.select("library", *ends).distinct().select("*", *[F.floor(F.col(c) / cell).alias(k) for c, k in zip(ends, cells, strict=True)])
-    held = stored.select("library", *kept).distinct().select("*", *[F.floor(F.col(c) / cell).alias(k) for c, k in zip(kept, cells, strict=True)])
-    met = dealt(asked, "library", *ends).join(held, ["library", *cells])
-    met = met.select("library", *ends, *kept, F.hypot(F.col("_at_sx") - F.col("sx"), F.col("_at_sy") - F.col("sy")).alias("to_start"), F.hypot(F.col("gx") - F.col("_at_ex"), F.col("gy") - F.col("_at_ey")).alias("to_goal"))
+    placed = lambda rows, at: rows.select("*", *[F.floor(F.col(c) / cell).alias(k) for c, k in zip(at, cells, strict=True)])
+    away = [F.hypot(F.col("_at_sx") - F.col("sx"), F.col("_at_sy") - F.col("sy")).alias("to_start"), F.hypot(F.col("gx") - F.col("_at_ex"), F.col("gy") - F.col("_at_ey")).alias("to_goal")]
+    asked, held = placed(fits.select("library", *ends).distinct(), ends), placed(stored.select("library", *kept).distinct(), kept)
+    met = dealt(asked, "library", *ends).join(held, ["library", *cells]).select("library", *ends, *away)
     near = (F.col("to_start") <= attach) & (F.col("to_goal") <= attach)
     told = met.groupBy("library", *ends).agg(F.count_if(near).alias("_near"), F.min("to_start").alias("to_start"), F.min("to_goal").alias("to_goal"))
     fit = F.col("_has") & F.col("_stored").eqNullSafe(F.col("params"))
     kind = F.when(F.col("_has").isNull(), "no_library").when(~F.col("_stored").eqNullSafe(F.col("params")), "parameters_differ").when(F.col("_near").isNull(), "no_entry").when(F.col("_near") == 0, "too_far")
     none = F.col("_near") == 0
-    misses = known.join(told, ["library", *ends], "left").select("query", F.lit(None).cast(dict(entries.dtypes)["idx"]).alias("idx"), kind.alias("miss"), F.when(fit & none, F.col("to_start")).alias("to_start"), F.when(fit & none, F.col("to_goal")).alias("to_goal"))
-    askers = by_outline(fits.select("library", *ends, "query"), ["library", *ends]).withColumnRenamed("_members", "_queries")
-    hits = met.where(near).join(askers, ["library", *ends]).select("library", *kept, "_queries", "to_start", "to_goal").join(by_outline(stored, ["library", *kept]), ["library", *kept])
-    hits = hits.select(F.explode("_queries.query").alias("query"), "_members", "to_start", "to_goal").select("query", F.explode("_members.idx").alias("idx"), "to_start", "to_goal")
+    misses = known.join(told, ["library", *ends], "left").select("query", F.lit(None).cast(dict(entries.dtypes)["idx"]).alias("idx"), kind.alias("miss"), F.when(fit & none, measure("to_start")).alias("to_start"), F.when(fit & none, measure("to_goal")).alias("to_goal"))
+    askers = placed(by_outline(fits.select("library", *ends, "query"), ["library", *ends]), ends).withColumnRenamed("_members", "_queries")
+    holders = placed(by_outline(stored, ["library", *kept]), kept)
+    hits = dealt(askers, "library", *cells).join(holders, ["library", *cells]).select("_queries", "_members", *away).where(near)
+    hits = hits.select("_members", F.explode("_queries.query").alias("query"), measure("to_start").alias("to_start"), measure("to_goal").alias("to_goal"))
+    hits = hits.select("query", F.explode("_members.idx").alias("idx"), "to_start", "to_goal")
     return hits.select("query", "idx", F.lit(None).cast("string").alias("miss"), "to_start", "to_goal").unionByName(misses.where("miss is not null"))
 
 
