@@ -191,9 +191,19 @@ class _Entries(InOrder):
 
     def forget(self) -> None:
         self.counts.clear()
+        self.known, self.told = {}, set()
+
+    def flushed(self, key, rows, state):
+        # A count is read once and written once for all rows that the watermark passes at once.
+        self.known, self.told, self.stored = {}, set(), state is not None
+        out = super().flushed(key, rows, state)
+        for region in self.told:
+            self.counts.updateValue((region,), (self.known[region],))
+        return out
 
     def step(self, key, row, state):
         at, seq, region = row
+        self.stored = self.stored and state is not None  # what was stored goes with the state
         inside, before = ([], []) if state is None else (list(state[2]), list(state[3]))
         if state is not None and (at, seq) != (state[0], state[1]):
             inside, before = [], inside  # the next sample: what was inside so far is what it came from
@@ -201,9 +211,11 @@ class _Entries(InOrder):
         if region is not None and region not in inside:
             inside.append(region)
             if region not in before:
-                count = self.counts.getValue((region,))[0] if self.counts.containsKey((region,)) else 0
-                self.counts.updateValue((region,), (count + 1,))
-                told = [(key[0], region, seq, count)]
+                if region not in self.known:
+                    self.known[region] = self.counts.getValue((region,))[0] if self.stored and self.counts.containsKey((region,)) else 0
+                told = [(key[0], region, seq, self.known[region])]
+                self.known[region] += 1
+                self.told.add(region)
         return told, (at, seq, inside, before)
 
 
